@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from graphfold.plans.ship import ship
+
 #: Arrow batches are cut into slices of about this many bytes of text, so that temporary arrays stay small.
 SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(fn, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from graphfold.llm.ann import op10_nearest
 from graphfold.llm.bpe import op3_bpe_round_trip
 from graphfold.llm.flac import op4_flac_media
+from graphfold.llm.langid import op6_language_id
+from graphfold.llm.ngram_join import op5_ngram_join
+from graphfold.llm.quality import op1_quality
+from graphfold.llm.secrets import op7_secret_scan
+from graphfold.llm.urls import op2_url_filter
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_flac_media": op4_flac_media,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
+    "op10_nearest": op10_nearest,
 }
 
 #: DuckDB SQL of those that SQL can express.
