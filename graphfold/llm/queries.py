@@ -9,6 +9,7 @@ from graphfold.llm.langid import op6_language_id
 from graphfold.llm.ngram_join import op5_ngram_join
 from graphfold.llm.quality import op1_quality
 from graphfold.llm.secrets import op7_secret_scan
+from graphfold.llm.suffix_dedup import op9_suffix_dedup
 from graphfold.llm.urls import op2_url_filter
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest": op10_nearest,
 }
 
