@@ -320,3 +320,8 @@ def op3_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each document, with a digest of the text decoded from them."""
+    return encode(docs, outputs=("n_tokens", "token_ids", "decoded_sha256")).select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256")

@@ -6,6 +6,7 @@ from graphfold.llm.ann import op10_nearest
 from graphfold.llm.bpe import op3_bpe_round_trip
 from graphfold.llm.flac import op4_flac_media
 from graphfold.llm.langid import op6_language_id
+from graphfold.llm.mixing import op8_mixing
 from graphfold.llm.ngram_join import op5_ngram_join
 from graphfold.llm.quality import op1_quality
 from graphfold.llm.secrets import op7_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest": op10_nearest,
 }
