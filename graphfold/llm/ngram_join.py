@@ -4,12 +4,15 @@ All n-grams have one global order: rare ones first, by a count sketch over every
 document, then by hash. Two sets with a similarity of at least t share an n-gram
 among the first n - ceil(t * n) + 1 of each, so the prefixes give all candidates.
 Lists of documents that share a prefix n-gram are walked in the order of set
-size. The first pass links each document of a list with the list's leader of
-like size; what those checks connect needs no further pair. The second pass
-brings the pairs of a list whose documents are still apart. Both checks are
-exact: the candidates' ordered sets stand in a trie, which is walked with the
-leader's set. Sets with a common beginning share its overlap, and a subtree is
-left as soon as the lengths that remain cannot reach the needed overlap.
+size; each document joins the block of the list's leader of like size, and of the
+leader before it where a set of that one's sizes may still fit. So two similar sets
+meet in some block. Within a block, parity bitmaps bound what two sets can share,
+and documents without any partner left go. The others' ordered sets stand in a trie
+that is walked with one of them after the other: sets with a common beginning share
+its overlap, and a subtree is left as soon as the lengths that remain cannot reach
+the needed overlap. Documents that are linked already need no further check, and a
+block gives a link for each document at most, so pairs are never spelled out. Blocks
+of more than CHUNK documents are cut into chunks that meet pair by pair.
 
 Sets are compared by 64-bit hashes of n-grams. Documents with equal sets form a
 class first, and only the class takes part; the class's smallest id stands for it.
@@ -31,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphfold.llm.common import arrow_rows, materialize, slices, table, texts_of
+from graphfold.llm.common import arrow_rows, materialize, release, slices, table, texts_of
 from graphfold.llm.shingles import shingle_sets
 from graphfold.operators.components import connected_components
 
 SKETCH_BITS, SKETCH_SLICES = 20, 64
-#: Members that stand in one trie, and grams between two looks at the bound.
-TRIE_SETS, TRIE_STEP = 512, 64
+#: Bits of a parity bitmap, documents of a block that stay together, and grams between two looks at the bound.
+BITMAP_BITS, CHUNK, TRIE_STEP = 2048, 4096, 64
 
 
 class Threshold:
@@ -53,7 +56,7 @@ class Threshold:
         """The least intersection of two similar sets."""
         return -(-self.part * (n + m) // (self.part + self.whole))
 
-    def largest(self, n: int) -> int:
+    def largest(self, n):
         """The largest set that can be similar to a smaller one of n grams."""
         return self.whole * n // self.part
 
@@ -89,8 +92,14 @@ def ordered(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return grams[np.argsort(counts[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parities of the grams that fall on each bit. Two sets differ by as many grams as bits at least."""
+    odd = np.bincount((grams & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def prefixes(docs: DataFrame, counts, size: int, t: Threshold) -> DataFrame:
-    """doc_id, n, a digest of the set, and its prefix."""
+    """doc_id, n, a digest of the set, its prefix and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,15 +108,15 @@ def prefixes(docs: DataFrame, counts, size: int, t: Threshold) -> DataFrame:
                 digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
                 heads = [ordered(s, counts.value)[: t.prefix(len(s))].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "d1", "d2", "prefix"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "prefix", "bits"],
                 )
 
-    return arrow_rows(docs.select("doc_id", "text"), run, [("doc_id", T.LongType()), ("n", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("prefix", T.ArrayType(T.LongType()))])
+    return arrow_rows(docs.select("doc_id", "text"), run, [("doc_id", T.LongType()), ("n", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("prefix", T.ArrayType(T.LongType())), ("bits", T.BinaryType())])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of one gram in sorted rows, as columns without the gram. A run may span batches."""
+    """Runs of one gram in sorted rows, as columns. A run may span batches."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -126,14 +135,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def _pairs(postings: DataFrame, t: Threshold, exact: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of postings (gram, n, id[, component]).
-
-    With exact, all pairs of a list that fit by size and lie in different
-    components. Else one pair for each document, with the leader of its sizes;
-    a document that fits its neighbour only gets the pair (a, a), which says that
-    it may be needed later.
-    """
+def _blocks(postings: DataFrame, t: Threshold) -> DataFrame:
+    """Distinct (hub, id) from postings (gram, n, id): which documents meet in the blocks of which leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, waiting = [], 0
@@ -141,46 +144,88 @@ def _pairs(postings: DataFrame, t: Threshold, exact: bool) -> DataFrame:
         def flush() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(out), axis=0)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "id"])
 
-        for columns in _lists(batches):
-            n, ids = columns[1], columns[2]
-            if len(n) < 2:
+        for _, n, ids in _lists(batches):
+            if len(n) < 2 or (ids == ids[0]).all():
                 continue
-            if exact:
-                component = columns[3]
-                if (component == component[0]).all():
-                    continue
-                last = np.searchsorted(n, t.whole * n // t.part, side="right")
-                for i in range(len(n) - 1):
-                    js = np.arange(i + 1, last[i])
-                    js = js[component[js] != component[i]]
-                    if len(js):
-                        out.append(np.stack([np.minimum(ids[i], ids[js]), np.maximum(ids[i], ids[js])], axis=1))
-                        waiting += len(js)
-            else:
-                lead, sizes, limit = 0, n.tolist(), t.largest(int(n[0]))
-                leader = np.empty(len(n), np.int64)
-                for i, x in enumerate(sizes):
-                    if x > limit:
-                        lead, limit = i, t.largest(x)
-                    leader[i] = lead
-                fits = np.zeros(len(n), bool)
-                near = t.part * n[1:] <= t.whole * n[:-1]
-                fits[1:] |= near
-                fits[:-1] |= near
-                a, b = ids[leader][fits], ids[fits]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-                waiting += len(a)
+            near = n[1:] <= t.largest(n[:-1])
+            fits = np.zeros(len(n), bool)  # a document whose neighbour in size does not fit has no partner here
+            fits[1:] |= near
+            fits[:-1] |= near
+            n, ids = n[fits], ids[fits]
+            starts, at = [], 0
+            while at < len(n):
+                starts.append(at)
+                at = int(np.searchsorted(n, t.largest(int(n[at])), side="right"))
+            for k, start in enumerate(starts):
+                stop = starts[k + 1] if k + 1 < len(starts) else len(n)
+                last = int(np.searchsorted(n, t.largest(int(n[stop - 1])), side="right"))
+                if last - start > 1:
+                    out.append(np.stack([np.full(last - start, ids[start]), ids[start:last]], axis=1))
+                    waiting += last - start
             if waiting > 200_000:
                 yield flush()
                 waiting = 0
         if out:
             yield flush()
 
-    columns = ["gram", "n", "id", *(["component"] if exact else [])]
-    sorted_lists = postings.select(*columns).repartition(F.col("gram")).sortWithinPartitions("gram", "n", "id")
-    return arrow_rows(sorted_lists, run, [("a", T.LongType()), ("b", T.LongType())]).distinct()
+    lists = postings.select("gram", "n", "id").repartition(F.col("gram")).sortWithinPartitions("gram", "n", "id")
+    return arrow_rows(lists, run, [("hub", T.LongType()), ("id", T.LongType())]).distinct()
+
+
+def _parts(pairs: DataFrame) -> DataFrame:
+    """(hub, part, id): a block of one chunk has part 0; of more, a document goes to the parts of all pairs with its chunk."""
+    chunks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
+    own = pairs.join(chunks.where("k > 1"), "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    mine = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.least(c, F.col("c")) * F.col("k") + F.greatest(c, F.col("c")))
+    return own.withColumn("c", mine).select("hub", F.explode(other).alias("part"), "id")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first columns, with their other columns."""
+    now, rows = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[:keys] != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = row[:keys], []
+            rows.append(row[keys:])
+    if len(rows) > 1:
+        yield now, rows
+
+
+def _may_link(n: np.ndarray, bits: np.ndarray, i: int, t: Threshold) -> np.ndarray:
+    """Later rows (sorted by size) whose size and bitmap allow a link with row i."""
+    js = np.arange(i + 1, int(np.searchsorted(n, t.largest(int(n[i])), side="right")))
+    if not len(js):
+        return js
+    least = -(-t.part * (n[i] + n[js]) // (t.part + t.whole))
+    differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    return js[differ <= n[i] + n[js] - 2 * least]
+
+
+def _hopeful(parts: DataFrame, signs: DataFrame, t: Threshold) -> DataFrame:
+    """The rows of parts (hub, part, id) with a partner that their bitmaps allow."""
+    rows = parts.join(signs, "id").select("hub", "part", "n", "id", "bits").repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "n", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (hub, part), some in _runs(batches, 2):
+            n, ids = np.array([r[0] for r in some], np.int64), [r[1] for r in some]
+            bits = np.frombuffer(b"".join(r[2] for r in some), np.uint64).reshape(len(some), -1)
+            good = np.zeros(len(some), bool)
+            for i in range(len(some) - 1):
+                js = _may_link(n, bits, i, t)
+                good[js] = True
+                good[i] |= len(js) > 0
+            kept = [x for x, g in zip(ids, good.tolist(), strict=True) if g]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([hub] * len(kept), pa.int64()), pa.array([part] * len(kept), pa.int32()), pa.array(kept, pa.int64())], names=["hub", "part", "id"])
+
+    return arrow_rows(rows, run, [("hub", T.LongType()), ("part", T.IntegerType()), ("id", T.LongType())])
 
 
 def trie_join(hub: np.ndarray, members: list[np.ndarray], t: Threshold) -> np.ndarray:
@@ -206,38 +251,30 @@ def trie_join(hub: np.ndarray, members: list[np.ndarray], t: Threshold) -> np.nd
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs that are similar."""
-    pairs = pairs.where(F.col("a") != F.col("b"))
-    members = pairs.join(sets, pairs["b"] == sets["id"]).select(F.col("a").alias("hub"), F.col("b").alias("id"), "grams")
-    hubs = pairs.select("a").distinct().join(sets, F.col("a") == sets["id"]).select(F.col("a").alias("hub"), F.lit(None).cast("long").alias("id"), "grams")
-    rows = hubs.union(members).repartition(F.col("hub")).sortWithinPartitions("hub", F.col("id").asc_nulls_first())
+def _links(parts: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """(src, dst): links that join each block's documents as far as links do; one for each document at most."""
+    rows = parts.join(sets, "id").select("hub", "part", "n", "id", "grams").repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, grams, ids, waiting, size = None, None, [], [], 0
-
-        def flush() -> list[pa.RecordBatch]:
-            if not ids:
-                return []
-            good = trie_join(grams, waiting, t)
-            kept = [x for x, g in zip(ids, good.tolist(), strict=True) if g]
-            ids.clear()
-            waiting.clear()
-            return [pa.RecordBatch.from_arrays([pa.array([hub] * len(kept), pa.int64()), pa.array(kept, pa.int64())], names=["src", "dst"])] if kept else []
-
-        for batch in batches:
-            for h, i, g in zip(batch.column("hub").to_pylist(), batch.column("id").to_pylist(), batch.column("grams"), strict=True):
-                if h != hub or len(ids) >= TRIE_SETS:
-                    yield from flush()
-                values = np.frombuffer(g.as_buffer(), np.uint64)
-                if i is None:
-                    hub, grams = h, values.copy()
-                elif h == hub:
-                    ids.append(i)
-                    waiting.append(values.copy())
-        yield from flush()
+        for _, some in _runs(batches, 2):
+            n, ids = np.array([r[0] for r in some], np.int64), [r[1] for r in some]
+            sets_ = [np.frombuffer(r[2], np.uint64) for r in some]
+            bits = np.stack([bitmap(s) for s in sets_])
+            label, src, dst = np.arange(len(some)), [], []
+            for i in range(len(some) - 1):
+                js = _may_link(n, bits, i, t)
+                js = js[label[js] != label[i]]
+                if not len(js):
+                    continue
+                for j in js[trie_join(sets_[i], [sets_[k] for k in js.tolist()], t)].tolist():
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        src.append(ids[i])
+                        dst.append(ids[j])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return arrow_rows(rows, run, [("src", T.LongType()), ("dst", T.LongType())])
+    return arrow_rows(rows, run, [("src", T.LongType()), ("dst", T.LongType())]).distinct()
 
 
 def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFrame:
@@ -249,24 +286,26 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     found = materialize(prefixes(docs, counts, size, t), "join_prefixes")
     some = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "join_classes")
-    postings = some.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.explode("prefix").alias("gram"), "n", F.col("doc_id").alias("id"))
-    first = materialize(_pairs(postings, t, False), "join_first")
+    own = materialize(some.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), "join_own")
+    release(spark)
+    pairs = materialize(_blocks(own.select(F.explode("prefix").alias("gram"), "n", "id"), t), "join_blocks")
+    release(spark)
+    parts = materialize(_hopeful(_parts(pairs), own.select("id", "n", "bits"), t), "join_hopeful")
+    release(spark)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                grams = [ordered(s, counts.value).tobytes() for s in shingle_sets(texts_of(part), size)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], names=["id", "grams"])
-
-    wanted = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(arrow_rows(docs.join(wanted, "doc_id", "left_semi"), full, [("id", T.LongType()), ("grams", T.BinaryType())]).dropDuplicates(["id"]), "join_sets")
-    links = materialize(_verified(first, sets, t), "join_links")
-    near = connected_components(links).select(F.col("node").alias("id"), "component")
-    # second pass: only documents with a candidate partner, and only lists that are still apart
-    apart = postings.join(wanted.select(F.col("doc_id").alias("id")), "id", "left_semi").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    second = materialize(_pairs(apart, t, True), "join_second")
-    more = materialize(_verified(second.join(first, ["a", "b"], "left_anti"), sets, t), "join_more")
-    final = connected_components(links.union(more)).withColumnRenamed("node", "id")
+                sets = shingle_sets(texts_of(part), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "n", "grams"])
+
+    wanted = parts.select(F.col("id").alias("doc_id")).distinct()
+    sets = arrow_rows(docs.join(wanted, "doc_id", "left_semi"), full, [("id", T.LongType()), ("n", T.LongType()), ("grams", T.BinaryType())])
+    sets = materialize(sets.dropDuplicates(["id"]), "join_sets")
+    release(spark)
+    links = materialize(_links(parts, sets, t), "join_links")
+    release(spark)
+    final = connected_components(links).withColumnRenamed("node", "id")
     known = classes.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     known = materialize(known, "join_known")
     return found.join(known, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

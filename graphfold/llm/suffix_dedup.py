@@ -27,16 +27,15 @@ matches count once; strings are judged on the input.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphfold.llm.common import arrow_rows, materialize, slices, table, texts_of
+from graphfold.llm.common import arrow_rows, materialize, release, slices, table, texts_of
 from graphfold.llm.shingles import mix
 
 LENGTH, GRAM = 50, 26
@@ -98,12 +97,6 @@ def reaches(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return flat, doc[cut], q[cut], np.diff(np.concatenate([cut, [len(q)]])), h[a[cut]]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
