@@ -2,5 +2,501 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphfold.config import EngineConfig
+from graphfold.functions import text as X
+from graphfold.functions import vectors as V
+from graphfold.operators import chunking, community, extraction, graph, resolution, retrieval, tables
+from graphfold.operators.topk import knn, knn_batch
+from graphfold.sources.fixture import CTES, query_vector, table
+from graphfold.sources.fixture import graph as fixture
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+CONFIG = EngineConfig(dim=64)
+
+
+def query(sql: str | None = None, graph_ctes: bool = True, recursive: bool = False) -> Callable[[Query], Query]:
+    """Registers a query under its name. sql follows the fixture's CTEs unless graph_ctes is off."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            word = "WITH RECURSIVE" if recursive else "WITH"
+            ORACLE_SQL[f.__name__] = f"{word} {CTES}, {sql.strip()}" if graph_ctes else sql.strip()
+        return f
+
+    return add
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+Q0 = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)"
+COS = "list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.v)"
+
+
+@query(f"{Q0} SELECT c.id, round({COS}, 6) AS score FROM g_chunks c, q ORDER BY {COS} DESC, c.id LIMIT 8")
+def knn_topk(spark, sf_dir):
+    return knn(fixture(spark, sf_dir).chunks, query_vector(spark, sf_dir), 8).select("id", r6("score").alias("score"))
+
+
+@query(f"{Q0} SELECT c.id, n.type AS node_type, round({COS}, 6) AS score FROM g_chunks c JOIN g_nodes n ON n.id = c.node_id, q WHERE n.type = 'customer' ORDER BY {COS} DESC, c.id LIMIT 8")
+def knn_type_filter(spark, sf_dir):
+    g = fixture(spark, sf_dir)
+    typed = g.chunks.join(g.nodes.select(F.col("id").alias("node_id"), F.col("type").alias("node_type")), "node_id")
+    return knn(typed, query_vector(spark, sf_dir), 8, F.col("node_type") == "customer").select("id", "node_type", r6("score").alias("score"))
+
+
+@query(
+    """qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 10),
+s AS (SELECT q.query_id, c.id, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.v) AS score FROM g_chunks c, qs q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5"""
+)
+def knn_batch_top5(spark, sf_dir):
+    q = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < 10).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn_batch(fixture(spark, sf_dir).chunks, q, 5).select("query_id", "rank", "id", r6("score").alias("score"))
+
+
+@query(
+    """WITH h AS (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM h),
+e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos, l FROM n)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN l > 0 THEN x / l ELSE x END, 6) + 0.0 AS value FROM e""",
+    graph_ctes=False,
+)
+def fit_embedding_trunc(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.fit_embedding(F.col("embedding"), 32)).alias("pos", "value"))
+    return e.select("vec_id", "pos", (r6("value") + 0.0).alias("value"))
+
+
+@query("SELECT concat('x:', CAST(vec_id AS string)) AS id, vec_id % 50 AS created_at FROM fx_e WHERE vec_id % 7 = 0 ORDER BY created_at, id LIMIT 100")
+def reembed_queue(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.concat(F.lit("x:"), F.col("vec_id").cast("string")).alias("id"), (F.col("vec_id") % 50).alias("created_at"), F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"))
+    return tables.reembed_queue(rows).select("id", "created_at")
+
+
+@query("SELECT id, name FROM g_nodes WHERE type = 'part' AND name ILIKE '%D%r_N%' ORDER BY name DESC, id LIMIT 20 OFFSET 5")
+def node_list_ilike(spark, sf_dir):
+    nodes = fixture(spark, sf_dir).nodes.withColumn("created_at", F.col("name"))
+    return tables.list_nodes(nodes, type="part", q="D%r_N", limit=20, offset=5).select("id", "name")
+
+
+@query("SELECT id, dst FROM g_edges WHERE type = 'supplies' AND src = 's:3' ORDER BY dst DESC, id LIMIT 100")
+def edge_list_filter(spark, sf_dir):
+    return tables.list_edges(fixture(spark, sf_dir).edges.withColumn("created_at", F.col("dst")), src="s:3", type="supplies").select("id", "dst")
+
+
+@query("SELECT id, node_id, kind FROM g_chunks WHERE node_id = 'k:3' ORDER BY id DESC LIMIT 100")
+def chunk_list_filter(spark, sf_dir):
+    return tables.list_chunks(fixture(spark, sf_dir).chunks.withColumn("created_at", F.col("id")), node_id="k:3").select("id", "node_id", "kind")
+
+
+@query("SELECT id, type, name FROM g_nodes WHERE id = 'c:7'")
+def point_lookup(spark, sf_dir):
+    return tables.get(fixture(spark, sf_dir).nodes, "c:7")
+
+
+@query("SELECT id, src, dst, type FROM g_edges WHERE src IN ('c:1', 'p:5', 'n:3', 's:2') OR dst IN ('c:1', 'p:5', 'n:3', 's:2')")
+def edges_incident(spark, sf_dir):
+    frontier = spark.createDataFrame([("c:1",), ("p:5",), ("n:3",), ("s:2",)], "node string")
+    return graph.incident(fixture(spark, sf_dir).edges, frontier)
+
+
+@query(
+    """i AS (SELECT src, dst, type, NULL AS description, 0 AS at FROM g_edges UNION ALL SELECT src, dst, type, concat('near ', dst), 1 FROM g_edges WHERE type = 'located_in'
+UNION ALL SELECT src, dst, type, '', 2 FROM g_edges WHERE type = 'in_region')
+SELECT src, dst, type, arg_max(description, at) FILTER (WHERE description <> '') AS description FROM i GROUP BY src, dst, type"""
+)
+def edge_dedup_triple(spark, sf_dir):
+    e = fixture(spark, sf_dir).edges.select("src", "dst", "type", F.lit(None).cast("string").alias("chunk_id"))
+    late = e.where(F.col("type") == "located_in").withColumns({"description": F.concat(F.lit("near "), "dst"), "at": F.lit(1)})
+    blank = e.where(F.col("type") == "in_region").withColumns({"description": F.lit(""), "at": F.lit(2)})
+    both = e.withColumns({"description": F.lit(None).cast("string"), "at": F.lit(0)}).unionByName(late).unionByName(blank)
+    return resolution.upsert_edges(both).select("src", "dst", "type", "description")
+
+
+@query(
+    """gone AS (SELECT id FROM g_nodes WHERE type = 'region' OR id IN ('c:1', 's:2', 'd:0'))
+SELECT 'nodes' AS tbl, count(*) AS n FROM g_nodes WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'edges', count(*) FROM g_edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'chunks', count(*) FROM g_chunks WHERE node_id NOT IN (SELECT id FROM gone)"""
+)
+def cascade_delete(spark, sf_dir):
+    g = fixture(spark, sf_dir)
+    gone = g.nodes.where((F.col("type") == "region") | F.col("id").isin("c:1", "s:2", "d:0")).select("id")
+    left = tables.delete_nodes(gone, g.nodes, g.edges, g.chunks)
+    counts = [left[t].agg(F.lit(t).alias("tbl"), F.count("*").alias("n")) for t in ("nodes", "edges", "chunks")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("p AS (SELECT id, 'Renamed ' || name AS name FROM g_nodes WHERE type = 'nation') SELECT n.id, n.type, coalesce(p.name, n.name) AS name FROM g_nodes n LEFT JOIN p ON p.id = n.id")
+def update_nodes(spark, sf_dir):
+    nodes = fixture(spark, sf_dir).nodes
+    return tables.update(nodes, nodes.where(F.col("type") == "nation").select("id", F.concat(F.lit("Renamed "), "name").alias("name")))
+
+
+def _neighbors(spark, sf_dir, node, direction, depth):
+    g = fixture(spark, sf_dir)
+    return graph.neighbors(g.nodes, g.edges, node, direction, None, depth).nodes.select("id", "type", "hop")
+
+
+@query("SELECT id, type, 0 AS hop FROM g_nodes WHERE id = 'n:3' UNION ALL SELECT DISTINCT n.id, n.type, 1 FROM g_edges e JOIN g_nodes n ON n.id = e.dst WHERE e.src = 'n:3'")
+def neighbors_out(spark, sf_dir):
+    return _neighbors(spark, sf_dir, "n:3", "out", 1)
+
+
+@query("SELECT id, type, 0 AS hop FROM g_nodes WHERE id = 'n:3' UNION ALL SELECT DISTINCT n.id, n.type, 1 FROM g_edges e JOIN g_nodes n ON n.id = e.src WHERE e.dst = 'n:3'")
+def neighbors_in(spark, sf_dir):
+    return _neighbors(spark, sf_dir, "n:3", "in", 1)
+
+
+ADJ = "adj AS (SELECT src AS a, dst AS b FROM g_edges UNION ALL SELECT dst, src FROM g_edges)"
+WALK = f"""{ADJ},
+h1 AS (SELECT DISTINCT b AS id FROM adj WHERE a = 'c:1' AND b <> 'c:1'),
+h2 AS (SELECT DISTINCT b AS id FROM adj WHERE a IN (SELECT id FROM h1) AND b <> 'c:1' AND b NOT IN (SELECT id FROM h1)),
+w AS (SELECT 'c:1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)"""
+
+
+@query(f"{WALK} SELECT n.id, n.type, w.hop FROM w JOIN g_nodes n ON n.id = w.id")
+def neighbors_both_d2(spark, sf_dir):
+    return _neighbors(spark, sf_dir, "c:1", "both", 2)
+
+
+@query(
+    """adj AS (SELECT src AS a, dst AS b FROM g_edges WHERE type IN ('located_in', 'in_region') UNION ALL SELECT dst, src FROM g_edges WHERE type IN ('located_in', 'in_region')),
+w AS (SELECT 'r:0' AS node, 0 AS hop UNION SELECT adj.b, w.hop + 1 FROM w JOIN adj ON adj.a = w.node WHERE w.hop < 3)
+SELECT node, min(hop) AS hop FROM w GROUP BY node""",
+    recursive=True,
+)
+def bfs_hops(spark, sf_dir):
+    edges = graph.edge_filter(fixture(spark, sf_dir).edges, ["located_in", "in_region"])
+    return graph.bfs(edges, spark.createDataFrame([("r:0",)], "node string"), 3)
+
+
+LOCATED = """located AS (SELECT id FROM g_nodes WHERE type IN ('customer', 'supplier', 'nation')),
+le AS (SELECT src AS a, dst AS b FROM g_edges WHERE type = 'located_in' UNION ALL SELECT dst, src FROM g_edges WHERE type = 'located_in'),
+reach AS (SELECT id AS start, id FROM g_nodes WHERE type = 'nation' UNION SELECT reach.start, le.b FROM reach JOIN le ON le.a = reach.id),
+comp0 AS (SELECT start, min(id) AS component FROM reach GROUP BY start),
+comp AS (SELECT l.id, coalesce(c.component, l.id) AS component FROM located l LEFT JOIN reach r ON r.id = l.id LEFT JOIN comp0 c ON c.start = r.start),
+sizes AS (SELECT component, count(*) AS member_count FROM comp GROUP BY component HAVING count(*) >= 3),
+labels AS (SELECT component, member_count, concat('community_', CAST(row_number() OVER (ORDER BY member_count DESC, component) AS string)) AS label FROM sizes)"""
+
+
+def _located(spark, sf_dir):
+    g = fixture(spark, sf_dir)
+    nodes = g.nodes.where(F.col("type").isin("customer", "supplier", "nation"))
+    return nodes, community.components(nodes, g.edges.where(F.col("type") == "located_in"))
+
+
+@query(f"{LOCATED} SELECT id, component FROM comp", recursive=True)
+def components(spark, sf_dir):
+    return _located(spark, sf_dir)[1].select("id", "component")
+
+
+@query(f"{LOCATED} SELECT component, member_count, label FROM labels", recursive=True)
+def community_sizes(spark, sf_dir):
+    return community.sizes(_located(spark, sf_dir)[1], CONFIG.community_min_size)
+
+
+@query(f"{LOCATED} SELECT l.label, n.id, n.name FROM labels l JOIN comp c ON c.component = l.component JOIN g_nodes n ON n.id = c.id", recursive=True)
+def community_members(spark, sf_dir):
+    nodes, found = _located(spark, sf_dir)
+    return found.join(community.sizes(found, CONFIG.community_min_size), "component").join(nodes, "id").select("label", "id", "name")
+
+
+@query(
+    f"""{LOCATED},
+m AS (SELECT c.component, n.name, n.type, row_number() OVER (PARTITION BY c.component ORDER BY n.name, n.id) AS r FROM comp c JOIN g_nodes n ON n.id = c.id),
+ml AS (SELECT component, string_agg(concat('- ', name, ' (', type, ')'), chr(10) ORDER BY r) AS t FROM m WHERE r <= 40 GROUP BY component),
+e AS (SELECT a.component, concat('- ', s.name, ' -[', g.type, ']-> ', d.name) AS rel, row_number() OVER (PARTITION BY a.component ORDER BY g.id) AS r
+      FROM g_edges g JOIN comp a ON a.id = g.src JOIN g_nodes s ON s.id = g.src JOIN g_nodes d ON d.id = g.dst WHERE g.type = 'located_in'),
+el AS (SELECT component, string_agg(rel, chr(10) ORDER BY r) AS t FROM e WHERE r <= 40 GROUP BY component)
+SELECT ml.component, concat('Entities:', chr(10), ml.t, chr(10), chr(10), 'Relationships:', chr(10), coalesce(el.t, '(none)')) AS prompt FROM ml LEFT JOIN el ON el.component = ml.component""",
+    recursive=True,
+)
+def community_prompts(spark, sf_dir):
+    g = fixture(spark, sf_dir)
+    nodes, found = _located(spark, sf_dir)
+    return community.prompts(found, nodes, g.edges.where(F.col("type") == "located_in"))
+
+
+@query(
+    """c AS (SELECT node_id, count(*) AS n FROM g_chunks GROUP BY node_id), m AS (SELECT src, count(*) AS n FROM g_edges WHERE type = 'mentions' GROUP BY src)
+SELECT d.doc_id AS id, coalesce(c.n, 0) AS chunk_count, coalesce(m.n, 0) AS mention_count FROM documents d
+LEFT JOIN c ON c.node_id = concat('d:', CAST(d.doc_id AS string)) LEFT JOIN m ON m.src = concat('d:', CAST(d.doc_id AS string))"""
+)
+def document_counts(spark, sf_dir):
+    g = fixture(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("node_id"))
+    return tables.document_counts(docs, g.chunks, g.edges).select("id", "chunk_count", "mention_count")
+
+
+@query(
+    """WITH n AS (SELECT c_custkey, concat('  ', upper(c_name), chr(160), ' Of-The ', c_mktsegment, '  ') AS raw FROM customer),
+w AS (SELECT c_custkey, trim(regexp_replace(replace(raw, chr(160), ' '), '\\s+', ' ', 'g')) AS t FROM n)
+SELECT c_custkey, lower(t) AS name_norm, t AS name_clean, translate(lower(trim(replace(raw, chr(160), ' '))), ' -', '__') AS type_norm_ascii,
+       regexp_replace(translate(lower(t), ' -', '__'), '[^a-z0-9_]+', '', 'g') AS type_clean FROM n JOIN w USING (c_custkey)""",
+    graph_ctes=False,
+)
+def normalize_names(spark, sf_dir):
+    raw = F.concat(F.lit("  "), F.upper("c_name"), F.lit("\xa0 Of-The "), "c_mktsegment", F.lit("  "))
+    c = table(spark, sf_dir, "customer").withColumn("raw", raw)
+    single = F.regexp_replace(F.col("raw"), r"(?U)\s+", " ")
+    return c.select(
+        "c_custkey", X.normalize_name(F.col("raw")).alias("name_norm"), X.clean_name(F.col("raw")).alias("name_clean"),
+        X.normalize_type(F.translate("raw", "\xa0", " ")).alias("type_norm_ascii"), X.clean_type(single).alias("type_clean"),
+    )
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, lower(trim(regexp_replace(concat(p_name, ' by ', p_brand, ' ', p_type), '\\s+', ' ', 'g'))) AS q FROM part),
+t AS (SELECT p_partkey, q, regexp_extract_all(q, '[a-z0-9][a-z0-9._-]{1,}') AS t FROM n),
+p AS (SELECT p_partkey, q AS phrase FROM t UNION SELECT p_partkey, unnest(t) FROM t UNION SELECT p_partkey, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: concat(t[i], ' ', t[i + 1]))) FROM t)
+SELECT p_partkey, phrase FROM p WHERE phrase <> ''""",
+    graph_ctes=False,
+)
+def query_phrases(spark, sf_dir):
+    q = F.concat("p_name", F.lit(" by "), "p_brand", F.lit(" "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(X.phrases(q)).alias("phrase"))
+
+
+_THEMES = " OR ".join(f"contains(lower(text), '{k}')" for k in X.THEMATIC)
+
+
+@query(f"SELECT conv_id, turn, ({_THEMES}) AS thematic FROM (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN concat(text, ' High-Level view') ELSE text END AS text FROM conversations)", graph_ctes=False)
+def thematic_flag(spark, sf_dir):
+    t = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" High-Level view"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.thematic(t).alias("thematic"))
+
+
+ASKED = "Customer#000000001 and NATION_3"
+_SAID = "('customer#000000001 and nation_3', 'customer', '000000001', 'and', 'nation_3', 'customer 000000001', '000000001 and', 'and nation_3')"
+SEEDS = f"""{Q0},
+en AS (SELECT id, type, name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS nn FROM g_nodes WHERE type NOT IN ('document', 'community')),
+byname AS (SELECT id AS node_id, CASE WHEN nn IN {_SAID} THEN 1.0 WHEN length(nn) >= 3 AND contains('customer#000000001 and nation_3', nn) THEN 0.9 END AS score, 0 AS p FROM en),
+desc_top AS (SELECT c.node_id, {COS} AS score FROM g_chunks c JOIN en ON en.id = c.node_id, q WHERE c.kind = 'entity_description' ORDER BY score DESC, c.id LIMIT 10),
+cand AS (SELECT node_id, CAST(score AS DOUBLE) AS score, p FROM byname WHERE score IS NOT NULL UNION ALL SELECT node_id, score, 1 FROM desc_top WHERE score >= 0.3),
+one AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, p) AS r FROM cand),
+seeds AS (SELECT node_id, score, CASE WHEN p = 0 THEN 'exact' ELSE 'embedding' END AS "match" FROM one WHERE r = 1 ORDER BY score DESC, node_id LIMIT 5)"""
+LOW = EngineConfig(dim=64, auto_entity_score_threshold=0.3)
+
+
+@query(f'{SEEDS} SELECT node_id, round(score, 6) AS score, "match" FROM seeds')
+def entity_seeds(spark, sf_dir):
+    s = retrieval.entity_seeds(fixture(spark, sf_dir), ASKED, query_vector(spark, sf_dir), LOW)
+    return s.select("node_id", r6("score").alias("score"), "match")
+
+
+@query(
+    """WITH s AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, text, n, unnest(generate_series(0, greatest(0, CAST(ceil((n - 1200) / 1000.0) AS BIGINT)))) AS ord FROM s)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(ord * 1000 AS INTEGER) AS char_start, CAST(least(ord * 1000 + 1200, n) AS INTEGER) AS char_end, md5(substring(text, ord * 1000 + 1, 1200)) AS text_md5 FROM w""",
+    graph_ctes=False,
+)
+def hard_split_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.hard_split(F.col("text"), 1200, 200)).alias("w"))
+    return d.select("doc_id", "w.ord", "w.char_start", "w.char_end", F.md5("w.text").alias("text_md5"))
+
+
+def _conversations(spark, sf_dir):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n\n").alias("text"))
+
+
+@query(
+    """WITH p AS (SELECT conv_id, list(trim(text, chr(10) || chr(13) || ' ') ORDER BY turn) AS ps FROM conversations WHERE trim(text) <> '' GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(ps, lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1][1]) + 2 + length(x) <= 4000 THEN list_concat(acc[:-2], [[acc[-1][1] || chr(10) || chr(10) || x]])
+  ELSE list_concat(acc, [[x]]) END, CAST([] AS VARCHAR[][])) AS ws FROM (SELECT conv_id, list_transform(ps, lambda x: x) AS ps FROM p))
+SELECT conv_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS ord, md5(unnest(ws)[1]) AS text_md5 FROM f""",
+    graph_ctes=False,
+)
+def chunk_packed(spark, sf_dir):
+    chunks = chunking.chunk_documents(_conversations(spark, sf_dir), "conv_id", "text", 4000, 0)
+    return chunks.select("conv_id", "ord", F.md5("text").alias("text_md5"))
+
+
+@query()
+def chunk_overlapped(spark, sf_dir):
+    return chunking.chunk_documents(_conversations(spark, sf_dir), "conv_id", "text", CONFIG.chunk_size, CONFIG.chunk_overlap)
+
+
+def _replies(spark, sf_dir):
+    """A model's replies made from parts: plain, fenced, with text around, and broken."""
+    p = table(spark, sf_dir, "part")
+    entity = lambda name, kind, text: F.struct(name.alias("name"), kind.alias("type"), text.alias("description"))
+    entities = F.array(entity(F.concat(F.lit("  "), "p_name", F.lit("  ")), F.col("p_type"), F.concat(F.lit("made by "), "p_brand")), entity(F.col("p_brand"), F.lit("Brand-Name"), F.lit(None).cast("string")), entity(F.lit(" "), F.lit("x"), F.lit("")))
+    link = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), kind.alias("type"), F.lit("").alias("description"))
+    links = F.array(link(F.col("p_name"), F.col("p_brand"), F.lit("Made By")), link(F.col("p_brand"), F.lower("p_brand"), F.lit("same")), link(F.col("p_brand"), F.col("p_name"), F.lit(None).cast("string")))
+    json = F.to_json(F.struct(entities.alias("entities"), links.alias("relationships")))
+    k = F.col("p_partkey") % 4
+    return p.select("p_partkey", "p_name", "p_type", "p_brand", F.when(k == 0, json).when(k == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here you are: "), json, F.lit(" Done."))).otherwise(F.substring(json, 1, 20)).alias("raw"))
+
+
+@query(
+    """WITH k AS (SELECT *, p_partkey % 4 AS k FROM part)
+SELECT p_partkey, 'entity' AS item, p_name AS a, '' AS b, lower(p_type) AS type, concat('made by ', p_brand) AS description FROM k WHERE k < 3
+UNION ALL SELECT p_partkey, 'entity', p_brand, '', 'brand_name', '' FROM k WHERE k < 3
+UNION ALL SELECT p_partkey, 'relation', p_name, p_brand, 'made_by', '' FROM k WHERE k < 3
+UNION ALL SELECT p_partkey, 'relation', p_brand, p_name, 'related_to', '' FROM k WHERE k < 3
+UNION ALL SELECT p_partkey, 'invalid', '', '', '', '' FROM k WHERE k = 3""",
+    graph_ctes=False,
+)
+def parse_extraction(spark, sf_dir):
+    x = extraction.parse(_replies(spark, sf_dir).select("p_partkey", "raw"))
+    e = x.select("p_partkey", F.lit("entity").alias("item"), F.explode("entities").alias("e")).select("p_partkey", "item", F.col("e.name").alias("a"), F.lit("").alias("b"), "e.type", "e.description")
+    r = x.select("p_partkey", F.lit("relation").alias("item"), F.explode("relationships").alias("r")).select("p_partkey", "item", F.col("r.source").alias("a"), F.col("r.target").alias("b"), "r.type", "r.description")
+    bad = x.where(F.col("status") != "ok").select("p_partkey", F.col("status").alias("item"), *(F.lit("").alias(c) for c in ("a", "b", "type", "description")))
+    return e.union(r).union(bad)
+
+
+def _mentions(spark, sf_dir):
+    """Mentions of parts in two spellings, eight to a document."""
+    p = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.initcap("p_name")).otherwise(F.col("p_name"))
+    return p.select((F.col("p_partkey") / 8).cast("long").alias("doc_id"), F.lit(0).alias("ord"), (F.col("p_partkey") % 8).cast("int").alias("item"), name.alias("name"), F.col("p_type").alias("type"), F.concat(F.lit("seen as "), "p_brand").alias("description"))
+
+
+_MENTIONS = """m AS (SELECT p_partkey AS at, CASE WHEN p_partkey % 3 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') ELSE p_name END AS name,
+  lower(p_type) AS type, lower(p_name) AS nn, concat('seen as ', p_brand) AS description FROM part)"""
+
+
+@query(
+    f"""WITH {_MENTIONS}, f AS (SELECT type, nn, name, min(at) AS at FROM m GROUP BY type, nn, name)
+SELECT type, nn AS normalized_name, arg_min(name, at) AS name, string_agg(name, '|' ORDER BY at) AS aliases FROM f GROUP BY type, nn""",
+    graph_ctes=False,
+)
+def resolve_entities(spark, sf_dir):
+    return resolution.resolve(_mentions(spark, sf_dir)).select("type", "normalized_name", "name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(
+    f"""WITH {_MENTIONS}, f AS (SELECT type, nn, description, min(at) AS at FROM m GROUP BY type, nn, description), l AS (SELECT type, nn, list(description ORDER BY at) AS ds FROM f GROUP BY type, nn)
+SELECT type, nn AS normalized_name, list_reduce(ds, lambda acc, d: CASE WHEN contains(acc, d) THEN acc ELSE concat(acc, chr(10), d) END) AS description FROM l""",
+    graph_ctes=False,
+)
+def merge_descriptions(spark, sf_dir):
+    return resolution.resolve(_mentions(spark, sf_dir)).select("type", "normalized_name", "description")
+
+
+HYBRID = f"""{Q0}, {ADJ},
+seed AS (SELECT c.id, c.node_id, {COS} AS score FROM g_chunks c JOIN g_nodes n ON n.id = c.node_id, q ORDER BY score DESC, c.id LIMIT 8),
+base AS (SELECT max(score) AS b FROM seed), f0 AS (SELECT DISTINCT node_id AS id FROM seed),
+f1 AS (SELECT DISTINCT b AS id FROM adj WHERE a IN (SELECT id FROM f0) AND b NOT IN (SELECT id FROM f0)),
+f2 AS (SELECT DISTINCT b AS id FROM adj WHERE a IN (SELECT id FROM f1) AND b NOT IN (SELECT id FROM f0) AND b NOT IN (SELECT id FROM f1)),
+hits AS (SELECT id, node_id, score, 0 AS hop FROM seed UNION ALL SELECT c.id, c.node_id, b * 0.5, 1 FROM g_chunks c JOIN f1 ON f1.id = c.node_id, base
+  UNION ALL SELECT c.id, c.node_id, b * 0.25, 2 FROM g_chunks c JOIN f2 ON f2.id = c.node_id, base)"""
+
+
+@query(f"{HYBRID} SELECT h.id, h.node_id, n.name AS node_name, n.type AS node_type, round(h.score, 6) AS score, h.hop FROM hits h JOIN g_nodes n ON n.id = h.node_id")
+def hybrid_search(spark, sf_dir):
+    r = retrieval.hybrid(fixture(spark, sf_dir), query_vector(spark, sf_dir), CONFIG, 8, None, 2)
+    return r.hits.select("id", "node_id", "node_name", "node_type", r6("score").alias("score"), "hop")
+
+
+@query(f"{Q0} SELECT c.id, c.node_id, round({COS}, 6) AS score FROM g_chunks c JOIN g_nodes n ON n.id = c.node_id, q WHERE n.type = 'community' OR c.kind = 'community_summary' ORDER BY {COS} DESC, c.id LIMIT 6")
+def global_search(spark, sf_dir):
+    return retrieval.global_(fixture(spark, sf_dir), query_vector(spark, sf_dir), CONFIG).hits.select("id", "node_id", r6("score").alias("score"))
+
+
+LOCAL = f"""{SEEDS},
+la AS (SELECT src AS a, dst AS b FROM g_edges WHERE type <> 'mentions' UNION ALL SELECT dst, src FROM g_edges WHERE type <> 'mentions'),
+v0 AS (SELECT node_id AS id FROM seeds), v1 AS (SELECT DISTINCT b AS id FROM la WHERE a IN (SELECT id FROM v0) AND b NOT IN (SELECT id FROM v0)),
+ent AS (SELECT x.id, x.hop FROM (SELECT id, 0 AS hop FROM v0 UNION ALL SELECT id, 1 FROM v1) x JOIN g_nodes n ON n.id = x.id WHERE n.type NOT IN ('document', 'community')),
+mx AS (SELECT max(score) AS b FROM seeds),
+ev AS (SELECT DISTINCT src AS id FROM g_edges WHERE type = 'mentions' AND dst IN (SELECT id FROM ent)),
+lh AS (SELECT c.id, c.node_id, coalesce(s.score, b) * pow(0.5, ent.hop) * CASE WHEN c.kind = 'entity_description' THEN 1.05 ELSE 1 END AS score, ent.hop, 0 AS phase
+  FROM g_chunks c JOIN ent ON ent.id = c.node_id LEFT JOIN seeds s ON s.node_id = c.node_id, mx
+  UNION ALL SELECT c.id, c.node_id, b * 0.5, 1, 2 FROM g_chunks c JOIN ev ON ev.id = c.node_id, mx),
+lb AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, phase) AS r FROM lh)"""
+
+
+@query(f"{LOCAL} SELECT id, node_id, round(score, 6) AS score, hop, phase FROM lb WHERE r = 1 ORDER BY lb.score DESC, phase, hop, id LIMIT 20")
+def local_search(spark, sf_dir):
+    r = retrieval.local(fixture(spark, sf_dir), ASKED, query_vector(spark, sf_dir), LOW, 20, 1)
+    return r.hits.select("id", "node_id", r6("score").alias("score"), "hop", "phase")
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, conv_id % 2 = 0 AS strong, conv_id % 5 < 3 AS communities, ({_THEMES}) AS thematic FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat(text, ' in general') ELSE text END AS text FROM conversations))
+SELECT conv_id, turn, CASE WHEN strong AND NOT thematic THEN 'local' WHEN communities AND (thematic OR NOT strong) THEN 'global' ELSE 'hybrid' END AS mode FROM t""",
+    graph_ctes=False,
+)
+def mode_routing(spark, sf_dir):
+    t = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" in general"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.choose_mode(F.col("conv_id") % 2 == 0, X.thematic(t), F.col("conv_id") % 5 < 3).alias("mode"))
+
+
+@query(
+    f"""{HYBRID},
+blocks AS (SELECT row_number() OVER (ORDER BY h.score DESC, h.hop, h.id) AS rank, concat('[node:', n.name, '|', n.type, '|chunk:', h.id, ']', chr(10), c.text) AS block FROM hits h JOIN g_nodes n ON n.id = h.node_id JOIN g_chunks c ON c.id = h.id),
+cum AS (SELECT *, sum(length(block)) OVER (ORDER BY rank) AS total FROM blocks)
+SELECT string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM cum WHERE total <= 4 * 300 OR rank = 1"""
+)
+def pack_context(spark, sf_dir):
+    r = retrieval.hybrid(fixture(spark, sf_dir), query_vector(spark, sf_dir), CONFIG, 8, None, 2)
+    return retrieval.pack_context(r.hits, 300)
+
+
+@query(f"{HYBRID} SELECT h.id, h.node_id, n.name AS node_name, round(h.score, 6) AS score, substring(c.text, 1, 280) AS excerpt FROM hits h JOIN g_nodes n ON n.id = h.node_id JOIN g_chunks c ON c.id = h.id ORDER BY h.score DESC, h.hop, h.id LIMIT 8")
+def qa_sources(spark, sf_dir):
+    r = retrieval.hybrid(fixture(spark, sf_dir), query_vector(spark, sf_dir), CONFIG, 8, None, 2)
+    return retrieval.sources(r.hits, 8).withColumn("score", r6("score"))
+
+
+@query(f"{HYBRID}, s AS (SELECT greatest(0.0, least(1.0, score)) AS s FROM hits ORDER BY score DESC, hop, id LIMIT 8) SELECT round(0.65 * max(s) + 0.35 * avg(s), 3) AS confidence FROM s")
+def qa_confidence(spark, sf_dir):
+    r = retrieval.hybrid(fixture(spark, sf_dir), query_vector(spark, sf_dir), CONFIG, 8, None, 2)
+    return retrieval.confidence(r.hits, CONFIG.retrieval_top_k)
+
+
+@query(
+    f"""{Q0}, gh AS (SELECT c.id, n.name, c.text, {COS} AS score FROM g_chunks c JOIN g_nodes n ON n.id = c.node_id, q WHERE n.type = 'community' OR c.kind = 'community_summary' ORDER BY score DESC, c.id LIMIT 20),
+m AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN ' no_info ' ELSE upper(substring(text, 1, 12)) END AS reply FROM gh)
+SELECT string_agg(concat('[', name, ']', chr(10), trim(reply)), chr(10) || chr(10) ORDER BY score DESC, id) AS partials, count(*) AS n_partials FROM m WHERE upper(trim(reply)) NOT IN ('', 'NO_INFO')"""
+)
+def map_reduce_partials(spark, sf_dir):
+    hits = retrieval.global_(fixture(spark, sf_dir), query_vector(spark, sf_dir), CONFIG, 20).hits
+    reply = F.when(F.length("text") % 3 == 0, " no_info ").otherwise(F.upper(F.substring("text", 1, 12)))
+    m = hits.withColumn("reply", reply).where(X.informative(F.col("reply")))
+    block = F.struct((-F.col("score")).alias("s"), "id", F.concat(F.lit("["), "node_name", F.lit("]\n"), X.strip(F.col("reply"))).alias("b"))
+    return m.agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n\n").alias("partials"), F.count("*").alias("n_partials"))
+
+
+@query(
+    """WITH e AS (SELECT p_partkey // 8 AS doc_id, p_partkey % 8 AS ord, lower(p_type) AS t, lower(p_name) AS n FROM part)
+SELECT CAST(sum(c) AS BIGINT) AS entities, CAST(max(d) AS BIGINT) AS distinct_entities FROM (SELECT doc_id, count(DISTINCT t || '|' || n) AS c FROM e GROUP BY doc_id), (SELECT count(DISTINCT t || '|' || n) AS d FROM e)""",
+    graph_ctes=False,
+)
+def ingest_totals(spark, sf_dir):
+    m = _mentions(spark, sf_dir)
+    key = F.concat_ws("|", X.normalize_type(F.col("type")), X.normalize_name(F.col("name")))
+    per = m.groupBy("doc_id").agg(F.count_distinct(key).alias("c"))
+    return per.agg(F.sum("c").alias("entities")).join(F.broadcast(m.agg(F.count_distinct(key).alias("distinct_entities"))), how="cross")
+
+
+@query(
+    f"""WITH {_MENTIONS}, r AS (SELECT DISTINCT at // 8 AS doc_id, type, nn FROM m),
+f AS (SELECT at // 8 AS doc_id, nn, arg_min(type, at) AS type FROM m GROUP BY at // 8, nn),
+rel AS (SELECT at // 8 AS doc_id, nn AS s, lead(nn) OVER (PARTITION BY at // 8 ORDER BY at) AS t FROM m)
+SELECT DISTINCT concat(a.type, ':', a.nn) AS src, concat(b.type, ':', b.nn) AS dst FROM rel JOIN f a ON a.doc_id = rel.doc_id AND a.nn = rel.s JOIN f b ON b.doc_id = rel.doc_id AND b.nn = rel.t WHERE a.nn <> b.nn OR a.type <> b.type""",
+    graph_ctes=False,
+)
+def relation_edges(spark, sf_dir):
+    from pyspark.sql import Window
+
+    m = _mentions(spark, sf_dir)
+    nodes = resolution.resolve(m).select("id", "type", "normalized_name")
+    target = F.lead("name").over(Window.partitionBy("doc_id").orderBy("item"))
+    rel = m.select("doc_id", "ord", "item", F.col("name").alias("source"), target.alias("target"), F.lit("next").alias("type"), F.lit("").alias("description")).where(F.col("target").isNotNull())
+    e = resolution.relation_edges(rel, m, nodes)
+    label = lambda end: nodes.select(F.col("id").alias(end), F.concat_ws(":", "type", "normalized_name").alias(f"{end}_name"))
+    return e.join(label("src"), "src").join(label("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
