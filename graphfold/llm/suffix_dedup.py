@@ -41,6 +41,8 @@ from graphfold.llm.shingles import mix
 LENGTH, GRAM = 50, 26
 #: Bytes of text in a batch, and strings' bytes for a shard, on average.
 BATCH_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+#: Bytes whose anchors are found at once; the arrays for it take about a hundred times as much.
+PIECE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLES = [np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (7, 11)]
@@ -108,7 +110,7 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", BATCH_BYTES):
+            for part in slices(batch, "text", PIECE_BYTES):
                 ids = part.column("doc_id").to_numpy()
                 _, doc, _, _, h = reaches([t.encode("utf-8", "surrogatepass") for t in texts_of(part)])
                 if not len(h):
@@ -239,7 +241,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
             got: dict[int, list] = {}
             settled: list[tuple[int, int, int]] = []
             first: dict[bytes, int] = {}
-            for part in slices(texts.take(pa.array(order)).combine_chunks().to_batches()[0], "text"):
+            for part in slices(texts.take(pa.array(order)).combine_chunks().to_batches()[0], "text", PIECE_BYTES):
                 ids = part.column("doc_id").to_numpy()
                 raw = [t.encode("utf-8", "surrogatepass") for t in texts_of(part)]
                 starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
