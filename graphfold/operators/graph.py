@@ -35,12 +35,13 @@ def incident(edges: DataFrame, frontier: DataFrame, direction: str = "both") ->
     """Edges that leave (`out`), enter (`in`) or touch the frontier (node). Two semi joins instead of a join on OR."""
     if direction not in DIRECTIONS:
         raise Invalid(f"direction is one of {DIRECTIONS}")
-    f = frontier.select(F.col("node").alias("__node"))
-    out = edges.join(f, edges["src"] == f["__node"], "left_semi") if direction != "in" else None
-    into = edges.join(f, edges["dst"] == f["__node"], "left_semi") if direction != "out" else None
-    if out is None or into is None:
-        return out if into is None else into
-    return out.unionByName(into).dropDuplicates(["id"])
+    f = frontier.select(F.col("node").alias("__node")).distinct()
+    if direction != "both":
+        return edges.join(f, edges["src" if direction == "out" else "dst"] == f["__node"], "left_semi")
+    # the edges that leave, and those that enter from elsewhere: no edge comes twice, and nothing needs deduplication
+    leaving = edges.join(f, edges["src"] == f["__node"], "left_semi")
+    entering = edges.join(f, edges["dst"] == f["__node"], "left_semi").join(f, edges["src"] == f["__node"], "left_anti")
+    return leaving.unionByName(entering)
 
 
 def step(edges: DataFrame, frontier: DataFrame, visited: DataFrame, direction: str = "both") -> DataFrame:
@@ -63,15 +64,26 @@ class Expansion:
     edges: DataFrame
 
 
+#: A frontier of up to so many rows becomes a local table, which joins by broadcast; a larger one is kept where it is.
+SMALL = 10_000
+
+
+def settle(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """df computed once: as a local table if it is small, which is checked, else persisted."""
+    rows = df.limit(small + 1).collect()
+    if len(rows) <= small:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both") -> Expansion:
-    """Breadth first from seeds (node). Frontiers are kept, as each is used by the next and by the result."""
-    keep = StorageLevel.MEMORY_AND_DISK
-    frontier = seeds.select("node").distinct().persist(keep)
+    """Breadth first from seeds (node). Each hop is one pass over the edges; its frontier is settled before the next."""
+    frontier = settle(seeds.select("node").distinct())
     nodes, walked = frontier.select("node", F.lit(0).alias("hop")), edges.limit(0)
     for hop in range(1, hops + 1):
         touched = incident(edges, frontier, direction)
         walked = touched if hop == 1 else walked.unionByName(touched)
-        frontier = step(edges, frontier, nodes, direction).persist(keep)
+        frontier = settle(step(edges, frontier, nodes, direction))
         nodes = nodes.unionByName(frontier.select("node", F.lit(hop).alias("hop")))
     return Expansion(nodes, walked.dropDuplicates(["id"]) if hops > 1 else walked)
 

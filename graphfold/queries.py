@@ -112,9 +112,9 @@ def edges_incident(spark, sf_dir):
 
 
 @query(
-    """i AS (SELECT src, dst, type, NULL AS description, 0 AS at FROM g_edges UNION ALL SELECT src, dst, type, concat('near ', dst), 1 FROM g_edges WHERE type = 'located_in'
+    """i AS (SELECT src, dst, type, NULL AS description, 0 AS place FROM g_edges UNION ALL SELECT src, dst, type, concat('near ', dst), 1 FROM g_edges WHERE type = 'located_in'
 UNION ALL SELECT src, dst, type, '', 2 FROM g_edges WHERE type = 'in_region')
-SELECT src, dst, type, arg_max(description, at) FILTER (WHERE description <> '') AS description FROM i GROUP BY src, dst, type"""
+SELECT src, dst, type, arg_max(description, place) FILTER (WHERE description <> '') AS description FROM i GROUP BY src, dst, type"""
 )
 def edge_dedup_triple(spark, sf_dir):
     e = fixture(spark, sf_dir).edges.select("src", "dst", "type", F.lit(None).cast("string").alias("chunk_id"))
@@ -365,13 +365,13 @@ def _mentions(spark, sf_dir):
     return p.select((F.col("p_partkey") / 8).cast("long").alias("doc_id"), F.lit(0).alias("ord"), (F.col("p_partkey") % 8).cast("int").alias("item"), name.alias("name"), F.col("p_type").alias("type"), F.concat(F.lit("seen as "), "p_brand").alias("description"))
 
 
-_MENTIONS = """m AS (SELECT p_partkey AS at, CASE WHEN p_partkey % 3 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') ELSE p_name END AS name,
+_MENTIONS = """m AS (SELECT p_partkey AS place, CASE WHEN p_partkey % 3 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') ELSE p_name END AS name,
   lower(p_type) AS type, lower(p_name) AS nn, concat('seen as ', p_brand) AS description FROM part)"""
 
 
 @query(
-    f"""WITH {_MENTIONS}, f AS (SELECT type, nn, name, min(at) AS at FROM m GROUP BY type, nn, name)
-SELECT type, nn AS normalized_name, arg_min(name, at) AS name, string_agg(name, '|' ORDER BY at) AS aliases FROM f GROUP BY type, nn""",
+    f"""WITH {_MENTIONS}, f AS (SELECT type, nn, name, min(place) AS place FROM m GROUP BY type, nn, name)
+SELECT type, nn AS normalized_name, arg_min(name, place) AS name, string_agg(name, '|' ORDER BY place) AS aliases FROM f GROUP BY type, nn""",
     graph_ctes=False,
 )
 def resolve_entities(spark, sf_dir):
@@ -379,7 +379,7 @@ def resolve_entities(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MENTIONS}, f AS (SELECT type, nn, description, min(at) AS at FROM m GROUP BY type, nn, description), l AS (SELECT type, nn, list(description ORDER BY at) AS ds FROM f GROUP BY type, nn)
+    f"""WITH {_MENTIONS}, f AS (SELECT type, nn, description, min(place) AS place FROM m GROUP BY type, nn, description), l AS (SELECT type, nn, list(description ORDER BY place) AS ds FROM f GROUP BY type, nn)
 SELECT type, nn AS normalized_name, list_reduce(ds, lambda acc, d: CASE WHEN contains(acc, d) THEN acc ELSE concat(acc, chr(10), d) END) AS description FROM l""",
     graph_ctes=False,
 )
@@ -484,9 +484,9 @@ def ingest_totals(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MENTIONS}, r AS (SELECT DISTINCT at // 8 AS doc_id, type, nn FROM m),
-f AS (SELECT at // 8 AS doc_id, nn, arg_min(type, at) AS type FROM m GROUP BY at // 8, nn),
-rel AS (SELECT at // 8 AS doc_id, nn AS s, lead(nn) OVER (PARTITION BY at // 8 ORDER BY at) AS t FROM m)
+    f"""WITH {_MENTIONS}, r AS (SELECT DISTINCT place // 8 AS doc_id, type, nn FROM m),
+f AS (SELECT place // 8 AS doc_id, nn, arg_min(type, place) AS type FROM m GROUP BY place // 8, nn),
+rel AS (SELECT place // 8 AS doc_id, nn AS s, lead(nn) OVER (PARTITION BY place // 8 ORDER BY place) AS t FROM m)
 SELECT DISTINCT concat(a.type, ':', a.nn) AS src, concat(b.type, ':', b.nn) AS dst FROM rel JOIN f a ON a.doc_id = rel.doc_id AND a.nn = rel.s JOIN f b ON b.doc_id = rel.doc_id AND b.nn = rel.t WHERE a.nn <> b.nn OR a.type <> b.type""",
     graph_ctes=False,
 )
