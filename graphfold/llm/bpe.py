@@ -282,7 +282,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, outputs
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 4 << 20):
                 got: dict[str, list] = {x: [] for x in outputs}
                 for ids in bpe.encode_batch(texts_of(part, text)):
                     back = bpe.decode(ids) if "decoded" in got or "decoded_sha256" in got else ""

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from graphfold.plans.ship import ship
 
 #: Arrow batches are cut into slices of about this many bytes of text, so that temporary arrays stay small.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -98,7 +98,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 for x in langs:
                     total[x] = total.get(x, 0) + 1
                 pending.append(np.unique(lang[(each >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | (each & np.uint64(0xFFFFFFFF)), return_counts=True))
-                if len(pending) >= 16:
+                if len(pending) >= 32:
                     keys, counts = merged()
                     pending.clear()
         if total:
