@@ -6,7 +6,8 @@ strings, and every shard holds a logarithmic family of suffix arrays:
 
 1. Each string of LENGTH bytes has an anchor, the least of its GRAM-byte grams by
    hash, so that equal strings have equal anchors. Grams that are anchors in one
-   document only are found by a shuffle of hashes, and their strings are done with.
+   document only are found by a shuffle of 48-bit hashes (equal hashes of unequal
+   grams only add work), and their strings are done with.
 2. The strings around the other anchors go to the anchor's shard, as the bytes of
    each anchor's reach. Batches come in the order of ids. A batch's suffixes are
    sorted, then merge-scanned against the arrays of all existing levels and
@@ -27,10 +28,12 @@ matches count once; strings are judged on the input.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,13 +99,33 @@ def reaches(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     a = anchor[q]
     doc = np.searchsorted(starts, q, side="right") - 1
     cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])])) if len(q) else empty
-    return flat, doc[cut], q[cut], np.diff(np.concatenate([cut, [len(q)]])), h[a[cut]]
+    return flat, doc[cut], q[cut], np.diff(np.concatenate([cut, [len(q)]])), h[a[cut]] >> np.uint64(16)
 
 
 def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _pack_hashes(h: np.ndarray) -> bytes:
+    """48-bit hashes in six bytes each."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack_hashes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids by their differences, which repeat where documents do."""
+    return zlib.compress(_bytes(np.diff(ids, prepend=np.int64(0))), 1)
+
+
+def _unpack_ids(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int64))
+
+
 def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
     """(batch, docs, hashes): the anchors of documents that are anchors elsewhere too."""
     parts = [("shard", T.IntegerType()), ("batch", T.IntegerType()), ("docs", T.BinaryType()), ("hashes", T.BinaryType()), ("known", T.BinaryType())]
@@ -130,12 +153,13 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
                 home = np.searchsorted(bounds, doc, side="right")
                 for b in np.unique(home[here]).tolist():
                     at = here & (home == b)
-                    rows.append((b % shards, b, _bytes(doc[at]), _bytes(h[at]), None))
-                order = np.argsort(shard[new], kind="stable")
+                    some = np.argsort(doc[at], kind="stable")
+                    rows.append((b % shards, b, _pack_ids(doc[at][some]), _pack_hashes(h[at][some]), None))
+                order = np.lexsort((doc[new], shard[new]))
                 s, hs, ds, ks = shard[new][order], h[new][order], doc[new][order], known[new][order]
                 cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
                 for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    rows.append((int(s[x]), -1, _bytes(ds[x:y]), _bytes(hs[x:y]), _bytes(ks[x:y])))
+                    rows.append((int(s[x]), -1, _pack_ids(ds[x:y]), _pack_hashes(hs[x:y]), zlib.compress(_bytes(ks[x:y]), 1)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +178,10 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
 
         def pack(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
             home = np.searchsorted(bounds, doc, side="right")
-            order = np.argsort(home, kind="stable")
+            order = np.lexsort((doc, home))
             home, doc, h = home[order], doc[order], h[order]
             cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(home) else []
-            rows = [(int(home[x]), _bytes(doc[x:y]), _bytes(h[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [(int(home[x]), _pack_ids(doc[x:y]), _pack_hashes(h[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "docs", "hashes"])
 
@@ -166,11 +190,11 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
                 if shard != now:
                     yield from found()
                     now = shard
-                doc, h = np.frombuffer(d, np.int64), np.frombuffer(h, np.uint64)
+                doc, h = _unpack_ids(d), _unpack_hashes(h)
                 if home >= 0:
                     yield from pack(doc, h)
                 else:
-                    held.append((doc, h, np.frombuffer(known, bool)))
+                    held.append((doc, h, np.frombuffer(zlib.decompress(known), bool)))
         yield from found()
 
     sent = arrow_rows(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), send, parts)
@@ -234,8 +258,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
         """The reaches of repeated anchors of a batch, by shard; counts is null for spans that are settled already."""
         rows: list[tuple] = []
         if texts.num_rows and marks.num_rows:
-            md = np.frombuffer(b"".join(marks.column("docs").to_pylist()), np.int64)
-            mh = np.frombuffer(b"".join(marks.column("hashes").to_pylist()), np.uint64)
+            md = np.concatenate([_unpack_ids(x) for x in marks.column("docs").to_pylist()])
+            mh = np.concatenate([_unpack_hashes(x) for x in marks.column("hashes").to_pylist()])
             marked = np.unique(mix(mh + mix(md.view(np.uint64))))
             order = np.argsort(texts.column("doc_id").to_numpy(), kind="stable")
             got: dict[int, list] = {}
@@ -259,10 +283,10 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
             batch = texts.column("batch")[0].as_py()
             for shard, some in got.items():
                 d, x, c, r = zip(*some, strict=True)
-                rows.append((shard, batch, _bytes(np.array(d, np.int64)), _bytes(np.array(x, np.int64)), _bytes(np.array(c, np.int32)), b"".join(r)))
+                rows.append((shard, batch, _pack_ids(np.array(d, np.int64)), zlib.compress(_bytes(np.array(x, np.int64)), 1), zlib.compress(_bytes(np.array(c, np.int32)), 1), zstandard.compress(b"".join(r), 3)))
             if settled:
                 d, x, y = (np.array(c, np.int64) for c in zip(*settled, strict=True))
-                rows.append((batch % shards, batch, _bytes(d), _bytes(x), None, _bytes(y)))
+                rows.append((batch % shards, batch, _pack_ids(d), zlib.compress(_bytes(x), 1), None, zlib.compress(_bytes(y), 1)))
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
@@ -275,11 +299,11 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
                 shard, batch = shard.as_py(), batch.as_py()
                 if shard != now:
                     now, levels = shard, Levels()
-                doc, start = np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.int64)
+                doc, start = _unpack_ids(d.as_py()), np.frombuffer(zlib.decompress(x.as_py()), np.int64)
                 if not c.is_valid:
-                    end = np.frombuffer(raw.as_buffer(), np.int64)
+                    end = np.frombuffer(zlib.decompress(raw.as_py()), np.int64)
                 else:
-                    count, flat = np.frombuffer(c.as_buffer(), np.int32).astype(np.int64), np.frombuffer(raw.as_buffer(), np.uint8)
+                    count, flat = np.frombuffer(zlib.decompress(c.as_py()), np.int32).astype(np.int64), np.frombuffer(zstandard.decompress(raw.as_py()), np.uint8)
                     place = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
                     owner = np.repeat(np.arange(len(count)), count)
                     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
