@@ -73,9 +73,10 @@ def base_spans(text: Column) -> Column:
 
 def _bigrams(token: Column) -> Column:
     """Alphabet positions of adjacent characters, as a * 67 + b."""
-    chars = F.split(token, "")
-    at = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    return F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: F.element_at(at, i) * len(ALPHABET) + F.element_at(at, i + 1))
+    at = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    n = F.size(at) - 1
+    # two shifted arrays: an array that a lambda names would be built again for each element
+    return F.zip_with(F.slice(at, F.lit(1), n), F.slice(at, F.lit(2), n), lambda a, b: a * len(ALPHABET) + b)
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[float]:
@@ -158,7 +159,8 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret; n_chars follows the text."""
     found = scan(docs, fit(docs.select("doc_id", "text")), base="__base", output="__spans")
-    text = redact(F.col("text"), F.col("__spans"))
+    # the masked text has a column of its own, so that its length is taken of what was built and not of a second build
+    found = found.withColumn("__masked", redact(F.col("text"), F.col("__spans")))
     changed = F.size("__spans") > 0
-    columns = [text.alias("text") if c == "text" else F.when(changed, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    n_chars = lambda c: F.when(changed, F.length("__masked").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    return found.select(*(F.col("__masked").alias(c) if c == "text" else n_chars(c) if c == "n_chars" else F.col(c) for c in docs.columns))
