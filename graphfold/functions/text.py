@@ -60,7 +60,8 @@ def tokens(c: Column) -> Column:
 def phrases(c: Column) -> Column:
     """The normalised query, its tokens and pairs of neighbouring tokens."""
     t = tokens(c)
-    pairs = F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     return F.filter(F.array_union(F.array(normalize_name(c)), F.array_union(t, pairs)), lambda x: x != "")
 
 
