@@ -16,6 +16,7 @@ from graphfold.plans.ship import ship
 
 #: Arrow batches are cut into slices of about this many bytes of text, so that temporary arrays stay small.
 SLICE_BYTES = 1 << 20
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = out, path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table from materialize(), once all that comes of it is written itself."""
+    _, path = _PATHS.pop(id(df))
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

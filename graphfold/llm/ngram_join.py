@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphfold.llm.common import arrow_rows, materialize, release, slices, table, texts_of
+from graphfold.llm.common import arrow_rows, discard, materialize, release, slices, table, texts_of
 from graphfold.llm.shingles import shingle_sets
 from graphfold.operators.components import connected_components
 
@@ -287,10 +287,14 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     some = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "join_classes")
     own = materialize(some.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), "join_own")
+    sizes = materialize(found.select("doc_id", "n", "d1", "d2"), "join_sizes")
+    discard(found)
     release(spark)
     pairs = materialize(_blocks(own.select(F.explode("prefix").alias("gram"), "n", "id"), t), "join_blocks")
     release(spark)
     parts = materialize(_hopeful(_parts(pairs), own.select("id", "n", "bits"), t), "join_hopeful")
+    discard(own)
+    discard(pairs)
     release(spark)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +303,19 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
                 sets = shingle_sets(texts_of(part), size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "n", "grams"])
 
+    # a merge join at every size: the ids grow with the corpus
     wanted = parts.select(F.col("id").alias("doc_id")).distinct()
-    sets = arrow_rows(docs.join(wanted, "doc_id", "left_semi"), full, [("id", T.LongType()), ("n", T.LongType()), ("grams", T.BinaryType())])
+    sets = arrow_rows(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), full, [("id", T.LongType()), ("n", T.LongType()), ("grams", T.BinaryType())])
     sets = materialize(sets.dropDuplicates(["id"]), "join_sets")
     release(spark)
     links = materialize(_links(parts, sets, t), "join_links")
+    discard(sets)
     release(spark)
     final = connected_components(links).withColumnRenamed("node", "id")
     known = classes.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     known = materialize(known, "join_known")
-    return found.join(known, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    release(spark)
+    return sizes.join(known, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -318,4 +325,6 @@ def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of near duplicates (five words, 0.8)."""
     groups = join(docs.select("doc_id", "text"), 5, Threshold(80, 100)).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+    groups = materialize(groups, "join_kept")
+    release(spark)
+    return docs.join(groups.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
