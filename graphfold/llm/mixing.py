@@ -11,7 +11,7 @@ one, so there are at most (TOP + 1)**2 * topics cells, which may be gathered and
 broadcast whatever the size of the corpus. Tokens are counted over all documents.
 
 Edge cases: a null or empty text has no tokens, topic `empty`, and takes the
-probability of its cell; null sources and languages count as the value ``. A
+probability of its cell; a text of white space alone has no tokens either; null sources and languages count as the value ``. A
 target for a value that does not occur is left out and the others are scaled. A
 decision depends on doc_id alone, so repeated rows are kept or dropped together.
 An empty table gives an empty result.
@@ -36,9 +36,8 @@ TARGETS: dict[str, float | dict[str, float]] = {
 
 
 def n_tokens(text: Column) -> Column:
-    """Runs of white space are rare here, so words are counted by their separators."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.translate(t, " \t\n\r", "")) + 1).cast("long")
+    """Runs of characters that are not white space (Unicode's, U+00A0 among it) in the whole text."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+")).cast("long")
 
 
 def topic(text: Column) -> Column:

@@ -175,6 +175,12 @@ def test_mixing_rows(spark, odd_docs, no_docs):
     assert all(r["probability"] > 0.999 for r in full)
 
 
+def test_tokens_are_runs_of_other_than_white_space(spark):
+    rows = ["    if x:\r\n        return  1\r\n", " " * 5000, "a\fb\vc\u00a0d\u3000e", "", None, "one", " \n\t ", "| a   |  b |", "\U0001f642  é"]
+    got = [r["n"] for r in spark.createDataFrame([(t,) for t in rows], "text string").select(mixing.n_tokens(F.col("text")).alias("n")).collect()]
+    assert got == [len((t or "").split()) for t in rows]
+
+
 def test_sha_of_no_spans(spark):
     df = spark.createDataFrame([(1, "nothing here")], "doc_id long, text string")
     got = secrets.scan(df, secrets.fit(df)).select(F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("h")).collect()[0]["h"]
