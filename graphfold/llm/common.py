@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphfold.plans.ship import ship
 
 #: Arrow batches are cut into slices of about this many bytes of text, so that temporary arrays stay small.
 SLICE_BYTES = 1 << 20
+#: Values that attach() broadcasts at most.
+HEAD = 4096
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -80,3 +83,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
+
+
+def attach(rows: DataFrame, values: DataFrame, keys: list[str], size: str, spread: list[str]) -> DataFrame:
+    """rows with the columns of values (materialized, one row for each key, no null in a key), null where the key is missing.
+
+    The HEAD values of the largest `size`, the number of their rows, are broadcast and the others meet their rows in a
+    merge join, where none has more than one of HEAD + 1 parts of all. Rows that the broadcast has served are spread
+    there by the columns of `spread`. Column `size` itself is left out.
+    """
+    named = [c for c in values.columns if c not in (*keys, size)]
+    if values.count() <= HEAD:
+        return rows.join(F.broadcast(values.drop(size)), keys, "left")
+    head = materialize(values.orderBy(F.desc(size), *keys).limit(HEAD), "attach_head")
+    rest = values.join(F.broadcast(head.select(*keys)), keys, "left_anti")
+    head = head.select(*keys, F.lit(True).alias("__head"), *(F.col(c).alias(f"__head_{c}") for c in named))
+    out = rows.join(F.broadcast(head), keys, "left").withColumn("__spread", F.when(F.col("__head"), F.xxhash64(*spread)).otherwise(F.lit(0).cast("long")))
+    out = out.join(rest.drop(size).withColumn("__spread", F.lit(0).cast("long")).hint("merge"), [*keys, "__spread"], "left")
+    found = [F.when(F.col("__head"), F.col(f"__head_{c}")).otherwise(F.col(c)).alias(c) for c in named]
+    return out.select(*rows.columns, *found)

@@ -6,9 +6,11 @@ and each document is kept with the probability of its cell: the raked weight ove
 the cell's tokens, scaled so that the expected tokens are `rate` of all. Cells
 that reach probability one stop there, and the others take over what is left.
 
-The largest TOP sources and languages have cells of their own and the rest share
-one, so there are at most (TOP + 1)**2 * topics cells, which may be gathered and
-broadcast whatever the size of the corpus. Tokens are counted over all documents.
+Every source, language and topic has cells and a target of its own. Up to GATHER
+cells are raked on the driver; more are raked where they lie, with an aggregation
+and a join for each dimension and round, which gives the same weights. Documents
+get their cell's probability by a join that spreads the largest cells. Tokens are
+counted over all documents.
 
 Edge cases: a null or empty text has no tokens, topic `empty`, and takes the
 probability of its cell; a text of white space alone has no tokens either; null sources and languages count as the value ``. A
@@ -20,12 +22,15 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import materialize, table
+from graphfold.llm.common import attach, discard, materialize, release, table
 
-TOP, REST = 64, "\x00rest"
+#: Cells that the driver may hold, and the end of raking.
+GATHER, ROUNDS, TOLERANCE = 100_000, 500, 1e-10
+DIMS = {"__source": "source", "__lang": "lang", "__topic": "topic"}
 RATE, SEED = 0.5, 20_240_601
 #: Exponents that flatten the observed shares; a dict of fixed shares does too.
 TARGETS: dict[str, float | dict[str, float]] = {
@@ -63,7 +68,7 @@ def shares(tokens: dict[str, float], target: float | dict[str, float]) -> dict[s
     return {k: v / whole for k, v in got.items()} if whole else got
 
 
-def rake(tokens: np.ndarray, dims: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+def rake(tokens: np.ndarray, dims: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Cell weights with the marginal shares of targets: each dimension's marginals are set in turn until none changes."""
     w = tokens.astype(np.float64).copy()
     if not w.sum():
@@ -100,60 +105,106 @@ def uniform(key: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / float(1 << 53)
 
 
-class Mixture:
-    """Raked cells, and the source and language values that have cells of their own."""
-
-    def __init__(self, cells: DataFrame | None, kept: dict[str, list[str]]):
-        self.cells, self.kept = cells, kept
-
-    def key(self, name: str) -> Column:
-        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        return F.when(value.isin(self.kept[name]), value).otherwise(REST) if self.kept[name] else value
-
-    def decide(self, docs: DataFrame) -> DataFrame:
-        """docs with __topic, __tokens, __weight, __probability and __sampled. No column but those of the cells is shuffled."""
-        docs = docs.withColumns({"__topic": topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
-        if self.cells is None:
-            return docs.withColumns({"__weight": F.lit(0.0), "__probability": F.lit(0.0), "__sampled": F.lit(False)})
-        keyed = docs.withColumns({"__source": self.key("source"), "__lang": self.key("lang")})
-        out = keyed.join(F.broadcast(self.cells), ["__source", "__lang", "__topic"], "left")  # (TOP + 1)**2 * topics rows at most
-        return out.withColumn("__sampled", uniform(F.col("doc_id")) < F.col("__probability"))
+def features(docs: DataFrame) -> DataFrame:
+    """docs with the values of their cells and their tokens."""
+    value = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return docs.withColumns({"__source": value("source"), "__lang": value("lang"), "__topic": topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
 
 
-def calibrate(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, rate: float = RATE, top: int = TOP) -> Mixture:
-    """Counts the cells of all documents and rakes them."""
-    targets = targets or TARGETS
-    spark = docs.sparkSession
-    base = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic(F.col("text")).alias("__topic"), n_tokens(F.col("text")).alias("n"))
-    base = materialize(base.groupBy("source", "lang", "__topic").agg(F.sum("n").alias("n")), "mixing_cells")
-    kept = {}
-    for name in ("source", "lang"):
-        best = base.groupBy(F.coalesce(name, F.lit("")).alias("v")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v").limit(top).collect()
-        kept[name] = [r["v"] for r in best]
-    mixture = Mixture(None, kept)
-    cells = base.groupBy(mixture.key("source").alias("__source"), mixture.key("lang").alias("__lang"), "__topic").agg(F.sum("n").alias("tokens")).orderBy("__source", "__lang", "__topic").collect()
-    if not cells:
-        return mixture
-    tokens = np.array([r["tokens"] for r in cells], np.float64)
+def _gathered(cells: DataFrame, targets: dict[str, float | dict[str, float]], rate: float) -> DataFrame:
+    """Rakes at most GATHER cells on the driver."""
+    got = cells.toArrow().sort_by([(c, "ascending") for c in DIMS])
+    tokens = got.column("__tokens").to_numpy().astype(np.float64)
     dims, wanted = [], []
-    for column, name in (("__source", "source"), ("__lang", "lang"), ("__topic", "topic")):
-        values = sorted({r[column] for r in cells})
-        at = np.array([values.index(r[column]) for r in cells])
-        share = shares(dict(zip(values, np.bincount(at, tokens, len(values)).tolist(), strict=True)), targets[name])
+    for column, name in DIMS.items():
+        values, at = np.unique(np.array(got.column(column).to_pylist(), object), return_inverse=True)
+        share = shares(dict(zip(values.tolist(), np.bincount(at, tokens, len(values)).tolist(), strict=True)), targets[name])
         dims.append(at)
         wanted.append(np.array([share[v] for v in values]))
     weights = rake(tokens, dims, wanted)
     chance = probabilities(tokens, weights, rate)
     observed = tokens / tokens.sum() if tokens.sum() else tokens
     ratio = np.divide(weights, observed, out=np.zeros(len(tokens)), where=observed > 0)
-    rows = [(r["__source"], r["__lang"], r["__topic"], round(float(m), 9), round(float(p), 9)) for r, m, p in zip(cells, ratio, chance, strict=True)]
-    mixture.cells = spark.createDataFrame(rows, "__source string, __lang string, __topic string, __weight double, __probability double")
-    return mixture
+    out = pa.table({**{c: got.column(c) for c in (*DIMS, "__docs")}, "__weight": np.round(ratio, 9), "__probability": np.round(chance, 9)})
+    return cells.sparkSession.createDataFrame(out)
+
+
+def _wanted(cells: DataFrame, column: str, target: float | dict[str, float]) -> DataFrame:
+    """shares() of a column's values as a table, with the number of each value's cells."""
+    values = cells.groupBy(column).agg(F.sum("__tokens").cast("double").alias("n"), F.count("*").alias("__cells"))
+    if isinstance(target, dict):
+        fixed = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], f"{column} string, v double")
+        values = values.join(fixed, column, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    else:
+        values = values.withColumn("v", F.pow("n", F.lit(float(target))))
+    values = materialize(values, "mixing_values")
+    v, n = values.agg(F.sum("v"), F.sum("n")).collect()[0]
+    return values.select(column, "__cells", (F.col("v") / v if v > 0 else F.col("n") / n).alias("share"))
+
+
+def _spread(cells: DataFrame, targets: dict[str, float | dict[str, float]], rate: float) -> DataFrame:
+    """rake() and probabilities() of any number of cells."""
+    spark = cells.sparkSession
+    whole = cells.agg(F.sum("__tokens")).collect()[0][0]
+    if not whole:
+        return cells.select(*DIMS, "__docs", F.lit(0.0).alias("__weight"), F.lit(0.0).alias("__probability"))
+    wanted = {column: _wanted(cells, column, targets[name]) for column, name in DIMS.items()}
+    now = materialize(cells.withColumn("w", F.col("__tokens") / F.lit(float(whole))), "mixing_weights")
+    for k in range(ROUNDS):
+        worst = 0.0
+        for column in DIMS:
+            sums = now.groupBy(column).agg(F.sum("w").alias("now"))
+            factor = F.when(F.col("now") > 0, F.col("share") / F.col("now"))
+            factors = materialize(wanted[column].join(sums, column).select(column, "__cells", factor.alias("factor")), "mixing_factors")
+            worst = max(worst, factors.agg(F.max(F.abs(F.col("factor") - 1))).collect()[0][0] or 0.0)
+            after = attach(now, factors, [column], "__cells", list(DIMS)).withColumn("w", F.col("w") * F.coalesce("factor", F.lit(0.0))).drop("factor")
+            after = materialize(after, "mixing_weights")
+            discard(factors)
+            discard(now)
+            now = after
+        if k % 8 == 7:
+            release(spark)
+        if worst < TOLERANCE:
+            break
+    ratio = F.when(F.col("__tokens") > 0, F.col("w") / F.col("__tokens")).otherwise(0.0)
+    scale, full = 0.0, -1
+    while True:  # the scale only grows, so cells that are full stay so
+        over = ratio * scale > 1
+        count, held, rest = now.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("__tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).collect()[0]
+        if count == full:
+            break
+        full = count
+        if rest <= 0 or rate * whole <= held:
+            break
+        scale = (rate * whole - held) / rest
+    return now.select(*DIMS, "__docs", F.round(ratio * float(whole), 9).alias("__weight"), F.round(F.least(F.lit(1.0), ratio * scale), 9).alias("__probability"))
+
+
+class Mixture:
+    """Raked cells, a row for each combination of source, language and topic that occurs."""
+
+    def __init__(self, cells: DataFrame):
+        self.cells = cells
+
+    def decide(self, docs: DataFrame) -> DataFrame:
+        """docs (from features()) with __weight, __probability and __sampled."""
+        out = attach(docs, self.cells, list(DIMS), "__docs", ["doc_id", "__tokens"])
+        return out.withColumn("__sampled", uniform(F.col("doc_id")) < F.col("__probability"))
+
+
+def calibrate(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, rate: float = RATE) -> Mixture:
+    """Counts the cells of all documents (from features()) and rakes them."""
+    targets = targets or TARGETS
+    cells = materialize(docs.groupBy(*DIMS).agg(F.sum("__tokens").alias("__tokens"), F.count("*").alias("__docs")), "mixing_cells")
+    raked = _gathered(cells, targets, rate) if cells.count() <= GATHER else _spread(cells, targets, rate)
+    return Mixture(materialize(raked, "mixing_raked"))
 
 
-def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, rate: float = RATE, top: int = TOP) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight (raked over observed share), probability and sampled of each document."""
-    out = calibrate(docs, targets, rate, top).decide(docs.select("doc_id", "text", "source", "lang"))
+    # texts are looked at once: what is known of them is written without them
+    docs = materialize(features(docs.select("doc_id", "text", "source", "lang")).drop("text"), "mixing_docs")
+    out = calibrate(docs, targets, rate).decide(docs)
     return out.select("doc_id", "source", "lang", *(F.col(f"__{x}").alias(y) for x, y in (("topic", "topic"), ("tokens", "n_tokens"), ("weight", "weight"), ("probability", "probability"), ("sampled", "sampled"))))
 
 
@@ -163,4 +214,5 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str, rate: float = 0.9) -> DataFrame:
     """Keeps the sampled documents."""
-    return calibrate(docs, rate=rate).decide(docs).where("__sampled").select(*docs.columns)
+    found = features(docs)
+    return calibrate(found, rate=rate).decide(found).where("__sampled").select(*docs.columns)

@@ -3,9 +3,10 @@ import math
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from graphfold.llm import langid, mixing, quality, secrets, urls
+from graphfold.llm import common, langid, mixing, quality, secrets, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -175,6 +176,34 @@ def test_mixing_rows(spark, odd_docs, no_docs):
     assert all(r["probability"] > 0.999 for r in full)
 
 
+def many_sources(spark):
+    """300 sources of 1 to 300 tokens, most in two languages: no source may share another's target."""
+    rows = [(4 * i + j, "w " * (i + 1 if j else 301 - i), "en" if (i + j) % 3 else "de", f"s{i:03d}") for i in range(300) for j in range(2)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("gather", [100_000, 0])
+def test_every_source_meets_its_own_target(spark, monkeypatch, gather):
+    monkeypatch.setattr(mixing, "GATHER", gather)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-2)
+    monkeypatch.setattr(common, "HEAD", 4096 if gather else 100)
+    # the driver's raking, and the distributed one with its merge join, over the same marginals
+    got = mixing.mix(many_sources(spark), {"source": 0.5, "lang": 1.0, "topic": 1.0}, rate=0.3).collect()
+    assert len(got) == 600
+    tokens, kept = {}, {}
+    for r in got:
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["n_tokens"]
+        kept[r["source"]] = kept.get(r["source"], 0) + r["n_tokens"] * r["weight"]
+    root, whole = sum(v**0.5 for v in tokens.values()), sum(tokens.values())
+    assert all(math.isclose(kept[s] / whole, v**0.5 / root, rel_tol=2e-2) for s, v in tokens.items())
+    assert math.isclose(sum(r["n_tokens"] * r["probability"] for r in got), 0.3 * whole, rel_tol=1e-5)
+    if not gather:  # two sources cannot meet the languages' shares: all rounds are run
+        return
+    fixed = {"s299": 3.0, "s150": 1.0, "absent": 9.0}
+    by = {r["source"]: r["probability"] for r in mixing.mix(many_sources(spark), {"source": fixed, "lang": 1.0, "topic": 1.0}, rate=0.001).collect()}
+    assert by["s299"] > 0 and by["s150"] > 0 and all(p == 0 for s, p in by.items() if s not in fixed)
+
+
 def test_tokens_are_runs_of_other_than_white_space(spark):
     rows = ["    if x:\r\n        return  1\r\n", " " * 5000, "a\fb\vc\u00a0d\u3000e", "", None, "one", " \n\t ", "| a   |  b |", "\U0001f642  é"]
     got = [r["n"] for r in spark.createDataFrame([(t,) for t in rows], "text string").select(mixing.n_tokens(F.col("text")).alias("n")).collect()]
