@@ -6,8 +6,8 @@ boosted trees, which are trained on the urls that the rules have labelled. The
 features are length, path depth, digit ratio, entropy of the characters, the
 numbers of parameters, hyphens and labels of the host, and two statistics of the
 host's suffix (its last two labels): how many urls have it, and the share of
-blocked ones among the labelled, both over all urls. Suffixes share SUFFIX_SLOTS
-hashed slots, which bounds the table that is broadcast.
+blocked ones among the labelled, both over all urls. Each suffix has statistics
+of its own; the most common ones are broadcast and the rest joined.
 
 A tree level is one aggregation: each labelled url's features are binned, and
 gradients are summed by node, feature and bin. The sums have at most
@@ -27,11 +27,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import materialize, table
+from graphfold.llm.common import attach, materialize, table
 
 #: The query's rules, as verdict and host with path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-SUFFIX_SLOTS, TRAIN_ROWS = 4096, 50_000
+TRAIN_ROWS = 50_000
 TREES, DEPTH, BINS, RATE, RIDGE = 12, 3, 16, 0.4, 1.0
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "suffix_urls", "suffix_blocked")
 
@@ -75,8 +75,8 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def suffix_slot(host: Column) -> Column:
-    return (F.crc32(F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)) % SUFFIX_SLOTS).cast("int")
+def suffix(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)
 
 
 def describe(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -85,14 +85,15 @@ def describe(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "ur
     base = pages.select(F.col(key).alias(key), F.col(url).cast("string").alias("__url"))
     base = base.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "verdict": verdict, **lexical(F.col("__url"), F.col("host"), F.col("path")), "__slot": suffix_slot(F.col("host"))})
+    base = base.withColumns({"rule": rule, "verdict": verdict, **lexical(F.col("__url"), F.col("host"), F.col("path")), "__suffix": suffix(F.col("host"))})
     base = materialize(base.withColumn("__hash", F.xxhash64("__url")).drop("__url"), "url_features")
-    stats = base.groupBy("__slot").agg(
+    stats = base.groupBy("__suffix").agg(
+        F.count("*").alias("__urls"),
         F.log2(F.count("*") + 1.0).alias("suffix_urls"),
         ((F.sum((F.col("verdict") == "block").cast("double")) + 1.0) / (F.count("verdict") + 2.0)).alias("__blocked"),
     )
-    stats = stats.select("__slot", "suffix_urls", F.coalesce("__blocked", F.lit(0.5)).alias("suffix_blocked"))  # SUFFIX_SLOTS rows at most
-    return base.join(F.broadcast(stats), "__slot", "left").drop("__slot")
+    stats = materialize(stats.select("__suffix", "__urls", "suffix_urls", F.coalesce("__blocked", F.lit(0.5)).alias("suffix_blocked")), "url_suffixes")
+    return attach(base, stats, ["__suffix"], "__urls", [key, "__hash"]).drop("__suffix")
 
 
 def _bin(value: Column, cuts: list[float]) -> Column:

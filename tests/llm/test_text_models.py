@@ -85,6 +85,19 @@ def test_url_rules_and_trees(spark):
     assert {r["verdict"] for r in urls.judge(pages, ()).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("head", [4096, 2])
+def test_each_suffix_has_its_own_statistics(spark, monkeypatch, head):
+    monkeypatch.setattr(common, "HEAD", head)
+    # 5000 suffixes, more than 4096 slots could hold; every third one is blocked by a rule
+    rows = [(i, f"http://h.s{i % 5000}.{'net' if i % 3 else 'bad'}/x") for i in range(5000)] + [(9000 + i, f"http://w{i}.common.net/x") for i in range(40)]
+    pages = spark.createDataFrame([*rows, (9999, None)], "page_id int, url string")
+    got = urls.describe(pages, (("block", "bad/"),)).collect()
+    assert len(got) == len(rows) + 1 and "__suffix" not in got[0].asDict()
+    for r in got:
+        n, blocked = (40, 0) if r["host"].endswith("common.net") else (1, r["host"].endswith("bad"))
+        assert math.isclose(r["suffix_urls"], math.log2(n + 1)) and math.isclose(r["suffix_blocked"], 2 / 3 if blocked else 1 / 2)
+
+
 def test_trees_learn(spark):
     rows = [(float(i % 7), float(i % 11), "block" if (i % 7 > 3) != (i % 11 > 5) else "allow") for i in range(400)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "__hash long, length double, depth double, verdict string")
