@@ -4,8 +4,8 @@ Fixed patterns find assignments, access keys and hexadecimal strings. Spans come
 from splitting a text at a pattern's matches: the lengths of the pieces and of
 the matches add up to the positions, in code points.
 
-The Markov models judge every other long run of key characters that mixes
-letters and digits. Two order-1 models over the same alphabet, of random strings
+The Markov models judge every run of LEAST_RUN or more key characters, whatever
+it is made of. Two order-1 models over the same alphabet, of random strings
 and of ordinary words, are trained from labelled samples: the values that the
 fixed patterns found, and the words outside of them. A run whose log-likelihood
 ratio is large, in sum and on average, is a span of kind `random`.
@@ -35,8 +35,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _KEY = "A-Za-z0-9+/_=-"
-#: Whole runs of 16 or more key characters with a digit. The look-behind lets a match begin at a run's start only.
-RUN = rf"(?<![{_KEY}])(?=[A-Za-z+/_=-]*+[0-9])[{_KEY}]{{16,}}+"
+LEAST_RUN = 16
+#: Whole runs of key characters. The look-behind lets a match begin at a run's start only.
+RUN = rf"(?<![{_KEY}])[{_KEY}]{{{LEAST_RUN},}}+"
 RANDOM_DOCS, WORD_DOCS = 20_000, 1_000
 LEAST_SUM, LEAST_MEAN = 12.0, 0.5
 _SPAN = "struct<start:int,kind:int,end:int>"
@@ -110,7 +111,7 @@ def random_spans(text: Column, ratios: list[float]) -> Column:
 
     def good(token: Column) -> Column:
         score = F.aggregate(_bigrams(token), F.lit(0.0), lambda acc, pair: acc + F.element_at(values, pair + 1))
-        return token.rlike("[A-Za-z]") & (score >= LEAST_SUM) & (score >= LEAST_MEAN * (F.length(token) - 1))
+        return (score >= LEAST_SUM) & (score >= LEAST_MEAN * (F.length(token) - 1))
 
     return _spans(text, text.rlike(RUN), RUN, 3, good)
 
