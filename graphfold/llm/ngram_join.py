@@ -322,9 +322,37 @@ def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with __id, and the rows without a doc_id (a table of its own, null if there are none) with numbers for __id that no doc_id has."""
+    given = docs.where(F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long"))
+    loose = docs.where(F.col("doc_id").isNull())
+    if loose.isEmpty():
+        return given, None
+    loose = materialize(loose.withColumn("__k", F.monotonically_increasing_id()), "join_loose")
+    # the numbers of each partition, made to follow one another: a row for each partition
+    starts, n = [], 0
+    for r in loose.groupBy(F.shiftright("__k", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        starts.append((r["p"], n))
+        n += r["n"]
+    low, high = given.agg(F.min("__id"), F.max("__id")).collect()[0]
+    # above all ids, so that documents with an id go first; below them where there is no room
+    first = 0 if high is None else high + 1 if high + n < 1 << 63 else low - n
+    starts = docs.sparkSession.createDataFrame(starts, "__p long, __start long")
+    own = loose.withColumn("__p", F.shiftright("__k", 33)).join(F.broadcast(starts), "__p")
+    own = own.withColumn("__id", F.col("__start") + F.col("__k").bitwiseAND((1 << 33) - 1) + first)
+    return given, own.select(*docs.columns, "__id")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates (five words, 0.8)."""
-    groups = join(docs.select("doc_id", "text"), 5, Threshold(80, 100)).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Keeps the document with the smallest id of each component of near duplicates (five words, 0.8).
+
+    One row of each kept id stays: rows that repeat an id go. Rows without an id are documents of their own, compared
+    like all others: one stays if it is no near duplicate of a document with an id, and one of each group of them. Texts
+    without words are near duplicates of nothing, with an id or without.
+    """
+    given, loose = _numbered(docs)
+    every = given if loose is None else given.unionByName(loose)
+    groups = join(every.select(F.col("__id").alias("doc_id"), "text"), 5, Threshold(80, 100)).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     groups = materialize(groups, "join_kept")
     release(spark)
-    return docs.join(groups.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    return every.join(groups.hint("merge"), "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)

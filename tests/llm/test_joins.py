@@ -81,6 +81,24 @@ def test_join_of_odd_rows(spark, odd_docs, no_docs, texts):
     assert ngram_join.stage(spark, odd_docs, "").columns == odd_docs.columns
 
 
+def test_stage_keeps_one_row_of_each_document(spark, odd_docs):
+    clean = "a clean text that nothing else in this table is like at all"
+    ided = odd_docs.where("doc_id = 3").first()
+    extra = [(None, clean), (None, clean), (None, clean.upper()), (None, ided["text"]), (None, None), ((1 << 63) - 9, "an id with little room above")]
+    more = spark.createDataFrame([(i, t, "en", "a", None, "clash", "clash", 7) for i, t in extra], odd_docs.schema)
+    docs = odd_docs.union(more)
+    got = ngram_join.stage(spark, docs, "").collect()
+    want = components_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80, 100)
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(i for i, (_, c) in want.items() if c == i)
+    loose = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(loose) == 3 and None in loose and sum(t is not None and t.lower() == clean for t in loose) == 1
+    assert any(t and t.startswith("no id at all here") for t in loose)
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    again = [r["text"] for r in ngram_join.stage(spark, nameless, "").collect()]
+    words = lambda found: sorted(t.lower() for t in found if (t or "").split())
+    assert len(words(again)) == len(words(r["text"] for r in got))
+
+
 def test_shingles_do_not_depend_on_the_batch():
     rows = [t for _, t in copies(3)] + ["", " ", "A b C", "a B c"]
     whole = shingle_sets(rows)
