@@ -2,17 +2,25 @@
 
 All n-grams have one global order: rare ones first, by a count sketch over every
 document, then by hash. Two sets with a similarity of at least t share an n-gram
-among the first n - ceil(t * n) + 1 of each, so the prefixes give all candidates.
-Lists of documents that share a prefix n-gram are walked in the order of set
-size; each document joins the block of the list's leader of like size, and of the
-leader before it where a set of that one's sizes may still fit. So two similar sets
-meet in some block. Within a block, parity bitmaps bound what two sets can share,
-and documents without any partner left go. The others' ordered sets stand in a trie
-that is walked with one of them after the other: sets with a common beginning share
-its overlap, and a subtree is left as soon as the lengths that remain cannot reach
-the needed overlap. Documents that are linked already need no further check, and a
-block gives a link for each document at most, so pairs are never spelled out. Blocks
-of more than CHUNK documents are cut into chunks that meet pair by pair.
+among the first n - ceil(t * n) + 1 of each, so the lists of documents that share
+a prefix n-gram give all candidates. Only postings with a partner of like size in
+their list are kept.
+
+Groups of copies are contracted before anything is compared in full. In each of
+STARS rounds every document is set against one hub, the same for most of a group,
+and linked documents take one label. Lists that hold one label only are done with.
+The documents of the other lists meet in blocks, named by a label, and are
+compared wherever their labels differ. Rows grow with the postings, never with
+the square of a group: a document has one row in a round of stars, and one in a
+block for each label that shares a list with it. Blocks that are too large for a
+task are dealt into chunks, where documents of the most common label do not meet.
+
+Within a block, parity bitmaps bound what two sets can share, and documents
+without any partner left go. The others' ordered sets stand in a trie that is
+walked with one of them after the other: sets with a common beginning share its
+overlap, and a subtree is left as soon as the lengths that remain cannot reach the
+needed overlap. Documents that are linked already need no further check, and a
+block gives a link for each document at most, so pairs are never spelled out.
 
 Sets are compared by 64-bit hashes of n-grams. Documents with equal sets form a
 class first, and only the class takes part; the class's smallest id stands for it.
@@ -26,7 +34,9 @@ size and has no component. Empty tables give empty results. Texts are read whole
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +49,12 @@ from graphfold.llm.shingles import shingle_sets
 from graphfold.operators.components import connected_components
 
 SKETCH_BITS, SKETCH_SLICES = 20, 64
-#: Bits of a parity bitmap, documents of a block that stay together, and grams between two looks at the bound.
-BITMAP_BITS, CHUNK, TRIE_STEP = 2048, 4096, 64
+#: Bits of a parity bitmap, and grams between two looks at the bound.
+BITMAP_BITS, TRIE_STEP = 2048, 64
+#: Documents of a chunk of a block, and their grams on average at most; both bound what a task holds.
+CHUNK, CHUNK_GRAMS = 4096, 1024
+#: Rounds of stars before what is left is compared in full, and how many documents may hold a gram that is common.
+STARS, COMMON = 2, 10_000
 
 
 class Threshold:
@@ -115,72 +129,116 @@ def prefixes(docs: DataFrame, counts, size: int, t: Threshold) -> DataFrame:
     return arrow_rows(docs.select("doc_id", "text"), run, [("doc_id", T.LongType()), ("n", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("prefix", T.ArrayType(T.LongType())), ("bits", T.BinaryType())])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of one gram in sorted rows, as columns. A run may span batches."""
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-        cuts = np.concatenate([[0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, [batch.num_rows]])
-        # runs of one row are left out at once, but for those at the ends
-        keep = np.diff(cuts) > 1
-        keep[0] = keep[-1] = True
-        for a, b in zip(cuts[:-1][keep].tolist(), cuts[1:][keep].tolist(), strict=True):
-            if held and held[-1][0][0] != columns[0][a]:
-                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                held = []
-            held.append(tuple(c[a:b] for c in columns))
-    if held:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-
-
-def _blocks(postings: DataFrame, t: Threshold) -> DataFrame:
-    """Distinct (hub, id) from postings (gram, n, id): which documents meet in the blocks of which leaders."""
+def postings(own: DataFrame, counts, common: int) -> DataFrame:
+    """(gram, n, id, common) of all prefixes of own (id, n, prefix); common: more than so many documents may hold the gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, waiting = [], 0
+        for batch in batches:
+            lists = batch.column("prefix")
+            sizes = np.diff(lists.offsets.to_numpy())
+            grams = lists.flatten().to_numpy()
+            often = counts.value[(grams.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > common
+            columns = [pa.array(grams), *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("n", "id")), pa.array(often)]
+            for lo in range(0, len(grams), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 16) for c in columns], names=["gram", "n", "id", "common"])
+
+    return arrow_rows(own.select("id", "n", "prefix"), run, [("gram", T.LongType()), ("n", T.LongType()), ("id", T.LongType()), ("common", T.BooleanType())])
 
-        def flush() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(out), axis=0)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "id"])
 
-        for _, n, ids in _lists(batches):
-            if len(n) < 2 or (ids == ids[0]).all():
+def lists(rows: DataFrame, t: Threshold) -> DataFrame:
+    """The postings (gram, n, id) with a partner: another posting of their gram whose size is the next and fits. Those of
+    common grams are taken to have one, and need not meet in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, near = None, False  # the last row, and whether it has a partner before it
+
+        def row(gram: int, n: int, i: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (gram, n, i)], names=["gram", "n", "id"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            near = n[1:] <= t.largest(n[:-1])
-            fits = np.zeros(len(n), bool)  # a document whose neighbour in size does not fit has no partner here
-            fits[1:] |= near
-            fits[:-1] |= near
-            n, ids = n[fits], ids[fits]
-            starts, at = [], 0
-            while at < len(n):
-                starts.append(at)
-                at = int(np.searchsorted(n, t.largest(int(n[at])), side="right"))
-            for k, start in enumerate(starts):
-                stop = starts[k + 1] if k + 1 < len(starts) else len(n)
-                last = int(np.searchsorted(n, t.largest(int(n[stop - 1])), side="right"))
-                if last - start > 1:
-                    out.append(np.stack([np.full(last - start, ids[start]), ids[start:last]], axis=1))
-                    waiting += last - start
-            if waiting > 200_000:
-                yield flush()
-                waiting = 0
-        if out:
-            yield flush()
-
-    lists = postings.select("gram", "n", "id").repartition(F.col("gram")).sortWithinPartitions("gram", "n", "id")
-    return arrow_rows(lists, run, [("hub", T.LongType()), ("id", T.LongType())]).distinct()
-
-
-def _parts(pairs: DataFrame) -> DataFrame:
-    """(hub, part, id): a block of one chunk has part 0; of more, a document goes to the parts of all pairs with its chunk."""
-    chunks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
-    own = pairs.join(chunks.where("k > 1"), "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    mine = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.least(c, F.col("c")) * F.col("k") + F.greatest(c, F.col("c")))
-    return own.withColumn("c", mine).select("hub", F.explode(other).alias("part"), "id")
+            gram, n, ids = (batch.column(c).to_numpy() for c in ("gram", "n", "id"))
+            with_next = np.zeros(len(n), bool)
+            with_next[:-1] = (gram[1:] == gram[:-1]) & (n[1:] <= t.largest(n[:-1]))
+            with_last = np.concatenate([[False], with_next[:-1]])
+            if held:
+                with_last[0] = held[0] == gram[0] and n[0] <= t.largest(held[1])
+                if near or with_last[0]:
+                    yield row(*held)
+            keep = with_next | with_last
+            keep[-1] = False
+            held, near = (int(gram[-1]), int(n[-1]), int(ids[-1])), bool(with_last[-1])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, n, ids)], names=["gram", "n", "id"])
+        if held and near:
+            yield row(*held)
+
+    kept = arrow_rows(rows.where("not common").select("gram", "n", "id").repartition(F.col("gram")).sortWithinPartitions("gram", "n", "id"), run, [("gram", T.LongType()), ("n", T.LongType()), ("id", T.LongType())])
+    return kept.unionByName(rows.where("common").select("gram", "n", "id"))
+
+
+def _labelled(table_: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """table_ with the class of each id (`label`); ids without one are classes of their own."""
+    if labels is None:
+        return table_.withColumn("label", F.col("id"))
+    return table_.join(labels.hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _stars(table_: DataFrame, t: Threshold, turn: int) -> DataFrame:
+    """(hub, id, n, label) from lists (gram, n, id, label): one hub for each document that shares a list and a class of
+    sizes with one of another label, and the hubs themselves.
+
+    A list's hub is its document with the smallest hash, which most lists of a group of copies have in common. A document
+    takes the hub of its list with the smallest hash.
+    """
+    bucket = F.floor(F.log("n") / math.log(t.whole / t.part))
+    own = table_.withColumn("bucket", bucket)
+    hubs = own.groupBy("gram", "bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+    hubs = hubs.where("low < high").select("gram", "bucket", "hub")
+    first = own.join(hubs.hint("merge"), ["gram", "bucket"]).where(F.col("label") != F.col("hub.label"))
+    first = first.groupBy("id", "n", "label").agg(F.min(F.struct(F.xxhash64("gram", F.lit(turn)).alias("h"), "hub")).alias("one"))
+    members = first.select(F.col("one.hub").alias("hub"), F.struct("id", "n", "label").alias("x"))
+    both = members.select(F.col("hub.id").alias("hub"), F.explode(F.array("x", F.struct("hub.id", "hub.n", "hub.label"))).alias("x"))
+    return both.select("hub", "x.*").distinct()
+
+
+def _blocks(table_: DataFrame) -> DataFrame:
+    """(hub, id, n, label): all documents of lists that hold several labels, in blocks that are named by a list's least
+    label, so that the lists of a group of copies make one block. Two documents of a list with different labels meet."""
+    names = table_.groupBy("gram").agg(F.min("label").alias("hub"), F.max("label").alias("high")).where("hub < high").select("gram", "hub")
+    return table_.join(names.hint("merge"), "gram").select("hub", "id", "n", "label").distinct()
+
+
+def _parts(rows: DataFrame, star: bool) -> DataFrame:
+    """rows (hub, id, n, label) with a part: of a small block 0. A larger block is dealt into chunks.
+
+    A star's hub goes to each chunk. Of other blocks, the documents of the most common label are set against chunks of the
+    others, and these against each other; those of the most common label never meet.
+    """
+    room = F.lit(float(CHUNK)), F.lit(float(CHUNK * CHUNK_GRAMS))
+    sums = F.count("*").alias("rows"), F.sum("n").alias("grams")
+    parts = lambda: F.greatest(F.ceil(F.col("rows") / room[0]), F.ceil(F.col("grams") / room[1])).cast("int")
+    if star:
+        large = rows.groupBy("hub").agg(*sums).select("hub", parts().alias("k")).where("k > 1")
+        own = rows.join(large.hint("merge"), "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        mine = F.array(F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        return own.withColumn("part", F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(mine))).drop("k")
+    by_label = rows.groupBy("hub", "label").agg(*sums)
+    first = F.max(F.struct("rows", "label", "grams")).alias("top")
+    large = by_label.groupBy("hub").agg(first, F.sum("rows").alias("rows"), F.sum("grams").alias("grams")).where(parts() > 1)
+    large = large.select("hub", F.col("top.label").alias("most"), F.greatest(F.ceil(F.col("top.rows") / room[0]), F.ceil(F.col("top.grams") / room[1])).cast("int").alias("b"), F.greatest(F.ceil((F.col("rows") - F.col("top.rows")) / room[0]), F.ceil((F.col("grams") - F.col("top.grams")) / room[1])).cast("int").alias("o"))
+    own = rows.join(large.hint("merge"), "hub", "left")
+    # part x * (o + b) + y: chunk x of the others beside chunk y of the others (y >= x) or chunk y - o of the most common label
+    wide, at = F.col("o") + F.col("b"), lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    common = F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda x: x * wide + F.col("o") + at(F.col("b")))
+    mine = at(F.col("o"))
+    other = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda y: F.least(y, mine) * wide + F.greatest(y, mine)),
+        F.transform(F.sequence(F.col("o"), wide - 1), lambda y: mine * wide + y),
+    )
+    part = F.when(F.col("o").isNull(), F.array(F.lit(0))).when(F.col("label") == F.col("most"), common).otherwise(other)
+    return own.withColumn("part", F.explode(part)).select("hub", "part", "id", "n", "label")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -198,9 +256,10 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield now, rows
 
 
-def _may_link(n: np.ndarray, bits: np.ndarray, i: int, t: Threshold) -> np.ndarray:
-    """Later rows (sorted by size) whose size and bitmap allow a link with row i."""
-    js = np.arange(i + 1, int(np.searchsorted(n, t.largest(int(n[i])), side="right")))
+def _may_link(n: np.ndarray, bits: np.ndarray, label: np.ndarray, i: int, t: Threshold) -> np.ndarray:
+    """Later rows (sorted by size) of another label whose size and bitmap allow a link with row i."""
+    stop = int(np.searchsorted(n, t.largest(int(n[i])), side="right"))
+    js = i + 1 + np.flatnonzero(label[i + 1 : stop] != label[i])
     if not len(js):
         return js
     least = -(-t.part * (n[i] + n[js]) // (t.part + t.whole))
@@ -209,23 +268,25 @@ def _may_link(n: np.ndarray, bits: np.ndarray, i: int, t: Threshold) -> np.ndarr
 
 
 def _hopeful(parts: DataFrame, signs: DataFrame, t: Threshold) -> DataFrame:
-    """The rows of parts (hub, part, id) with a partner that their bitmaps allow."""
-    rows = parts.join(signs, "id").select("hub", "part", "n", "id", "bits").repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "n", "id")
+    """The rows of parts (hub, part, id, n, label) with a partner of another label that their bitmaps allow."""
+    kinds = [("hub", T.LongType()), ("part", T.IntegerType()), ("id", T.LongType()), ("n", T.LongType()), ("label", T.LongType())]
+    rows = parts.join(signs.hint("merge"), "id").select(*(n for n, _ in kinds), "bits").repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hub, part), some in _runs(batches, 2):
-            n, ids = np.array([r[0] for r in some], np.int64), [r[1] for r in some]
-            bits = np.frombuffer(b"".join(r[2] for r in some), np.uint64).reshape(len(some), -1)
+            ids, n, label = ([r[k] for r in some] for k in range(3))
+            n, label = np.array(n, np.int64), np.array(label, np.int64)
+            bits = np.frombuffer(b"".join(r[3] for r in some), np.uint64).reshape(len(some), -1)
             good = np.zeros(len(some), bool)
             for i in range(len(some) - 1):
-                js = _may_link(n, bits, i, t)
+                js = _may_link(n, bits, label, i, t)
                 good[js] = True
                 good[i] |= len(js) > 0
-            kept = [x for x, g in zip(ids, good.tolist(), strict=True) if g]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([hub] * len(kept), pa.int64()), pa.array([part] * len(kept), pa.int32()), pa.array(kept, pa.int64())], names=["hub", "part", "id"])
+            at = np.flatnonzero(good).tolist()
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([hub] * len(at), pa.int64()), pa.array([part] * len(at), pa.int32()), pa.array([ids[k] for k in at], pa.int64()), pa.array(n[at]), pa.array(label[at])], names=[n for n, _ in kinds])
 
-    return arrow_rows(rows, run, [("hub", T.LongType()), ("part", T.IntegerType()), ("id", T.LongType())])
+    return arrow_rows(rows, run, kinds)
 
 
 def trie_join(hub: np.ndarray, members: list[np.ndarray], t: Threshold) -> np.ndarray:
@@ -252,18 +313,19 @@ def trie_join(hub: np.ndarray, members: list[np.ndarray], t: Threshold) -> np.nd
 
 
 def _links(parts: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """(src, dst): links that join each block's documents as far as links do; one for each document at most."""
-    rows = parts.join(sets, "id").select("hub", "part", "n", "id", "grams").repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "n", "id")
+    """(src, dst) from parts (hub, part, id, n, label): links between labels that join each part's documents as far as
+    links do; one for each document at most, to the document of its class in the part that comes first."""
+    rows = parts.join(sets.hint("merge"), "id").select("hub", "part", "n", "id", "label", "grams").repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in _runs(batches, 2):
             n, ids = np.array([r[0] for r in some], np.int64), [r[1] for r in some]
-            sets_ = [np.frombuffer(r[2], np.uint64) for r in some]
+            sets_ = [np.frombuffer(r[3], np.uint64) for r in some]
             bits = np.stack([bitmap(s) for s in sets_])
-            label, src, dst = np.arange(len(some)), [], []
+            _, label = np.unique([r[2] for r in some], return_inverse=True)
+            src, dst = [], []
             for i in range(len(some) - 1):
-                js = _may_link(n, bits, i, t)
-                js = js[label[js] != label[i]]
+                js = _may_link(n, bits, label, i, t)
                 if not len(js):
                     continue
                 for j in js[trie_join(sets_[i], [sets_[k] for k in js.tolist()], t)].tolist():
@@ -277,12 +339,22 @@ def _links(parts: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return arrow_rows(rows, run, [("src", T.LongType()), ("dst", T.LongType())]).distinct()
 
 
+def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(id, label) after more links: a document takes the least label among its own and its partners'. Labels may be finer
+    than the classes that links make; documents of one label always belong to one class."""
+    both = links.union(links.select("dst", "src")).toDF("id", "other")
+    other = _labelled(both.select(F.col("other").alias("id"), F.col("id").alias("of")), labels).select(F.col("of").alias("id"), "label")
+    own = both.select("id", F.col("id").alias("label")) if labels is None else labels.select("id", "label")
+    return other.unionByName(own).groupBy("id").agg(F.min("label").alias("label"))
+
+
 def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs (doc_id, text)."""
     t = t or Threshold()
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(sketch(docs, size))  # 2**SKETCH_BITS counters for any corpus
+    seen = sketch(docs, size)
+    counts, common = spark.sparkContext.broadcast(seen), int(max(COMMON, 64 * float(seen.mean())))  # 2**SKETCH_BITS counters for any corpus
     found = materialize(prefixes(docs, counts, size, t), "join_prefixes")
     some = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "join_classes")
@@ -290,32 +362,41 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     sizes = materialize(found.select("doc_id", "n", "d1", "d2"), "join_sizes")
     discard(found)
     release(spark)
-    pairs = materialize(_blocks(own.select(F.explode("prefix").alias("gram"), "n", "id"), t), "join_blocks")
-    release(spark)
-    parts = materialize(_hopeful(_parts(pairs), own.select("id", "n", "bits"), t), "join_hopeful")
+    shared = materialize(lists(postings(own, counts, common), t), "join_lists")
+    wanted = materialize(shared.select("id").distinct(), "join_wanted")
+    # a merge join at every size: the ids grow with the corpus
+    signs = materialize(own.join(wanted.hint("merge"), "id", "left_semi").select("id", "bits"), "join_signs")
     discard(own)
-    discard(pairs)
     release(spark)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "grams"])
 
-    # a merge join at every size: the ids grow with the corpus
-    wanted = parts.select(F.col("id").alias("doc_id")).distinct()
-    sets = arrow_rows(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), full, [("id", T.LongType()), ("n", T.LongType()), ("grams", T.BinaryType())])
-    sets = materialize(sets.dropDuplicates(["id"]), "join_sets")
-    release(spark)
-    links = materialize(_links(parts, sets, t), "join_links")
-    discard(sets)
+    asked = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    sets = materialize(arrow_rows(asked, full, [("id", T.LongType()), ("grams", T.BinaryType())]).dropDuplicates(["id"]), "join_sets")
     release(spark)
-    final = connected_components(links).withColumnRenamed("node", "id")
+    labels, links = None, []
+    for turn in range(STARS + 1):
+        table_ = _labelled(shared, labels)
+        rows = _parts(materialize(_stars(table_, t, turn), "join_stars"), True) if turn < STARS else _parts(materialize(_blocks(table_), "join_blocks"), False)
+        parts = materialize(_hopeful(rows, signs, t), "join_hopeful")
+        links.append(materialize(_links(parts, sets, t), "join_links"))
+        discard(parts)
+        release(spark)
+        if turn < STARS:
+            labels = materialize(_relabelled(links[-1], labels), "join_labels")
+    for done in (shared, signs, sets):
+        discard(done)
+    final = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "id")
     known = classes.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     known = materialize(known, "join_known")
     release(spark)
-    return sizes.join(known, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    # texts without words have no class and need not meet
+    worded = sizes.where("n > 0").join(known.hint("merge"), ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    return worded.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
