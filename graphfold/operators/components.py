@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="graphfold-")
-        spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/graphfold/{uuid.uuid4().hex}/components"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from graphfold.plans.written import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,11 +19,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates large stars (each node's larger neighbours go to its smallest one)
     and small stars (its smaller neighbours do) until nothing changes, which takes
     a number of rounds in the order of the logarithm of the node count, whatever
-    the diameter. Minima are combined before each shuffle, so a node with very many
-    edges costs no task more than a row of each other task.
+    the diameter. Minima are combined before each shuffle, and adaptive execution splits
+    the partitions of a node with very many edges where they are joined with its minimum.
     """
     e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    e = _written(e.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    e = materialize(e.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "components")
     state = _state(e)
     for _ in range(max_rounds):
         if not state[0]:
@@ -46,8 +33,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = _written(small.distinct())
-        before, state = state, _state(e)
+        after = materialize(small.distinct(), "components")
+        discard(e)
+        e, before, state = after, state, _state(after)
         if state == before:
             break
     else:
