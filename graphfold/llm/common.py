@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,53 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphfold.plans.ship import ship
+from graphfold.plans.written import discard, materialize, shared_dir
 
 #: Arrow batches are cut into slices of about this many bytes of text, so that temporary arrays stay small.
 SLICE_BYTES = 1 << 20
 #: Values that attach() broadcasts at most.
 HEAD = 4096
-_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+__all__ = ["arrow_rows", "attach", "discard", "materialize", "shared_dir", "slices", "table", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphfold-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later steps do not recompute it, and survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = out, path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table from materialize(), once all that comes of it is written itself."""
-    _, path = _PATHS.pop(id(df))
-    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):  # what Python lets go of reaches the JVM a moment later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def arrow_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, T.StructType([T.StructField(n, t) for n, t in fields]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import attach, discard, materialize, release, table
+from graphfold.llm.common import attach, discard, materialize, table
 
 #: Cells that the driver may hold, and the end of raking.
 GATHER, ROUNDS, TOLERANCE = 100_000, 500, 1e-10
@@ -162,8 +162,6 @@ def _spread(cells: DataFrame, targets: dict[str, float | dict[str, float]], rate
             discard(factors)
             discard(now)
             now = after
-        if k % 8 == 7:
-            release(spark)
         if worst < TOLERANCE:
             break
     ratio = F.when(F.col("__tokens") > 0, F.col("w") / F.col("__tokens")).otherwise(0.0)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphfold.llm.common import arrow_rows, discard, materialize, release, slices, table, texts_of
+from graphfold.llm.common import arrow_rows, discard, materialize, slices, table, texts_of
 from graphfold.llm.shingles import shingle_sets
 from graphfold.operators.components import connected_components
 
@@ -361,13 +361,11 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     own = materialize(some.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), "join_own")
     sizes = materialize(found.select("doc_id", "n", "d1", "d2"), "join_sizes")
     discard(found)
-    release(spark)
     shared = materialize(lists(postings(own, counts, common), t), "join_lists")
     wanted = materialize(shared.select("id").distinct(), "join_wanted")
     # a merge join at every size: the ids grow with the corpus
     signs = materialize(own.join(wanted.hint("merge"), "id", "left_semi").select("id", "bits"), "join_signs")
     discard(own)
-    release(spark)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +375,6 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
 
     asked = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = materialize(arrow_rows(asked, full, [("id", T.LongType()), ("grams", T.BinaryType())]).dropDuplicates(["id"]), "join_sets")
-    release(spark)
     labels, links = None, []
     for turn in range(STARS + 1):
         table_ = _labelled(shared, labels)
@@ -385,7 +382,6 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
         parts = materialize(_hopeful(rows, signs, t), "join_hopeful")
         links.append(materialize(_links(parts, sets, t), "join_links"))
         discard(parts)
-        release(spark)
         if turn < STARS:
             labels = materialize(_relabelled(links[-1], labels), "join_labels")
     for done in (shared, signs, sets):
@@ -393,7 +389,6 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     final = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "id")
     known = classes.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     known = materialize(known, "join_known")
-    release(spark)
     # texts without words have no class and need not meet
     worded = sizes.where("n > 0").join(known.hint("merge"), ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return worded.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
@@ -435,5 +430,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     every = given if loose is None else given.unionByName(loose)
     groups = join(every.select(F.col("__id").alias("doc_id"), "text"), 5, Threshold(80, 100)).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     groups = materialize(groups, "join_kept")
-    release(spark)
     return every.join(groups.hint("merge"), "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
