@@ -1,102 +1,105 @@
 """Quality classification by perplexity under a Kneser-Ney model of trusted text.
 
-Texts are folded to 64 character classes, and an interpolated modified
-Kneser-Ney model of order 4 is trained on documents that are labelled as good.
-Counts are sharded by n-gram; the statistics of contexts, the continuation
-counts and the discounted terms come from joins of those shards. The class
-alphabet bounds every table: there are at most 64**4 n-grams, so the dense
-table of log-probabilities has the same size for any corpus, and it may be
-broadcast. A document's perplexity is compared with a quantile of the trusted
-documents' perplexities in its language.
-
-Edge cases: a null or empty text has no perplexity and is not kept; a language
-without trusted documents, or no language, takes the threshold over all trusted
-documents; without any trusted document there is no threshold and every text
-with characters is kept. Repeated labels count once, and a document with several
-labels is trusted if any of them says so. Extra columns do not matter.
+An interpolated modified Kneser-Ney model over runs of ORDER code points is
+trained on documents that are labelled as good. Its tables are counts, contexts
+and probabilities by n-gram, which grow with the trusted text and are never
+gathered: every level comes from joins of sharded counts.
+
+Documents are scored by another such join. Each task packs its documents into
+batches and sends the distinct n-grams of a batch to the shards of the model; the
+log-probabilities and back-off weights of those that the model holds come back
+and meet the batch's texts, whose perplexities are then sums of look-ups. A batch
+has far fewer distinct n-grams than characters.
+
+One of HOLD trusted documents is held out of training. A document is kept if its
+perplexity is at most SLACK times the QUANTILE of the held-out perplexities of
+its language.
+
+Edge cases: a null or empty text has no perplexity and is not kept. No language,
+and languages with fewer than LEAST_HELD held-out documents, take the quantile of
+all languages together; with fewer than FEW held-out documents in all, the largest
+perplexity of any trusted document, held out or not. Without any trusted document
+there is no threshold and every text with characters is kept. Repeated labels count once, and a document with several
+labels is trusted if any of them says so. Equal texts have equal perplexities, and
+one that equals the threshold is kept. Texts of any length are scored whole; the character U+0000
+is read as U+FFFD. Rows that repeat an id are rows of their own. Extra columns do
+not matter, and empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from graphfold.llm.common import arrow_rows, attach, materialize, slices, table, texts_of
+from graphfold.llm.shingles import mix
+
+ORDER = 5
+#: Bytes of text in a batch, and in a step of training.
+BATCH_BYTES, TRAIN_BYTES = 32 << 20, 8 << 20
+#: One of HOLD trusted documents is held out; a document is kept up to this quantile of its language, times the slack.
+HOLD, QUANTILE, SLACK = 5, 0.98, 1.3
+LEAST_HELD, FEW = 50, 100
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: The n-gram that every batch asks for, so that a batch without an answer is noticed.
+MARK = 1
 
-from graphfold.llm.common import arrow_rows, materialize, slices, table, texts_of
-
-ORDER, CLASSES = 4, 64
-BITS = 6
-#: A document is kept up to this quantile of its language's trusted perplexities, times the slack.
-QUANTILE, SLACK = 0.995, 1.15
-ACCENTED = "àáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of each code point below 0x10000: blank 0, a-z 1-26, accented letters, digits, signs, other letters, rest."""
-    out = np.full(0x10000, 63, np.uint8)
-    for c in range(0x10000):
-        x = chr(c)
-        if x.isspace():
-            out[c] = 0
-        elif x.isalpha():
-            low = x.lower()[0]
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ACCENTED.index(low) if low in ACCENTED else 58
-        elif x.isdigit():
-            out[c] = 59
-    for signs, k in ((".,", 60), (";:!?'\"()-", 61), ("#$%&*+/<=>@[\\]^_`{|}~", 62)):
-        for x in signs:
-            out[ord(x)] = k
-    return out
-
-
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character, blanks standing before the first, and the number of characters of each text."""
+
+def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts with ORDER - 1 zeros before each, the places of the texts' own, and their numbers."""
     docs = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(d) for d in docs], np.int64)
-    flat = np.zeros(int(sizes.sum()) + (ORDER - 1) * len(docs), np.int32)
-    wide, at, own = _classes(), 0, []
-    for d in docs:
-        at += ORDER - 1
-        flat[at : at + len(d)] = wide[np.minimum(d, 0xFFFF)]
-        own.append((at, at + len(d)))
-        at += len(d)
-    g = flat.copy()
-    for j in range(1, ORDER):
-        g[j:] |= flat[:-j] << (BITS * j)
-    inside = np.zeros(len(flat), bool)
-    for a, b in own:
-        inside[a:b] = True
-    return g[inside], sizes
+    flat = np.zeros(int(sizes.sum()) + (ORDER - 1) * len(docs), np.uint32)
+    starts = np.cumsum(sizes + ORDER - 1) - sizes
+    for d, s in zip(docs, starts.tolist(), strict=True):
+        flat[s : s + len(d)] = d
+    at = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(docs) + 1) * (ORDER - 1), sizes)
+    flat[at[flat[at] == 0]] = 0xFFFD
+    return flat, at, sizes
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n) of all texts, summed by n-gram; each task sends a row for each n-gram it met."""
+def hashes(flat: np.ndarray) -> Iterator[np.ndarray]:
+    """For n = 1 to ORDER the hash of the n-gram that ends at each place."""
+    total, wide = np.zeros(len(flat), np.uint64), flat.astype(np.uint64) + np.uint64(1)
+    for n in range(ORDER):
+        total[n:] += wide[: len(wide) - n] * _FACTORS[n]
+        yield mix(total + np.array([n + 1], np.uint64) * _FACTORS[-1])
+
+
+def hash_grams(grams: list[str], n: int) -> np.ndarray:
+    """hashes() of n-grams that are strings of n code points."""
+    m = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1)
+    total = np.zeros(len(m), np.uint64)
+    for j in range(n):
+        total += m[:, n - 1 - j] * _FACTORS[j]
+    return mix(total + np.array([n], np.uint64) * _FACTORS[-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, pending = np.zeros(0, np.int32), np.zeros(0, np.int64), []
 
-        def merged():
-            k, at = np.unique(np.concatenate([keys, *(p[0] for p in pending)]), return_inverse=True)
-            return k, np.bincount(at, np.concatenate([counts, *(p[1] for p in pending)]), len(k)).astype(np.int64)
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(gram, n): how often each run of ORDER code points occurs in all texts; gaps before a text are U+0000."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                pending.append(np.unique(codes(texts_of(part))[0], return_counts=True))
-                if len(pending) >= 32:
-                    keys, counts = merged()
-                    pending.clear()
-        keys, counts = merged() if pending else (keys, counts)
-        for lo in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 16)].astype(np.int64)), pa.array(counts[lo : lo + (1 << 16)])], names=["gram", "n"])
+            for part in slices(batch, "text", TRAIN_BYTES):
+                flat, at, _ = points(texts_of(part))
+                if not len(at):
+                    continue
+                *_, h = hashes(flat)
+                _, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                rows = np.ascontiguousarray(flat[at[first][:, None] + np.arange(1 - ORDER, 1)])
+                grams = rows.view(f"<U{ORDER}").ravel().tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    return arrow_rows(docs.select("text"), run, [("gram", T.LongType()), ("n", T.LongType())]).groupBy("gram").agg(F.sum("n").alias("n"))
+    return arrow_rows(docs.select("text"), run, [("gram", T.StringType()), ("n", T.LongType())]).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -110,62 +113,195 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """Natural log-probability of each 4-gram's last class, given the three before it."""
-    counts = materialize(count_grams(docs), "quality_counts")
-    size = 1.0 / CLASSES
-    prob = np.full((1,), size, np.float32)
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer n-grams one is the tail
-        levels.append(materialize(levels[-1].groupBy((F.col("gram") % (1 << BITS * order)).alias("gram")).agg(F.count("*").alias("n")), f"quality_{order}"))
-    for order, level in enumerate(reversed(levels), 1):
+class Model:
+    """A table (gram, logp, back) by hash of n-gram: its log-probability, null where it is a context only, and the log
+    of its back-off weight as a context, null where nothing followed it. `unseen` holds for characters it has not met."""
+
+    def __init__(self, grams: DataFrame, unseen: float):
+        self.grams, self.unseen = grams, unseen
+
+
+def train(docs: DataFrame) -> Model:
+    """Trains on the texts of docs."""
+    levels = {ORDER: materialize(count_grams(docs), "quality_counts")}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer n-grams one is the tail
+        levels[n] = materialize(levels[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n")), f"quality_{n}")
+    unseen, lower, parts = 0.0, None, []
+    for n, level in sorted(levels.items()):
         d1, d2, d3 = _discounts(level)
-        level = level.withColumn("context", F.shiftright("gram", BITS)).withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
-        contexts = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        terms = level.join(contexts, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).cast("float").alias("term")).toArrow()
-        gammas = contexts.select("context", (F.col("mass") / F.col("total")).cast("float").alias("gamma")).toArrow()
-        gamma = np.ones(CLASSES ** (order - 1), np.float32)
-        gamma[gammas.column("context").to_numpy()] = gammas.column("gamma").to_numpy()
-        # an n-gram backs off to its tail: prob has a row for each tail of the context
-        lower = prob.reshape(-1, CLASSES) if order > 1 else np.full((1, CLASSES), size, np.float32)
-        prob = (gamma.reshape(-1, len(lower))[:, :, None] * lower).reshape(-1)
-        prob[terms.column("gram").to_numpy()] += terms.column("term").to_numpy()
-    return np.log(np.maximum(prob, 1e-9)).astype(np.float16)
-
-
-def score(docs: DataFrame, model: np.ndarray, text: str = "text", output: str = "perplexity") -> DataFrame:
-    """docs with each text's perplexity per character, null for a text without characters, and their number."""
-    kept = [c for c in docs.columns if c not in (output, "n_scored")]
-    docs = docs.select(*kept)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64**4 half floats, 32 MB, for any corpus
+        level = level.withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+        if n == 1:
+            total, mass, letters = level.agg(F.sum("n"), F.sum("d"), F.count("*")).collect()[0]
+            flat = mass / total / (letters + 1) if total else 1.0
+            unseen = math.log(flat)
+            prob = level.select("gram", ((F.col("n") - F.col("d")) / F.lit(total or 1) + flat).alias("p"))
+        else:
+            level = level.withColumns({"context": F.substring("gram", 1, n - 1), "tail": F.substring("gram", 2, n - 1)})
+            contexts = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
+            parts.append((n - 1, contexts.select(F.col("context").alias("gram"), F.lit(None).cast("float").alias("logp"), F.log(F.col("mass") / F.col("total")).cast("float").alias("back"))))
+            below = lower.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
+            p = (F.col("n") - F.col("d")) / F.col("total") + F.col("mass") / F.col("total") * F.col("low")
+            prob = level.join(contexts.hint("merge"), "context").join(below.hint("merge"), "tail").select("gram", p.alias("p"))
+        lower = materialize(prob, f"quality_p{n}")
+        parts.append((n, lower.select("gram", F.log("p").cast("float").alias("logp"), F.lit(None).cast("float").alias("back"))))
+
+    def hashed(n: int, rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(hash_grams(batch.column("gram").to_pylist(), n).view(np.int64)), *batch.columns[1:]], names=["gram", "logp", "back"])
+
+        return arrow_rows(rows, run, [("gram", T.LongType()), ("logp", T.FloatType()), ("back", T.FloatType())])
+
+    every = hashed(*parts[0])
+    for n, rows in parts[1:]:
+        every = every.unionByName(hashed(n, rows))
+    model = every.groupBy("gram").agg(F.max("logp").alias("logp"), F.max("back").alias("back"))
+    return Model(materialize(model, "quality_model"), unseen)
+
+
+class Found:
+    """What the model holds of a batch's n-grams, for look-ups by hash."""
+
+    def __init__(self, grams: np.ndarray, logp: np.ndarray, back: np.ndarray, unseen: float):
+        order = np.argsort(grams, kind="stable")
+        self.keys = np.append(grams[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.logp, self.back, self.unseen = np.append(logp[order], np.nan), np.nan_to_num(np.append(back[order], 0.0)), unseen
+        bits = min(24, max(8, len(grams).bit_length() + 2))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or that of the end."""
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        behind = np.flatnonzero(self.keys[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < h[behind]]
+        at[self.keys[at] != h] = len(self.keys) - 1
+        return at
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of log-probabilities of each text, and its number of code points."""
+        flat, left, sizes = points(texts)
+        h = list(hashes(flat))
+        out = np.zeros(len(flat))
+        for n in range(ORDER, 0, -1):
+            got = self.logp[self.find(h[n - 1][left])]
+            hit = ~np.isnan(got)
+            out[left[hit]] += got[hit]
+            left = left[~hit]
+            out[left] += self.back[self.find(h[n - 2][left - 1])] if n > 1 else self.unseen
+        ends = np.concatenate([[0.0], np.cumsum(out)])
+        stops = np.cumsum(sizes + ORDER - 1)
+        return ends[stops] - ends[stops - sizes], sizes
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(batch, blob): the rows of docs, packed where they lie. A batch is named by its content, so that it has the same
+    name in both of its scans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = shared.value
+        held, size, z = [], 0, zstandard.ZstdCompressor(1)
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            blob = z.compress(sink.getvalue().to_pybytes())
+            held.clear()
+            name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
+
         for batch in batches:
-            for part in slices(batch, text):
-                grams, sizes = codes(texts_of(part, text))
-                ends = np.concatenate([[0], np.cumsum(logp[grams], dtype=np.float64)])
-                stops = np.cumsum(sizes)
-                sums = ends[stops] - ends[stops - sizes]
-                got = [round(math.exp(-s / n), 6) if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64()), pa.array(sizes)], names=[*kept, output, "n_scored"])
+            for part in slices(batch, "text"):
+                held.append(part)
+                size += part.get_total_buffer_size() if part.num_rows == batch.num_rows else part.nbytes
+                if size >= BATCH_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return arrow_rows(docs, run, [("batch", T.LongType()), ("blob", T.BinaryType())])
+
+
+def _unpacked(blob: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(zstandard.decompress(blob))
+
+
+def _asked(packed: DataFrame) -> DataFrame:
+    """(gram, batch): the distinct n-grams of each batch. A table of what was seen last in each slot leaves few to sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            for name, blob in zip(record.column("batch").to_pylist(), record.column("blob").to_pylist(), strict=True):
+                seen, out = np.zeros(1 << 20, np.uint64), [np.array([MARK], np.uint64)]
+                for part in _unpacked(blob):
+                    flat, at, _ = points(texts_of(part))
+                    place = np.zeros(len(flat), bool)
+                    place[at] = place[at - 1] = True  # contexts begin in the gap before a text
+                    for n, h in enumerate(hashes(flat), 1):
+                        h = h[place] if n < ORDER else h[at]
+                        new = np.unique(h[seen[(h >> np.uint64(44)).astype(np.int64)] != h])
+                        seen[(new >> np.uint64(44)).astype(np.int64)] = new
+                        out.append(new)
+                grams = np.unique(np.concatenate(out)).view(np.int64)
+                for lo in range(0, len(grams), 1 << 16):
+                    g = pa.array(grams[lo : lo + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([g, pa.array(np.full(len(g), name, np.int64))], names=["gram", "batch"])
+
+    return arrow_rows(packed, run, [("gram", T.LongType()), ("batch", T.LongType())])
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", output: str = "perplexity") -> DataFrame:
+    """The columns of docs but the text, with each text's perplexity per code point, null for a text without any, and
+    their number, n_scored."""
+    kept = [c for c in docs.columns if c not in (output, "n_scored", text)]
+    docs = docs.select(*kept, F.col(text).cast("string").alias("text"))
+    unseen = model.unseen
+    packed = _packed(docs)
+    none = F.lit(None).cast("float")
+    mark = docs.sparkSession.range(MARK, MARK + 1, numPartitions=1).select(F.col("id").alias("gram"), none.alias("logp"), none.alias("back"))
+    answers = materialize(_asked(packed).join(model.grams.unionByName(mark).hint("merge"), "gram"), "quality_answers")
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), T.StructField(output, T.DoubleType()), T.StructField("n_scored", T.LongType())])
+    empty = to_arrow_schema(schema).empty_table()
+
+    def run(blobs: pa.Table, grams: pa.Table) -> pa.Table:
+        rows = []
+        if blobs.num_rows and not grams.num_rows:
+            raise RuntimeError("a batch of documents was not the same in two scans")
+        if blobs.num_rows:
+            one = lambda c: grams.column(c).to_numpy()
+            found = Found(one("gram").view(np.uint64), one("logp").astype(np.float64), one("back").astype(np.float64), unseen)
+            for blob in blobs.column("blob").to_pylist():
+                for part in _unpacked(blob):
+                    sums, sizes = found.score(texts_of(part))
+                    got = [round(math.exp(-s / n), 6) if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
+                    rows.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(got, pa.float64()), pa.array(sizes, pa.int64())], names=[*kept, output, "n_scored"]))
+        return pa.Table.from_batches(rows) if rows else empty
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType()), T.StructField("n_scored", T.LongType())]))
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_scored, perplexity, threshold and keep for each document."""
-    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct()
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0
     # labels grow with the corpus: a merge join at every size, rather than a broadcast while they are few
-    model = train(docs.where(F.col("text").isNotNull()).join(good.hint("merge"), "doc_id", "left_semi"))
-    scored = materialize(score(docs, model).drop("text"), "quality_scored")
-    trusted = scored.join(good, "doc_id", "left_semi").where(F.col("perplexity").isNotNull())
-    quantile = F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK
-    of_lang = trusted.where(F.col("lang").isNotNull()).groupBy("lang").agg(quantile.alias("own"))
-    whole = trusted.agg(quantile.alias("whole")).collect()[0]["whole"]
+    model = train(docs.where(F.col("text").isNotNull()).join(good.where(~held).hint("merge"), "doc_id", "left_semi").select("text"))
+    scored = materialize(score(docs, model), "quality_scored")
+    trusted = scored.where(F.col("perplexity").isNotNull()).join(good.hint("merge"), "doc_id", "left_semi").withColumn("held", held)
+    quantile = F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), QUANTILE, 10_000)
+    top = trusted.agg(F.count(F.when(F.col("held"), 1)).alias("n"), quantile.alias("held"), F.max("perplexity").alias("every")).collect()[0]
+    whole = top["held"] if top["n"] >= FEW else top["every"]
+    whole = None if whole is None else float(whole) * SLACK
+    own = trusted.where("held").groupBy("lang").agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("own"), F.count("*").alias("held_out"))
+    own = materialize(own.where(F.col("lang").isNotNull() & (F.col("held_out") >= LEAST_HELD)), "quality_limits")
     limit = F.coalesce(F.col("own"), F.lit(whole).cast("double"))
-    return scored.join(of_lang, "lang", "left").select(
+    rows = attach(scored, own, ["lang"], "held_out", ["doc_id", "n_scored"])
+    return rows.select(
         "doc_id", "lang", "n_scored", "perplexity", limit.alias("threshold"), (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))).alias("keep")
     )
 
