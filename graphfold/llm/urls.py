@@ -6,8 +6,11 @@ boosted trees, which are trained on the urls that the rules have labelled. The
 features are length, path depth, digit ratio, entropy of the characters, the
 numbers of parameters, hyphens and labels of the host, and two statistics of the
 host's suffix (its last two labels): how many urls have it, and the share of
-blocked ones among the labelled, both over all urls. Each suffix has statistics
-of its own; the most common ones are broadcast and the rest joined.
+blocked ones among the labelled, both over all urls. For a labelled url that share
+is taken over the other FOLDS - 1 parts of the urls, so that no label is part of
+its own url's features. Each suffix has statistics of its own; the most common
+ones are broadcast and the rest joined. accuracy() trains on some urls and holds
+the verdicts against the labels of the others.
 
 A tree level is one aggregation: each labelled url's features are binned, and
 gradients are summed by node, feature and bin. The sums have at most
@@ -17,7 +20,8 @@ urls, those with the smallest hashes; suffix statistics and verdicts cover all.
 Edge cases: for a null url, or one without `://`, host and path are empty and no
 rule fits; its features are those of an empty string. Without labelled urls of
 both verdicts the model is a constant: the verdict that occurs, or allow.
-Repeated urls get equal verdicts. Extra columns do not matter.
+Repeated urls get equal verdicts. A score of exactly 0.5 allows. Urls of any length
+are read whole. Extra columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from graphfold.llm.common import attach, materialize, table
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 TRAIN_ROWS = 50_000
 TREES, DEPTH, BINS, RATE, RIDGE = 12, 3, 16, 0.4, 1.0
+#: Parts of the urls: the statistics of a labelled url's suffix come from the other parts.
+FOLDS = 5
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "suffix_urls", "suffix_blocked")
 
 
@@ -87,13 +93,15 @@ def describe(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "ur
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": rule, "verdict": verdict, **lexical(F.col("__url"), F.col("host"), F.col("path")), "__suffix": suffix(F.col("host"))})
     base = materialize(base.withColumn("__hash", F.xxhash64("__url")).drop("__url"), "url_features")
-    stats = base.groupBy("__suffix").agg(
-        F.count("*").alias("__urls"),
-        F.log2(F.count("*") + 1.0).alias("suffix_urls"),
-        ((F.sum((F.col("verdict") == "block").cast("double")) + 1.0) / (F.count("verdict") + 2.0)).alias("__blocked"),
-    )
-    stats = materialize(stats.select("__suffix", "__urls", "suffix_urls", F.coalesce("__blocked", F.lit(0.5)).alias("suffix_blocked")), "url_suffixes")
-    return attach(base, stats, ["__suffix"], "__urls", [key, "__hash"]).drop("__suffix")
+    blocked, labelled = (F.col("verdict") == "block").cast("double"), F.col("verdict").isNotNull().cast("double")
+    own = F.pmod("__hash", F.lit(FOLDS))
+    folds = [F.struct(F.coalesce(F.sum(F.when(own == k, blocked)), F.lit(0.0)).alias("blocked"), F.sum(F.when(own == k, labelled).otherwise(0.0)).alias("labelled")) for k in range(FOLDS)]
+    stats = base.groupBy("__suffix").agg(F.count("*").alias("__urls"), F.log2(F.count("*") + 1.0).alias("suffix_urls"), F.array(*folds).alias("__folds"))
+    stats = materialize(stats, "url_suffixes")
+    found = attach(base, stats, ["__suffix"], "__urls", [key, "__hash"])
+    # a labelled url's share is taken over the other folds, so that its own label is no part of its features
+    total = lambda name: F.aggregate("__folds", F.lit(0.0), lambda acc, x: acc + x[name]) - F.when(F.col("verdict").isNotNull(), F.element_at("__folds", (own + 1).cast("int"))[name]).otherwise(0.0)
+    return found.withColumn("suffix_blocked", (total("blocked") + 1.0) / (total("labelled") + 2.0)).drop("__suffix", "__folds")
 
 
 def _bin(value: Column, cuts: list[float]) -> Column:
@@ -125,18 +133,18 @@ class Boosted:
         return out
 
 
-def fit(described: DataFrame, trees: int = TREES, depth: int = DEPTH, rows: int = TRAIN_ROWS) -> Boosted:
+def fit(described: DataFrame, trees: int = TREES, depth: int = DEPTH, rows: int = TRAIN_ROWS, features: tuple[str, ...] = FEATURES) -> Boosted:
     """Boosts logistic loss on labelled urls, second order, with bins at quantiles."""
     labelled = described.where(F.col("verdict").isNotNull())
-    sample = labelled.orderBy("__hash", *FEATURES).limit(rows).withColumn("y", (F.col("verdict") == "block").cast("double"))
-    sample = materialize(sample.select("y", *FEATURES), "url_sample")
-    total = sample.agg(F.count("*").alias("n"), F.sum("y").alias("pos"), *(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 1000).alias(f) for f in FEATURES)).collect()[0]
+    sample = labelled.orderBy("__hash", *features).limit(rows).withColumn("y", (F.col("verdict") == "block").cast("double"))
+    sample = materialize(sample.select("y", *features), "url_sample")
+    total = sample.agg(F.count("*").alias("n"), F.sum("y").alias("pos"), *(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 1000).alias(f) for f in features)).collect()[0]
     n, pos = total["n"], total["pos"] or 0.0
     if not n or pos in (0.0, float(n)):
         return Boosted(-4.0 if not n or not pos else 4.0, [])
-    cuts = {f: sorted(set(total[f])) for f in FEATURES}
+    cuts = {f: sorted(set(total[f])) for f in features}
     # equal rows are one row with counts
-    binned = sample.groupBy(*(_bin(F.col(f), cuts[f]).alias(f) for f in FEATURES)).agg(F.sum("y").alias("__pos"), F.count("*").cast("double").alias("__n"))
+    binned = sample.groupBy(*(_bin(F.col(f), cuts[f]).alias(f) for f in features)).agg(F.sum("y").alias("__pos"), F.count("*").cast("double").alias("__n"))
     binned = materialize(binned, "url_bins")
     start = math.log(pos / (n - pos))
     grown: list[tuple[dict, dict]] = []  # with bins for bounds
@@ -146,7 +154,7 @@ def fit(described: DataFrame, trees: int = TREES, depth: int = DEPTH, rows: int
         p = 1 / (1 + F.exp(-Boosted(start, grown).score()))
         rated = binned.withColumns({"__g": F.col("__pos") - F.col("__n") * p, "__h": F.col("__n") * p * (1 - p)})
         for level in range(depth + 1):
-            long = rated.select(_node(splits).alias("node"), "__g", "__h", F.posexplode(F.array(*FEATURES)).alias("f", "b"))
+            long = rated.select(_node(splits).alias("node"), "__g", "__h", F.posexplode(F.array(*features)).alias("f", "b"))
             sums: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
             for r in long.groupBy("node", "f", "b").agg(F.sum("__g").alias("g"), F.sum("__h").alias("h")).collect():
                 sums.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"])
@@ -159,13 +167,13 @@ def fit(described: DataFrame, trees: int = TREES, depth: int = DEPTH, rows: int
                 best = (1e-6, None)
                 for f in sorted(by_feature) if level < depth else ():
                     left_g = left_h = 0.0
-                    for b in range(len(cuts[FEATURES[f]])):
+                    for b in range(len(cuts[features[f]])):
                         bg, bh = by_feature[f].get(b, (0.0, 0.0))
                         left_g, left_h = left_g + bg, left_h + bh
                         if left_h > 1e-3 and h - left_h > 1e-3:
                             gain = left_g**2 / (left_h + RIDGE) + (g - left_g) ** 2 / (h - left_h + RIDGE) - g**2 / (h + RIDGE)
                             if gain > best[0] * (1 + 1e-9):
-                                best = gain, (FEATURES[f], b)
+                                best = gain, (features[f], b)
                 if best[1]:
                     splits[at] = best[1]
                     del leaves[at]
@@ -183,6 +191,16 @@ def _node(splits: dict[int, tuple[str, float]], node: int = 1) -> Column:
     return F.when(F.col(name) <= bound, _node(splits, 2 * node)).otherwise(_node(splits, 2 * node + 1))
 
 
+def accuracy(described: DataFrame, features: tuple[str, ...] = FEATURES) -> tuple[float, float, int]:
+    """Of the labelled urls of one fold, whose labels the trees have not seen: the share of right verdicts, the share of
+    the more common verdict, and their number."""
+    mine = F.pmod("__hash", F.lit(FOLDS)) == 0
+    model = fit(described.where(~mine), features=features)
+    held = described.where(mine & F.col("verdict").isNotNull()).select((F.col("verdict") == "block").alias("y"), (model.score() > 0).alias("p"))
+    n, right, blocked = held.agg(F.count("*"), F.avg((F.col("y") == F.col("p")).cast("double")), F.avg(F.col("y").cast("double"))).collect()[0]
+    return right, max(blocked, 1 - blocked), n
+
+
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict and the model's probability of `block`, for every page."""
     described = describe(pages, rules, key, url)

@@ -104,8 +104,25 @@ def test_each_suffix_has_its_own_statistics(spark, monkeypatch, head):
     got = urls.describe(pages, (("block", "bad/"),)).collect()
     assert len(got) == len(rows) + 1 and "__suffix" not in got[0].asDict()
     for r in got:
-        n, blocked = (40, 0) if r["host"].endswith("common.net") else (1, r["host"].endswith("bad"))
-        assert math.isclose(r["suffix_urls"], math.log2(n + 1)) and math.isclose(r["suffix_blocked"], 2 / 3 if blocked else 1 / 2)
+        n = 40 if r["host"].endswith("common.net") else 1
+        # the only label of a suffix of one url is that url's own
+        assert math.isclose(r["suffix_urls"], math.log2(n + 1)) and math.isclose(r["suffix_blocked"], 1 / 2)
+
+
+def test_suffix_shares_leave_the_own_fold_out(spark):
+    urls_ = [f"http://{'bad' if i % 4 == 0 else 'ok'}.x.org/{i}" for i in range(200)] + [f"http://other.x.org/{i}" for i in range(20)]
+    got = urls.describe(spark.createDataFrame(list(enumerate(urls_)), "page_id int, url string"), (("block", "bad.x.org/"), ("allow", "ok.x.org/"))).collect()
+    fold = lambda r: r["__hash"] % urls.FOLDS
+    for r in got:
+        others = [x for x in got if x["verdict"] and not (r["verdict"] and fold(x) == fold(r))]
+        assert math.isclose(r["suffix_blocked"], (sum(x["verdict"] == "block" for x in others) + 1) / (len(others) + 2))
+
+
+def test_verdicts_of_held_out_urls(spark):
+    described = urls.describe(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    right, common, n = urls.accuracy(described)
+    alone, _, _ = urls.accuracy(described, tuple(f for f in urls.FEATURES if f != "suffix_blocked"))
+    assert n >= 200 and right >= max(0.7, common + 0.1) and alone >= max(0.7, common + 0.1)
 
 
 def test_trees_learn(spark):
