@@ -51,8 +51,8 @@ from graphfold.operators.components import connected_components
 SKETCH_BITS, SKETCH_SLICES = 20, 64
 #: Bits of a parity bitmap, and grams between two looks at the bound.
 BITMAP_BITS, TRIE_STEP = 2048, 64
-#: Documents of a chunk of a block, and their grams on average at most; both bound what a task holds.
-CHUNK, CHUNK_GRAMS = 4096, 1024
+#: Documents of a chunk of a block or a star, and their grams on average at most; both bound what a task holds.
+CHUNK, STAR_CHUNK, CHUNK_GRAMS = 4096, 512, 1024
 #: Rounds of stars before what is left is compared in full, and how many documents may hold a gram that is common.
 STARS, COMMON = 2, 10_000
 
@@ -214,21 +214,23 @@ def _parts(rows: DataFrame, star: bool) -> DataFrame:
     """rows (hub, id, n, label) with a part: of a small block 0. A larger block is dealt into chunks.
 
     A star's hub goes to each chunk. Of other blocks, the documents of the most common label are set against chunks of the
-    others, and these against each other; those of the most common label never meet.
+    others, and these against each other; those of the most common label never meet. Only the large blocks, of which
+    there are few, are looked up: Spark broadcasts them while their table is small.
     """
-    room = F.lit(float(CHUNK)), F.lit(float(CHUNK * CHUNK_GRAMS))
+    most = STAR_CHUNK if star else CHUNK
+    room = F.lit(float(most)), F.lit(float(most * CHUNK_GRAMS))
     sums = F.count("*").alias("rows"), F.sum("n").alias("grams")
     parts = lambda: F.greatest(F.ceil(F.col("rows") / room[0]), F.ceil(F.col("grams") / room[1])).cast("int")
     if star:
-        large = rows.groupBy("hub").agg(*sums).select("hub", parts().alias("k")).where("k > 1")
-        own = rows.join(large.hint("merge"), "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        large = materialize(rows.groupBy("hub").agg(*sums).select("hub", parts().alias("k")).where("k > 1"), "join_large")
+        own = rows.join(large, "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
         mine = F.array(F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
         return own.withColumn("part", F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(mine))).drop("k")
     by_label = rows.groupBy("hub", "label").agg(*sums)
     first = F.max(F.struct("rows", "label", "grams")).alias("top")
     large = by_label.groupBy("hub").agg(first, F.sum("rows").alias("rows"), F.sum("grams").alias("grams")).where(parts() > 1)
     large = large.select("hub", F.col("top.label").alias("most"), F.greatest(F.ceil(F.col("top.rows") / room[0]), F.ceil(F.col("top.grams") / room[1])).cast("int").alias("b"), F.greatest(F.ceil((F.col("rows") - F.col("top.rows")) / room[0]), F.ceil((F.col("grams") - F.col("top.grams")) / room[1])).cast("int").alias("o"))
-    own = rows.join(large.hint("merge"), "hub", "left")
+    own = rows.join(materialize(large, "join_large"), "hub", "left")
     # part x * (o + b) + y: chunk x of the others beside chunk y of the others (y >= x) or chunk y - o of the most common label
     wide, at = F.col("o") + F.col("b"), lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
     common = F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda x: x * wide + F.col("o") + at(F.col("b")))
@@ -373,8 +375,8 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
                 sets = shingle_sets(texts_of(part), size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "grams"])
 
-    asked = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    sets = materialize(arrow_rows(asked, full, [("id", T.LongType()), ("grams", T.BinaryType())]).dropDuplicates(["id"]), "join_sets")
+    asked = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(arrow_rows(asked, full, [("id", T.LongType()), ("grams", T.BinaryType())]), "join_sets")
     labels, links = None, []
     for turn in range(STARS + 1):
         table_ = _labelled(shared, labels)

@@ -61,13 +61,47 @@ def test_join_matches_all_pairs(spark, seed):
     assert len({c for _, c in got.values()}) < len(rows)
 
 
-def test_chunks_of_a_block_meet(spark, monkeypatch):
+@pytest.mark.parametrize("stars", [0, 2])
+def test_chunks_of_a_block_meet(spark, monkeypatch, stars):
     monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "STAR_CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "STARS", stars)
+    monkeypatch.setattr(ngram_join, "COMMON", 2 if stars else 10_000)
     rows = copies(5, 4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == components_by_hand(rows)
 
 
+def near_copies(group, seed=7):
+    """A group of near copies of one text, each with a word of its own, and as many other texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for _ in range(group):
+        w = list(base)
+        w[rng.randrange(200)] = word()
+        rows += [" ".join(w), " ".join(word() for _ in range(50))]
+    return list(enumerate(rows))
+
+
+def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    made, write = {}, ngram_join.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    seen = []
+    for group in (20, 100):
+        made.clear()
+        got = ngram_join.join(spark.createDataFrame(near_copies(group), "doc_id long, text string")).collect()
+        assert len({r["component_id"] for r in got if r["doc_id"] % 2 == 0}) == 1
+        seen.append({k: made.get(k, 0) for k in ("join_stars", "join_blocks", "join_hopeful", "join_links")})
+    assert all(large <= 6 * max(small, 20) for small, large in zip(seen[0].values(), seen[1].values(), strict=True))
+
+
 def test_join_of_odd_rows(spark, odd_docs, no_docs, texts):
     got = ngram_join.join(odd_docs).collect()
     want = components_by_hand(texts)
