@@ -11,28 +11,36 @@ ENTITY = "struct<name:string,type:string,description:string>"
 RELATION = "struct<source:string,target:string,type:string,description:string>"
 
 
-def payload(raw: Column) -> Column:
-    """The JSON text of a reply: what a fence holds, and if that is no JSON, from its first to its last brace."""
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row: a generator is not merged into the expressions that use it."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def unfenced(raw: Column) -> Column:
+    """A reply without white space around, or what its first fence holds."""
+    fence = r"^[\s\S]*?```(?:json)?\s*([\s\S]*?)```[\s\S]*$"
     t = strip(F.coalesce(raw, F.lit("")))
-    fence = F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    t = F.when(t.rlike(r"```(?:json)?\s*[\s\S]*?```"), strip(fence)).otherwise(t)
-    block = F.regexp_extract(t, r"\{[\s\S]*\}", 0)
-    return F.when(F.try_parse_json(t).isNotNull(), t).when((block != "") & F.try_parse_json(block).isNotNull(), block)
+    return F.when(F.contains(t, F.lit("```")), strip(F.regexp_replace(t, fence, "$1"))).otherwise(t)
+
 
+def parsed(text: Column) -> Column:
+    """The JSON value of a text, or else of what stands from its first to its last brace."""
+    block = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(block, F.lit(""))))
 
-def _list(json: Column, field: str) -> Column:
-    """A list of the object as an array of JSON texts; null if the field holds anything else that is not empty."""
-    v = F.try_variant_get(F.try_parse_json(json), f"$.{field}", "variant")
-    kind = F.schema_of_variant(v)
-    items = F.try_variant_get(F.try_parse_json(json), f"$.{field}", "array<variant>")
-    empty = v.isNull() | F.is_variant_null(v) | F.to_json(v).isin("false", "0", "0.0", '""', "{}")
-    return F.when(empty, F.array().cast("array<string>")).when(kind.startswith("ARRAY"), F.transform(items, lambda x: F.to_json(x)))
 
+def _items(value: Column) -> Column:
+    """A list's members; none for a value that is empty, null for any other."""
+    none = F.array().cast("array<variant>")
+    empty = value.isNull() | F.is_variant_null(value) | F.to_json(value).isin("false", "0", "0.0", '""', "{}")
+    return F.when(empty, none).otherwise(F.try_variant_get(value, "$", "array<variant>"))
 
-def _field(item: Column, name: str) -> Column:
-    """A member as text; null where it is missing, null, false, zero or empty. Truth values read as True."""
-    v = F.get_json_object(item, f"$.{name}")
-    return F.when(v.isin("", "false", "0", "[]", "{}"), None).when(v == "true", "True").otherwise(v)
+
+def _texts(items: Column, *names: str) -> Column:
+    """The members of objects as texts; a member that is missing, null, false, zero or empty is null, true reads as True."""
+    rows = F.transform(F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), lambda x: F.struct(*(F.try_variant_get(x, f"$.{n}", "string").alias(n) for n in names)))
+    text = lambda v: F.when(v.isin("", "false", "0", "0.0", "[]", "{}"), None).when(v == "true", "True").otherwise(v)
+    return F.transform(rows, lambda x: F.struct(*(text(x[n]).alias(n) for n in names)))
 
 
 def parse(df: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
@@ -42,19 +50,22 @@ def parse(df: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
     and `related_to` as defaults; relationships without both ends, or between equal
     names, go. With strict, a reply that is not ok raises.
     """
-    json = payload(F.col(raw))
-    df = df.withColumn("__json", json)
-    obj = F.col("__json").startswith("{")
-    df = df.withColumns({"__e": _list(F.col("__json"), "entities"), "__r": _list(F.col("__json"), "relationships")})
-    status = F.when(strip(F.coalesce(F.col(raw), F.lit(""))) == "", "empty").when(~F.coalesce(obj, F.lit(False)) | F.col("__e").isNull() | F.col("__r").isNull(), "invalid").otherwise("ok")
-    is_object = lambda x: x.startswith("{")
+    df = _once(df, __text=unfenced(F.col(raw)))
+    df = _once(df, __json=parsed(F.col("__text")))
+    member = lambda name: F.try_variant_get("__json", f"$.{name}", "variant")
+    df = _once(df, __object=F.schema_of_variant("__json").startswith("OBJECT"), __e=member("entities"), __r=member("relationships"))
+    df = _once(df, __entities=_items(F.col("__e")), __relations=_items(F.col("__r")))
+    status = F.when(F.col("__text") == "", F.when(strip(F.coalesce(raw, F.lit(""))) == "", "empty").otherwise("invalid"))
+    status = status.when(~F.coalesce("__object", F.lit(False)) | F.col("__entities").isNull() | F.col("__relations").isNull(), "invalid").otherwise("ok")
+    if strict:
+        status = F.when(status == "ok", "ok").otherwise(F.raise_error(F.concat(F.lit("extraction reply is "), status)).cast("string"))
+    df = _once(df, status=status, __entities_=_texts(F.col("__entities"), "name", "type", "description"), __relations_=_texts(F.col("__relations"), "source", "target", "type", "description"))
     text = lambda c: F.coalesce(strip(c), F.lit(""))
-    entity = lambda x: F.struct(clean_name(_field(x, "name")).alias("name"), clean_type(_field(x, "type")).alias("type"), text(_field(x, "description")).alias("description"))
-    relation = lambda x: F.struct(clean_name(_field(x, "source")).alias("source"), clean_name(_field(x, "target")).alias("target"), clean_type(F.coalesce(_field(x, "type"), F.lit("related_to"))).alias("type"), text(_field(x, "description")).alias("description"))
+    entities = F.transform("__entities_", lambda x: F.struct(clean_name(x["name"]).alias("name"), clean_type(x["type"]).alias("type"), text(x["description"]).alias("description")))
+    kind = lambda x: clean_type(F.coalesce(x["type"], F.lit("related_to"))).alias("type")
+    relations = F.transform("__relations_", lambda x: F.struct(clean_name(x["source"]).alias("source"), clean_name(x["target"]).alias("target"), kind(x), text(x["description"]).alias("description")))
+    entities = F.filter(entities, lambda x: x["name"] != "")
+    relations = F.filter(relations, lambda x: (x["source"] != "") & (x["target"] != "") & (F.lower(x["source"]) != F.lower(x["target"])))
     ok = F.col("status") == "ok"
-    df = df.withColumn("status", status)
-    if strict:
-        df = df.withColumn("status", F.when(ok, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("extraction reply is "), F.col("status")))))
-    entities = F.filter(F.transform(F.filter("__e", is_object), entity), lambda x: x["name"] != "")
-    relations = F.filter(F.transform(F.filter("__r", is_object), relation), lambda x: (x["source"] != "") & (x["target"] != "") & (F.lower(x["source"]) != F.lower(x["target"])))
-    return df.withColumns({"entities": F.when(ok, entities), "relationships": F.when(ok, relations)}).drop("__json", "__e", "__r")
+    df = _once(df, entities=F.when(ok, entities), relationships=F.when(ok, relations))
+    return df.drop("__text", "__json", "__object", "__e", "__r", "__entities", "__relations", "__entities_", "__relations_")

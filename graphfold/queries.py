@@ -352,10 +352,12 @@ UNION ALL SELECT p_partkey, 'invalid', '', '', '', '' FROM k WHERE k = 3""",
 )
 def parse_extraction(spark, sf_dir):
     x = extraction.parse(_replies(spark, sf_dir).select("p_partkey", "raw"))
-    e = x.select("p_partkey", F.lit("entity").alias("item"), F.explode("entities").alias("e")).select("p_partkey", "item", F.col("e.name").alias("a"), F.lit("").alias("b"), "e.type", "e.description")
-    r = x.select("p_partkey", F.lit("relation").alias("item"), F.explode("relationships").alias("r")).select("p_partkey", "item", F.col("r.source").alias("a"), F.col("r.target").alias("b"), "r.type", "r.description")
-    bad = x.where(F.col("status") != "ok").select("p_partkey", F.col("status").alias("item"), *(F.lit("").alias(c) for c in ("a", "b", "type", "description")))
-    return e.union(r).union(bad)
+    row = lambda item, a, b, kind, text: F.struct(item.alias("item"), a.alias("a"), b.alias("b"), kind.alias("type"), text.alias("description"))
+    none = F.lit("")
+    entities = F.transform("entities", lambda e: row(F.lit("entity"), e["name"], none, e["type"], e["description"]))
+    relations = F.transform("relationships", lambda r: row(F.lit("relation"), r["source"], r["target"], r["type"], r["description"]))
+    bad = F.array(row(F.col("status"), none, none, none, none))
+    return x.select("p_partkey", F.inline(F.when(F.col("status") == "ok", F.concat(entities, relations)).otherwise(bad)))
 
 
 def _mentions(spark, sf_dir):
