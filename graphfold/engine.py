@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphfold.config import EngineConfig
 from graphfold.errors import NotFound
 from graphfold.operators import community, graph, ingest, qa, retrieval, tables
+from graphfold.plans.written import materialize
 from graphfold.sources.clients import EmbeddingClient, LanguageClient, embed_texts, with_completions, with_embeddings
 from graphfold.sources.store import Store
 
@@ -34,24 +35,60 @@ class Engine:
         return self.store.write(tables.insert_edges(self.store.read("nodes"), self.store.read("edges"), rows), "edges")
 
     def create_chunks(self, rows: DataFrame) -> DataFrame:
-        rows = with_embeddings(rows, self.embedder, self.config)
-        return self.store.write(tables.insert_chunks(self.store.read("nodes"), self.store.read("chunks"), rows), "chunks")
+        """Rows are checked before anything is embedded, and each text is embedded once."""
+        nodes = self.store.read("nodes")
+        rows = materialize(with_embeddings(tables.checked_chunks(nodes, rows), self.embedder, self.config), "embedded")
+        return self.store.write(tables.insert_chunks(nodes, self.store.read("chunks"), rows), "chunks")
 
     def update(self, table: str, patch: DataFrame) -> DataFrame:
         """A chunk whose text changes is embedded again."""
         if table == "chunks" and "text" in patch.columns:
-            patch = with_embeddings(patch, self.embedder, self.config)
+            patch = materialize(with_embeddings(patch, self.embedder, self.config), "embedded")
         return self.store.write(tables.update(self.store.read(table), patch), table)
 
+    #: What goes with a deleted row: table and column that names it.
+    DEPENDENT = {"communities": ("members", "community_id"), "documents": ("jobs", "document_id")}
+
     def delete(self, table: str, ids: DataFrame) -> None:
-        if table != "nodes":
+        """Deletes rows and what depends on them: of nodes their edges, chunks and memberships, of communities the
+        memberships, of documents the jobs."""
+        if table == "nodes":
+            names = ("nodes", "edges", "chunks", "members", "documents", "communities")
+            left = tables.delete_nodes(ids, *(self.store.read(n) for n in names))
+        elif table in self.DEPENDENT:
+            names, column = (table, self.DEPENDENT[table][0]), self.DEPENDENT[table][1]
+            left = dict(zip(names, tables.delete_with(ids, *(self.store.read(n) for n in names), column), strict=True))
+        else:
             t = self.store.read(table)
-            self.store.write(t.join(ids.select("id"), "id", "left_anti").select(*t.columns), table)
-            return
-        names = ("nodes", "edges", "chunks", "members", "documents", "communities")
-        for name, df in tables.delete_nodes(ids, *(self.store.read(n) for n in names)).items():
+            left = {table: t.join(ids.select("id"), "id", "left_anti")}
+        for name, df in left.items():
             self.store.write(df.select(*self.store.read(name).columns), name)
 
+    def list_nodes(self, **how) -> DataFrame:
+        return tables.list_nodes(self.store.read("nodes"), **how)
+
+    def list_edges(self, **how) -> DataFrame:
+        return tables.list_edges(self.store.read("edges"), **how)
+
+    def list_chunks(self, **how) -> DataFrame:
+        return tables.list_chunks(self.store.read("chunks"), **how)
+
+    def list_documents(self, **how) -> DataFrame:
+        """Documents with the numbers of their chunks and mentions."""
+        page = tables.list_documents(self.store.read("documents"), **how)
+        return tables.document_counts(page, self.store.read("chunks"), self.store.read("edges")).orderBy(F.desc("created_at"), "id")
+
+    def list_communities(self, **how) -> DataFrame:
+        return tables.list_communities(self.store.read("communities"), **how)
+
+    def members_of(self, community_id: str) -> DataFrame:
+        self.get("communities", community_id)
+        return community.members_of(community_id, self.store.read("members"), self.store.read("nodes"))
+
+    def reembed(self, limit: int = 100) -> DataFrame:
+        """Embeds the oldest chunks that lack an embedding."""
+        return self.store.write(ingest.reembed(self.store.read("chunks"), self.embedder, self.config, limit), "chunks")
+
     def neighbors(self, node_id: str, direction: str = "both", edge_type: str | None = None, depth: int = 1) -> graph.Expansion:
         self.get("nodes", node_id)
         g = self.graph()
@@ -63,17 +100,49 @@ class Engine:
     def ask(self, question: str, **how) -> qa.Answer:
         return qa.ask(self.graph(), question, embed_texts(self.embedder, [question], self.config)[0], self.model, self.config, **how)
 
+    def submit(self, docs: DataFrame) -> DataFrame:
+        """Writes pending documents and jobs for docs (id, title, text); returns the jobs."""
+        documents, jobs = ingest.new_documents(docs, self.store.read("documents"), self.store.read("jobs"))
+        documents, jobs = materialize(documents, "documents"), materialize(jobs, "jobs")
+        self.store.write(documents, "documents")
+        return self.store.write(jobs, "jobs").where(F.col("status") == "pending")
+
+    def run_jobs(self) -> ingest.Ingested | None:
+        """Runs all pending jobs as one: chunks, extractions, entities and edges are added to the stored graph, and the
+        communities of the whole graph are built anew. Documents and jobs follow each stage; when one fails, they say
+        so with the error, and the graph stays as it was."""
+        pending = materialize(self.store.read("jobs").where(F.col("status") == "pending").select("id", "document_id"), "pending")
+        if pending.isEmpty():
+            return None
+        of_jobs = pending.select(F.col("document_id").alias("id")).distinct()
+        docs = materialize(self.store.read("documents").join(of_jobs, "id", "left_semi").select("id", "title", "text"), "documents")
+
+        def stamp(stage: str, status: str = "running", **more) -> None:
+            shared = {k: v for k, v in more.items() if k == "error"}
+            self.store.write(ingest.stamped(self.store.read("documents"), docs, {"status": stage, **shared}), "documents")
+            self.store.write(ingest.stamped(self.store.read("jobs"), pending, ({"stage": stage} if stage != "failed" else {}) | {"status": status, **more}), "jobs")
+
+        try:
+            made = ingest.run(docs, self.graph(), self.embedder, self.model, self.config, lambda df, name: self.store.write(df, f"job_{name}"), stamp)
+            for name, df in (("nodes", made.graph.nodes), ("edges", made.graph.edges), ("chunks", made.graph.chunks)):
+                self.store.write(df, name)
+            self.store.write(ingest.upserted(self.store.read("documents"), ingest.document_nodes(docs).select("id", "node_id")), "documents")
+            stamp("building_communities")
+            self.rebuild_communities()
+            stamp("ready", "completed", error=None, **made.progress)
+            return ingest.Ingested(self.graph(), made.progress)
+        except Exception as e:
+            stamp("failed", "failed", error=str(e)[:4000])
+            raise
+
     def ingest(self, docs: DataFrame) -> ingest.Ingested:
-        """Runs the job over documents (id, title, text) and adds what it made to the store."""
-        made = ingest.run(docs, self.embedder, self.model, self.config, lambda df, name: self.store.write(df, f"job_{name}"))
-        for name, df in (("nodes", made.graph.nodes), ("edges", made.graph.edges), ("chunks", made.graph.chunks), ("communities", made.communities.communities), ("members", made.communities.members)):
-            old = self.store.read(name)
-            keys = ["id"] if "id" in old.columns else old.columns
-            new = df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema.fields)).dropDuplicates(keys)
-            self.store.write(old.join(new.select(*keys), keys, "left_anti").unionByName(new), name)
-        return made
+        """Submits documents (id, title, text) and runs their jobs."""
+        self.submit(docs)
+        return self.run_jobs()
 
-    def reindex(self, docs: DataFrame) -> ingest.Ingested:
+    def reindex(self, ids: DataFrame) -> ingest.Ingested:
+        """Runs documents (id) of the store again; their chunks and mentions go first, entities and descriptions stay."""
+        docs = materialize(self.store.read("documents").join(ids.select("id"), "id", "left_semi").select("id", "title", "text"), "documents")
         chunks, edges = ingest.reset(ingest.document_nodes(docs), self.store.read("chunks"), self.store.read("edges"))
         self.store.write(chunks, "chunks")
         self.store.write(edges, "edges")
@@ -83,12 +152,8 @@ class Engine:
         g = self.graph()
         nodes, chunks = community.clear(self.store.read("communities"), g.nodes, g.chunks)
         made = community.rebuild(nodes, g.edges, self.config, lambda df: with_completions(df, self.model, self.config, community.SUMMARY_SYSTEM, temperature=0.2), lambda df: with_embeddings(df, self.embedder, self.config))
-        fill = lambda old, new: old.unionByName(new.select(*(F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema.fields)))
-        empty = lambda name: self.store.read(name).limit(0)
-        self.store.write(fill(nodes, made.nodes), "nodes")
-        self.store.write(fill(chunks, made.chunks), "chunks")
-        self.store.write(fill(empty("communities"), made.communities), "communities")
-        self.store.write(fill(empty("members"), made.members), "members")
+        for name, old, new in (("nodes", nodes, made.nodes), ("chunks", chunks, made.chunks), ("communities", self.store.read("communities").limit(0), made.communities), ("members", self.store.read("members").limit(0), made.members)):
+            self.store.write(old.select(*self.store.read(name).columns).unionByName(tables.aligned(self.store.read(name), new)), name)
         return made
 
     def health(self) -> dict[str, bool]:

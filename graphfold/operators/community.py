@@ -11,6 +11,7 @@ from graphfold.config import EngineConfig
 from graphfold.operators.components import connected_components
 from graphfold.operators.resolution import stable_id
 from graphfold.plans.schemas import COMMUNITY_SUMMARY, MENTIONS, SCAFFOLD
+from graphfold.plans.written import materialize
 
 SUMMARY_SYSTEM = "Describe in a few sentences what connects these entities and which facts stand out. Use only what is given."
 #: How many members, descriptions and relationships a prompt shows, and how long a description.
@@ -33,10 +34,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sizes(membership: DataFrame, min_size: int = 1) -> DataFrame:
-    """(component, member_count, label): numbered by falling size, then by smallest id."""
+    """(component, member_count, label): numbered by falling size, then by smallest id. Ranges are numbered each by
+    itself, and then moved on by what the ranges before them hold."""
     n = membership.groupBy("component").agg(F.count("*").alias("member_count")).where(F.col("member_count") >= min_size)
-    number = F.row_number().over(Window.orderBy(F.desc("member_count"), "component"))
-    return n.withColumn("label", F.concat(F.lit("community_"), number.cast("string")))
+    order = [F.desc("member_count"), F.asc("component")]
+    ranges = materialize(n.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "communities")
+    before, held = [F.lit(0)], 0
+    for r in ranges.groupBy("__range").count().orderBy("__range").collect():  # a row for each range
+        before.insert(0, F.when(F.col("__range") == r["__range"], held))
+        held += r["count"]
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.coalesce(*before)
+    return ranges.select("component", "member_count", F.concat(F.lit("community_"), number.cast("string")).alias("label"))
 
 
 def prompts(membership: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -79,10 +87,11 @@ def rebuild(nodes: DataFrame, edges: DataFrame, config: EngineConfig, summarise,
     membership = components(entities, inner)
     kept = sizes(membership, config.community_min_size)
     of_kept = membership.join(kept.select("component"), "component", "left_semi")
-    c = summarise(kept.join(prompts(of_kept, entities, inner), "component")).withColumn("summary", F.trim("reply"))
+    # written once: what follows refers to the replies often, and a model is asked once
+    c = materialize(summarise(kept.join(prompts(of_kept, entities, inner), "component")).withColumn("summary", F.trim("reply")), "summaries")
     c = c.withColumns({"id": stable_id(F.lit("community"), F.col("component")), "node_id": stable_id(F.lit("community node"), F.col("component"))})
     new_nodes = c.select(F.col("node_id").alias("id"), F.lit("community").alias("type"), F.col("label").alias("name"), "member_count")
-    chunks = embed(c.where(F.coalesce("summary", F.lit("")) != "").select(stable_id(F.lit("community chunk"), F.col("component")).alias("id"), "node_id", F.lit(COMMUNITY_SUMMARY).alias("kind"), F.col("summary").alias("text")))
+    chunks = materialize(embed(c.where(F.coalesce("summary", F.lit("")) != "").select(stable_id(F.lit("community chunk"), F.col("component")).alias("id"), "node_id", F.lit(COMMUNITY_SUMMARY).alias("kind"), F.col("summary").alias("text"))), "summary_chunks")
     members = of_kept.join(c.select("component", F.col("id").alias("community_id")), "component").select("community_id", F.col("id").alias("node_id"))
     return Communities(c.select("id", "label", "summary", "node_id", F.col("member_count").cast("int").alias("member_count")), members, new_nodes, chunks)
 

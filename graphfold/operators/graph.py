@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphfold.errors import Invalid
+from graphfold.plans.written import materialize
 
 DIRECTIONS = ("out", "in", "both")
 
@@ -32,21 +32,20 @@ def edge_filter(edges: DataFrame, include: Sequence[str] | None = None, exclude:
 
 
 def incident(edges: DataFrame, frontier: DataFrame, direction: str = "both") -> DataFrame:
-    """Edges that leave (`out`), enter (`in`) or touch the frontier (node). Two semi joins instead of a join on OR."""
+    """Edges that leave (`out`), enter (`in`) or touch the frontier (node): one scan of the edges."""
     if direction not in DIRECTIONS:
         raise Invalid(f"direction is one of {DIRECTIONS}")
     f = frontier.select(F.col("node").alias("__node")).distinct()
     if direction != "both":
         return edges.join(f, edges["src" if direction == "out" else "dst"] == f["__node"], "left_semi")
-    # the edges that leave, and those that enter from elsewhere: no edge comes twice, and nothing needs deduplication
-    leaving = edges.join(f, edges["src"] == f["__node"], "left_semi")
-    entering = edges.join(f, edges["dst"] == f["__node"], "left_semi").join(f, edges["src"] == f["__node"], "left_anti")
-    return leaving.unionByName(entering)
+    # both ends are looked up in turn: no join on OR, and no edge comes twice
+    end = lambda c: f.select(F.col("__node").alias(c))
+    found = edges.join(end("__s"), F.col("src") == F.col("__s"), "left").join(end("__d"), F.col("dst") == F.col("__d"), "left")
+    return found.where(F.col("__s").isNotNull() | F.col("__d").isNotNull()).select(*edges.columns)
 
 
-def step(edges: DataFrame, frontier: DataFrame, visited: DataFrame, direction: str = "both") -> DataFrame:
-    """The nodes one edge away from the frontier that are not visited."""
-    touched = incident(edges, frontier, direction)
+def step(touched: DataFrame, visited: DataFrame, direction: str = "both") -> DataFrame:
+    """The nodes at the other ends of touched edges that are not visited."""
     if direction == "out":
         ends = touched.select(F.col("dst").alias("node"))
     elif direction == "in":
@@ -64,26 +63,25 @@ class Expansion:
     edges: DataFrame
 
 
-#: A frontier of up to so many rows becomes a local table, which joins by broadcast; a larger one is kept where it is.
+#: A frontier of up to so many rows becomes a local table, which joins by broadcast; a larger one is written.
 SMALL = 10_000
 
 
 def settle(df: DataFrame, small: int = SMALL) -> DataFrame:
-    """df computed once: as a local table if it is small, which is checked, else persisted."""
+    """df computed once: as a local table if it is small, which is checked, else as a table in the shared folder."""
     rows = df.limit(small + 1).collect()
-    if len(rows) <= small:
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= small else materialize(df, "settled")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both") -> Expansion:
-    """Breadth first from seeds (node). Each hop is one pass over the edges; its frontier is settled before the next."""
+    """Breadth first from seeds (node). Each hop is one pass over the edges, which settles the edges that it walks; the
+    next frontier is their other ends."""
     frontier = settle(seeds.select("node").distinct())
     nodes, walked = frontier.select("node", F.lit(0).alias("hop")), edges.limit(0)
     for hop in range(1, hops + 1):
-        touched = incident(edges, frontier, direction)
+        touched = settle(incident(edges, frontier, direction))
         walked = touched if hop == 1 else walked.unionByName(touched)
-        frontier = settle(step(edges, frontier, nodes, direction))
+        frontier = settle(step(touched, nodes, direction))
         nodes = nodes.unionByName(frontier.select("node", F.lit(hop).alias("hop")))
     return Expansion(nodes, walked.dropDuplicates(["id"]) if hops > 1 else walked)
 

@@ -1,4 +1,4 @@
-"""Ingest: documents to chunks, extractions, entities, edges and communities, one durable write a stage."""
+"""Ingest: documents to chunks, extractions, entities and edges of a stored graph, one durable write a stage."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from graphfold.config import EngineConfig
 from graphfold.functions.text import strip
-from graphfold.operators import community, extraction, resolution
+from graphfold.operators import extraction, resolution
 from graphfold.operators.chunking import chunk_documents
 from graphfold.operators.retrieval import Graph
-from graphfold.plans.schemas import DOCUMENT_CHUNK, MENTIONS
+from graphfold.operators.tables import aligned
+from graphfold.plans.schemas import DOCUMENT_CHUNK, MENTIONS, SCAFFOLD
 from graphfold.sources.clients import EmbeddingClient, LanguageClient, with_completions, with_embeddings
 
 EXTRACT_SYSTEM = 'List the entities and their relationships in the text. Reply with one JSON object: {"entities": [{"name", "type", "description"}], "relationships": [{"source", "target", "type", "description"}]}.'
@@ -64,39 +65,68 @@ def reset(docs: DataFrame, chunks: DataFrame, edges: DataFrame) -> tuple[DataFra
     return chunks.join(gone, chunks["node_id"] == gone["__gone"], "left_anti"), loose
 
 
+def new_documents(docs: DataFrame, documents: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents and jobs with pending rows for docs (id, title, text, maybe source_uri). A known document is pending
+    again and keeps its creation time; each call adds a job to it."""
+    docs = document_nodes(docs).dropDuplicates(["id"])
+    known = documents.select("id", F.col("created_at").alias("__since"))
+    rows = docs.join(known, "id", "left").withColumns({"status": F.lit("pending"), "created_at": F.coalesce("__since", F.current_timestamp())})
+    runs = jobs.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("runs"))
+    job = docs.select("id").join(runs, "id", "left")
+    job = job.select(resolution.stable_id(F.lit("job"), F.col("id"), F.coalesce("runs", F.lit(0)).cast("string")).alias("id"), F.col("id").alias("document_id"), F.lit("pending").alias("stage"), F.lit("pending").alias("status"))
+    kept = documents.join(docs.select("id"), "id", "left_anti").select(*documents.columns)
+    return kept.unionByName(aligned(documents, rows)), jobs.unionByName(aligned(jobs, job))
+
+
+def stamped(table: DataFrame, ids: DataFrame, values: dict) -> DataFrame:
+    """table with values in the rows of ids (id); updated_at follows."""
+    hit = table.join(ids.select("id").withColumn("__hit", F.lit(True)), "id", "left")
+    new = {c: F.when(F.col("__hit"), F.lit(v)).otherwise(F.col(c)).cast(table.schema[c].dataType) for c, v in values.items()}
+    return hit.withColumns(new | {"updated_at": F.when(F.col("__hit"), F.current_timestamp()).otherwise(F.col("updated_at"))}).select(*table.columns)
+
+
+def upserted(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """table with rows by id: new ones are added; of known ones, columns of rows that are not null replace the table's."""
+    named = [c for c in rows.columns if c != "id" and c in table.columns]
+    both = table.join(rows.select("id", *(F.col(c).cast(table.schema[c].dataType).alias(f"__{c}") for c in named), F.lit(True).alias("__new")), "id", "full_outer")
+    stamps = {c: F.when(F.col("__new") & (F.col(c).isNull() if c == "created_at" else F.lit(True)), F.current_timestamp()).otherwise(F.col(c)) for c in ("created_at", "updated_at") if c in table.columns}
+    return both.withColumns({c: F.coalesce(f"__{c}", c) for c in named} | stamps).select(*table.columns)
+
+
 @dataclass
 class Ingested:
+    """The whole graph after a run, without communities, and the run's totals."""
+
     graph: Graph
-    communities: community.Communities
     progress: dict
 
 
-def run(docs: DataFrame, embedder: EmbeddingClient, model: LanguageClient, config: EngineConfig, write: Callable[[DataFrame, str], DataFrame], on_stage: Callable[[str], None] = lambda stage: None) -> Ingested:
-    """The whole job. write(df, name) makes a stage's table durable and returns it; on_stage hears each state, `failed` last if one fails."""
-    try:
-        on_stage("chunking")
-        docs = document_nodes(docs)
-        chunks = write(with_embeddings(chunk(docs, config), embedder, config), "chunks")
-        on_stage("extracting")
-        extracted = write(extract(chunks.drop("embedding"), model, config), "extracted")
-        on_stage("resolving")
-        named = mentions(extracted)
-        entities = write(resolution.resolve(named), "entities")
-        cites = write(resolution.mention_edges(named, entities), "mentions")
-        links = write(resolution.relation_edges(relations(extracted), named, entities), "relations")
-        about = write(with_embeddings(resolution.description_chunks(entities, chunks), embedder, config), "descriptions")
-        progress = totals(extracted, cites, links, about).collect()[0].asDict()
-        on_stage("building_communities")
-        nodes = docs.select(F.col("node_id").alias("id"), F.lit("document").alias("type"), F.col("title").alias("name")).unionByName(entities.select("id", "type", "name", "description", "aliases", "normalized_name"), allowMissingColumns=True)
-        edges = cites.unionByName(links)
-        built = community.rebuild(nodes, edges, config, lambda df: with_completions(df, model, config, community.SUMMARY_SYSTEM, temperature=0.2), lambda df: with_embeddings(df, embedder, config))
-        built = community.Communities(write(built.communities, "communities"), write(built.members, "members"), write(built.nodes, "community_nodes"), write(built.chunks, "community_chunks"))
-        all_chunks = chunks.select("id", "node_id", "kind", "text", "embedding").unionByName(about.select("id", "node_id", "kind", "text", "embedding")).unionByName(built.chunks.select("id", "node_id", "kind", "text", "embedding"))
-        on_stage("ready")
-        return Ingested(Graph(nodes.unionByName(built.nodes.drop("member_count"), allowMissingColumns=True), edges, all_chunks), built, progress)
-    except Exception:
-        on_stage("failed")
-        raise
+def run(docs: DataFrame, stored: Graph, embedder: EmbeddingClient, model: LanguageClient, config: EngineConfig, write: Callable[[DataFrame, str], DataFrame], on_stage: Callable[[str], None] = lambda stage: None) -> Ingested:
+    """Adds documents (id, title, text) to a stored graph. write(df, name) makes a stage's table durable and returns it;
+    on_stage hears each state.
+
+    Entities that the graph holds keep their ids and names and take up aliases and descriptions; edges are merged with
+    those of the same ends and type; only descriptions that are new or changed are embedded. Earlier chunks of the same
+    documents are replaced.
+    """
+    on_stage("chunking")
+    docs = document_nodes(docs).dropDuplicates(["id"])
+    kept, _ = reset(docs, stored.chunks, stored.edges)
+    chunks = write(with_embeddings(chunk(docs, config), embedder, config), "chunks")
+    on_stage("extracting")
+    extracted = write(extract(chunks.drop("embedding"), model, config), "extracted")
+    on_stage("resolving")
+    named = mentions(extracted)
+    entities = write(resolution.resolve(named, stored.nodes.where(~F.col("type").isin(*SCAFFOLD))), "entities")
+    cites = write(resolution.mention_edges(named, entities), "mentions")
+    links = write(resolution.relation_edges(relations(extracted), named, entities), "relations")
+    merged = write(resolution.merge_edges(stored.edges, cites.unionByName(links)), "merged")
+    about = write(with_embeddings(resolution.description_chunks(entities, kept), embedder, config), "descriptions")
+    created = merged.where("created")
+    progress = totals(extracted, created.where(F.col("type") == MENTIONS), created.where(F.col("type") != MENTIONS), about.where(~F.col("stale"))).collect()[0].asDict()
+    nodes = docs.select(F.col("node_id").alias("id"), F.lit("document").alias("type"), F.col("title").alias("name")).unionByName(entities.drop("created"), allowMissingColumns=True)
+    both = chunks.drop("char_start", "char_end").unionByName(about.drop("stale"), allowMissingColumns=True)
+    return Ingested(Graph(upserted(stored.nodes, nodes), upserted(stored.edges, merged.drop("created")), upserted(kept.select(*stored.chunks.columns), both)), progress)
 
 
 def reembed(chunks: DataFrame, embedder: EmbeddingClient, config: EngineConfig, limit: int = 100) -> DataFrame:

@@ -12,6 +12,8 @@ from graphfold.config import EngineConfig
 from graphfold.errors import Upstream
 from graphfold.functions.text import informative, strip
 from graphfold.operators import retrieval as R
+from graphfold.operators.graph import settle
+from graphfold.plans.written import materialize
 from graphfold.sources.clients import LanguageClient, with_completions, with_retries
 
 ANSWER_SYSTEM = "Answer the question from the context alone, and name what you rely on. Say so if the context does not answer it."
@@ -35,7 +37,8 @@ class Answer:
 def map_partials(hits: DataFrame, question: str, client: LanguageClient, config: EngineConfig) -> DataFrame:
     """hits with a reply or an error for each: one request a hit, a bounded number at a time."""
     prompt = F.concat(F.lit("Community: "), "node_name", F.lit("\nSummary:\n"), "text", F.lit(f"\n\nQuestion: {question}\n\nPartial answer:"))
-    return with_completions(hits.withColumn("prompt", prompt), client, config, MAP_SYSTEM, temperature=0.1, concurrency=config.global_map_concurrency)
+    asked = with_completions(hits.withColumn("prompt", prompt), client, config, MAP_SYSTEM, temperature=0.1, concurrency=config.global_map_concurrency)
+    return materialize(asked, "partials")  # read more than once, asked once
 
 
 def reduce_prompt(mapped: DataFrame, question: str) -> DataFrame:
@@ -55,7 +58,7 @@ def ask(g: R.Graph, question: str, vector: Sequence[float], client: LanguageClie
     """
     mode = R.resolve_mode(g, question, vector, config, mode)
     found = R.global_(g, vector, config, top_k) if mode == "global" else R.search(g, question, vector, config, mode, top_k, **filters)
-    hits = found.hits.persist()
+    hits = settle(found.hits)
     if not hits.limit(1).count():
         return Answer(NO_CONTEXT, [], found.mode, None)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphfold.config import EngineConfig
 from graphfold.errors import Invalid
-from graphfold.functions.text import excerpt, header_block, phrases, thematic
+from graphfold.functions.text import excerpt, header_block, normalize_name, phrases, thematic
 from graphfold.operators.graph import Expansion, edge_filter, expand
 from graphfold.operators.topk import knn, scored
 from graphfold.plans.schemas import COMMUNITY_SUMMARY, ENTITY_DESCRIPTION, MENTIONS, SCAFFOLD
@@ -85,15 +85,15 @@ def seeds_by_name(nodes: DataFrame, query: str) -> DataFrame:
     """(node_id, score, match) of entities that the query names: exact 1.0, alias 0.95, name within the query 0.9; the first that fits."""
     named = nodes if "normalized_name" in nodes.columns else nodes.withColumn("normalized_name", F.lit(None).cast("string"))
     named = named if "aliases" in named.columns else named.withColumn("aliases", F.array().cast("array<string>"))
-    lower_name = F.lower(F.trim(F.regexp_replace("name", r"(?U)[\s\x1c-\x1f]+", " ")))
-    stored = F.coalesce(F.nullif("normalized_name", F.lit("")), lower_name)
+    own = normalize_name(F.col("name"))
+    stored = F.coalesce(normalize_name(F.nullif("normalized_name", F.lit(""))), own)
     row = nodes.sparkSession.range(1).select(phrases(F.lit(query)).alias("p")).collect()[0]
     said = row["p"] or [""]
     text = said[0]
-    lower_aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(F.trim(F.regexp_replace(a, r"(?U)[\s\x1c-\x1f]+", " "))))
-    exact = stored.isin(*said) | lower_name.isin(*said)
+    lower_aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normalize_name)
+    exact = stored.isin(*said) | own.isin(*said)
     alias = F.arrays_overlap(lower_aliases, F.lit(said))
-    inside = (F.length(stored) >= 3) & F.contains(F.lit(text), stored)
+    inside = (F.length(own) >= 3) & F.contains(F.lit(text), own)
     score = F.when(exact, 1.0).when(alias, 0.95).when(inside, 0.9)
     return named.where(~F.col("type").isin(*SCAFFOLD)).select(F.col("id").alias("node_id"), score.alias("score"), F.when(exact | ~alias, "exact").otherwise("alias").alias("match")).where(F.col("score").isNotNull())
 
@@ -177,11 +177,19 @@ def search(g: Graph, query: str, vector: Sequence[float], config: EngineConfig,
     return replace(hybrid(g, vector, config, top_k, node_types, hops, edge_types), mode=mode)
 
 
+#: Characters of a header without names, type, id or text.
+LEAST_BLOCK = len("[node:||chunk:]\n")
+
+
 def packed(hits: DataFrame, budget_tokens: int) -> DataFrame:
-    """(rank, block) of the longest prefix of hits whose blocks fit 4 characters a token; the first always stays."""
-    order = Window.orderBy(F.desc("score"), "phase", "hop", "id")
+    """(rank, block) of the longest prefix of hits whose blocks fit 4 characters a token; the first always stays.
+
+    No block is shorter than its header, so a bounded number of the best hits is all that is ranked.
+    """
+    order = [F.desc("score"), F.asc("phase"), F.asc("hop"), F.asc("id")]
+    best = hits.orderBy(*order).limit(4 * max(budget_tokens, 1) // LEAST_BLOCK + 1)
     block = header_block(F.col("node_name"), F.col("node_type"), F.col("id"), F.col("text"))
-    blocks = hits.select(F.row_number().over(order).alias("rank"), block.alias("block"))
+    blocks = best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), block.alias("block"))
     total = F.sum(F.length("block")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return blocks.withColumn("total", total).where((F.col("total") <= 4 * max(budget_tokens, 1)) | (F.col("rank") == 1)).drop("total")
 

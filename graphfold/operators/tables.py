@@ -68,7 +68,8 @@ def _raise_if(rows: DataFrame, error: type[Exception], what: str) -> None:
         raise error(f"{what}: " + ", ".join(str(r[0]) for r in bad))
 
 
-def _aligned(table: DataFrame, rows: DataFrame) -> DataFrame:
+def aligned(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the columns of table; stamps that they lack are now."""
     now = {"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}
     return rows.select(*(F.col(c).cast(t) if c in rows.columns else now.get(c, F.lit(None)).cast(t).alias(c) for c, t in ((f.name, f.dataType) for f in table.schema.fields)))
 
@@ -79,7 +80,7 @@ def insert_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("id", stable_id(F.col("type"), F.col("name")))
     _raise_if(rows.where((F.col("type") == "") | (F.col("name") == "") | F.col("type").isNull() | F.col("name").isNull()).select("id"), Invalid, "nodes need a type and a name")
     _raise_if(rows.select("id").join(nodes.select("id"), "id", "left_semi"), Conflict, "nodes exist")
-    return nodes.unionByName(_aligned(nodes, rows))
+    return nodes.unionByName(aligned(nodes, rows))
 
 
 def insert_edges(nodes: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
@@ -92,16 +93,20 @@ def insert_edges(nodes: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFra
     triple = ["src", "dst", "type"]
     _raise_if(rows.join(edges.select(*triple), triple, "left_semi").select("id"), Conflict, "edges exist")
     _raise_if(rows.groupBy(*triple).count().where("count > 1").select(F.concat_ws("|", *triple)), Conflict, "edges are given twice")
-    return edges.unionByName(_aligned(edges, rows))
+    return edges.unionByName(aligned(edges, rows))
 
 
-def insert_chunks(nodes: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
-    """One unknown node fails the whole batch."""
+def checked_chunks(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with ids; a blank text or one unknown node fails the whole batch."""
     if "id" not in rows.columns:
         rows = rows.withColumn("id", stable_id(F.col("node_id"), F.col("text")))
     _raise_if(rows.where(strip(F.coalesce("text", F.lit(""))) == "").select("id"), Invalid, "chunks need a text")
     _raise_if(rows.select(F.col("node_id").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti"), NotFound, "no such nodes")
-    return chunks.unionByName(_aligned(chunks, rows))
+    return rows
+
+
+def insert_chunks(nodes: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    return chunks.unionByName(aligned(chunks, checked_chunks(nodes, rows)))
 
 
 def update(table: DataFrame, patch: DataFrame) -> DataFrame:
@@ -116,6 +121,12 @@ def update(table: DataFrame, patch: DataFrame) -> DataFrame:
     return j.withColumns(out).select(*table.columns)
 
 
+def delete_with(ids: DataFrame, table: DataFrame, dependent: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """table without ids (id), and dependent without the rows whose column names one of them."""
+    gone = ids.select(F.col("id").alias("__gone")).distinct()
+    return table.join(gone, table["id"] == gone["__gone"], "left_anti"), dependent.join(gone, dependent[column] == gone["__gone"], "left_anti")
+
+
 def delete_nodes(ids: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, members: DataFrame | None = None, documents: DataFrame | None = None, communities: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables without the nodes of ids (id): edges, chunks and memberships go with them, documents and communities lose the link."""
     gone = ids.select(F.col("id").alias("__gone")).distinct()

@@ -1,13 +1,23 @@
-"""Exact nearest chunks by cosine similarity."""
+"""Exact nearest chunks by cosine similarity: one scan, matrix products in Arrow batches, k rows a task and query."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphfold.functions.vectors import cosine, literal
+from graphfold.plans.ship import ship
+
+#: Queries that one scan serves; more are served by further scans.
+BLOCK = 1024
+#: Products that are held at once.
+CELLS = 1 << 21
 
 
 def scored(chunks: DataFrame, query: Sequence[float]) -> DataFrame:
@@ -15,18 +25,90 @@ def scored(chunks: DataFrame, query: Sequence[float]) -> DataFrame:
     return chunks.where(F.col("embedding").isNotNull()).withColumn("score", cosine(F.col("embedding"), literal(query))).where(F.col("score").isNotNull()).drop("embedding")
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those without a direction become NaN."""
+    n = np.sqrt((rows * rows).sum(axis=1))
+    return rows / np.where(n > 0, n, np.nan)[:, None]
+
+
+def cosines(column: pa.Array, queries: np.ndarray) -> np.ndarray:
+    """Cosine of each vector to each query (unit rows); NaN for a vector of another length, with nulls, or without a direction."""
+    out = np.full((len(column), len(queries)), np.nan)
+    fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), queries.shape[1]), False).to_numpy(zero_copy_only=False))
+    if len(fits):
+        flat = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out[fits] = _unit(flat.reshape(len(fits), -1)) @ queries.T
+    return out
+
+
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores and of all that equal the last of them; NaN is none."""
+    at = np.flatnonzero(~np.isnan(score))
+    if len(at) > k:
+        at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+    return at
+
+
 def knn(chunks: DataFrame, query: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
-    """The k best chunks, of equal scores those with smaller ids: one scan and a bounded heap in each task."""
-    rows = scored(chunks if where is None else chunks.where(where), query)
-    return rows.orderBy(F.desc("score"), "id").limit(k)
+    """The k best chunks with their score, of equal scores those with smaller ids."""
+    rows = chunks if where is None else chunks.where(where)
+    ship(rows.sparkSession)
+    q = _unit(np.array([query], np.float64))
+    kept = [f for f in rows.schema.fields if f.name not in ("embedding", "score")]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            score = cosines(batch.column("embedding"), q)[:, 0]
+            at = pa.array(_best(score, k))
+            new = pa.table([*(batch.column(n).take(at) for n in names), pa.array(score).take(at)], names=[*names, "score"])
+            held = new if held is None else pa.concat_tables([held, new])
+            held = held.take(pa.array(_best(held.column("score").to_numpy(), k)))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    found = rows.where(F.col("embedding").isNotNull()).select(*names, "embedding").mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    return found.orderBy(F.desc("score"), "id").limit(k)
 
 
 def knn_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best chunks for each row of queries (query_id, vector). The queries are few and are sent to every task; each
-    task keeps k rows a query before anything is shuffled."""
-    q = queries.select("query_id", "vector").collect()  # a stated set of queries
-    base = chunks.where(F.col("embedding").isNotNull())
-    every = F.array(*(F.struct(F.lit(r["query_id"]).alias("query_id"), cosine(F.col("embedding"), literal(r["vector"])).alias("score")) for r in q))
-    out = base.select("id", F.inline(every)).where(F.col("score").isNotNull())
+    """(id, query_id, score, rank): the k best chunks for each row of queries (query_id, vector), which are sent to every
+    task in blocks of about BLOCK; each task keeps k rows a query, and ties, before anything is shuffled."""
+    ship(chunks.sparkSession)
+    rows = chunks.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    of_query = queries.schema["query_id"]
+    schema = T.StructType([chunks.schema["id"], of_query, T.StructField("score", T.DoubleType())])
+    blocks, found = max(1, -(-queries.count() // BLOCK)), None
+
+    def nearest(ids: pa.Array, vectors: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, CELLS // max(1, len(vectors)))
+            held: list[tuple[np.ndarray, pa.Array]] = [(np.zeros(0), None)] * len(vectors)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, step):
+                    batch = whole.slice(lo, step)
+                    score = cosines(batch.column("embedding"), vectors)
+                    for j in range(len(vectors)):
+                        at = _best(score[:, j], k)
+                        s, x = held[j]
+                        s, x = np.concatenate([s, score[at, j]]), batch.column("id").take(pa.array(at)) if x is None else pa.concat_arrays([x, batch.column("id").take(pa.array(at))])
+                        at = _best(s, k)
+                        held[j] = s[at], x.take(pa.array(at))
+            for j, (s, x) in enumerate(held):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([x, ids.take(pa.array([j] * len(s))), pa.array(s)], names=["id", "query_id", "score"])
+
+        return run
+
+    for b in range(blocks):
+        some = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        vectors = _unit(np.array(some.column("vector").to_pylist(), np.float64))
+        part = rows.mapInArrow(nearest(some.column("query_id").chunk(0), vectors), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = chunks.sparkSession.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol, TypeVar
 
 import numpy as np
@@ -109,20 +110,21 @@ def with_embeddings(df: DataFrame, client: EmbeddingClient, config: EngineConfig
 
 
 def with_completions(df: DataFrame, client: LanguageClient, config: EngineConfig, system: str, user: str = "prompt", output: str = "reply", temperature: float = 0.0, concurrency: int | None = None) -> DataFrame:
-    """df with a model's reply to each row and, where it failed, the error; at most `concurrency` requests run at once."""
+    """df with a model's reply to each row and, where it failed, the error; each task has at most `concurrency` requests
+    under way. Rows stay in their partitions, so requests grow with the tasks that the cluster runs."""
     ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType()), T.StructField(f"{output}_error", T.StringType())])
 
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return with_retries(lambda: client.complete(system, prompt, temperature), config.max_retries, config.retry_base, config.retry_cap) or "", None
+        except Upstream as e:
+            return None, str(e)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            replies, errors = [], []
-            for prompt in pdf[user].tolist():
-                try:
-                    replies.append(with_retries(lambda p=prompt: client.complete(system, p, temperature), config.max_retries, config.retry_base, config.retry_cap) or "")
-                    errors.append(None)
-                except Upstream as e:
-                    replies.append(None)
-                    errors.append(str(e))
-            yield pdf.assign(**{output: replies, f"{output}_error": errors})
-
-    return (df.repartition(concurrency) if concurrency else df).mapInPandas(run, schema)
+        with ThreadPoolExecutor(concurrency or 1) as pool:
+            for pdf in frames:
+                got = list(pool.map(ask, pdf[user].tolist()))
+                yield pdf.assign(**{output: [r for r, _ in got], f"{output}_error": [e for _, e in got]})
+
+    return df.mapInPandas(run, schema)

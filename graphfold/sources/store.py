@@ -11,7 +11,8 @@ from graphfold.plans.schemas import TABLES
 
 class Store:
     """Versions of tables below a path. A write makes a new version and never touches one that may be read; the marker
-    of a version is written last, so an interrupted write is not seen."""
+    of a version is written last, so an interrupted write is not seen. Its number is claimed first with a file that
+    only one writer can create."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -22,7 +23,7 @@ class Store:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return []
-        done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return sorted(int(x.getName()[1:]) for x in done)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
@@ -35,7 +36,13 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{name}/v{version}")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_claims")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
         version = max(self._versions(name), default=0) + 1
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, f"v{version}")):
+            version += 1
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
         return self.read(name, version)
 

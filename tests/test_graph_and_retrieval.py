@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from graphfold.config import EngineConfig
 from graphfold.engine import Engine
-from graphfold.operators import community, extraction, graph, ingest, qa, resolution, retrieval
+from graphfold.errors import NotFound
+from graphfold.operators import community, extraction, graph, ingest, qa, resolution, retrieval, topk
 from graphfold.operators.components import connected_components
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings
 from graphfold.sources.store import Store
@@ -170,27 +171,151 @@ def test_answers(spark):
 REPLY = '{"entities": [{"name": "Acme", "type": "org", "description": "a firm"}, {"name": "Bob", "type": "person"}, {"name": "Ann", "type": "person"}], "relationships": [{"source": "Acme", "target": "Bob", "type": "has"}, {"source": "bob", "target": "Ann"}]}'
 
 
+def counting(path, reply=None, dim=16):
+    """A provider that notes each request in a file, as requests come from worker processes, to which the class is sent."""
+
+    class Counting:
+        def __init__(self):
+            self.path, self.inner = str(path), HashEmbeddings(dim)
+
+        def note(self, what):
+            with open(self.path, "a") as f:
+                f.write(what.replace("\n", " ") + "\n")
+
+        def seen(self):
+            with open(self.path) as f:
+                return f.read().splitlines()
+
+        def complete(self, system, user, temperature=0.0):
+            self.note(system)
+            return reply(system, user)
+
+        def embed(self, texts):
+            for t in texts:
+                self.note(t)
+            return self.inner.embed(texts)
+
+    return Counting()
+
+
 def test_engine_ingests_and_reindexes(spark, tmp_path):
-    def extract(system, user):
-        return REPLY if system == ingest.EXTRACT_SYSTEM else "a summary"
+    def answer(system, user):
+        if system != ingest.EXTRACT_SYSTEM:
+            return "a summary"
+        return "no json" if "broken" in user else REPLY.replace("a firm", "a large firm") if "second" in user else REPLY
 
-    engine = Engine(spark, Store(spark, str(tmp_path / "g")), HashEmbeddings(16), EchoLanguage(extract), EngineConfig(dim=16))
+    model, embedder = counting(tmp_path / "model", answer), counting(tmp_path / "embedder")
+    engine = Engine(spark, Store(spark, str(tmp_path / "g")), embedder, model, EngineConfig(dim=16))
     docs = spark.createDataFrame([("1", " One ", "First text.\n\nSecond."), ("2", "Two", "Another text about Acme.")], "id string, title string, text string")
     made = engine.ingest(docs)
     assert made.progress == {"entities": 6, "mentions": 6, "relationships": 2, "description_chunks": 1}
     g = engine.graph()
     assert g.nodes.where("type = 'document'").count() == 2 and g.nodes.where("type = 'community'").count() == 1
+    assert g.nodes.where("created_at is null or updated_at is null").count() == 0 and g.chunks.where("embedding is null or created_at is null").count() == 0
+    # two extractions and one summary; two chunks, one description and one summary
+    assert sorted(model.seen()) == sorted([ingest.EXTRACT_SYSTEM] * 2 + [community.SUMMARY_SYSTEM]) and len(embedder.seen()) == 4
     assert engine.search("Acme", mode="local").hits.count() > 0
     assert engine.store.read("members").count() == 3
+    state = lambda: [tuple(r) for r in engine.store.read("documents").select("id", "status", "error").orderBy("id").collect()]
+    jobs = lambda: sorted(tuple(r) for r in engine.store.read("jobs").select("document_id", "stage", "status", "entities", "description_chunks").collect())
+    assert state() == [("1", "ready", None), ("2", "ready", None)] and jobs() == [("1", "ready", "completed", 6, 1), ("2", "ready", "completed", 6, 1)]
     before = {t: engine.store.read(t).count() for t in ("nodes", "edges", "chunks")}
-    engine.reindex(docs)
-    assert {t: engine.store.read(t).count() for t in before} == before
-    acme = g.nodes.where("name = 'Acme'").collect()[0]["id"]
+    engine.reindex(docs.select("id"))
+    assert {t: engine.store.read(t).count() for t in before} == before and len(jobs()) == 4
+    # a later document that mentions the same entities adds to them
+    later = engine.ingest(spark.createDataFrame([("3", "Three", "The second text.")], docs.schema))
+    assert later.progress == {"entities": 3, "mentions": 3, "relationships": 0, "description_chunks": 0}
+    acme = engine.graph().nodes.where("name = 'Acme'").collect()
+    assert len(acme) == 1 and acme[0]["description"] == "a firm\na large firm" and acme[0]["aliases"] == ["Acme"]
+    assert {r["text"] for r in engine.graph().chunks.where("kind = 'entity_description'").collect()} == {"a firm\na large firm"}
+    assert engine.store.read("members").count() == 3 and engine.graph().nodes.where("type = 'community'").count() == 1
+    assert [r["mention_count"] for r in engine.list_documents().collect()] == [3, 3, 3]
+    # a bad reply fails the job and leaves the graph as it was
+    with pytest.raises(Exception, match="invalid"):
+        engine.ingest(spark.createDataFrame([("4", "Four", "broken")], docs.schema))
+    assert state()[3][1] == "failed" and "invalid" in state()[3][2] and ("4", "extracting", "failed", None, None) in jobs()
+    assert engine.graph().nodes.where("type = 'document'").count() == 3
+    acme = acme[0]["id"]
     assert engine.neighbors(acme, "out").nodes.count() == 2
+    found = engine.store.read("communities").collect()[0]["id"]
+    assert [r["name"] for r in engine.members_of(found).collect()] == ["Acme", "Ann", "Bob"]
     engine.delete("nodes", spark.createDataFrame([(acme,)], "id string"))
-    assert engine.store.read("edges").where((F.col("src") == acme) | (F.col("dst") == acme)).count() == 0
+    assert engine.store.read("edges").where((F.col("src") == acme) | (F.col("dst") == acme)).count() == 0 and engine.store.read("members").count() == 2
+    engine.delete("communities", spark.createDataFrame([(found,)], "id string"))
+    engine.delete("documents", spark.createDataFrame([("1",)], "id string"))
+    assert engine.store.read("members").count() == 0 and not [j for j in jobs() if j[0] == "1"]
     assert engine.health()["ok"]
-    states = []
-    with pytest.raises(Exception):
-        ingest.run(docs, HashEmbeddings(16), EchoLanguage(lambda s, u: "no json"), EngineConfig(dim=16), lambda df, n: engine.store.write(df, f"bad_{n}"), states.append)
-    assert states[-1] == "failed"
+
+
+def test_chunks_are_checked_before_they_are_embedded(spark, tmp_path):
+    embedder = counting(tmp_path / "embedder")
+    engine = Engine(spark, Store(spark, str(tmp_path / "g")), embedder, EchoLanguage(), EngineConfig(dim=16))
+    engine.create_nodes(spark.createDataFrame([("a", "t", "A")], "id string, type string, name string"))
+    embedder.note("start")
+    with pytest.raises(NotFound):
+        engine.create_chunks(spark.createDataFrame([("z", "lost")], "node_id string, text string"))
+    engine.create_chunks(spark.createDataFrame([("a", "found")], "node_id string, text string"))
+    assert embedder.seen() == ["start", "found"]
+    chunks = engine.store.read("chunks")
+    engine.store.write(chunks.withColumn("embedding", F.lit(None).cast("array<float>")), "chunks")
+    assert engine.reembed().where("embedding is not null").count() == 1
+
+
+def test_each_map_is_asked_once(spark, tmp_path):
+    model = counting(tmp_path / "model", lambda system, user: "fine")
+    mapped = qa.map_partials(hits(spark, [3.0, 2.0, 1.0]), "q", model, CONFIG)
+    assert qa.reduce_prompt(mapped, "q").collect()[0]["prompt"].count("fine") == 3 and mapped.count() == 3
+    assert model.seen() == [qa.MAP_SYSTEM] * 3
+
+
+def test_seeds_look_at_the_name(spark):
+    rows = [("1", "org", "NYC Council", ["The Council"], "new york city council"), ("2", "org", "Long Name Of A Firm", [], "lnf"), ("3", "org", "ab", [], None)]
+    nodes = spark.createDataFrame(rows, "id string, type string, name string, aliases array<string>, normalized_name string")
+    seeds = lambda q: {r["node_id"]: (r["score"], r["match"]) for r in retrieval.seeds_by_name(nodes, q).collect()}
+    assert seeds("who runs the new york city council today") == {}
+    assert seeds("about the long name of a firm here") == {"2": (0.9, "exact")}
+    assert seeds("LNF") == {"2": (1.0, "exact")} and seeds("the council") == {"1": (0.95, "alias")} and seeds("cab") == {}
+
+
+def test_versions_are_claimed(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    df = spark.range(3)
+    assert store.write(df, "t").count() == 3
+    (tmp_path / "s" / "t" / "_claims" / "v2").touch()  # another writer has taken the next number
+    store.write(df.limit(1), "t")
+    assert store.read("t").count() == 1 and store._versions("t") == [1, 3]
+
+
+def test_a_hop_reads_the_edges_once(spark, tmp_path):
+    path = str(tmp_path / "edges")
+    edges_of(spark, [("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("c", "d", "x")]).write.parquet(path)
+    edges = spark.read.parquet(path)
+    plan = graph.incident(edges, spark.createDataFrame([("a",), ("b",)], "node string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert sorted(r["id"] for r in graph.incident(edges, spark.createDataFrame([("a",), ("b",)], "node string")).collect()) == ["a|x|b", "b|x|c", "c|x|a"]
+    assert hops(graph.bfs(edges, spark.createDataFrame([("a",)], "node string"), 3)) == {"a": 0, "b": 1, "c": 1, "d": 2}
+
+
+def test_nearest_for_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    rng = random.Random(2)
+    rows = [(f"c{i}", [rng.random() - 0.5 for _ in range(4)]) for i in range(60)] + [("zero", [0.0] * 4), ("short", [1.0]), ("none", None), ("c0b", None)]
+    rows += [("twin", rows[0][1])]
+    chunks = spark.createDataFrame(rows, "id string, embedding array<float>")
+    queries = spark.createDataFrame([(i, rows[i][1]) for i in range(8)], "query_id int, vector array<float>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    good = [(i, v) for i, v in rows if v and len(v) == 4 and any(v)]
+    got = topk.knn_batch(chunks, queries, 5).collect()
+    assert len(got) == 40
+    for q in range(8):
+        want = sorted((-round(cos(v, rows[q][1]), 5), i) for i, v in good)[:5]
+        assert [(r["id"], round(r["score"], 5)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    one = topk.knn(chunks, rows[0][1], 3).collect()
+    assert [r["id"] for r in one][:2] == ["c0", "twin"] and "embedding" not in one[0].asDict()
+
+
+def test_community_numbers_follow_the_ranges(spark):
+    rows = [(f"n{i}", f"k{i % 37:02d}") for i in range(500)]
+    got = community.sizes(spark.createDataFrame(rows, "id string, component string"), 2).collect()
+    want = sorted(((-sum(c == k for _, c in rows), k) for k in {c for _, c in rows}))
+    assert sorted(((-r["member_count"], r["component"]), int(r["label"].split("_")[1])) for r in got) == [(w, i) for i, w in enumerate(want, 1)]
