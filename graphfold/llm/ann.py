@@ -6,17 +6,21 @@ summed squared distance, with a heap over the two sorted lists, until they hold
 enough vectors; then all entries of those cells are compared with it exactly.
 
 The codebooks are fitted on the TRAIN_ROWS vectors with the smallest hashes of
-their ids; every vector is indexed. A query's cells hold at least
-max(LEAST, SHARE * vectors) entries; on the test data, which are near to uniform
-on a sphere and so the hardest case, that gives a recall of 0.96 against brute
-force. Entries are grouped by their first centroid, and a group of more than PART
-entries is dealt to several, so that none grows with the input.
+their ids; every vector is indexed. How many entries a query's cells must hold is
+measured and not set: for PROBES of those vectors the exact neighbours are found
+by a scan of all entries, and the walk is long enough to meet TARGET of them.
+Clustered vectors need few cells; vectors that are close to uniform on a sphere
+need a large share of all. Entries are grouped by their first centroid, and a
+group of more than PART entries is dealt to several, so that none grows with the
+input.
 
 Edge cases: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part, nor do rows without an id.
 Equal distances go to the smaller id. With fewer candidates than asked for, all
-are returned. A row is not its own neighbour, and rows that share its id are not
-either.
+are returned. A row is not its own neighbour, but another row of its id is a
+candidate like any other. An id that several query rows have is one query, for
+the least of their vectors. Extra columns do not matter; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 from graphfold.llm.common import arrow_rows, materialize, table
 
 TRAIN_ROWS, CENTROIDS, ROUNDS = 20_000, 128, 12
-LEAST, SHARE, PART = 2_000, 0.4, 4_000
+PROBES, TARGET, PART = 128, 0.96, 4_000
 
 
 def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -89,13 +93,51 @@ def walk(near: np.ndarray, far: np.ndarray, held: np.ndarray, enough: int) -> li
 
 
 class MultiIndex:
-    """The codebooks, how many entries each cell holds, and the table of entries (vec_id, vector, cell, part)."""
-
-    def __init__(self, books: tuple[np.ndarray, np.ndarray], held: np.ndarray, entries: DataFrame, rows: int):
-        self.books, self.held, self.entries, self.rows = books, held, entries, rows
-
-
-def build(rows: DataFrame, centroids: int = CENTROIDS, train_rows: int = TRAIN_ROWS) -> MultiIndex | None:
+    """The codebooks, how many entries each cell holds, the table of entries (vec_id, vector, cell), their number, and how
+    many entries a query's cells must hold."""
+
+    def __init__(self, books: tuple[np.ndarray, np.ndarray], held: np.ndarray, entries: DataFrame, rows: int, enough: int = 0):
+        self.books, self.held, self.entries, self.rows, self.enough = books, held, entries, rows, enough
+
+    def distances(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = self.books[0].shape[1]
+        return squared(v[:, :half], self.books[0]), squared(v[:, half:], self.books[1])
+
+
+def calibrate(index: MultiIndex, ids: np.ndarray, probes: np.ndarray, k: int, target: float) -> int:
+    """How many entries the cells of a walk must hold so that the walks of the probes meet target of their k nearest."""
+    shared = index.entries.sparkSession.sparkContext.broadcast((ids, probes))  # PROBES vectors
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, probes = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int32))] * len(ids)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                d, own, cell = squared(probes, matrix(batch.column("vector"))), batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
+                for i, (held, cells) in enumerate(best):
+                    other = np.flatnonzero(own != ids[i])
+                    held, cells = np.concatenate([held, d[i, other]]), np.concatenate([cells, cell[other]])
+                    at = _least(held, k)
+                    best[i] = held[at], cells[at]
+        for i, (held, cells) in enumerate(best):
+            if len(held):
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(held), pa.int32()), pa.array(held), pa.array(cells, pa.int32())], names=["probe", "d", "cell"])
+
+    found = arrow_rows(index.entries.select("vec_id", "vector", "cell"), nearest, [("probe", T.IntegerType()), ("d", T.DoubleType()), ("cell", T.IntegerType())])
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("d", "cell"))).where(F.col("r") <= k)
+    wanted: dict[int, list[int]] = {}
+    for r in found.select("probe", "cell").collect():  # k rows a probe
+        wanted.setdefault(r["probe"], []).append(r["cell"])
+    needed, (d1, d2) = [], index.distances(probes)
+    for i, cells in wanted.items():
+        order = np.array(walk(d1[i], d2[i], index.held, index.rows))
+        before = dict(zip(order.tolist(), (np.cumsum(index.held[order]) - index.held[order]).tolist(), strict=True))
+        needed += [before[c] + 1 for c in cells]
+    return int(np.quantile(needed, target, method="higher")) if needed else 0
+
+
+def build(rows: DataFrame, centroids: int = CENTROIDS, train_rows: int = TRAIN_ROWS, probes: int = PROBES, k: int = 10, target: float = TARGET) -> MultiIndex | None:
     """Indexes every row of (vec_id, vector); None if there is none."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).toArrow()
     if not sample.num_rows:
@@ -118,15 +160,18 @@ def build(rows: DataFrame, centroids: int = CENTROIDS, train_rows: int = TRAIN_R
     held = np.zeros(len(books[0]) * len(books[1]), np.int64)
     for r in entries.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         held[r["cell"]] = r["count"]
-    return MultiIndex(books, held, entries, int(held.sum()))
+    index = MultiIndex(books, held, entries, int(held.sum()))
+    index.enough = calibrate(index, sample.column("vec_id").to_numpy()[:probes], x[:probes], k, target)
+    return index
 
 
-def search(index: MultiIndex, queries: DataFrame, k: int = 10, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """The k nearest entries of each query row (vec_id, vector), without those of the query's own id."""
+def search(index: MultiIndex, queries: DataFrame, k: int = 10, enough: int | None = None) -> DataFrame:
+    """The k nearest entries of each query (vec_id, vector) among those of its cells, which hold `enough` entries at
+    least (by default as many as were measured), without the query's own row."""
     spark, half, second = queries.sparkSession, index.books[0].shape[1], len(index.books[1])
     parts = np.maximum(1, -(-index.held.reshape(-1, second).sum(axis=1) // PART))
     shared = spark.sparkContext.broadcast((index.books, index.held, parts))
-    enough = max(least, int(share * index.rows), k + 1)
+    enough = max(index.enough if enough is None else enough, k + 1)
     group = [("first", T.IntegerType()), ("part", T.IntegerType())]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +191,7 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 10, share: float = SH
                     f, p, s = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([query] * len(f), pa.int64()), pa.array([v[i]] * len(f), pa.list_(pa.float64())), pa.array(s, pa.list_(pa.int32())), pa.array(f, pa.int32()), pa.array(p, pa.int32())], names=["query_id", "vector", "seconds", "first", "part"])
 
-    asked = arrow_rows(queries.select("vec_id", "vector"), ask, [("query_id", T.LongType()), ("vector", T.ArrayType(T.DoubleType())), ("seconds", T.ArrayType(T.IntegerType())), *group])
+    asked = arrow_rows(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")), ask, [("query_id", T.LongType()), ("vector", T.ArrayType(T.DoubleType())), ("seconds", T.ArrayType(T.IntegerType())), *group])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = shared.value[2]
@@ -167,9 +212,12 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 10, share: float = SH
             for query, x, seconds in zip(asked.column("query_id").to_pylist(), q, asked.column("seconds").to_pylist(), strict=True):
                 wanted = np.zeros(second, bool)
                 wanted[seconds] = True
-                at = np.flatnonzero(wanted[cell] & (ids != query))
+                at = np.flatnonzero(wanted[cell])
                 d = v[at] - x
                 d = np.sqrt(np.einsum("ij,ij->i", d, d))
+                # equal rows of an id share a cell and a part: one of them is the query itself
+                if len(own := np.flatnonzero((ids[at] == query) & (d == 0))):
+                    at, d = np.delete(at, own[0]), np.delete(d, own[0])
                 best = _least(d, k)
                 out.append((np.full(len(best), query), ids[at[best]], d[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
