@@ -45,14 +45,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphfold.llm.common import arrow_rows, discard, materialize, slices, table, texts_of
-from graphfold.llm.shingles import shingle_sets
+from graphfold.llm.shingles import mix, shingle_sets
 from graphfold.operators.components import connected_components
 
 SKETCH_BITS, SKETCH_SLICES = 20, 64
 #: Bits of a parity bitmap, and grams between two looks at the bound.
 BITMAP_BITS, TRIE_STEP = 2048, 64
 #: Documents of a chunk of a block or a star, and their grams on average at most; both bound what a task holds.
-CHUNK, STAR_CHUNK, CHUNK_GRAMS = 4096, 512, 1024
+CHUNK, STAR_CHUNK, CHUNK_GRAMS = 1024, 512, 1024
+#: Bits of the filter that keeps the sets of most other documents from being shuffled.
+FILTER_BITS = 25
 #: Rounds of stars before what is left is compared in full, and how many documents may hold a gram that is common.
 STARS, COMMON = 2, 10_000
 
@@ -341,6 +343,32 @@ def _links(parts: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return arrow_rows(rows, run, [("src", T.LongType()), ("dst", T.LongType())]).distinct()
 
 
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, gathered as at most 2**FILTER_BITS / 64 words."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        for batch in batches:
+            at = _slot(batch.column("id").to_numpy())
+            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["word", "bits"])
+
+    got = arrow_rows(ids, words, [("word", T.LongType()), ("bits", T.LongType())]).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _slot(ids)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(id, label) after more links: a document takes the least label among its own and its partners'. Labels may be finer
     than the classes that links make; documents of one label always belong to one class."""
@@ -360,23 +388,28 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     found = materialize(prefixes(docs, counts, size, t), "join_prefixes")
     some = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "join_classes")
-    own = materialize(some.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), "join_own")
+    own = materialize(some.join(classes.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), "join_own")
     sizes = materialize(found.select("doc_id", "n", "d1", "d2"), "join_sizes")
     discard(found)
     shared = materialize(lists(postings(own, counts, common), t), "join_lists")
     wanted = materialize(shared.select("id").distinct(), "join_wanted")
-    # a merge join at every size: the ids grow with the corpus
     signs = materialize(own.join(wanted.hint("merge"), "id", "left_semi").select("id", "bits"), "join_signs")
     discard(own)
 
+    asked = spark.sparkContext.broadcast(_filter(wanted))  # 2**FILTER_BITS bits for any corpus
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            ids = batch.column("doc_id")
+            known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            known = known[_passes(ids.take(pa.array(known)).to_numpy(), asked.value)]
+            for part in slices(batch.take(pa.array(known)), "text"):
                 sets = shingle_sets(texts_of(part), size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "grams"])
 
-    asked = docs.join(wanted.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(arrow_rows(asked, full, [("id", T.LongType()), ("grams", T.BinaryType())]), "join_sets")
+    # the filter lets a few others pass, which go here; a merge join at every size, as the ids grow with the corpus
+    sets = arrow_rows(docs, full, [("id", T.LongType()), ("grams", T.BinaryType())]).join(wanted.hint("merge"), "id", "left_semi")
+    sets = materialize(sets.dropDuplicates(["id"]), "join_sets")
     labels, links = None, []
     for turn in range(STARS + 1):
         table_ = _labelled(shared, labels)
