@@ -260,7 +260,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "perp
     kept = [c for c in docs.columns if c not in (output, "n_scored", text)]
     docs = docs.select(*kept, F.col(text).cast("string").alias("text"))
     unseen = model.unseen
-    packed = _packed(docs)
+    # as many shares as the scan has, so that a share does not grow with the input
+    packed, shares = _packed(docs), docs.rdd.getNumPartitions()
     none = F.lit(None).cast("float")
     mark = docs.sparkSession.range(MARK, MARK + 1, numPartitions=1).select(F.col("id").alias("gram"), none.alias("logp"), none.alias("back"))
     answers = materialize(_asked(packed).join(model.grams.unionByName(mark).hint("merge"), "gram"), "quality_answers")
@@ -281,7 +282,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "perp
                     rows.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(got, pa.float64()), pa.array(sizes, pa.int64())], names=[*kept, output, "n_scored"]))
         return pa.Table.from_batches(rows) if rows else empty
 
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+    return packed.repartition(shares, "batch").groupBy("batch").cogroup(answers.repartition(shares, "batch").groupBy("batch")).applyInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
