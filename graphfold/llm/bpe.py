@@ -43,11 +43,39 @@ WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x20
 #: Characters at which str.split() cuts although they are not white space above.
 NOT_WHITE = regex.compile("[\x1c-\x1f]")
 
+#: Capitals that the vocabulary's normaliser knows and older Unicode tables do not, with their small letters.
+SMALL_LETTERS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL_LETTERS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+YOUNG_CAPITALS = re.compile("[" + "".join(map(chr, SMALL_LETTERS)) + "]").search
+
 #: Letters and digits of the blocks up to U+024F, for which the standard library's faster patterns do.
 LETTERS, DIGITS = ("".join(c for c in map(chr, range(0x250)) if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
 LATIN_WORD, LATIN = re.compile(f"[{LETTERS}]+").fullmatch, re.compile("[\0-\u024f]+").fullmatch
 
 
+#: The letters that Unicode 16 added, first and last of each range. The vocabulary's pattern knows them, and
+#: none that are younger.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+
+
+@lru_cache(maxsize=1)
+def _young() -> str:
+    """A class of the letters that the pattern engine knows and the vocabulary's pattern does not: those that the standard
+    library's tables (Unicode 15.1) lack and that Unicode 16 has not added."""
+    known = {c for a, b in LETTERS_16 for c in range(a, b + 1)}
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    found = [ord(c) for c in regex.findall(r"\p{L}", every) if unicodedata.category(c) == "Cn" and ord(c) not in known]
+    if not found:
+        return "[^\\s\\S]"
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,7 +117,11 @@ class WordBpe:
         self.inner_ids, self.last_ids = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p)
         # \s of the file's pattern is spelled out, as engines differ on four control characters
-        self.words = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}")).findall
+        # and letters that are younger than the library's tables are no letters to it
+        pattern_ = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^{WHITE}\p{{L}}\p{{N}}]|{_young()})")
+        for kind in (r"[\p{L}]", r"[\p{N}]"):
+            pattern_ = pattern_.replace(kind, f"(?:(?!{_young()}){kind})")
+        self.words = regex.compile(pattern_).findall
         self.latin_words = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{WHITE}{LETTERS}{DIGITS}]").replace(r"[\p{L}]", f"[{LETTERS}]").replace(r"[\p{N}]", f"[{DIGITS}]")).findall
         self.marks = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.cache: dict[str, bytes] = _Words(self.word)
@@ -98,7 +130,8 @@ class WordBpe:
     def normal(self, text: str) -> str:
         """White space is left as it is: no word has any, so its collapse changes nothing."""
         text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        return text if text.isascii() or not YOUNG_CAPITALS(text) else text.translate(SMALL_LETTERS)
 
     def word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
