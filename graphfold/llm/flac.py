@@ -1,34 +1,42 @@
 """FLAC media columns: mono PCM of 8 bits to FLAC streams and back, in seekable blocks.
 
 The encoder cuts the samples into blocks of 4,096 and stores each as the
-smallest of: constant, verbatim, a fixed linear predictor of order 0 to 4 with
-partitioned Rice residuals, or (on request) a quantised linear predictor. It
-writes a seek table with a point for each frame. The decoder reads any mono
-stream of up to 16 bits: constant, verbatim, fixed and LPC subframes, both Rice
-codings and escaped partitions. It checks each header's CRC-8, each frame's
-CRC-16 and the stream's MD5, and yields PCM blocks with their sample offsets.
+smallest of: constant, verbatim, a fixed linear predictor of order 0 to 4, or a
+quantised linear predictor of order LPC_ORDER, the predictors with Rice residuals
+in 1, 2 or 4 partitions. It writes a seek table with a point for each frame. The
+decoder reads any mono stream of up to 16 bits: constant, verbatim, fixed and LPC
+subframes, both Rice codings and escaped partitions. It checks each header's
+CRC-8, each frame's CRC-16 and the stream's MD5, and yields PCM blocks with their
+sample offsets. Quantised predictors are undone for many frames at once, sample
+by sample. seek() reads one frame, at the offset that the seek table names.
 
 Edge cases: a null text is an empty payload, which is filled up to 64 zero
-bytes; texts of any length are stored whole; equal texts have equal streams. A
-null stream has no blocks; a damaged one raises ValueError.
+bytes; texts of any length are stored whole; equal texts have equal streams, and
+rows that repeat are rows of their own. A null stream has no blocks; one that is
+damaged or cut short raises ValueError. Other columns are kept; one with the name
+of an output is replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphfold.llm.common import arrow_rows, slices, table, texts_of
 
 BLOCK, RATE, BITS, UNIT = 4096, 8000, 8, 64
+LPC_ORDER = 8
 #: Coefficients of the format's fixed predictors, by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -104,15 +112,41 @@ def _rice_cost(u: np.ndarray) -> tuple[int, int]:
     return min((int((u >> k).sum()) + n * (k + 1) + 4, k) for k in range(max(0, near - 1), near + 2))
 
 
-def _rice(lead: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
-    """The bits of lead, a partition's parameter and its codes, as whole bytes. Each code's one and low bits are added
-    to the 32-bit word that they end in; what runs over goes to the word before."""
-    lead = np.concatenate([lead, _bits(k, 4)])
-    ends = np.cumsum(u >> k, dtype=np.int64) + (np.arange(1, len(u) + 1) * (k + 1) + (len(lead) - 1))
-    code = (u & ((1 << k) - 1) | 1 << k).astype(np.int64) << (31 - (ends & 31))
-    word = ends >> 5
+def _rice_plan(u: np.ndarray, order: int) -> tuple[int, list[int], list[int]]:
+    """Cost in bits, sizes and parameters of the best division of a block's folded residuals into 1, 2 or 4 partitions.
+    The first partition lacks the block's warm-up samples."""
+    n, best = len(u) + order, None
+    for parts in (1, 2, 4):
+        each = n // parts
+        if n % parts or each <= order:
+            break
+        sizes = [each - order, *[each] * (parts - 1)]
+        costs, at = [], 0
+        for size in sizes:
+            costs.append(_rice_cost(u[at : at + size]))
+            at += size
+        total = sum(c for c, _ in costs)
+        if best is None or total < best[0]:
+            best = total, sizes, [k for _, k in costs]
+        elif total > best[0] * 1.02:
+            break
+    return best
+
+
+def _rice(lead: np.ndarray, u: np.ndarray, sizes: list[int], ks: list[int]) -> np.ndarray:
+    """The bits of lead and of each partition's parameter and codes, as whole bytes. Each code's one and low bits, and each
+    parameter, are added to the 32-bit word that they end in; what runs over goes to the word before."""
+    k = np.repeat(np.array(ks), sizes)
+    first = np.cumsum([0, *sizes[:-1]])
+    width = (u >> k) + k + 1
+    width[first] += 4  # the parameter stands before its partition's first code
+    ends = len(lead) - 1 + np.cumsum(width, dtype=np.int64)
+    begins = ends[first] - width[first] + 4  # where each parameter ends
+    value = np.concatenate([u & ((1 << k) - 1) | 1 << k, np.array(ks)]).astype(np.int64)
+    at = np.concatenate([ends, begins])
+    code, word = value << (31 - (at & 31)), at >> 5
     words = np.bincount(word, code & 0xFFFFFFFF)
-    words[:-1] += np.bincount(word, code >> 32)[1:]
+    words[:-1] += np.bincount(word, code >> 32, len(words))[1:]
     out = words.astype(np.uint32).astype(">u4").view(np.uint8)[: int(ends[-1]) // 8 + 1]
     packed = np.packbits(lead)
     out[: len(packed)] |= packed
@@ -154,20 +188,20 @@ def _subframe(x: np.ndarray, lpc_order: int) -> np.ndarray:
         tries.append((lpc_order, x[lpc_order:] - guess, got))
     for o, r, how in tries:
         u = (r << 1) ^ (r >> 31)
-        cost, k = _rice_cost(u)
+        cost, sizes, ks = _rice_plan(u, o)
         cost += o * BITS + 6 + (0 if how is None else 9 + 12 * o)
-        if cost < best[0] and k < 15:
-            best = cost, (o, u, k, how)
+        if cost < best[0] and max(ks) < 15:
+            best = cost, (o, u, sizes, ks, how)
     if best[1] is None:
         return np.concatenate([np.array([2], np.uint8), (x & 255).astype(np.uint8)])
-    o, u, k, how = best[1]
+    o, u, sizes, ks, how = best[1]
     head = _bits((8 | o if how is None else 32 | o - 1) << 1, 8)
     warm = np.unpackbits((x[:o] & 255).astype(np.uint8))
     model = [] if how is None else [_bits(11, 4), _bits(how[1], 5), *(_bits(int(c) & 4095, 12) for c in how[0])]
-    return _rice(np.concatenate([head, warm, *model, _bits(0, 6)]), u, k)
+    return _rice(np.concatenate([head, warm, *model, _bits(0, 2), _bits(len(ks).bit_length() - 1, 4)]), u, sizes, ks)
 
 
-def encode(payload: bytes, lpc_order: int = 0) -> bytes:
+def encode(payload: bytes, lpc_order: int = LPC_ORDER) -> bytes:
     """A FLAC stream of unsigned 8-bit samples."""
     x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
     frames, points, offset = [], [], 0
@@ -254,80 +288,121 @@ _AS_TEXT = bytes([48, 49]) + bytes(254)
 _SIZES = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 << (k - 8) for k in range(8, 16)}}
 
 
-def _predict(x: np.ndarray, order: int, coefficients: list[int], shift: int) -> np.ndarray:
-    """Adds the prediction to residuals behind `order` warm-up samples."""
-    if tuple(coefficients) == FIXED[min(order, 4)] and not shift:
-        d = [x[:order]]
-        for _ in range(order):
-            d.append(np.diff(d[-1]))
-        r = x[order:]
-        for o in range(order - 1, -1, -1):
-            r = d[o][-1] + np.cumsum(r)
-        return np.concatenate([x[:order], r])
-    out = x.tolist()
-    back = coefficients[::-1]
-    for i in range(order, len(out)):
-        out[i] += sum(map(int.__mul__, back, out[i - order : i])) >> shift
-    return np.array(out, np.int64)
-
-
-def _read_subframe(r: _Reader, n: int, bits: int) -> np.ndarray:
+class _Frame:
+    """A frame's residuals behind its warm-up samples, and the predictor that they belong to."""
+
+    __slots__ = ("start", "x", "how", "shift", "wasted")
+
+    def __init__(self, start: int, x: np.ndarray, how: list[int], shift: int, wasted: int):
+        self.start, self.x, self.how, self.shift, self.wasted = start, x, how, shift, wasted
+
+
+def _read_subframe(r: _Reader, start: int, n: int, bits: int) -> _Frame:
     kind = r.number(8) >> 1
     wasted = 0
     if r.raw[r.at - 1]:
         wasted = r.unary() + 1
         bits -= wasted
     if kind == 0:
-        x = np.full(n, r.number(bits, True), np.int64)
-    elif kind == 1:
-        x = r.fixed(n, bits)
-    elif 8 <= kind <= 12 or kind >= 32:
-        order = kind - 8 if kind < 32 else kind - 31
-        x = np.empty(n, np.int64)
-        x[:order] = r.fixed(order, bits)
-        how, shift = list(FIXED[order]) if kind < 32 else [], 0
-        if kind >= 32:
-            precision = r.number(4) + 1
-            shift = r.number(5, True)
-            how = [r.number(precision, True) for _ in range(order)]
-        width = 4 + r.number(2)
-        parts, at = 1 << r.number(4), order
-        for p in range(parts):
-            count = n // parts - (0 if p else order)
-            k = r.number(width)
-            x[at : at + count] = r.fixed(count, r.number(5)) if k == (1 << width) - 1 else r.rice(count, k)
-            at += count
-        x = _predict(x, order, how, shift)
-    else:
+        return _Frame(start, np.full(n, r.number(bits, True), np.int64), [], 0, wasted)
+    if kind == 1:
+        return _Frame(start, r.fixed(n, bits), [], 0, wasted)
+    if not (8 <= kind <= 12 or kind >= 32):
         raise ValueError(f"subframe type {kind} is reserved")
-    return x << wasted
-
-
-def blocks(stream: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(sample offset, samples) of each frame, checked against its checksums and, at the end, the stream's MD5."""
-    if stream[:4] != b"fLaC":
-        raise ValueError("not a FLAC stream")
-    at, last, info, points = 4, False, b"", {}
-    while not last:
-        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
-        body = stream[at + 4 : at + 4 + size]
-        if kind == 0:
-            info = body
-        elif kind == 3:
-            points = {int.from_bytes(body[i + 8 : i + 16], "big"): int.from_bytes(body[i : i + 8], "big") for i in range(0, size, 18) if body[i : i + 8] != b"\xff" * 8}
-        at += 4 + size
-    packed = int.from_bytes(info[10:18], "big")
-    bits, total, largest = (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, int.from_bytes(info[2:4], "big")
-    if (packed >> 41 & 7) or bits > 16:
-        raise ValueError("only mono streams of up to 16 bits are read")
-    data = np.frombuffer(stream, np.uint8)
-    begin, done, md5 = at, 0, hashlib.md5()
-    starts = [begin + o for o in points] if points else []
-    kinds = {"little": "<i2", "one": "i1"}
-    while done < total:
+    order = kind - 8 if kind < 32 else kind - 31
+    x = np.empty(n, np.int64)
+    x[:order] = r.fixed(order, bits)
+    how, shift = list(FIXED[order]) if kind < 32 else [], 0
+    if kind >= 32:
+        precision = r.number(4) + 1
+        shift = r.number(5, True)
+        how = [r.number(precision, True) for _ in range(order)]
+    width = 4 + r.number(2)
+    parts, at = 1 << r.number(4), order
+    for p in range(parts):
+        count = n // parts - (0 if p else order)
+        k = r.number(width)
+        x[at : at + count] = r.fixed(count, r.number(5)) if k == (1 << width) - 1 else r.rice(count, k)
+        at += count
+    return _Frame(start, x, how, shift, wasted)
+
+
+def _undo_fixed(f: _Frame) -> None:
+    order = len(f.how)
+    d = [f.x[:order]]
+    for _ in range(order):
+        d.append(np.diff(d[-1]))
+    r = f.x[order:]
+    for o in range(order - 1, -1, -1):
+        r = d[o][-1] + np.cumsum(r)
+    f.x = np.concatenate([f.x[:order], r])
+
+
+def _undo_lpc(frames: list[_Frame]) -> None:
+    """Adds the predictions of quantised predictors to all frames' residuals, a sample of each at a time."""
+    frames = sorted(frames, key=lambda f: -len(f.x))
+    most, longest = max(len(f.how) for f in frames), len(frames[0].x)
+    x = np.zeros((longest + most, len(frames)), np.int64)  # zeros before the first sample and before the first coefficient
+    how = np.zeros((most, len(frames)), np.int64)
+    for j, f in enumerate(frames):
+        x[most : most + len(f.x), j] = f.x
+        how[most - len(f.how) :, j] = f.how[::-1]
+    shift, order = np.array([f.shift for f in frames]), np.array([len(f.how) for f in frames])
+    left = np.searchsorted(-np.array([len(f.x) for f in frames]), -np.arange(longest), side="left")  # frames that are longer than i
+    for i in range(int(order.min()), longest):
+        k = int(left[i])
+        guess = (how[:, :k] * x[i : i + most, :k]).sum(axis=0) >> shift[:k]
+        x[i + most, :k] += guess if i >= most else np.where(i >= order[:k], guess, 0)
+    for j, f in enumerate(frames):
+        f.x = x[most : most + len(f.x), j].copy()
+
+
+def _undo(frames: list[_Frame]) -> None:
+    lpc = []
+    for f in frames:
+        if f.how and not f.shift and tuple(f.how) == FIXED[min(len(f.how), 4)]:
+            _undo_fixed(f)
+        elif f.how:
+            if f.shift < 0:
+                raise ValueError("a predictor's shift is negative")
+            lpc.append(f)
+    # frames that are short and long are kept apart, so that arrays have few gaps
+    for some in (lpc[i : i + 1024] for i in range(0, len(lpc), 1024)):
+        _undo_lpc(some)
+    for f in frames:
+        f.x = f.x << f.wasted
+
+
+class Stream:
+    """A stream's header and seek table. Frames are found by walking or by seek points."""
+
+    def __init__(self, stream: bytes):
+        if stream[:4] != b"fLaC":
+            raise ValueError("not a FLAC stream")
+        self.stream, self.data = stream, np.frombuffer(stream, np.uint8)
+        at, last, info, self.points = 4, False, b"", {}
+        while not last:
+            last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+            body = stream[at + 4 : at + 4 + size]
+            if len(body) < size:
+                raise ValueError("the stream ends early")
+            if kind == 0:
+                info = body
+            elif kind == 3:
+                self.points = {int.from_bytes(body[i + 8 : i + 16], "big"): int.from_bytes(body[i : i + 8], "big") for i in range(0, size, 18) if body[i : i + 8] != b"\xff" * 8}
+            at += 4 + size
+        packed = int.from_bytes(info[10:18], "big")
+        self.bits, self.total, self.largest, self.md5 = (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, int.from_bytes(info[2:4], "big"), info[18:34]
+        if (packed >> 41 & 7) or self.bits > 16:
+            raise ValueError("only mono streams of up to 16 bits are read")
+        self.begin, self.starts = at, sorted(at + o for o in self.points)
+
+    def frame(self, at: int, start: int) -> tuple[_Frame, int]:
+        """The frame at a byte, checked against its checksums, and the byte behind it."""
+        data, stream = self.data, self.stream
         if data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
             raise ValueError(f"no frame at byte {at}")
-        code = int(data[at + 2]) >> 4
+        code, rate = int(data[at + 2]) >> 4, int(data[at + 2]) & 15
         p = at + 4
         lead = int(data[p])
         p += 1 if lead < 128 else 8 - (lead ^ 0xFF).bit_length()
@@ -335,38 +410,84 @@ def blocks(stream: bytes) -> Iterator[tuple[int, np.ndarray]]:
         if code in (6, 7):
             n = int.from_bytes(stream[p : p + code - 5], "big") + 1
             p += code - 5
-        rate = int(data[at + 2]) & 15
         p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
         if crc8(stream[at:p]) != data[p]:
             raise ValueError(f"the header's CRC-8 is wrong at byte {at}")
-        if points.get(at - begin, done) != done:
-            raise ValueError(f"the seek table is wrong at sample {done}")
+        if self.points.get(at - self.begin, start) != start:
+            raise ValueError(f"the seek table is wrong at sample {start}")
         p += 1
-        k = len(starts) and np.searchsorted(starts, at, side="right")
-        end = (starts[k] if k < len(starts) else len(data)) if starts else min(len(data), p + 2 * largest * (bits + 16) // 8 + 64)
+        k = len(self.starts) and bisect.bisect_right(self.starts, at)
+        end = (self.starts[k] if k < len(self.starts) else len(data)) if self.starts else min(len(data), p + 2 * self.largest * (self.bits + 16) // 8 + 64)
         r = _Reader(data[p:end])
-        x = _read_subframe(r, n, bits)
+        f = _read_subframe(r, start, n, self.bits)
         end = p + (r.at + 7) // 8
-        if crc16(data[at:end]) != int.from_bytes(stream[end : end + 2], "big"):
+        if end + 2 > len(data) or crc16(data[at:end]) != int.from_bytes(stream[end : end + 2], "big"):
             raise ValueError(f"the frame's CRC-16 is wrong at byte {at}")
-        md5.update(x.astype(kinds["one" if bits <= 8 else "little"]).tobytes())
-        yield done, x
-        done, at = done + n, end + 2
-    if any(info[18:34]) and md5.digest() != info[18:34]:
-        raise ValueError("the stream's MD5 is wrong")
+        return f, end + 2
 
+    def frames(self) -> list[_Frame]:
+        out, at, done = [], self.begin, 0
+        while done < self.total:
+            f, at = self.frame(at, done)
+            done += len(f.x)
+            out.append(f)
+        return out
 
-def pcm(stream: bytes) -> bytes:
+    def check(self, frames: list[_Frame]) -> None:
+        md5 = hashlib.md5()
+        for f in frames:
+            md5.update(f.x.astype("i1" if self.bits <= 8 else "<i2").tobytes())
+        if any(self.md5) and md5.digest() != self.md5:
+            raise ValueError("the stream's MD5 is wrong")
+
+
+@contextmanager
+def _whole():
+    """What a stream that is cut short leads to is a ValueError."""
+    try:
+        yield
+    except (IndexError, OverflowError) as e:
+        raise ValueError("the stream is damaged or ends early") from e
+
+
+def decode(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
+    """For each stream (sample offset, samples) of its frames, all checked against their checksums and the stream's MD5."""
+    with _whole():
+        read = [Stream(x) for x in streams]
+        frames = [x.frames() for x in read]
+        _undo([f for fs in frames for f in fs])
+        for x, fs in zip(read, frames, strict=True):
+            x.check(fs)
+        return [[(f.start, f.x) for f in fs] for fs in frames]
+
+
+def blocks(stream: bytes) -> list[tuple[int, np.ndarray]]:
+    return decode([stream])[0]
+
+
+def _joined(found: list[tuple[int, np.ndarray]]) -> bytes:
     """The unsigned 8-bit samples of a stream that encode() made."""
-    return b"".join((x + 128).astype(np.uint8).tobytes() for _, x in blocks(stream))
+    return b"".join((x + 128).astype(np.uint8).tobytes() for _, x in found)
+
+
+def pcm(stream: bytes) -> bytes:
+    return _joined(blocks(stream))
 
 
 def seek(stream: bytes, sample: int) -> tuple[int, np.ndarray]:
-    """The block that holds a sample, with its offset."""
-    for start, x in blocks(stream):
-        if start <= sample < start + len(x):
-            return start, x
-    raise ValueError(f"no sample {sample}")
+    """The block that holds a sample, with its offset: the frame at the last seek point before it, or one that follows."""
+    with _whole():
+        s = Stream(stream)
+        if not 0 <= sample < s.total:
+            raise ValueError(f"no sample {sample}")
+        at, start = max(((o, x) for o, x in s.points.items() if x <= sample), key=lambda p: p[1], default=(0, 0))
+        at += s.begin
+        while True:
+            f, after = s.frame(at, start)
+            if sample < start + len(f.x):
+                _undo([f])
+                return start, f.x
+            at, start = after, start + len(f.x)
 
 
 def features(samples: bytes) -> str:
@@ -379,7 +500,7 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % UNIT or (0 if raw else UNIT))
 
 
-def to_flac(df: DataFrame, text: str = "text", output: str = "media", lpc_order: int = 0) -> DataFrame:
+def to_flac(df: DataFrame, text: str = "text", output: str = "media", lpc_order: int = LPC_ORDER) -> DataFrame:
     """df with each text's UTF-8 bytes, filled up to a positive multiple of 64, as a FLAC stream."""
     kept = [c for c in df.columns if c != output]
     df = df.select(*kept)
@@ -399,32 +520,41 @@ def pcm_blocks(df: DataFrame, key: str, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, stream in zip(batch.column(key).to_pylist(), batch.column(media).to_pylist(), strict=True):
-                rows = [] if stream is None else [(s, len(x), (x + 128).astype(np.uint8).tobytes()) for s, x in blocks(stream)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), batch.column(key).type), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=[key, "first_sample", "n_samples", "pcm"])
+            for part in slices(batch, media):
+                there = part.filter(part.column(media).is_valid())
+                for k, found in zip(there.column(key), decode(there.column(media).to_pylist()), strict=True):
+                    if found:
+                        columns = [s for s, _ in found], [len(x) for _, x in found], [(x + 128).astype(np.uint8).tobytes() for _, x in found]
+                        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), k.type), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=[key, "first_sample", "n_samples", "pcm"])
 
     return arrow_rows(df.select(key, media), run, [(key, kind), ("first_sample", T.LongType()), ("n_samples", T.LongType()), ("pcm", T.BinaryType())])
 
 
-DIGEST = [("n_bytes", T.LongType(), pa.int64()), ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
-
-
-def digest(text: str) -> tuple:
-    """Stores a text as FLAC, reads the stream back and describes both."""
-    raw = text.encode("utf-8")
-    media = encode(padded(raw))
-    back = pcm(media)
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(back)
+READ = [("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
 
 
-def op4_flac_media(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def read_back(df: DataFrame, media: str = "media") -> DataFrame:
+    """df without its media column, with digests of the stored bytes and of the payload that is read from them. A null
+    stream has nulls."""
+    kept = [c for c in df.columns if c != media and c not in [n for n, _, _ in READ]]
+    df = df.select(*kept, media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = list(zip(*map(digest, texts_of(part)), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, (_, _, t) in zip(rows, DIGEST, strict=True))], names=["doc_id", *(n for n, _, _ in DIGEST)])
+            for part in slices(batch, media):
+                streams = part.column(media).to_pylist()
+                found = iter(decode([x for x in streams if x is not None]))
+                rows = []
+                for x in streams:
+                    back = None if x is None else _joined(next(found))
+                    rows.append((None,) * len(READ) if x is None else (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(x), hashlib.sha256(x).hexdigest(), features(back)))
+                columns = [pa.array(c, t) for c, (_, _, t) in zip(zip(*rows, strict=True), READ, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], names=[*kept, *(n for n, _, _ in READ)])
+
+    return arrow_rows(df, run, [*((f.name, f.dataType) for f in df.schema.fields if f.name != media), *((n, t) for n, t, _ in READ)])
 
-    return arrow_rows(docs, run, [("doc_id", docs.schema["doc_id"].dataType), *((n, t) for n, t, _ in DIGEST)])
+
+def op4_flac_media(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = to_flac(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media")
+    return read_back(stored)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphfold.llm import bpe, flac
@@ -13,6 +14,15 @@ from graphfold.llm import bpe, flac
 MINE, LIBRARY = bpe.load(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
 
 
+def test_bpe_agrees_on_every_code_point():
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{}b", "1{} "):
+        for i in range(0, len(every), 50_000):
+            texts = [form.format(chr(c)) for c in every[i : i + 50_000]]
+            want = [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+            assert [x.tolist() for x in MINE.encode_batch(texts)] == want
+
+
 def same(text):
     want = LIBRARY.encode(text, add_special_tokens=False).ids
     got = MINE.encode(text).tolist()
@@ -92,14 +102,65 @@ def test_flac_round_trip(order):
 
 
 def test_flac_notices_damage():
-    stream = bytearray(flac.encode(next(p for p in signals() if len(p) > 10_000)))
-    stream[-40] ^= 1
-    with pytest.raises(ValueError):
-        flac.pcm(bytes(stream))
+    stream = flac.encode(next(p for p in signals() if len(p) > 10_000))
+    want, rng = flac.pcm(stream), random.Random(5)
+    for cut in sorted({*range(0, 60), *(rng.randrange(len(stream)) for _ in range(60))}):
+        with pytest.raises(ValueError):
+            flac.pcm(stream[:cut])
+    first = 4 + 4 + 34  # what the header says of frame sizes and rate may differ; what is decoded may not
+    for _ in range(150):
+        damaged, bit = bytearray(stream), rng.randrange(8 * first, 8 * len(stream))
+        damaged[bit // 8] ^= 1 << bit % 8
+        try:
+            assert flac.pcm(bytes(damaged)) == want and bit < 8 * (len(stream) - 4096)
+        except ValueError:
+            pass
     with pytest.raises(ValueError):
         flac.pcm(b"RIFF")
 
 
+def test_flac_seeks_by_its_table():
+    payload = bytes((i * i >> 7) & 255 for i in range(50_000))
+    stream = flac.Stream(flac.encode(payload))
+    frames = stream.starts
+    broken = bytearray(stream.stream)
+    broken[frames[0] + 8] ^= 255  # the first frame cannot be read, the others can
+    start, block = flac.seek(bytes(broken), 30_000)
+    assert start == 28_672 and (block + 128).astype(np.uint8).tobytes() == payload[start : start + 4096]
+    with pytest.raises(ValueError):
+        flac.seek(bytes(broken), 5)
+    with pytest.raises(ValueError):
+        flac.seek(stream.stream, 50_000)
+
+
+def test_flac_uses_partitions_and_predictors():
+    quiet_then_loud = np.concatenate([np.zeros(2048), np.random.default_rng(3).normal(0, 40, 2048)]).clip(-100, 100) + 128
+    smooth = 90 * np.sin(np.arange(4096) / 5) + 20 * np.sin(np.arange(4096) / 2.3) + 128
+    kinds = []
+    for x in (quiet_then_loud, smooth):
+        payload = x.astype(np.uint8).tobytes()
+        stream = flac.encode(payload)
+        assert flac.pcm(stream) == payload
+        kinds.append(flac.Stream(stream).frames()[0])
+        kinds.append(len(stream))
+    assert kinds[2].shift and len(kinds[2].how) == flac.LPC_ORDER
+    u = np.abs(quiet_then_loud.astype(np.int64) - 128)
+    assert len(flac._rice_plan(u, 0)[1]) > 1
+
+
+def test_query_reads_what_was_stored(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in flac.op4_flac_media(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        raw = (r["text"] or "").encode()
+        payload = flac.padded(raw)
+        g = got[r["doc_id"]]
+        assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = flac.encode(payload)
+        assert (g["media_bytes"], g["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+
+
 def test_flac_frame(odd_docs, no_docs, texts):
     media = flac.to_flac(odd_docs)
     got = media.select("text", "media").collect()
@@ -108,6 +169,8 @@ def test_flac_frame(odd_docs, no_docs, texts):
     blocks = flac.pcm_blocks(media.where("doc_id = 8"), "doc_id").orderBy("first_sample").collect()
     assert [b["first_sample"] for b in blocks] == list(range(0, 20_032, 4096)) and b"".join(b["pcm"] for b in blocks) == flac.padded(b"x" * 20_000)
     assert flac.to_flac(no_docs).count() == 0
-    raw = "añ".encode()
-    n, p, sha, crc, *_ = flac.digest("añ")
-    assert (n, p) == (3, 64) and sha == hashlib.sha256(flac.padded(raw)).hexdigest() and crc == zlib.crc32(flac.padded(raw)[-64:])
+    back = flac.read_back(media.withColumn("feature", F.lit("clash")))
+    assert back.columns == [c for c in media.columns if c != "media"] + [n for n, _, _ in flac.READ] and back.count() == len(texts)
+    nulls = flac.read_back(media.withColumn("media", F.lit(None).cast("binary"))).collect()
+    assert all(r["payload_sha256"] is None for r in nulls) and flac.pcm_blocks(media.withColumn("media", F.lit(None).cast("binary")), "doc_id").count() == 0
+    assert flac.read_back(flac.to_flac(no_docs)).count() == 0
