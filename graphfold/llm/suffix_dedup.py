@@ -9,32 +9,36 @@ strings, and every shard holds a logarithmic family of suffix arrays:
    document only are found by a shuffle of 48-bit hashes (equal hashes of unequal
    grams only add work), and their strings are done with.
 2. The strings around the other anchors go to the anchor's shard, as the bytes of
-   each anchor's reach. Batches come in the order of ids. A batch's suffixes are
-   sorted, then merge-scanned against the arrays of all existing levels and
-   against each other for matches of LENGTH bytes; what is new becomes a level of
-   its own, and levels of equal size are merged, so there are logarithmically many.
+   each anchor's reach. Batches come in the order of ids. A batch gets a suffix
+   array, sorted by bytes up to LENGTH, which is scanned against the arrays of all
+   existing levels, in the order that both share, and within itself for matches of
+   LENGTH bytes; what is new becomes a level of its own, and levels of like size
+   are merged, so there are logarithmically many.
 3. The matches go back to their documents, which are cut.
 
-A shard's suffixes are ordered by a 64-bit hash of their first LENGTH bytes, and a
-second 64-bit hash decides on equality: whether two suffixes agree on LENGTH bytes
-is all that the scan asks. Equal reaches within a batch are sent once, for the
-smallest id; this keeps a group of copies, however large, from any one shard.
+Suffixes are compared by their bytes. Equal reaches within a batch are sent once,
+for the smallest id; this keeps a group of copies, however large, from any one
+shard. A batch is a range of ids, of which there are at most MOST_RANGES, and the
+texts of a range are read in as many parts as their bytes ask for.
 
 Edge cases: a null text counts as empty; texts shorter than LENGTH bytes keep all
 bytes. Rows with one id never match each other. A row without an id keeps its
 bytes and removes none elsewhere. Empty tables give empty results. Overlapping
-matches count once; strings are judged on the input.
+matches count once; strings are judged on the input. Texts of any length are read
+whole. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +48,8 @@ from graphfold.llm.shingles import mix
 LENGTH, GRAM = 50, 26
 #: Bytes of text in a batch, and strings' bytes for a shard, on average.
 BATCH_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+#: Ranges of ids; beyond so many batches, those of a range share it.
+MOST_RANGES = 1 << 16
 #: Bytes whose anchors are found at once; the arrays for it take about a hundred times as much.
 PIECE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -126,9 +132,26 @@ def _unpack_ids(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int64))
 
 
-def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
-    """(batch, docs, hashes): the anchors of documents that are anchors elsewhere too."""
-    parts = [("shard", T.IntegerType()), ("batch", T.IntegerType()), ("docs", T.BinaryType()), ("hashes", T.BinaryType()), ("known", T.BinaryType())]
+def _ranges_before(bounds: np.ndarray, key: Column) -> Column:
+    """How many of the rising bounds are at most key: over runs of bounds first, then within one run."""
+    step = max(1, math.isqrt(len(bounds)))
+    runs = [bounds[i : i + step].tolist() for i in range(0, len(bounds), step)]
+    if not runs:
+        return F.lit(0)
+    table_ = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)
+    run = F.size(F.filter(table_([r[0] for r in runs], "array<bigint>"), lambda b: b <= key))
+    own = F.size(F.filter(F.element_at(table_(runs, "array<array<bigint>>"), F.greatest(run, F.lit(1))), lambda b: b <= key))
+    return F.when(run == 0, 0).otherwise((run - 1) * step + own)
+
+
+def _slots(ids: np.ndarray, bounds: np.ndarray, each: int) -> np.ndarray:
+    """Batch and part of documents in one number."""
+    return np.searchsorted(bounds, ids, side="right") * each + np.mod(ids, each)
+
+
+def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int, each: int, partitions: int) -> DataFrame:
+    """(slot, docs, hashes): the anchors of documents that are anchors elsewhere too."""
+    parts = [("shard", T.IntegerType()), ("slot", T.LongType()), ("docs", T.BinaryType()), ("hashes", T.BinaryType()), ("known", T.BinaryType())]
     names = [n for n, _ in parts]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +173,7 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
                 rows = []
                 # what the slice knows by itself goes to the batches through shard 0 and up, as it is
                 here = known & once
-                home = np.searchsorted(bounds, doc, side="right")
+                home = _slots(doc, bounds, each)
                 for b in np.unique(home[here]).tolist():
                     at = here & (home == b)
                     some = np.argsort(doc[at], kind="stable")
@@ -160,7 +183,7 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
                 cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
                 for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     rows.append((int(s[x]), -1, _pack_ids(ds[x:y]), _pack_hashes(hs[x:y]), zlib.compress(_bytes(ks[x:y]), 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -177,13 +200,13 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
             yield from pack(doc[hit], h[hit])
 
         def pack(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-            home = np.searchsorted(bounds, doc, side="right")
+            home = _slots(doc, bounds, each)
             order = np.lexsort((doc, home))
             home, doc, h = home[order], doc[order], h[order]
             cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(home) else []
             rows = [(int(home[x]), _pack_ids(doc[x:y]), _pack_hashes(h[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "docs", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slot", "docs", "hashes"])
 
         for batch in batches:
             for shard, home, d, h, known in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -198,59 +221,154 @@ def _repeated(docs: DataFrame, bounds: np.ndarray, shards: int) -> DataFrame:
         yield from found()
 
     sent = arrow_rows(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), send, parts)
-    return arrow_rows(sent.repartition(F.col("shard")).sortWithinPartitions("shard"), meet, [("batch", T.IntegerType()), ("docs", T.BinaryType()), ("hashes", T.BinaryType())])
+    return arrow_rows(sent.repartition(partitions, "shard").sortWithinPartitions("shard"), meet, [("slot", T.LongType()), ("docs", T.BinaryType()), ("hashes", T.BinaryType())])
+
+
+WORDS = -(-LENGTH // 8)
+#: The bits of a string's last word that belong to its first LENGTH bytes.
+_LAST = np.uint64(((1 << 64) - 1) ^ ((1 << 8 * (8 * WORDS - LENGTH)) - 1))
+
+
+class Suffixes:
+    """A suffix array: places in flat whose strings of LENGTH bytes rise. flat has 8 bytes more than its strings."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray):
+        self.flat, self.at = flat, at
+        self.head = self.word(0, slice(None))
+
+    def word(self, j: int, which) -> np.ndarray:
+        """Bytes 8 j to 8 j + 8 of the chosen strings, as numbers in the order of the bytes."""
+        return words_at(self.flat, self.at[which], j)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def only(self, keep: np.ndarray) -> Suffixes:
+        """The chosen suffixes, with the bytes of flat that they need."""
+        at = self.at[keep]
+        edge = np.zeros(len(self.flat) + 1, np.int32)
+        np.add.at(edge, at, 1)
+        np.subtract.at(edge, at + LENGTH, 1)
+        used = np.cumsum(edge[:-1]) > 0
+        place = np.cumsum(used) - 1
+        return Suffixes(np.concatenate([self.flat[used], np.zeros(8, np.uint8)]), place[at])
+
+
+def words_at(flat: np.ndarray, at: np.ndarray, j: int) -> np.ndarray:
+    every = np.ndarray((len(flat) - 7,), ">u8", flat, strides=(1,))
+    got = every[at + 8 * j].astype(np.uint64)
+    return got & _LAST if j == WORDS - 1 else got
+
+
+def suffix_array(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings of LENGTH bytes at `at`, and which of them, in that order, differ from the one before.
+    Strings are sorted by their first word; those that tie, by the next, until none ties."""
+    head = words_at(flat, at, 0)
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    new = np.concatenate([np.ones(min(1, len(at)), bool), head[1:] != head[:-1]])
+    for j in range(1, WORDS):
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
+            break
+        rows, group = order[tied], np.cumsum(new)[tied]
+        word = words_at(flat, at[rows], j)
+        by = np.lexsort((word, group))
+        order[tied] = rows[by]
+        word, group = word[by], group[by]
+        new[tied[1:]] |= (word[1:] != word[:-1]) | (group[1:] != group[:-1])
+    return order, new
+
+
+def _bound(a: Suffixes, j: int, key: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+    """In a's rows low to high, which rise by their word j, the place before (or with right behind) the rows equal to key."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) >> 1
+        word = a.word(j, mid)
+        before = word <= key[live] if right else word < key[live]
+        low[live[before]] = mid[before] + 1
+        high[live[~before]] = mid[~before]
+        live = live[low[live] < high[live]]
+    return low
+
+
+def scan(a: Suffixes, b: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix of b, both sorted: its place in a, and whether a has it. Ranges of a narrow word by word."""
+    low, high = np.searchsorted(a.head, b.head, "left"), np.searchsorted(a.head, b.head, "right")
+    live = np.flatnonzero(low < high)
+    for j in range(1, WORDS):
+        if not len(live):
+            break
+        key = b.word(j, live)
+        first = _bound(a, j, key, low[live], high[live], False)
+        stop = _bound(a, j, key, first, high[live], True)
+        low[live] = first
+        high[live] = stop
+        live = live[first < stop]
+    hit = np.zeros(len(b), bool)
+    hit[live] = True
+    return low, hit
 
 
 class Levels:
-    """A logarithmic family of sorted suffix arrays, each as its two hashes."""
+    """A logarithmic family of suffix arrays over distinct strings, the largest first."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def scan(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Which of the suffixes, sorted by h1, stand in some level."""
-        out = np.zeros(len(h1), bool)
-        for a, b in self.levels:
-            at = np.minimum(np.searchsorted(a, h1), len(a) - 1)
-            out |= (a[at] == h1) & (b[at] == h2)
+        self.levels: list[Suffixes] = []
+
+    def scan(self, b: Suffixes) -> np.ndarray:
+        """Which suffixes of b stand in some level; the levels are scanned in turn."""
+        out = np.zeros(len(b), bool)
+        for a in self.levels:
+            out |= scan(a, b)[1]
         return out
 
-    def add(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        """A new level; while the one before is not twice as large, the two are merged."""
-        if not len(h1):
+    def add(self, b: Suffixes) -> None:
+        """A new level of strings that no level holds; while the one before is not twice as large, the two are merged."""
+        if not len(b):
             return
-        self.levels.append((h1, h2))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a1, a2), (b1, b2) = self.levels.pop(-2), self.levels.pop()
-            both = np.concatenate([a1, b1])
-            order = np.argsort(both, kind="stable")
-            self.levels.append((both[order], np.concatenate([a2, b2])[order]))
-
-    def batch(self, doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Which suffixes of a batch match one of a smaller document, in a level or in the batch; then adds the batch."""
-        order = np.lexsort((doc, h2, h1))
-        d, a, b = doc[order], h1[order], h2[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        first = np.flatnonzero(new)
-        seen = self.scan(a[first], b[first])
-        group = np.cumsum(new) - 1
+        self.levels.append(b)
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            a, b = self.levels.pop(-2), self.levels.pop()
+            behind = scan(a, b)[0] + np.arange(len(b))
+            at = np.empty(len(a) + len(b), np.int64)
+            from_b = np.zeros(len(at), bool)
+            from_b[behind] = True
+            at[from_b], at[~from_b] = b.at + len(a.flat) - 8, a.at
+            self.levels.append(Suffixes(np.concatenate([a.flat[:-8], b.flat]), at))
+
+    def batch(self, doc: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which strings of a batch match one of a smaller document, in a level or in the batch; then adds the batch."""
+        if not len(at):
+            return np.zeros(0, bool)
+        flat = np.concatenate([flat, np.zeros(8, np.uint8)])
+        order, new = suffix_array(flat, at)
+        first, group, d = np.flatnonzero(new), np.cumsum(new) - 1, doc[order]
+        mine = Suffixes(flat, at[order[first]])
+        seen = self.scan(mine)
         out = np.empty(len(doc), bool)
-        out[order] = seen[group] | (d > d[first][group])
-        self.add(a[first][~seen], b[first][~seen])
+        out[order] = seen[group] | (d > np.minimum.reduceat(d, first)[group])
+        self.add(mine.only(~seen))
         return out
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents with their batch, and (batch, docs, starts, ends): packed byte spans to remove, which may overlap."""
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """The documents with their slot, (slot, docs, starts, ends): packed byte spans to remove, which may overlap, and the
+    number of partitions that their bytes ask for."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
-    cuts, shards = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // SHARD_BYTES))
-    got = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 20_000).alias("b")).collect()[0]["b"] if cuts > 1 else None
+    batches, shards = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // SHARD_BYTES))
+    cuts = min(batches, MOST_RANGES)
+    each = -(-batches // cuts)  # parts of a range
+    parts = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], max(20_000, 4 * cuts)).alias("b")).collect()[0]["b"] if cuts > 1 else None
     bounds = np.unique(np.array(got or [], np.int64))
-    later = F.size(F.filter(F.lit(bounds.tolist()) if len(bounds) else F.array().cast("array<long>"), lambda b: b <= F.col("doc_id")))
-    docs = docs.withColumn("batch", F.when(F.col("doc_id").isNotNull(), later).otherwise(-1 - (F.crc32("text") % cuts)).cast("int"))
-    repeated = materialize(_repeated(docs, bounds, shards), "dedup_anchors")
+    slot = _ranges_before(bounds, F.col("doc_id")).cast("long") * each + F.pmod("doc_id", F.lit(each).cast("long"))
+    docs = docs.withColumn("slot", F.when(F.col("doc_id").isNotNull(), slot).otherwise(-1 - (F.crc32("text") % cuts)))
+    repeated = materialize(_repeated(docs, bounds, shards, each, parts), "dedup_anchors")
     names = ["shard", "batch", "docs", "starts", "counts", "bytes"]
 
     def gather(texts: pa.Table, marks: pa.Table) -> pa.Table:
@@ -279,7 +397,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
                         settled.append((d, x - s[1], x - s[1] + len(reach)))
                     else:
                         got.setdefault(s[0], []).append((d, x - s[1], c, reach))
-            batch = texts.column("batch")[0].as_py()
+            batch = texts.column("slot")[0].as_py() // each
             for shard, some in got.items():
                 d, x, c, r = zip(*some, strict=True)
                 rows.append((shard, batch, _pack_ids(np.array(d, np.int64)), zlib.compress(_bytes(np.array(x, np.int64)), 1), zlib.compress(_bytes(np.array(c, np.int32)), 1), zstandard.compress(b"".join(r), 3)))
@@ -289,39 +407,54 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
-    sent = docs.where(F.col("doc_id").isNotNull()).groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(gather, "shard int, batch int, docs binary, starts binary, counts binary, bytes binary")
+    known = docs.where(F.col("doc_id").isNotNull()).repartition(parts, "slot")
+    sent = known.groupBy("slot").cogroup(repeated.repartition(parts, "slot").groupBy("slot")).applyInArrow(gather, "shard int, batch int, docs binary, starts binary, counts binary, bytes binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, levels = None, Levels()
+        now, levels, held = None, Levels(), []
+
+        def spans_of(shard: int, batch: int) -> Iterator[pa.RecordBatch]:
+            """Scans all that a shard has of a batch."""
+            doc, start, count, flat = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            place = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+            owner = np.repeat(np.arange(len(count)), count)
+            offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            hit = levels.batch(doc[owner], flat, place[owner] + offset)
+            # runs of matching strings of a reach
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            inner = np.flatnonzero(hit[1:] & hit[:-1] & (owner[1:] != owner[:-1])) + 1
+            begin, stop = np.sort(np.concatenate([edge[::2], inner])), np.sort(np.concatenate([edge[1::2], inner]))
+            o = owner[begin]
+            yield from spans_row(batch, doc[o], start[o] + offset[begin], start[o] + offset[stop - 1] + LENGTH)
+
+        def spans_row(batch: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+            slot = batch * each + np.mod(doc, each)
+            for p in np.unique(slot).tolist():
+                at = slot == p
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([_bytes(v[at])], pa.binary()) for v in (doc, start, end))], names=["slot", "docs", "starts", "ends"])
+
         for record in batches:
             for shard, batch, d, x, c, raw in zip(*(record.column(i) for i in range(6)), strict=True):
-                shard, batch = shard.as_py(), batch.as_py()
-                if shard != now:
-                    now, levels = shard, Levels()
+                key = shard.as_py(), batch.as_py()
+                if key != now:
+                    if held:
+                        yield from spans_of(*now)
+                    if now is None or now[0] != key[0]:
+                        levels = Levels()
+                    now = key
                 doc, start = _unpack_ids(d.as_py()), np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-                if not c.is_valid:
-                    end = np.frombuffer(zlib.decompress(raw.as_py()), np.int64)
+                if c.is_valid:
+                    held.append((doc, start, np.frombuffer(zlib.decompress(c.as_py()), np.int32).astype(np.int64), np.frombuffer(zstandard.decompress(raw.as_py()), np.uint8)))
                 else:
-                    count, flat = np.frombuffer(zlib.decompress(c.as_py()), np.int32).astype(np.int64), np.frombuffer(zstandard.decompress(raw.as_py()), np.uint8)
-                    place = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
-                    owner = np.repeat(np.arange(len(count)), count)
-                    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                    at = place[owner] + offset
-                    hit = levels.batch(doc[owner], rolling(flat, LENGTH, 0, at), rolling(flat, LENGTH, 1, at))
-                    # runs of matching strings of a reach
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    inner = np.flatnonzero(hit[1:] & hit[:-1] & (owner[1:] != owner[:-1])) + 1
-                    begin, stop = np.sort(np.concatenate([edge[::2], inner])), np.sort(np.concatenate([edge[1::2], inner]))
-                    o = owner[begin]
-                    doc, end = doc[o], start[o] + offset[stop - 1] + LENGTH
-                    start = start[o] + offset[begin]
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int32()), *(pa.array([_bytes(v)], pa.binary()) for v in (doc, start, end))], names=["batch", "docs", "starts", "ends"])
-
-    found = arrow_rows(sent.repartition(F.col("shard")).sortWithinPartitions("shard", "batch"), match, [("batch", T.IntegerType()), ("docs", T.BinaryType()), ("starts", T.BinaryType()), ("ends", T.BinaryType())])
+                    yield from spans_row(key[1], doc, start, np.frombuffer(zlib.decompress(raw.as_py()), np.int64))
+        if held:
+            yield from spans_of(*now)
+
+    found = arrow_rows(sent.repartition(max(shards, parts), "shard").sortWithinPartitions("shard", "batch"), match, [("slot", T.LongType()), ("docs", T.BinaryType()), ("starts", T.BinaryType()), ("ends", T.BinaryType())])
     found = materialize(found, "dedup_spans")
     del sent, repeated
-    return docs, found
+    return docs, found, parts
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +466,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, the removed spans (start and end byte) and the bytes that stay, of each document."""
-    docs, found = spans(docs, doc_id, text)
+    docs, found, parts = spans(docs, doc_id, text)
 
     def cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
         got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -354,7 +487,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "removed": pa.array(removed, span), "kept": pa.array(kept, pa.binary())})
 
-    return docs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return docs.repartition(parts, "slot").groupBy("slot").cogroup(found.repartition(parts, "slot").groupBy("slot")).applyInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

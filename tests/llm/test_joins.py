@@ -172,9 +172,10 @@ def dedup_rows(df):
     return sorted(map(tuple, out.collect()), key=str)
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [0, 1, 2])
 def test_dedup_matches_brute_force(spark, monkeypatch, small):
     if small:
+        monkeypatch.setattr(suffix_dedup, "MOST_RANGES", 2 if small == 2 else 1 << 16)
         monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
         monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1000)
@@ -192,13 +193,42 @@ def test_dedup_of_odd_rows(spark, odd_docs, no_docs, texts):
     assert suffix_dedup.dedup(no_docs).count() == 0
 
 
+def strings(flat, at):
+    return [flat[i : i + suffix_dedup.LENGTH].tobytes() for i in at.tolist()]
+
+
+def test_suffix_arrays_are_sorted_by_bytes():
+    rng = np.random.default_rng(3)
+    for letters, n in ((2, 3000), (256, 500), (1, 90)):
+        flat = np.concatenate([rng.integers(0, letters, n).astype(np.uint8)] * 2)
+        at = rng.permutation(len(flat) - suffix_dedup.LENGTH + 1)
+        order, new = suffix_dedup.suffix_array(np.concatenate([flat, np.zeros(8, np.uint8)]), at)
+        got = strings(flat, at[order])
+        assert got == sorted(got) and new.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(len(got))]
+
+
 def test_levels_stay_logarithmic():
-    rng, levels = np.random.default_rng(1), suffix_dedup.Levels()
-    for _ in range(64):
-        h = np.sort(rng.integers(0, 1 << 60, 100).astype(np.uint64))
-        levels.add(h, h)
-        assert levels.scan(h, h).all() and not levels.scan(h, h + np.uint64(1)).any()
-    assert len(levels.levels) <= 8 and sum(len(a) for a, _ in levels.levels) == 6400
+    rng, levels, seen = np.random.default_rng(1), suffix_dedup.Levels(), set()
+    for step in range(40):
+        flat = rng.integers(0, 2 if step % 2 else 200, 160).astype(np.uint8)
+        flat[:60] = np.arange(60)  # every batch repeats some strings
+        at = np.arange(len(flat) - suffix_dedup.LENGTH + 1)
+        got = levels.batch(np.full(len(at), step), flat, at)
+        mine = strings(flat, at)
+        assert got.tolist() == [x in seen for x in mine]
+        seen |= set(mine)
+    held = [x for level in levels.levels for x in strings(level.flat, level.at)]
+    assert len(levels.levels) <= 7 and sorted(held) == sorted(seen)
+    assert all(strings(a.flat, a.at) == sorted(strings(a.flat, a.at)) for a in levels.levels)
+
+
+def test_ranges_of_ids(spark):
+    rng = random.Random(6)
+    for n in (0, 1, 2, 50):
+        bounds = np.array(sorted({rng.randrange(-1000, 1000) for _ in range(n)}), np.int64)
+        ids = [*range(-1100, 1100, 7), *bounds.tolist()]
+        got = [r["n"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select(suffix_dedup._ranges_before(bounds, F.col("doc_id")).alias("n")).collect()]
+        assert got == np.searchsorted(bounds, ids, side="right").tolist()
 
 
 def neighbours_by_hand(rows, k=10, size=8):
