@@ -378,6 +378,24 @@ def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return other.unionByName(own).groupBy("id").agg(F.min("label").alias("label"))
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, counts, size: int) -> DataFrame:
+    """(id, grams) of the wanted documents (id), in the global order. A filter keeps most other documents from being
+    read further, and those that pass it by chance go with the join."""
+    asked = docs.sparkSession.sparkContext.broadcast(_filter(wanted))  # 2**FILTER_BITS bits for any corpus
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            known = known[_passes(ids.take(pa.array(known)).to_numpy(), asked.value)]
+            for part in slices(batch.take(pa.array(known)), "text"):
+                sets = shingle_sets(texts_of(part), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "grams"])
+
+    sets = arrow_rows(docs, full, [("id", T.LongType()), ("grams", T.BinaryType())])
+    return sets.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+
+
 def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs (doc_id, text)."""
     t = t or Threshold()
@@ -396,30 +414,18 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     signs = materialize(own.join(wanted.hint("merge"), "id", "left_semi").select("id", "bits"), "join_signs")
     discard(own)
 
-    asked = spark.sparkContext.broadcast(_filter(wanted))  # 2**FILTER_BITS bits for any corpus
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
-            known = known[_passes(ids.take(pa.array(known)).to_numpy(), asked.value)]
-            for part in slices(batch.take(pa.array(known)), "text"):
-                sets = shingle_sets(texts_of(part), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "grams"])
-
-    # the filter lets a few others pass, which go here; a merge join at every size, as the ids grow with the corpus
-    sets = arrow_rows(docs, full, [("id", T.LongType()), ("grams", T.BinaryType())]).join(wanted.hint("merge"), "id", "left_semi")
-    sets = materialize(sets.dropDuplicates(["id"]), "join_sets")
     labels, links = None, []
     for turn in range(STARS + 1):
         table_ = _labelled(shared, labels)
         rows = _parts(materialize(_stars(table_, t, turn), "join_stars"), True) if turn < STARS else _parts(materialize(_blocks(table_), "join_blocks"), False)
         parts = materialize(_hopeful(rows, signs, t), "join_hopeful")
+        sets = materialize(_sets(docs, parts.select("id").distinct(), counts, size), "join_sets")
         links.append(materialize(_links(parts, sets, t), "join_links"))
-        discard(parts)
+        for done in (parts, sets):
+            discard(done)
         if turn < STARS:
             labels = materialize(_relabelled(links[-1], labels), "join_labels")
-    for done in (shared, signs, sets):
+    for done in (shared, signs):
         discard(done)
     final = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "id")
     known = classes.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
