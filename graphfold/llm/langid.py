@@ -14,7 +14,9 @@ slots whatever the size of the corpus, which bounds what is broadcast.
 Edge cases: a null text, or one without letters, is `und` with score 0, as is
 every text where nothing could be learned. Documents without a language are not
 learned from. Ties go to the language that sorts first. A null doc_id counts as
-the empty text. Texts of any length are read whole. Extra columns do not matter.
+the empty text. Rows that repeat an id are documents of their own. Texts of any
+length are read whole. An empty table gives an empty result. Extra columns do not
+matter. More than MOST_LANGS languages raise ValueError.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from graphfold.llm.common import arrow_rows, materialize, slices, table, texts_o
 
 SLOTS, HASHES = 1 << 19, 3
 MIN_SHARE, MIN_RATIO = 0.01, 0.3
+#: Languages that the filters may hold; it bounds the masks that are broadcast (SLOTS * MOST_LANGS / 8 bytes).
+MOST_LANGS = 1024
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -121,10 +125,12 @@ class Filters:
         bits = [(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(langs))]
         self.false = np.minimum(np.array(bits, np.float64) ** HASHES, 0.999)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Each text's language, its share of all languages' corrected counts, and the corrected share of the text's
+        trigrams that its filter holds."""
         n, count = len(texts), len(self.langs)
         if not count:
-            return ["und"] * n, [0.0] * n
+            return ["und"] * n, [0.0] * n, [0.0] * n
         grams, owner, has = trigrams(texts)
         at = slots(grams, len(self.masks))
         found = self.masks[at[:, 0]]
@@ -137,7 +143,8 @@ class Filters:
             scores[:, i] = np.maximum(0, (hits - total * self.false[i]) / (1 - self.false[i]))
         best, whole = scores.argmax(axis=1), scores.sum(axis=1)
         top = scores[np.arange(n), best]
-        return [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has & (whole > 0), top / np.maximum(whole, 1e-12), 0.0).tolist()
+        names = [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+        return names, np.where(has & (whole > 0), top / np.maximum(whole, 1e-12), 0.0).tolist(), (top / np.maximum(total, 1)).tolist()
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id") -> Filters:
@@ -146,7 +153,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id") -> Filters:
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % 3 != 1))
     counts = materialize(gram_counts(train), "langid_counts")
-    totals = {r["lang"]: r["n"] for r in counts.where(F.col("gram").isNull()).select("lang", "n").collect()}
+    totals = {r["lang"]: r["n"] for r in counts.where(F.col("gram").isNull()).select("lang", "n").limit(MOST_LANGS + 1).collect()}
+    if len(totals) > MOST_LANGS:
+        raise ValueError(f"the documents name more than {MOST_LANGS} languages")
     langs = sorted(totals)
     if not langs:
         return Filters([], np.zeros((SLOTS, 1), np.uint64))
@@ -169,19 +178,20 @@ def learn(docs: DataFrame, doc_id: str = "doc_id") -> Filters:
     return Filters(langs, masks)
 
 
-def identify(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its share of all languages' corrected counts."""
-    kept = [c for c in docs.columns if c not in (lang, score)]
+def identify(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang_pred", score: str = "score", covered: str = "covered") -> DataFrame:
+    """docs with the predicted language, its share of all languages' corrected counts, and the share of the text's
+    trigrams that its filter holds."""
+    kept = [c for c in docs.columns if c not in (lang, score, covered)]
     docs = docs.select(*kept)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                langs, scores = shared.value.predict(texts_of(part, text))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang, score])
+                langs, scores, shares = shared.value.predict(texts_of(part, text))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=[*kept, lang, score, covered])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(covered, T.DoubleType())]))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
@@ -192,11 +202,16 @@ def op6_language_id(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc % 3 == 1).alias("held_out"), "lang_pred", "score")
 
 
-#: Documents whose language gets a smaller share of the corrected counts are rejected by the stage.
+#: The stage rejects documents whose language's filter holds a smaller share of their trigrams. It does not depend on
+#: how many languages are learned, or how much they have in common.
 REJECT_BELOW = 0.3
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no letters, or no language that stands out)."""
-    out = identify(docs, learn(docs), lang="__lang", score="__score")
-    return out.where((F.col("__lang") != "und") & (F.col("__score") >= REJECT_BELOW)).select(*docs.columns)
+    """Drops documents without a language: no letters, or few trigrams of any language. The documents' text and language
+    teach the filters as in the query; where no language can be learned at all, nothing is judged and all stay."""
+    filters = learn(docs)
+    if not filters.langs:
+        return docs
+    out = identify(docs, filters, lang="__lang", score="__score", covered="__covered")
+    return out.where((F.col("__lang") != "und") & (F.col("__covered") >= REJECT_BELOW)).select(*docs.columns)
