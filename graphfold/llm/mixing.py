@@ -10,13 +10,20 @@ Every source, language and topic has cells and a target of its own. Up to GATHER
 cells are raked on the driver; more are raked where they lie, with an aggregation
 and a join for each dimension and round, which gives the same weights. Documents
 get their cell's probability by a join that spreads the largest cells. Tokens are
-counted over all documents.
+counted over all documents. The topic is a column `topic` where the documents have
+one, which a topic model may have filled, and else the make-up of the text.
+
+A rate near 1 leaves the cells little room: those that reach probability one hold
+more than their share, and the sample misses its targets. Mixture.marginals()
+says what each value was to get, what raking gave it and what the sample holds.
 
 Edge cases: a null or empty text has no tokens, topic `empty`, and takes the
 probability of its cell; a text of white space alone has no tokens either; null sources and languages count as the value ``. A
 target for a value that does not occur is left out and the others are scaled. A
-decision depends on doc_id alone, so repeated rows are kept or dropped together.
-An empty table gives an empty result.
+decision depends on doc_id and the cell alone, so repeated rows are kept or
+dropped together. Texts of any length are counted whole. Columns of the stage's
+input keep their names; names that begin with two underscores are for the
+operator. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,7 +115,7 @@ def uniform(key: Column, seed: int = SEED) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """docs with the values of their cells and their tokens."""
     value = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    return docs.withColumns({"__source": value("source"), "__lang": value("lang"), "__topic": topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
+    return docs.withColumns({"__source": value("source"), "__lang": value("lang"), "__topic": value("topic") if "topic" in docs.columns else topic(F.col("text")), "__tokens": n_tokens(F.col("text"))})
 
 
 def _gathered(cells: DataFrame, targets: dict[str, float | dict[str, float]], rate: float) -> DataFrame:
@@ -125,7 +132,7 @@ def _gathered(cells: DataFrame, targets: dict[str, float | dict[str, float]], ra
     chance = probabilities(tokens, weights, rate)
     observed = tokens / tokens.sum() if tokens.sum() else tokens
     ratio = np.divide(weights, observed, out=np.zeros(len(tokens)), where=observed > 0)
-    out = pa.table({**{c: got.column(c) for c in (*DIMS, "__docs")}, "__weight": np.round(ratio, 9), "__probability": np.round(chance, 9)})
+    out = pa.table({**{c: got.column(c) for c in (*DIMS, "__docs", "__tokens")}, "__weight": np.round(ratio, 9), "__probability": np.round(chance, 9)})
     return cells.sparkSession.createDataFrame(out)
 
 
@@ -147,7 +154,7 @@ def _spread(cells: DataFrame, targets: dict[str, float | dict[str, float]], rate
     spark = cells.sparkSession
     whole = cells.agg(F.sum("__tokens")).collect()[0][0]
     if not whole:
-        return cells.select(*DIMS, "__docs", F.lit(0.0).alias("__weight"), F.lit(0.0).alias("__probability"))
+        return cells.select(*DIMS, "__docs", "__tokens", F.lit(0.0).alias("__weight"), F.lit(0.0).alias("__probability"))
     wanted = {column: _wanted(cells, column, targets[name]) for column, name in DIMS.items()}
     now = materialize(cells.withColumn("w", F.col("__tokens") / F.lit(float(whole))), "mixing_weights")
     for k in range(ROUNDS):
@@ -175,18 +182,31 @@ def _spread(cells: DataFrame, targets: dict[str, float | dict[str, float]], rate
         if rest <= 0 or rate * whole <= held:
             break
         scale = (rate * whole - held) / rest
-    return now.select(*DIMS, "__docs", F.round(ratio * float(whole), 9).alias("__weight"), F.round(F.least(F.lit(1.0), ratio * scale), 9).alias("__probability"))
+    return now.select(*DIMS, "__docs", "__tokens", F.round(ratio * float(whole), 9).alias("__weight"), F.round(F.least(F.lit(1.0), ratio * scale), 9).alias("__probability"))
 
 
 class Mixture:
     """Raked cells, a row for each combination of source, language and topic that occurs."""
 
-    def __init__(self, cells: DataFrame):
-        self.cells = cells
+    def __init__(self, cells: DataFrame, targets: dict[str, float | dict[str, float]]):
+        self.cells, self.targets = cells, targets
+
+    def marginals(self) -> DataFrame:
+        """(dimension, value, observed, target, raked, sampled): shares of tokens before and after, a row for each value.
+        `sampled` is what the probabilities lead to expect."""
+        out = None
+        for column, name in DIMS.items():
+            wanted = _wanted(self.cells, column, self.targets[name]).select(column, F.col("share").alias("target"))
+            sums = [F.sum(x).alias(y) for x, y in ((F.col("__tokens"), "o"), (F.col("__tokens") * F.col("__weight"), "r"), (F.col("__tokens") * F.col("__probability"), "s"))]
+            whole = self.cells.agg(*sums).collect()[0]
+            share = lambda c, whole=whole: (F.col(c) / F.lit(float(whole[c] or 0) or None)).alias({"o": "observed", "r": "raked", "s": "sampled"}[c])
+            rows = self.cells.groupBy(column).agg(*sums).join(wanted, column).select(F.lit(name).alias("dimension"), F.col(column).alias("value"), share("o"), "target", share("r"), share("s"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """docs (from features()) with __weight, __probability and __sampled."""
-        out = attach(docs, self.cells, list(DIMS), "__docs", ["doc_id", "__tokens"])
+        out = attach(docs, self.cells.drop("__tokens"), list(DIMS), "__docs", ["doc_id", "__tokens"])
         return out.withColumn("__sampled", uniform(F.col("doc_id")) < F.col("__probability"))
 
 
@@ -195,13 +215,13 @@ def calibrate(docs: DataFrame, targets: dict[str, float | dict[str, float]] | No
     targets = targets or TARGETS
     cells = materialize(docs.groupBy(*DIMS).agg(F.sum("__tokens").alias("__tokens"), F.count("*").alias("__docs")), "mixing_cells")
     raked = _gathered(cells, targets, rate) if cells.count() <= GATHER else _spread(cells, targets, rate)
-    return Mixture(materialize(raked, "mixing_raked"))
+    return Mixture(materialize(raked, "mixing_raked"), targets)
 
 
 def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight (raked over observed share), probability and sampled of each document."""
     # texts are looked at once: what is known of them is written without them
-    docs = materialize(features(docs.select("doc_id", "text", "source", "lang")).drop("text"), "mixing_docs")
+    docs = materialize(features(docs.select("doc_id", "text", "source", "lang", *(c for c in docs.columns if c == "topic"))).drop("text", "topic"), "mixing_docs")
     out = calibrate(docs, targets, rate).decide(docs)
     return out.select("doc_id", "source", "lang", *(F.col(f"__{x}").alias(y) for x, y in (("topic", "topic"), ("tokens", "n_tokens"), ("weight", "weight"), ("probability", "probability"), ("sampled", "sampled"))))
 
