@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphfold.llm import oracles
 from graphfold.llm.ann import op10_nearest
 from graphfold.llm.bpe import op3_bpe_round_trip
 from graphfold.llm.flac import op4_flac_media
@@ -9,9 +10,9 @@ from graphfold.llm.langid import op6_language_id
 from graphfold.llm.mixing import op8_mixing
 from graphfold.llm.ngram_join import op5_ngram_join
 from graphfold.llm.quality import op1_quality
-from graphfold.llm.secrets import op7_secret_scan
+from graphfold.llm.secrets import base_secrets, op7_secret_scan
 from graphfold.llm.suffix_dedup import op9_suffix_dedup
-from graphfold.llm.urls import op2_url_filter
+from graphfold.llm.urls import op2_url_filter, url_rules
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -24,7 +25,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest": op10_nearest,
+    # the parts of op7 and op2 that no model decides
+    "base_secrets": base_secrets,
+    "url_rules": url_rules,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_ngram_join": oracles.NGRAM_JOIN,
+    "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "base_secrets": oracles.BASE_SECRETS,
+    "url_rules": oracles.URL_RULES,
+}

@@ -15,8 +15,10 @@ RANDOM_DOCS of them for random strings and WORD_DOCS for words. Counts have at
 most 2 * 67 * 67 rows. Every document is scanned whole.
 
 Edge cases: a null text counts as empty and has no spans; with no sample of
-random strings their model is uniform; repeated rows get equal results. Extra
-columns are kept by scan(); one with the name of an output is replaced.
+random strings their model is uniform; repeated rows get equal results. Texts of
+any length are scanned whole; an empty table gives an empty result. Spans that
+start together are listed in the order of their kinds. Extra columns are kept by
+scan(); one with the name of an output is replaced.
 """
 
 from __future__ import annotations
@@ -143,18 +145,20 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, finish)).otherwise(text)
 
 
+def _base_columns() -> list[Column]:
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return [F.col("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256")]
+
+
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, fit(docs))
-    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
-    return found.select(
-        "doc_id",
-        count(0).alias("n_assign"),
-        count(1).alias("n_access"),
-        count(2).alias("n_hex"),
-        F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
-        spans_text(F.col("all_spans")).alias("spans"),
-    )
+    return scan(docs, fit(docs)).select(*_base_columns(), spans_text(F.col("all_spans")).alias("spans"))
+
+
+def base_secrets(spark, sf_dir: str) -> DataFrame:
+    """What op7 returns without its models."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base_spans")).select(*_base_columns())
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

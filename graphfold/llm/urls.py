@@ -208,5 +208,13 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url")
     return described.select(key, "host", "path", "rule", F.coalesce("verdict", F.when(blocked > 0.5, "block").otherwise("allow")).alias("verdict"), F.round(blocked, 6).alias("blocked"))
 
 
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """What op2 returns without its model: the verdict is null where no rule fits."""
+    host, path = host_and_path(F.col("url"))
+    base = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"))
+    return base.withColumns({"rule": rule, "verdict": verdict})
+
+
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))

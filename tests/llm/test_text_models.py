@@ -29,6 +29,38 @@ def test_language_of_odd_rows(odd_docs, no_docs, texts):
     assert langid.stage(None, odd_docs, "").columns == odd_docs.columns
 
 
+def test_languages_match_exact_sets(spark):
+    """The prediction of exact sets of trigrams, without filters, false positives or corrections."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    own, held, total = {}, {}, {}
+    for r in docs:
+        t = "".join(c if c.isalpha() else "\0" for c in f" {(r['text'] or '').lower()} ")
+        own[r["doc_id"]] = [t[i - 1 : i + 2] for i in range(1, len(t) - 1) if t[i] != "\0"]
+        if r["lang"] is not None and not langid.held_out(r["doc_id"]):
+            total[r["lang"]] = total.get(r["lang"], 0) + 1
+            for g in set(own[r["doc_id"]]):
+                held[g, r["lang"]] = held.get((g, r["lang"]), 0) + 1
+    share = {k: n / total[k[1]] for k, n in held.items()}
+    top = {}
+    for (g, _), x in share.items():
+        top[g] = max(top.get(g, 0), x)
+    chosen = {k for k, x in share.items() if x >= langid.MIN_SHARE and x >= langid.MIN_RATIO * top[k[0]]}
+    agree = 0
+    for r in langid.op6_language_id(spark, SF).collect():
+        counts = {x: sum((g, x) in chosen for g in own[r["doc_id"]]) for x in sorted(total)}
+        best = max(counts, key=counts.get) if own[r["doc_id"]] else "und"
+        agree += best == r["lang_pred"]
+    assert agree >= 0.99 * len(docs)
+
+
+def test_languages_that_share_their_words_are_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'")
+    same = docs.withColumn("lang", F.element_at(F.array(*map(F.lit, ("en", "en-GB", "en-US", "eng", "english"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    junk = spark.createDataFrame([(-1, "жщ ъыэ " * 40, None, "a", 280)], docs.schema)
+    got = {r["doc_id"] for r in langid.stage(spark, same.union(junk), "").collect()}
+    assert got == {r["doc_id"] for r in docs.collect()}
+
+
 def test_bloom_slices_hold_what_was_put_in():
     grams = np.arange(1, 5000, dtype=np.uint32) * np.uint32(77)
     masks = np.zeros((1 << 14, 2), np.uint64)
@@ -263,6 +295,64 @@ def test_every_source_meets_its_own_target(spark, monkeypatch, gather):
     assert by["s299"] > 0 and by["s150"] > 0 and all(p == 0 for s, p in by.items() if s not in fixed)
 
 
+def rake_by_hand(cells, targets, rate, rounds=400):
+    """Probabilities of cells {(source, lang, topic): tokens} by proportional fitting over dictionaries."""
+    whole = sum(cells.values())
+    weight = {k: v / whole for k, v in cells.items()}
+    wanted = []
+    for d, name in enumerate(("source", "lang", "topic")):
+        sums = {}
+        for k, v in cells.items():
+            sums[k[d]] = sums.get(k[d], 0) + v
+        powers = {k: v ** targets[name] for k, v in sums.items()}
+        wanted.append({k: v / sum(powers.values()) for k, v in powers.items()})
+    for _ in range(rounds):
+        for d in range(3):
+            now = {}
+            for k, w in weight.items():
+                now[k[d]] = now.get(k[d], 0) + w
+            weight = {k: w * wanted[d][k[d]] / now[k[d]] if now[k[d]] else 0.0 for k, w in weight.items()}
+    full = set()
+    while True:
+        rest = sum(w for k, w in weight.items() if k not in full)
+        scale = (rate * whole - sum(cells[k] for k in full)) / rest if rest > 0 else 0.0
+        over = {k for k, v in cells.items() if v and k not in full and scale * weight[k] / v > 1}
+        if not over:
+            return {k: 1.0 if k in full else min(1.0, max(scale, 0) * weight[k] / v) if v else 0.0 for k, v in cells.items()}, wanted
+        full |= over
+
+
+@pytest.mark.parametrize("rate", [0.5, 0.9])
+def test_mixing_matches_brute_force(spark, rate):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(docs, rate=rate).collect()
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    cells = {}
+    for r in rows:
+        assert r["n_tokens"] == len((texts[r["doc_id"]]["text"] or "").split())
+        key = r["source"] or "", r["lang"] or "", r["topic"]
+        cells[key] = cells.get(key, 0) + r["n_tokens"]
+    want, targets = rake_by_hand(cells, mixing.TARGETS, rate)
+    for r in rows:
+        assert math.isclose(r["probability"], want[r["source"] or "", r["lang"] or "", r["topic"]], rel_tol=1e-4, abs_tol=1e-6)
+    if rate == 0.5:
+        kept = sum(r["n_tokens"] for r in rows if r["sampled"])
+        assert 0.35 <= kept / sum(cells.values()) <= 0.65
+
+
+def test_marginals_tell_what_the_sample_holds(spark):
+    docs = mixing.features(spark.read.parquet(f"{SF}/documents.parquet"))
+    for rate, meets in ((0.2, True), (0.9, False)):
+        got = mixing.calibrate(docs, rate=rate).marginals().collect()
+        assert all(math.isclose(r["raked"], r["target"], rel_tol=1e-3, abs_tol=1e-6) for r in got)
+        for name in ("source", "lang", "topic"):
+            assert all(math.isclose(sum(r[c] for r in got if r["dimension"] == name), 1, rel_tol=1e-6) for c in ("observed", "target", "raked", "sampled"))
+        off = max(abs(r["sampled"] - r["target"]) for r in got if r["dimension"] == "lang")
+        assert (off < 0.02) == meets
+    given = spark.createDataFrame([(i, "some words here", "en", "a", f"t{i % 3}") for i in range(30)], "doc_id long, text string, lang string, source string, topic string")
+    assert {r["topic"] for r in mixing.mix(given).collect()} == {"t0", "t1", "t2"}
+
+
 def test_tokens_are_runs_of_other_than_white_space(spark):
     rows = ["    if x:\r\n        return  1\r\n", " " * 5000, "a\fb\vc\u00a0d\u3000e", "", None, "one", " \n\t ", "| a   |  b |", "\U0001f642  é"]
     got = [r["n"] for r in spark.createDataFrame([(t,) for t in rows], "text string").select(mixing.n_tokens(F.col("text")).alias("n")).collect()]
