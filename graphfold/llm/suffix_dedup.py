@@ -17,8 +17,8 @@ strings, and every shard holds a logarithmic family of suffix arrays:
 3. The matches go back to their documents, which are cut.
 
 Suffixes are compared by their bytes. Equal reaches within a batch are sent once,
-for the smallest id; this keeps a group of copies, however large, from any one
-shard. A batch is a range of ids, of which there are at most MOST_RANGES, and the
+for the smallest id, and a reach that an earlier batch has had is settled without
+a scan; this keeps a group of copies, however large, from any one shard. A batch is a range of ids, of which there are at most MOST_RANGES, and the
 texts of a range are read in as many parts as their bytes ask for.
 
 Edge cases: a null text counts as empty; texts shorter than LENGTH bytes keep all
@@ -232,9 +232,9 @@ _LAST = np.uint64(((1 << 64) - 1) ^ ((1 << 8 * (8 * WORDS - LENGTH)) - 1))
 class Suffixes:
     """A suffix array: places in flat whose strings of LENGTH bytes rise. flat has 8 bytes more than its strings."""
 
-    def __init__(self, flat: np.ndarray, at: np.ndarray):
+    def __init__(self, flat: np.ndarray, at: np.ndarray, head: np.ndarray | None = None):
         self.flat, self.at = flat, at
-        self.head = self.word(0, slice(None))
+        self.head = self.word(0, slice(None)) if head is None else head
 
     def word(self, j: int, which) -> np.ndarray:
         """Bytes 8 j to 8 j + 8 of the chosen strings, as numbers in the order of the bytes."""
@@ -243,15 +243,17 @@ class Suffixes:
     def __len__(self) -> int:
         return len(self.at)
 
+    def part(self, which: np.ndarray) -> Suffixes:
+        """The chosen suffixes over the same bytes."""
+        return Suffixes(self.flat, self.at[which], self.head[which])
+
     def only(self, keep: np.ndarray) -> Suffixes:
         """The chosen suffixes, with the bytes of flat that they need."""
         at = self.at[keep]
-        edge = np.zeros(len(self.flat) + 1, np.int32)
-        np.add.at(edge, at, 1)
-        np.subtract.at(edge, at + LENGTH, 1)
-        used = np.cumsum(edge[:-1]) > 0
+        edge = np.bincount(at, minlength=len(self.flat)) - np.bincount(at + LENGTH, minlength=len(self.flat))
+        used = np.cumsum(edge) > 0
         place = np.cumsum(used) - 1
-        return Suffixes(np.concatenate([self.flat[used], np.zeros(8, np.uint8)]), place[at])
+        return Suffixes(np.concatenate([self.flat[used], np.zeros(8, np.uint8)]), place[at], self.head[keep])
 
 
 def words_at(flat: np.ndarray, at: np.ndarray, j: int) -> np.ndarray:
@@ -264,7 +266,7 @@ def suffix_array(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """The order of the strings of LENGTH bytes at `at`, and which of them, in that order, differ from the one before.
     Strings are sorted by their first word; those that tie, by the next, until none ties."""
     head = words_at(flat, at, 0)
-    order = np.argsort(head, kind="stable")
+    order = np.argsort(head)
     head = head[order]
     new = np.concatenate([np.ones(min(1, len(at)), bool), head[1:] != head[:-1]])
     for j in range(1, WORDS):
@@ -273,43 +275,42 @@ def suffix_array(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
             break
         rows, group = order[tied], np.cumsum(new)[tied]
         word = words_at(flat, at[rows], j)
-        by = np.lexsort((word, group))
+        by = np.argsort(word)
+        by = by[np.argsort(group[by] * len(by) + np.arange(len(by)))]
         order[tied] = rows[by]
         word, group = word[by], group[by]
         new[tied[1:]] |= (word[1:] != word[:-1]) | (group[1:] != group[:-1])
     return order, new
 
 
-def _bound(a: Suffixes, j: int, key: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
-    """In a's rows low to high, which rise by their word j, the place before (or with right behind) the rows equal to key."""
-    low, high = low.copy(), high.copy()
-    live = np.flatnonzero(low < high)
-    while len(live):
-        mid = (low[live] + high[live]) >> 1
-        word = a.word(j, mid)
-        before = word <= key[live] if right else word < key[live]
-        low[live[before]] = mid[before] + 1
-        high[live[~before]] = mid[~before]
-        live = live[low[live] < high[live]]
-    return low
+def _compare(a: Suffixes, i: np.ndarray, b: Suffixes, k: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as a's string is less than, equal to or greater than b's, whose first words are equal."""
+    out, left = np.zeros(len(i), np.int8), np.arange(len(i))
+    for j in range(1, WORDS):
+        x, y = a.word(j, i[left]), b.word(j, k[left])
+        out[left] = (x > y).astype(np.int8) - (x < y).astype(np.int8)
+        left = left[x == y]
+        if not len(left):
+            break
+    return out
 
 
 def scan(a: Suffixes, b: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix of b, both sorted: its place in a, and whether a has it. Ranges of a narrow word by word."""
-    low, high = np.searchsorted(a.head, b.head, "left"), np.searchsorted(a.head, b.head, "right")
-    live = np.flatnonzero(low < high)
-    for j in range(1, WORDS):
-        if not len(live):
-            break
-        key = b.word(j, live)
-        first = _bound(a, j, key, low[live], high[live], False)
-        stop = _bound(a, j, key, first, high[live], True)
-        low[live] = first
-        high[live] = stop
-        live = live[first < stop]
+    """For each suffix of b, both sorted: its place in a, and whether a has it. The first words are merged; where they
+    agree, the place is searched among a's strings with that first word."""
+    place = np.searchsorted(a.head, b.head)
     hit = np.zeros(len(b), bool)
-    hit[live] = True
-    return low, hit
+    live = np.flatnonzero(a.head[np.minimum(place, len(a) - 1)] == b.head) if len(a) else np.zeros(0, np.int64)
+    low, high = place[live], np.searchsorted(a.head, b.head[live], "right")
+    while len(live):
+        mid = (low + high) >> 1
+        sign = _compare(a, mid, b, live)
+        hit[live[sign == 0]] = True
+        low, high = np.where(sign < 0, mid + 1, low), np.where(sign < 0, high, mid)
+        place[live] = np.where(sign == 0, mid, low)
+        go = (sign != 0) & (low < high)
+        live, low, high = live[go], low[go], high[go]
+    return place, hit
 
 
 class Levels:
@@ -319,10 +320,12 @@ class Levels:
         self.levels: list[Suffixes] = []
 
     def scan(self, b: Suffixes) -> np.ndarray:
-        """Which suffixes of b stand in some level; the levels are scanned in turn."""
-        out = np.zeros(len(b), bool)
+        """Which suffixes of b stand in some level; the levels are scanned in turn for those that none has had."""
+        left = np.arange(len(b))
         for a in self.levels:
-            out |= scan(a, b)[1]
+            left = left[~scan(a, b.part(left))[1]]
+        out = np.ones(len(b), bool)
+        out[left] = False
         return out
 
     def add(self, b: Suffixes) -> None:
@@ -333,11 +336,12 @@ class Levels:
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             a, b = self.levels.pop(-2), self.levels.pop()
             behind = scan(a, b)[0] + np.arange(len(b))
-            at = np.empty(len(a) + len(b), np.int64)
+            at, head = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint64)
             from_b = np.zeros(len(at), bool)
             from_b[behind] = True
             at[from_b], at[~from_b] = b.at + len(a.flat) - 8, a.at
-            self.levels.append(Suffixes(np.concatenate([a.flat[:-8], b.flat]), at))
+            head[from_b], head[~from_b] = b.head, a.head
+            self.levels.append(Suffixes(np.concatenate([a.flat[:-8], b.flat]), at, head))
 
     def batch(self, doc: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which strings of a batch match one of a smaller document, in a level or in the batch; then adds the batch."""
@@ -411,12 +415,21 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     sent = known.groupBy("slot").cogroup(repeated.repartition(parts, "slot").groupBy("slot")).applyInArrow(gather, "shard int, batch int, docs binary, starts binary, counts binary, bytes binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, levels, held = None, Levels(), []
+        now, levels, held, known = None, Levels(), [], set()
 
         def spans_of(shard: int, batch: int) -> Iterator[pa.RecordBatch]:
             """Scans all that a shard has of a batch."""
             doc, start, count, flat = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
+            stops = np.cumsum(count + LENGTH - 1)
+            raw, ends = flat.tobytes(), stops.tolist()
+            mine = [raw[x:y] for x, y in zip([0, *ends], ends)]
+            old = np.fromiter((r in known for r in mine), bool, len(mine))
+            known.update(mine)
+            if old.any():  # all strings of a reach that an earlier batch has had stand in a smaller document
+                yield from spans_row(batch, doc[old], start[old], start[old] + count[old] + LENGTH - 1)
+                flat = flat[np.repeat(~old, count + LENGTH - 1)]
+                doc, start, count = doc[~old], start[~old], count[~old]
             place = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
             owner = np.repeat(np.arange(len(count)), count)
             offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -442,6 +455,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
                         yield from spans_of(*now)
                     if now is None or now[0] != key[0]:
                         levels = Levels()
+                        known.clear()
                     now = key
                 doc, start = _unpack_ids(d.as_py()), np.frombuffer(zlib.decompress(x.as_py()), np.int64)
                 if c.is_valid:
