@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +12,14 @@ from pyspark.sql import functions as F
 from graphfold.config import EngineConfig
 from graphfold.functions import text as X
 from graphfold.functions import vectors as V
-from graphfold.operators import chunking, community, extraction, graph, resolution, retrieval, tables
+from graphfold.engine import Engine
+from graphfold.operators import chunking, community, extraction, graph, ingest, qa, resolution, retrieval, tables
 from graphfold.operators.topk import knn, knn_batch
+from graphfold.plans.written import shared_dir
+from graphfold.sources.clients import EchoLanguage, HashEmbeddings
 from graphfold.sources.fixture import CTES, query_vector, table
 from graphfold.sources.fixture import graph as fixture
+from graphfold.sources.store import Store, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,13 +108,13 @@ def chunk_list_filter(spark, sf_dir):
 
 @query("SELECT id, type, name FROM g_nodes WHERE id = 'c:7'")
 def point_lookup(spark, sf_dir):
-    return tables.get(fixture(spark, sf_dir).nodes, "c:7")
+    return tables.get(fixture(spark, sf_dir).nodes, "c:7").select("id", "type", "name")
 
 
 @query("SELECT id, src, dst, type FROM g_edges WHERE src IN ('c:1', 'p:5', 'n:3', 's:2') OR dst IN ('c:1', 'p:5', 'n:3', 's:2')")
 def edges_incident(spark, sf_dir):
     frontier = spark.createDataFrame([("c:1",), ("p:5",), ("n:3",), ("s:2",)], "node string")
-    return graph.incident(fixture(spark, sf_dir).edges, frontier)
+    return graph.incident(fixture(spark, sf_dir).edges, frontier).select("id", "src", "dst", "type")
 
 
 @query(
@@ -141,7 +147,7 @@ def cascade_delete(spark, sf_dir):
 @query("p AS (SELECT id, 'Renamed ' || name AS name FROM g_nodes WHERE type = 'nation') SELECT n.id, n.type, coalesce(p.name, n.name) AS name FROM g_nodes n LEFT JOIN p ON p.id = n.id")
 def update_nodes(spark, sf_dir):
     nodes = fixture(spark, sf_dir).nodes
-    return tables.update(nodes, nodes.where(F.col("type") == "nation").select("id", F.concat(F.lit("Renamed "), "name").alias("name")))
+    return tables.update(nodes, nodes.where(F.col("type") == "nation").select("id", F.concat(F.lit("Renamed "), "name").alias("name"))).select("id", "type", "name")
 
 
 def _neighbors(spark, sf_dir, node, direction, depth):
@@ -207,10 +213,47 @@ def community_sizes(spark, sf_dir):
     return community.sizes(_located(spark, sf_dir)[1], CONFIG.community_min_size)
 
 
-@query(f"{LOCATED} SELECT l.label, n.id, n.name FROM labels l JOIN comp c ON c.component = l.component JOIN g_nodes n ON n.id = c.id", recursive=True)
+@query(f"{LOCATED} SELECT n.id, n.name FROM labels l JOIN comp c ON c.component = l.component JOIN g_nodes n ON n.id = c.id WHERE l.label = 'community_1' ORDER BY n.name, n.id", recursive=True)
 def community_members(spark, sf_dir):
     nodes, found = _located(spark, sf_dir)
-    return found.join(community.sizes(found, CONFIG.community_min_size), "component").join(nodes, "id").select("label", "id", "name")
+    members = found.join(community.sizes(found, CONFIG.community_min_size), "component").select(F.col("label").alias("community_id"), F.col("id").alias("node_id"))
+    return community.members_of("community_1", members, nodes).select("id", "name")
+
+
+@query(f"{LOCATED} SELECT label AS id, member_count FROM labels ORDER BY member_count DESC, label LIMIT 7 OFFSET 3", recursive=True)
+def community_page(spark, sf_dir):
+    found = community.sizes(_located(spark, sf_dir)[1], CONFIG.community_min_size)
+    pages = found.select(F.col("label").alias("id"), "member_count", F.lit(0).alias("created_at"))
+    return tables.list_communities(pages, limit=7, offset=3).select("id", "member_count")
+
+
+@query("SELECT id, node_id FROM (SELECT concat('doc ', CAST(doc_id AS string)) AS id, concat('d:', CAST(doc_id AS string)) AS node_id, doc_id % 9 AS created_at FROM documents) ORDER BY created_at DESC, id LIMIT 30 OFFSET 11")
+def document_page(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("node_id"), (F.col("doc_id") % 9).alias("created_at"))
+    return tables.list_documents(d, limit=30, offset=11).select("id", "node_id")
+
+
+@query("SELECT e.id FROM g_edges e JOIN g_nodes s ON s.id = e.src JOIN g_nodes d ON d.id = e.dst WHERE e.type <> 'mentions' AND s.type NOT IN ('document', 'community') AND d.type NOT IN ('document', 'community')")
+def entity_edges(spark, sf_dir):
+    g = fixture(spark, sf_dir)
+    return community.entity_edges(g.nodes, g.edges).select("id")
+
+
+@query(f"{ADJ}, n AS (SELECT a AS node, count(*) AS degree FROM adj GROUP BY a) SELECT n.node, n.degree FROM n")
+def degrees(spark, sf_dir):
+    return graph.adjacency(fixture(spark, sf_dir).edges).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+@query("SELECT id, CASE WHEN src = 'n:3' THEN dst WHEN dst = 'n:3' THEN src END AS other FROM g_edges WHERE type IN ('located_in', 'in_region')")
+def other_ends(spark, sf_dir):
+    e = graph.edge_filter(fixture(spark, sf_dir).edges, ["located_in", "in_region"])
+    return e.select("id", graph.other_endpoint(F.lit("n:3")).alias("other"))
+
+
+@query(f"{WALK}, inner_ AS (SELECT id FROM w WHERE hop < 2) SELECT id, src, dst, type FROM g_edges WHERE src IN (SELECT id FROM inner_) OR dst IN (SELECT id FROM inner_)")
+def subgraph_edges(spark, sf_dir):
+    g = fixture(spark, sf_dir)
+    return graph.neighbors(g.nodes, g.edges, "c:1", "both", None, 2).edges.select("id", "src", "dst", "type")
 
 
 @query(
@@ -280,6 +323,8 @@ def thematic_flag(spark, sf_dir):
 
 ASKED = "Customer#000000001 and NATION_3"
 _SAID = "('customer#000000001 and nation_3', 'customer', '000000001', 'and', 'nation_3', 'customer 000000001', '000000001 and', 'and nation_3')"
+NAMED = "Works 2, land 14 and works 13 of supplier#000000002"
+_SAID_NAMED = "('works 2, land 14 and works 13 of supplier#000000002', 'land', '14', 'and', 'works', '13', 'of', 'supplier', '000000002', 'works land', 'land 14', '14 and', 'and works', 'works 13', '13 of', 'of supplier', 'supplier 000000002')"
 SEEDS = f"""{Q0},
 en AS (SELECT id, type, name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS nn FROM g_nodes WHERE type NOT IN ('document', 'community')),
 byname AS (SELECT id AS node_id, CASE WHEN nn IN {_SAID} THEN 1.0 WHEN length(nn) >= 3 AND contains('customer#000000001 and nation_3', nn) THEN 0.9 END AS score, 0 AS p FROM en),
@@ -296,6 +341,16 @@ def entity_seeds(spark, sf_dir):
     return s.select("node_id", r6("score").alias("score"), "match")
 
 
+@query(
+    f"""en AS (SELECT id, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS own, lower(trim(normalized_name)) AS stored, list_transform(aliases, lambda a: lower(trim(a))) AS aliases FROM g_nodes WHERE type NOT IN ('document', 'community')),
+s AS (SELECT id AS node_id, CASE WHEN own IN {_SAID_NAMED} OR stored IN {_SAID_NAMED} THEN 1.0 WHEN list_has_any(aliases, list_value{_SAID_NAMED}) THEN 0.95
+  WHEN length(own) >= 3 AND contains('{NAMED.lower()}', own) THEN 0.9 END AS score FROM en)
+SELECT node_id, CAST(score AS DOUBLE) AS score, CASE WHEN score = 0.95 THEN 'alias' ELSE 'exact' END AS "match" FROM s WHERE score IS NOT NULL"""
+)
+def seeds_by_name(spark, sf_dir):
+    return retrieval.seeds_by_name(fixture(spark, sf_dir).nodes, NAMED)
+
+
 @query(
     """WITH s AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
 w AS (SELECT doc_id, text, n, unnest(generate_series(0, greatest(0, CAST(ceil((n - 1200) / 1000.0) AS BIGINT)))) AS ord FROM s)
@@ -324,9 +379,17 @@ def chunk_packed(spark, sf_dir):
     return chunks.select("conv_id", "ord", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT conv_id, list(trim(text, chr(10) || chr(13) || ' ') ORDER BY turn) AS ps FROM conversations WHERE trim(text) <> '' GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(ps, lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1][1]) + 2 + length(x) <= 4000 THEN list_concat(acc[:-2], [[acc[-1][1] || chr(10) || chr(10) || x]])
+  ELSE list_concat(acc, [[x]]) END, CAST([] AS VARCHAR[][])) AS ws FROM p),
+o AS (SELECT conv_id, list_reduce(ws, lambda acc, x: list_concat(acc, [[CASE WHEN len(acc) = 0 OR starts_with(x[1], right(acc[-1][1], 200)) THEN x[1] ELSE right(acc[-1][1], 200) || chr(10) || chr(10) || x[1] END]]), CAST([] AS VARCHAR[][])) AS cs FROM f)
+SELECT conv_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS ord, md5(unnest(cs)[1]) AS text_md5 FROM o""",
+    graph_ctes=False,
+)
 def chunk_overlapped(spark, sf_dir):
-    return chunking.chunk_documents(_conversations(spark, sf_dir), "conv_id", "text", CONFIG.chunk_size, CONFIG.chunk_overlap)
+    chunks = chunking.chunk_documents(_conversations(spark, sf_dir), "conv_id", "text", 4000, 200)
+    return chunks.select("conv_id", "ord", F.md5("text").alias("text_md5"))
 
 
 def _replies(spark, sf_dir):
@@ -415,8 +478,10 @@ v0 AS (SELECT node_id AS id FROM seeds), v1 AS (SELECT DISTINCT b AS id FROM la
 ent AS (SELECT x.id, x.hop FROM (SELECT id, 0 AS hop FROM v0 UNION ALL SELECT id, 1 FROM v1) x JOIN g_nodes n ON n.id = x.id WHERE n.type NOT IN ('document', 'community')),
 mx AS (SELECT max(score) AS b FROM seeds),
 ev AS (SELECT DISTINCT src AS id FROM g_edges WHERE type = 'mentions' AND dst IN (SELECT id FROM ent)),
+ci AS (SELECT DISTINCT chunk_id AS id FROM g_edges WHERE type = 'mentions' AND dst IN (SELECT id FROM ent) AND chunk_id <> ''),
 lh AS (SELECT c.id, c.node_id, coalesce(s.score, b) * pow(0.5, ent.hop) * CASE WHEN c.kind = 'entity_description' THEN 1.05 ELSE 1 END AS score, ent.hop, 0 AS phase
   FROM g_chunks c JOIN ent ON ent.id = c.node_id LEFT JOIN seeds s ON s.node_id = c.node_id, mx
+  UNION ALL SELECT c.id, c.node_id, b * 0.5, 1, 1 FROM g_chunks c JOIN ci ON ci.id = c.id, mx WHERE c.node_id IN (SELECT id FROM ent) OR c.node_id IN (SELECT id FROM ev)
   UNION ALL SELECT c.id, c.node_id, b * 0.5, 1, 2 FROM g_chunks c JOIN ev ON ev.id = c.node_id, mx),
 lb AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, phase) AS r FROM lh)"""
 
@@ -460,29 +525,178 @@ def qa_confidence(spark, sf_dir):
     return retrieval.confidence(r.hits, CONFIG.retrieval_top_k)
 
 
+def _map_reply(system: str, user: str) -> str:
+    return " no_info " if len(user) % 3 == 0 else f" {user.splitlines()[0].upper()} in {len(user)} characters"
+
+
 @query(
     f"""{Q0}, gh AS (SELECT c.id, n.name, c.text, {COS} AS score FROM g_chunks c JOIN g_nodes n ON n.id = c.node_id, q WHERE n.type = 'community' OR c.kind = 'community_summary' ORDER BY score DESC, c.id LIMIT 20),
-m AS (SELECT *, CASE WHEN length(text) % 3 = 0 THEN ' no_info ' ELSE upper(substring(text, 1, 12)) END AS reply FROM gh)
-SELECT string_agg(concat('[', name, ']', chr(10), trim(reply)), chr(10) || chr(10) ORDER BY score DESC, id) AS partials, count(*) AS n_partials FROM m WHERE upper(trim(reply)) NOT IN ('', 'NO_INFO')"""
+u AS (SELECT *, concat('Community: ', name, chr(10), 'Summary:', chr(10), text, chr(10), chr(10), 'Question: what', chr(10), chr(10), 'Partial answer:') AS prompt FROM gh),
+m AS (SELECT *, concat('COMMUNITY: ', upper(name), ' in ', CAST(length(prompt) AS string), ' characters') AS reply FROM u WHERE length(prompt) % 3 <> 0)
+SELECT concat('Question: what', chr(10), chr(10), 'Partial answers:', chr(10), string_agg(concat('[', name, ']', chr(10), reply), chr(10) || chr(10) ORDER BY score DESC, id), chr(10), chr(10), 'Final answer:') AS prompt, CAST(NULL AS string) AS error FROM m"""
 )
 def map_reduce_partials(spark, sf_dir):
     hits = retrieval.global_(fixture(spark, sf_dir), query_vector(spark, sf_dir), CONFIG, 20).hits
-    reply = F.when(F.length("text") % 3 == 0, " no_info ").otherwise(F.upper(F.substring("text", 1, 12)))
-    m = hits.withColumn("reply", reply).where(X.informative(F.col("reply")))
-    block = F.struct((-F.col("score")).alias("s"), "id", F.concat(F.lit("["), "node_name", F.lit("]\n"), X.strip(F.col("reply"))).alias("b"))
-    return m.agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n\n").alias("partials"), F.count("*").alias("n_partials"))
+    return qa.reduce_prompt(qa.map_partials(hits, "what", EchoLanguage(_map_reply), CONFIG), "what")
+
+
+def _extracted(spark, sf_dir):
+    """The replies as extractions of chunks, eight to a document."""
+    key = F.col("p_partkey")
+    rows = _replies(spark, sf_dir).where(key % 4 < 3).select(F.concat(F.lit("x"), key.cast("string")).alias("id"), F.concat(F.lit("d"), (key / 8).cast("long").cast("string")).alias("node_id"), (key % 8).cast("int").alias("ord"), "raw")
+    return extraction.parse(rows, strict=True)
+
+
+_PARTS = "k AS (SELECT p_partkey // 8 AS doc, lower(p_type) AS t, lower(p_name) AS n, lower(p_brand) AS b FROM part WHERE p_partkey % 4 < 3)"
 
 
 @query(
-    """WITH e AS (SELECT p_partkey // 8 AS doc_id, p_partkey % 8 AS ord, lower(p_type) AS t, lower(p_name) AS n FROM part)
-SELECT CAST(sum(c) AS BIGINT) AS entities, CAST(max(d) AS BIGINT) AS distinct_entities FROM (SELECT doc_id, count(DISTINCT t || '|' || n) AS c FROM e GROUP BY doc_id), (SELECT count(DISTINCT t || '|' || n) AS d FROM e)""",
+    f"""WITH {_PARTS}
+SELECT 2 * (SELECT count(*) FROM k) AS entities, (SELECT count(*) FROM (SELECT DISTINCT doc, t, n FROM k)) + (SELECT count(*) FROM (SELECT DISTINCT doc, b FROM k)) AS mentions,
+       2 * (SELECT count(*) FROM (SELECT DISTINCT t, n, b FROM k)) AS relationships, (SELECT count(*) FROM (SELECT DISTINCT t, n FROM k)) AS description_chunks""",
     graph_ctes=False,
 )
 def ingest_totals(spark, sf_dir):
+    x = _extracted(spark, sf_dir)
+    named = ingest.mentions(x)
+    nodes = resolution.resolve(named)
+    none = spark.createDataFrame([], "id string, node_id string, kind string, text string")
+    return ingest.totals(x, resolution.mention_edges(named, nodes), resolution.relation_edges(ingest.relations(x), named, nodes), resolution.description_chunks(nodes, none))
+
+
+@query(f"WITH {_PARTS}, d AS (SELECT DISTINCT t, n FROM k) SELECT t AS type, n AS normalized_name, length(n) % 2 = 0 AS stale FROM d WHERE length(n) % 3 > 0", graph_ctes=False)
+def description_chunks(spark, sf_dir):
+    """Every third node has the chunk that it needs, and every second of the others an old one."""
+    nodes = resolution.resolve(ingest.mentions(_extracted(spark, sf_dir)))
+    n = F.length("normalized_name")
+    text = F.when(n % 3 == 0, F.trim("description")).when(n % 2 == 0, F.lit("old"))
+    chunks = nodes.select(F.concat(F.lit("c"), "id").alias("id"), F.col("id").alias("node_id"), F.lit("entity_description").alias("kind"), text.alias("text")).where(F.col("text").isNotNull())
+    due = resolution.description_chunks(nodes, chunks)
+    return due.join(nodes.select(F.col("id").alias("node_id"), "type", "normalized_name"), "node_id").select("type", "normalized_name", "stale")
+
+
+@query(
+    f"""WITH {_MENTIONS} SELECT concat('d', CAST(place // 8 AS string)) AS src, concat(type, ':', nn) AS dst, arg_max(concat('x', CAST(place AS string)), place) AS chunk_id FROM m GROUP BY place // 8, type, nn""",
+    graph_ctes=False,
+)
+def mention_edges(spark, sf_dir):
+    place = (F.col("doc_id") * 8 + F.col("item")).cast("string")
+    m = _mentions(spark, sf_dir).withColumns({"document_node_id": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "chunk_id": F.concat(F.lit("x"), place)})
+    nodes = resolution.resolve(m).select("id", "type", "normalized_name")
+    e = resolution.mention_edges(m, nodes)
+    return e.join(nodes.select(F.col("id").alias("dst"), F.concat_ws(":", "type", "normalized_name").alias("name")), "dst").select("src", F.col("name").alias("dst"), "chunk_id")
+
+
+@query(
+    """l AS (SELECT * FROM g_edges WHERE type = 'located_in')
+SELECT id, src, dst, type, 'old' AS chunk_id, CASE WHEN src LIKE 'c:%' THEN concat('near ', dst) END AS description, false AS created FROM l
+UNION ALL SELECT concat('back ', id), dst, src, type, 'new', NULL, true FROM l WHERE src LIKE 's:%'"""
+)
+def merge_edges(spark, sf_dir):
+    located = fixture(spark, sf_dir).edges.where(F.col("type") == "located_in")
+    stored = located.withColumns({"chunk_id": F.lit("old"), "description": F.lit(None).cast("string")})
+    again = located.where(F.col("src").startswith("c:")).select(F.concat(F.lit("again "), "id").alias("id"), "src", "dst", "type", F.lit("").alias("chunk_id"), F.concat(F.lit("near "), "dst").alias("description"))
+    back = located.where(F.col("src").startswith("s:")).select(F.concat(F.lit("back "), "id").alias("id"), F.col("dst").alias("src"), F.col("src").alias("dst"), "type", F.lit("new").alias("chunk_id"), F.lit(None).cast("string").alias("description"))
+    return resolution.merge_edges(stored, again.unionByName(back)).select("id", "src", "dst", "type", "chunk_id", "description", "created")
+
+
+@query(
+    f"""WITH {_MENTIONS}, f AS (SELECT type, nn, name, min(place) AS place FROM m GROUP BY type, nn, name), a AS (SELECT type, nn, arg_min(name, place) AS first, string_agg(name, '|' ORDER BY place) AS names FROM f GROUP BY type, nn)
+SELECT type, nn AS normalized_name, CASE WHEN length(nn) % 2 = 0 THEN concat('old:', type, ':', nn) ELSE 'new' END AS id, CASE WHEN length(nn) % 2 = 0 THEN upper(nn) ELSE first END AS name,
+       CASE WHEN length(nn) % 2 = 0 THEN concat(upper(nn), '|', names) ELSE names END AS aliases, length(nn) % 2 = 1 AS created FROM a""",
+    graph_ctes=False,
+)
+def resolve_existing(spark, sf_dir):
     m = _mentions(spark, sf_dir)
-    key = F.concat_ws("|", X.normalize_type(F.col("type")), X.normalize_name(F.col("name")))
-    per = m.groupBy("doc_id").agg(F.count_distinct(key).alias("c"))
-    return per.agg(F.sum("c").alias("entities")).join(F.broadcast(m.agg(F.count_distinct(key).alias("distinct_entities"))), how="cross")
+    name = X.normalize_name(F.col("name"))
+    old = m.select(X.normalize_type(F.col("type")).alias("type"), name.alias("normalized_name")).distinct().where(F.length("normalized_name") % 2 == 0)
+    old = old.select(F.concat_ws(":", F.lit("old"), "type", "normalized_name").alias("id"), "type", F.upper("normalized_name").alias("name"), "normalized_name", F.array(F.upper("normalized_name")).alias("aliases"), F.lit("known").alias("description"))
+    got = resolution.resolve(m, old)
+    return got.select("type", "normalized_name", F.when(F.col("created"), "new").otherwise(F.col("id")).alias("id"), "name", F.array_join("aliases", "|").alias("aliases"), "created")
+
+
+@query(
+    """SELECT CASE WHEN c_custkey % 5 > 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN concat('bad ', c_name) END AS rejected FROM customer""",
+    graph_ctes=False,
+)
+def requests_checked(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    lines = c.select(F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("bad "), "c_name")).otherwise(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))).alias("value"))
+    return requests(spark, lines, "id long, name string")
+
+
+def _atlas_reply(system: str, user: str) -> str:
+    """What a model finds in a sentence on a nation or a region."""
+    if system != ingest.EXTRACT_SYSTEM:
+        return f"a summary of {len(user)} characters"
+    name, lies, region = user.partition(" lies in ")
+    if lies:
+        entities = [{"name": name, "type": "Nation", "description": f"in {region}"}, {"name": region, "type": "region", "description": "a region"}]
+        return json.dumps({"entities": entities, "relationships": [{"source": name, "target": region, "type": "lies in"}]})
+    name = user.removesuffix(" spans the globe")
+    return "```json\n" + json.dumps({"entities": [{"name": name, "type": "Region", "description": "spans the globe"}], "relationships": []}) + "\n```"
+
+
+_ATLAS: dict[tuple[str, str], Engine] = {}
+
+
+def _atlas(spark, sf_dir) -> Engine:
+    """An engine that has ingested a document on each nation, then one on each region; once for each application and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ATLAS:
+        config = EngineConfig(dim=16)
+        engine = Engine(spark, Store(spark, f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/atlas"), HashEmbeddings(16), EchoLanguage(_atlas_reply), config)
+        regions = table(spark, sf_dir, "region")
+        nations = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+        engine.ingest(nations.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("title"), F.concat_ws(" ", "n_name", F.lit("lies in"), "r_name").alias("text")))
+        engine.ingest(regions.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.concat(F.lit(" About "), "r_name").alias("title"), F.concat_ws(" ", F.lower("r_name"), F.lit("spans the globe")).alias("text")))
+        _ATLAS[key] = engine
+    return _ATLAS[key]
+
+
+@query(
+    """SELECT 'nation' AS type, n_name AS name, concat('in ', r_name) AS description, n_name AS aliases FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'region', r_name, concat('a region', chr(10), 'spans the globe'), concat(r_name, '|', lower(r_name)) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+UNION ALL SELECT 'region', lower(r_name), 'spans the globe', lower(r_name) FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)""",
+    graph_ctes=False,
+)
+def ingest_twice(spark, sf_dir):
+    return _atlas(spark, sf_dir).graph().nodes.where(F.col("type").isin("nation", "region")).select("type", "name", "description", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(
+    """WITH e AS (SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT n_name AS src, n_name AS dst, 'mentions' AS type FROM e UNION ALL SELECT n_name, r_name, 'mentions' FROM e UNION ALL SELECT n_name, r_name, 'lies_in' FROM e
+UNION ALL SELECT concat('About ', r_name), CASE WHEN r_name IN (SELECT r_name FROM e) THEN r_name ELSE lower(r_name) END, 'mentions' FROM region""",
+    graph_ctes=False,
+)
+def ingest_edges(spark, sf_dir):
+    g = _atlas(spark, sf_dir).graph()
+    name = lambda end: g.nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    return g.edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "type")
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n, count(DISTINCT n_regionkey) AS r FROM nation JOIN region ON r_regionkey = n_regionkey), m AS (SELECT count(*) AS r FROM region)
+SELECT concat('n', CAST(n_nationkey AS string)) AS document_id, 'ready' AS document, 'ready' AS stage, 'completed' AS job, 2 * n AS entities, 2 * n AS mentions, n AS relationships, n + r AS description_chunks FROM nation, n
+UNION ALL SELECT concat('r', CAST(r_regionkey AS string)), 'ready', 'ready', 'completed', m.r, m.r, 0, m.r - n.r FROM region, m, n""",
+    graph_ctes=False,
+)
+def job_states(spark, sf_dir):
+    store = _atlas(spark, sf_dir).store
+    documents = store.read("documents").select(F.col("id").alias("document_id"), F.col("status").alias("document"))
+    return store.read("jobs").join(documents, "document_id").select("document_id", "document", "stage", F.col("status").alias("job"), "entities", "mentions", "relationships", "description_chunks")
+
+
+@query(
+    """SELECT count(*) + 1 AS member_count, concat('a summary of ', CAST(length(concat('Entities:', chr(10))) + sum(length(concat('- ', n_name, ' (nation)', chr(10)))) + sum(length(concat('  about ', n_name, ': in ', r_name, chr(10))))
+  + length(concat('- ', r_name, ' (region)', chr(10))) + length(concat('  about ', r_name, ': a region', chr(10), 'spans the globe', chr(10))) + length(concat(chr(10), 'Relationships:', chr(10)))
+  + sum(length(concat('- ', n_name, ' -[lies_in]-> ', r_name, chr(10)))) - 1 AS string), ' characters') AS summary
+FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name HAVING count(*) + 1 >= 3""",
+    graph_ctes=False,
+)
+def ingest_communities(spark, sf_dir):
+    return _atlas(spark, sf_dir).store.read("communities").select(F.col("member_count").cast("long").alias("member_count"), "summary")
 
 
 @query(

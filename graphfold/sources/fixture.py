@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphfold.operators.retrieval import Graph
+from graphfold.plans.written import materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "lineitem", "documents", "embeddings", "conversations")
 
@@ -17,23 +18,23 @@ fx_n AS (
   SELECT (SELECT count(*) FROM documents) AS nd, (SELECT count(*) FROM customer) AS nc, (SELECT count(*) FROM part) AS np
 ),
 g_nodes AS (
-  SELECT concat('r:', cast(r_regionkey AS string)) AS id, 'region' AS type, r_name AS name FROM region
-  UNION ALL SELECT concat('n:', cast(n_nationkey AS string)), 'nation', n_name FROM nation
-  UNION ALL SELECT concat('c:', cast(c_custkey AS string)), 'customer', c_name FROM customer
-  UNION ALL SELECT concat('s:', cast(s_suppkey AS string)), 'supplier', s_name FROM supplier
-  UNION ALL SELECT concat('p:', cast(p_partkey AS string)), 'part', p_name FROM part
-  UNION ALL SELECT concat('d:', cast(doc_id AS string)), 'document', concat('Doc ', cast(doc_id AS string)) FROM documents
-  UNION ALL SELECT DISTINCT concat('k:', cast(label AS string)), 'community', concat('community_', cast(label + 1 AS string)) FROM embeddings
+  SELECT concat('r:', cast(r_regionkey AS string)) AS id, 'region' AS type, r_name AS name, cast(NULL AS string) AS normalized_name, split('', ';') AS aliases FROM region
+  UNION ALL SELECT concat('n:', cast(n_nationkey AS string)), 'nation', n_name, '', split(concat('Country ', cast(n_nationkey AS string), ';Land ', cast(n_nationkey AS string)), ';') FROM nation
+  UNION ALL SELECT concat('c:', cast(c_custkey AS string)), 'customer', c_name, cast(NULL AS string), split('', ';') FROM customer
+  UNION ALL SELECT concat('s:', cast(s_suppkey AS string)), 'supplier', s_name, concat('works ', cast(s_suppkey AS string)), split('', ';') FROM supplier
+  UNION ALL SELECT concat('p:', cast(p_partkey AS string)), 'part', p_name, cast(NULL AS string), split('', ';') FROM part
+  UNION ALL SELECT concat('d:', cast(doc_id AS string)), 'document', concat('Doc ', cast(doc_id AS string)), cast(NULL AS string), split('', ';') FROM documents
+  UNION ALL SELECT DISTINCT concat('k:', cast(label AS string)), 'community', concat('community_', cast(label + 1 AS string)), cast(NULL AS string), split('', ';') FROM embeddings
 ),
 g_edges0 AS (
-  SELECT concat('n:', cast(n_nationkey AS string)) AS src, concat('r:', cast(n_regionkey AS string)) AS dst, 'in_region' AS type FROM nation
-  UNION ALL SELECT concat('c:', cast(c_custkey AS string)), concat('n:', cast(c_nationkey AS string)), 'located_in' FROM customer
-  UNION ALL SELECT concat('s:', cast(s_suppkey AS string)), concat('n:', cast(s_nationkey AS string)), 'located_in' FROM supplier
-  UNION ALL SELECT DISTINCT concat('s:', cast(l_suppkey AS string)), concat('p:', cast(l_partkey AS string)), 'supplies' FROM lineitem
-  UNION ALL SELECT concat('d:', cast(doc_id AS string)), concat('c:', cast(doc_id % nc AS string)), 'mentions' FROM documents CROSS JOIN fx_n
-  UNION ALL SELECT concat('d:', cast(doc_id AS string)), concat('p:', cast(doc_id % np AS string)), 'mentions' FROM documents CROSS JOIN fx_n
+  SELECT concat('n:', cast(n_nationkey AS string)) AS src, concat('r:', cast(n_regionkey AS string)) AS dst, 'in_region' AS type, cast(NULL AS string) AS chunk_id FROM nation
+  UNION ALL SELECT concat('c:', cast(c_custkey AS string)), concat('n:', cast(c_nationkey AS string)), 'located_in', cast(NULL AS string) FROM customer
+  UNION ALL SELECT concat('s:', cast(s_suppkey AS string)), concat('n:', cast(s_nationkey AS string)), 'located_in', cast(NULL AS string) FROM supplier
+  UNION ALL SELECT DISTINCT concat('s:', cast(l_suppkey AS string)), concat('p:', cast(l_partkey AS string)), 'supplies', cast(NULL AS string) FROM lineitem
+  UNION ALL SELECT concat('d:', cast(doc_id AS string)), concat('c:', cast(doc_id % nc AS string)), 'mentions', concat('x:', cast((doc_id + 3) % 40 AS string)) FROM documents CROSS JOIN fx_n
+  UNION ALL SELECT concat('d:', cast(doc_id AS string)), concat('p:', cast(doc_id % np AS string)), 'mentions', cast(NULL AS string) FROM documents CROSS JOIN fx_n
 ),
-g_edges AS (SELECT concat(src, '|', type, '|', dst) AS id, src, dst, type FROM g_edges0),
+g_edges AS (SELECT concat(src, '|', type, '|', dst) AS id, src, dst, type, chunk_id FROM g_edges0),
 fx_e AS (
   SELECT vec_id, embedding, label, vec_id % nd AS did, vec_id % nc AS cid FROM embeddings CROSS JOIN fx_n
 ),
@@ -43,7 +44,7 @@ g_chunks AS (
               WHEN e.label <= 8 THEN concat('c:', cast(e.cid AS string))
               ELSE concat('k:', cast(e.vec_id % 10 AS string)) END AS node_id,
          CASE WHEN e.label <= 5 THEN 'document_chunk' WHEN e.label <= 8 THEN 'entity_description' ELSE 'community_summary' END AS kind,
-         substring(d.text, 1, 200) AS text, e.embedding
+         d.text, e.embedding
   FROM fx_e e JOIN documents d ON d.doc_id = e.did
 )"""
 
@@ -53,10 +54,17 @@ def views(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+_BUILT: dict[tuple[str, str], Graph] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    views(spark, sf_dir)
-    one = lambda name: spark.sql(f"WITH {CTES} SELECT * FROM {name}")
-    return Graph(one("g_nodes"), one("g_edges"), one("g_chunks"))
+    """The graph as tables, written once for each application and folder, as a store would hold it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _BUILT:
+        views(spark, sf_dir)
+        one = lambda name: materialize(spark.sql(f"WITH {CTES} SELECT * FROM {name}"), name)
+        _BUILT[key] = Graph(one("g_nodes"), one("g_edges"), one("g_chunks"))
+    return _BUILT[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

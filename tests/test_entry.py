@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -37,3 +41,23 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows(df.select(*columns).collect()) == rows([tuple(r[i] for i in at) for r in want.fetchall()])
+
+
+@pytest.mark.parametrize("missing", ["graphfold.llm", "regex", "zstandard", "public_tokenizers"])
+def test_own_queries_need_no_training_data_modules(missing):
+    """Without the subpackage, or a module that only it uses, the engine's own queries are still there."""
+    code = f"""
+import sys
+class Missing:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r} or name.startswith({missing + "."!r}):
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Missing())
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+import __spark_entry__ as entry
+from graphfold import queries as own
+assert set(own.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+assert len(own.QUERIES) == len(own.ORACLE_SQL)
+"""
+    got = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True)
+    assert got.returncode == 0, got.stderr
