@@ -53,6 +53,18 @@ def clean_type(c: Column) -> Column:
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("concept"))
 
 
+def contains_props(props: Column, wanted: dict[str, str | int | float | bool]) -> Column:
+    """Whether an object in JSON has all the wanted members, at its top level and with these values."""
+    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+    value = F.try_parse_json(props)
+    out = F.lit(True)
+    for name, want in wanted.items():
+        member = F.try_variant_get(value, f"$.{name}", "variant")
+        typed = F.schema_of_variant(member).startswith("STRING") == F.lit(isinstance(want, str))
+        out = out & F.coalesce(typed & (F.try_variant_get(value, f"$.{name}", kinds[type(want)]) == F.lit(want)), F.lit(False))
+    return out
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(normalize_name(c), F.lit(TOKEN), F.lit(0))
 

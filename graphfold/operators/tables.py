@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphfold.errors import Conflict, Invalid, NotFound
-from graphfold.functions.text import strip
+from graphfold.functions.text import contains_props, strip
 from graphfold.operators.resolution import stable_id
 
 
@@ -21,10 +21,13 @@ def page(table: DataFrame, *order: Column, limit: int, offset: int = 0, most: in
     return table.orderBy(*order, "id").offset(offset).limit(limit)
 
 
-def list_nodes(nodes: DataFrame, type: str | None = None, q: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest first; q matches anywhere in the name, without regard to case, and may hold % and _ as wildcards."""
+def list_nodes(nodes: DataFrame, type: str | None = None, q: str | None = None, props: dict | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Newest first; q matches anywhere in the name, without regard to case, and may hold % and _ as wildcards; props must
+    hold the given members."""
     if type:
         nodes = nodes.where(F.col("type") == type)
+    if props:
+        nodes = nodes.where(contains_props(F.col("props"), props))
     if q:
         nodes = nodes.where(F.col("name").ilike(f"%{q}%"))
     return page(nodes, F.desc("created_at"), limit=limit, offset=offset)

@@ -96,6 +96,15 @@ def node_list_ilike(spark, sf_dir):
     return tables.list_nodes(nodes, type="part", q="D%r_N", limit=20, offset=5).select("id", "name")
 
 
+@query("SELECT concat('p:', CAST(p_partkey AS string)) AS id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_size = 7 ORDER BY p_partkey % 10 DESC, id LIMIT 40", graph_ctes=False)
+def node_list_props(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    brand = p.agg(F.min("p_brand")).collect()[0][0]
+    props = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.array("p_name").alias("names")))
+    nodes = p.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), props.alias("props"), (F.col("p_partkey") % 10).alias("created_at"))
+    return tables.list_nodes(nodes, props={"brand": brand, "size": 7}, limit=40).select("id")
+
+
 @query("SELECT id, dst FROM g_edges WHERE type = 'supplies' AND src = 's:3' ORDER BY dst DESC, id LIMIT 100")
 def edge_list_filter(spark, sf_dir):
     return tables.list_edges(fixture(spark, sf_dir).edges.withColumn("created_at", F.col("dst")), src="s:3", type="supplies").select("id", "dst")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from graphfold.config import EngineConfig
 from graphfold.engine import Engine
 from graphfold.errors import NotFound
+from graphfold.functions.text import contains_props
 from graphfold.operators import community, extraction, graph, ingest, qa, resolution, retrieval, topk
 from graphfold.operators.components import connected_components
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings
 from graphfold.sources.store import Store
+from graphfold.streaming import jobs
 
 
 def edges_of(spark, pairs):
@@ -319,3 +321,23 @@ def test_community_numbers_follow_the_ranges(spark):
     got = community.sizes(spark.createDataFrame(rows, "id string, component string"), 2).collect()
     want = sorted(((-sum(c == k for _, c in rows), k) for k in {c for _, c in rows}))
     assert sorted(((-r["member_count"], r["component"]), int(r["label"].split("_")[1])) for r in got) == [(w, i) for i, w in enumerate(want, 1)]
+
+
+def test_documents_arrive_as_a_stream(spark, tmp_path):
+    engine = Engine(spark, Store(spark, str(tmp_path / "g")), HashEmbeddings(16), EchoLanguage(lambda s, u: '{"entities": [{"name": "Acme", "type": "org"}], "relationships": []}'), EngineConfig(dim=16))
+    (tmp_path / "in").mkdir()
+    lines = ['{"id": "1", "title": "One", "text": "Acme."}', '{"id": "1", "title": "One", "text": "Acme."}', '{"id": "2", "title": "Two", "text": "More of Acme."}']
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    run = lambda: jobs.ingest_stream(jobs.documents_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), lambda df, batch: engine.ingest(df.select("id", "title", "text"))).awaitTermination(120)
+    assert run()
+    assert engine.store.read("documents").where("status = 'ready'").count() == 2 and engine.graph().nodes.where("type = 'org'").count() == 1
+    (tmp_path / "in" / "b.json").write_text('{"id": "3", "title": "Three", "text": "Acme again."}')
+    assert run()
+    assert engine.store.read("jobs").where("status = 'completed'").count() == 3 and engine.graph().edges.count() == 3
+
+
+def test_props_are_matched_by_type(spark):
+    rows = [(1, '{"a": "x", "n": 2, "b": true}'), (2, '{"a": "y", "n": 2}'), (3, '{"a": "x", "n": "2"}'), (4, None), (5, "no json"), (6, '{"a": ["x"]}')]
+    df = spark.createDataFrame(rows, "i int, props string")
+    has = lambda wanted: [r["i"] for r in df.where(contains_props(F.col("props"), wanted)).orderBy("i").collect()]
+    assert has({"a": "x"}) == [1, 3] and has({"n": 2}) == [1, 2] and has({"a": "x", "n": 2}) == [1] and has({"b": True}) == [1] and has({}) == [1, 2, 3, 4, 5, 6]
