@@ -103,7 +103,7 @@ def reaches(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     np.subtract.at(inside, (starts + sizes - LENGTH + 1)[long], 1)
     q = np.flatnonzero(np.cumsum(inside)[: len(anchor)])
     a = anchor[q]
-    doc = np.searchsorted(starts, q, side="right") - 1
+    doc = np.repeat(np.arange(len(raw)), sizes)[q]
     cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])])) if len(q) else empty
     return flat, doc[cut], q[cut], np.diff(np.concatenate([cut, [len(q)]])), h[a[cut]] >> np.uint64(16)
 
@@ -383,8 +383,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
             mh = np.concatenate([_unpack_hashes(x) for x in marks.column("hashes").to_pylist()])
             marked = np.unique(mix(mh + mix(md.view(np.uint64))))
             order = np.argsort(texts.column("doc_id").to_numpy(), kind="stable")
-            got: dict[int, list] = {}
-            settled: list[tuple[int, int, int]] = []
+            found: list[tuple[np.ndarray, ...]] = []  # document, place in it, strings, shard, whether it is sent
+            sent_reaches: list[bytes] = []
             first: dict[bytes, int] = {}
             for part in slices(texts.take(pa.array(order)).combine_chunks().to_batches()[0], "text", PIECE_BYTES):
                 ids = part.column("doc_id").to_numpy()
@@ -394,20 +394,22 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
                 key = mix(h + mix(ids[doc].view(np.uint64)))
                 at = np.minimum(np.searchsorted(marked, key), len(marked) - 1)
                 keep = np.flatnonzero(marked[at] == key)
-                joined = flat.tobytes()
-                for d, x, c, s in zip(ids[doc[keep]].tolist(), q[keep].tolist(), n[keep].tolist(), zip((h[keep] % np.uint64(shards)).tolist(), starts[doc[keep]].tolist(), strict=True), strict=True):
-                    reach = joined[x : x + c + LENGTH - 1]
-                    if first.setdefault(reach, d) < d:
-                        settled.append((d, x - s[1], x - s[1] + len(reach)))
-                    else:
-                        got.setdefault(s[0], []).append((d, x - s[1], c, reach))
+                joined, d, x, c = flat.tobytes(), ids[doc[keep]], q[keep], n[keep]
+                mine = [joined[i:j] for i, j in zip(x.tolist(), (x + c + LENGTH - 1).tolist(), strict=True)]
+                new = np.fromiter((first.setdefault(r, i) >= i for r, i in zip(mine, d.tolist(), strict=True)), bool, len(mine))
+                found.append((d, x - starts[doc[keep]], c, (h[keep] % np.uint64(shards)).astype(np.int64), new))
+                sent_reaches += [r for r, go in zip(mine, new.tolist(), strict=True) if go]
             batch = texts.column("slot")[0].as_py() // each
-            for shard, some in got.items():
-                d, x, c, r = zip(*some, strict=True)
-                rows.append((shard, batch, _pack_ids(np.array(d, np.int64)), zlib.compress(_bytes(np.array(x, np.int64)), 1), zlib.compress(_bytes(np.array(c, np.int32)), 1), zstandard.compress(b"".join(r), 3)))
-            if settled:
-                d, x, y = (np.array(c, np.int64) for c in zip(*settled, strict=True))
-                rows.append((batch % shards, batch, _pack_ids(d), zlib.compress(_bytes(x), 1), None, zlib.compress(_bytes(y), 1)))
+            d, x, c, shard, new = (np.concatenate(column) for column in zip(*found, strict=True))
+            if not new.all():
+                rows.append((batch % shards, batch, _pack_ids(d[~new]), zlib.compress(_bytes(x[~new]), 1), None, zlib.compress(_bytes((x + c + LENGTH - 1)[~new]), 1)))
+            d, x, c, shard = d[new], x[new], c[new], shard[new]
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(order) else []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[low:high]
+                strings = zstandard.compress(b"".join([sent_reaches[i] for i in at.tolist()]), 1)
+                rows.append((int(shard[at[0]]), batch, _pack_ids(d[at]), zlib.compress(_bytes(x[at]), 1), zlib.compress(_bytes(c[at].astype(np.int32)), 1), strings))
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
