@@ -5,6 +5,13 @@ that the stage before kept, and its decisions take effect: rejected documents go
 of each group of near duplicates the one with the smallest id stays, secrets are
 masked, documents outside the sample go, and what is left is encoded. All stages
 but the last return the columns of documents.
+
+Edge cases: documents without a text or without letters have no language and go in
+the first stage, unless no document has a language to learn from. Rows that repeat
+a doc_id are one document after the second stage, and rows without one are
+documents of their own, of which one of each group of near duplicates stays.
+Texts of any length are read whole; nulls in other columns do not matter, and
+further columns of documents pass through. Empty documents give an empty result.
 """
 
 from __future__ import annotations
