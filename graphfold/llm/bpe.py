@@ -33,7 +33,7 @@ from graphfold.llm.common import slices, texts_of
 
 LONG_WORD = 48
 #: Words kept in a worker's cache; it is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 NONE = 1 << 30
 #: Row widths of the arrays in which words are merged together.
 WIDTHS = (4, 8, 12, 16, 24, 32, LONG_WORD)
@@ -204,7 +204,7 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """encode() of each text; chunks that are new to the cache are taken apart, and their words merged together."""
-        if len(self.cache) > CACHE_WORDS:
+        if max(len(self.cache), len(self.chunk_cache)) > CACHE_WORDS:
             self.cache.clear()
             self.chunk_cache.clear()
         split = [[(k % 2, piece if k % 2 else self.chunks(piece)) for k, piece in enumerate(self.marks.split(t) if self.marks and "<" in t else (t,)) if piece] for t in texts]

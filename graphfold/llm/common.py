@@ -25,8 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """df.mapInArrow(fn); a worker that has ended a task gives back the memory that Arrow holds for it."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, T.StructType([T.StructField(n, t) for n, t in fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

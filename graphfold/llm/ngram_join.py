@@ -385,10 +385,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, counts, size: int) -> DataFrame:
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
-            known = known[_passes(ids.take(pa.array(known)).to_numpy(), asked.value)]
-            for part in slices(batch.take(pa.array(known)), "text"):
+            for part in slices(batch, "text"):
+                ids = part.column("doc_id")
+                known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+                part = part.take(pa.array(known[_passes(ids.take(pa.array(known)).to_numpy(), asked.value)]))
+                if not part.num_rows:
+                    continue
                 sets = shingle_sets(texts_of(part), size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ordered(s, counts.value).tobytes() for s in sets], pa.binary())], names=["id", "grams"])
 
