@@ -40,6 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has not been cleared away."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table from materialize(), once all that comes of it is written itself."""
     sc = df.sparkSession.sparkContext

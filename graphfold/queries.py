@@ -15,7 +15,7 @@ from graphfold.functions import vectors as V
 from graphfold.engine import Engine
 from graphfold.operators import chunking, community, extraction, graph, ingest, qa, resolution, retrieval, tables
 from graphfold.operators.topk import knn, knn_batch
-from graphfold.plans.written import shared_dir
+from graphfold.plans.written import shared_dir, there
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings
 from graphfold.sources.fixture import CTES, query_vector, table
 from graphfold.sources.fixture import graph as fixture
@@ -652,7 +652,7 @@ _ATLAS: dict[tuple[str, str], Engine] = {}
 def _atlas(spark, sf_dir) -> Engine:
     """An engine that has ingested a document on each nation, then one on each region; once for each application and folder."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _ATLAS:
+    if key not in _ATLAS or not there(spark, _ATLAS[key].store.path):
         config = EngineConfig(dim=16)
         engine = Engine(spark, Store(spark, f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/atlas"), HashEmbeddings(16), EchoLanguage(_atlas_reply), config)
         regions = table(spark, sf_dir, "region")

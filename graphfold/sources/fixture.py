@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphfold.operators.retrieval import Graph
-from graphfold.plans.written import materialize
+from graphfold.plans.written import materialize, there
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "lineitem", "documents", "embeddings", "conversations")
 
@@ -60,7 +60,8 @@ _BUILT: dict[tuple[str, str], Graph] = {}
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph as tables, written once for each application and folder, as a store would hold it."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _BUILT:
+    held = _BUILT.get(key)
+    if held is None or not all(there(spark, df._written_to) for df in (held.nodes, held.edges, held.chunks)):
         views(spark, sf_dir)
         one = lambda name: materialize(spark.sql(f"WITH {CTES} SELECT * FROM {name}"), name)
         _BUILT[key] = Graph(one("g_nodes"), one("g_edges"), one("g_chunks"))
