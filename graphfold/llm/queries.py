@@ -9,6 +9,7 @@ from graphfold.llm.flac import op4_flac_media
 from graphfold.llm.langid import op6_language_id
 from graphfold.llm.mixing import op8_mixing
 from graphfold.llm.ngram_join import op5_ngram_join
+from graphfold.llm.packing import op11_packing
 from graphfold.llm.quality import op1_quality
 from graphfold.llm.secrets import base_secrets, op7_secret_scan
 from graphfold.llm.suffix_dedup import op9_suffix_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest": op10_nearest,
+    "op11_packing": op11_packing,
     # the parts of op7 and op2 that no model decides
     "base_secrets": base_secrets,
     "url_rules": url_rules,
