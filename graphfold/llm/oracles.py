@@ -67,3 +67,21 @@ r(rule, of_host, of_path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('e
 f AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM h JOIN r ON (host = of_host OR ends_with(host, concat('.', of_host))) AND starts_with(path, of_path))
 SELECT h.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, f.rule, f.verdict FROM h LEFT JOIN f ON f.page_id = h.page_id AND f.k = 1
 """
+
+#: Every phrase of one to four words of every piece, counted by itself.
+PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(generate_series(1, len(ws) - m + 1), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase FROM w, generate_series(1, 4) AS s(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT lang, phrase, a, unnest(generate_series(1, m - 1)) AS k, ws FROM c),
+x AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, 2000000::HUGEINT * k.a // (l.f + r.f) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[: k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1 :], ' ')),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS one FROM x),
+i AS (SELECT lang, a, unnest(list_distinct(flatten(list_transform(generate_series(2, m - 1), lambda s: list_transform(generate_series(1, m - s + 1), lambda j: array_to_string(ws[j : j + s - 1], ' ')))))) AS phrase FROM c WHERE m > 2),
+z AS (SELECT lang, phrase, max(a) AS around FROM i GROUP BY lang, phrase),
+v AS (SELECT o.*, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.phrase) AS rank FROM o LEFT JOIN z ON z.lang = o.lang AND z.phrase = o.phrase WHERE one = 1 AND (around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a))
+SELECT v.lang, rank, v.phrase, a, l, r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM v JOIN n ON n.lang = v.lang WHERE rank <= 2000
+"""

@@ -10,6 +10,7 @@ from graphfold.llm.langid import op6_language_id
 from graphfold.llm.mixing import op8_mixing
 from graphfold.llm.ngram_join import op5_ngram_join
 from graphfold.llm.packing import op11_packing
+from graphfold.llm.phrases import op12_phrases
 from graphfold.llm.quality import op1_quality
 from graphfold.llm.secrets import base_secrets, op7_secret_scan
 from graphfold.llm.suffix_dedup import op9_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_nearest": op10_nearest,
     "op11_packing": op11_packing,
+    "op12_phrases": op12_phrases,
     # the parts of op7 and op2 that no model decides
     "base_secrets": base_secrets,
     "url_rules": url_rules,
@@ -36,6 +38,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op12_phrases": oracles.PHRASES,
     "base_secrets": oracles.BASE_SECRETS,
     "url_rules": oracles.URL_RULES,
 }
