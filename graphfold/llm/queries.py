@@ -8,6 +8,7 @@ from graphfold.llm.bpe import op3_bpe_round_trip
 from graphfold.llm.flac import op4_flac_media
 from graphfold.llm.langid import op6_language_id
 from graphfold.llm.mixing import op8_mixing
+from graphfold.llm.negatives import op13_negatives
 from graphfold.llm.ngram_join import op5_ngram_join
 from graphfold.llm.packing import op11_packing
 from graphfold.llm.phrases import op12_phrases
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_nearest": op10_nearest,
     "op11_packing": op11_packing,
     "op12_phrases": op12_phrases,
+    "op13_negatives": op13_negatives,
     # the parts of op7 and op2 that no model decides
     "base_secrets": base_secrets,
     "url_rules": url_rules,
@@ -39,6 +41,7 @@ ORACLE_SQL = {
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op12_phrases": oracles.PHRASES,
+    "op13_negatives": oracles.NEGATIVES,
     "base_secrets": oracles.BASE_SECRETS,
     "url_rules": oracles.URL_RULES,
 }
