@@ -36,7 +36,9 @@ from graphfold.plans.ship import ship
 
 LEAST, LONGEST, COVERED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Words after which a shard is full; a document is not divided.
-SHARD = 4_000_000
+SHARD = 3_000_000
+#: Frequent words or phrases that a join broadcasts at most.
+SMALL = 400_000
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TOKENS = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]+")
@@ -113,24 +115,30 @@ def postings(docs: DataFrame, shard_words: int = SHARD) -> DataFrame:
     return arrow_rows(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")), run, kinds)
 
 
-def _positions(lists: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(word, position) of all occurrences in lists (id, first, width, steps, n)."""
-    ids, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    width = lists.column("width").to_numpy()
+def _positions(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the words of lists (id, first, width, steps, n) in order, and of all occurrences the word's place among them
+    and the position."""
+    width, each = lists.column("width").to_numpy(), lists.column("id").to_numpy()
+    names = np.unique(each)
+    ids, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for w, kind in enumerate(_WIDTHS):
-        some = lists.filter(pa.array(width == w)).combine_chunks()
+        some = lists.select(["first", "steps", "n", "id"]).filter(pa.array(width == w))
         if not some.num_rows:
             continue
         n = some.column("n").to_numpy()
         start = np.cumsum(n) - n
-        step = np.zeros(n.sum(), np.int64)
+        step = np.zeros(n.sum(), np.int32)
         later = np.ones(len(step), bool)
         later[start] = False
         step[later] = np.frombuffer(b"".join(some.column("steps").to_pylist()), kind)
-        total = np.cumsum(step)
-        at.append(total - np.repeat(total[start], n) + np.repeat(some.column("first").to_numpy(), n))
-        ids.append(np.repeat(some.column("id").to_numpy(), n))
-    return np.concatenate(ids), np.concatenate(at)
+        # at a list's start, from the end of the one before to its own first position
+        first = some.column("first").to_numpy().astype(np.int32)
+        last = first + np.add.reduceat(step, start, dtype=np.int32)
+        step[start] = np.diff(first, prepend=0)
+        step[start[1:]] = first[1:] - last[:-1]
+        at.append(np.cumsum(step, dtype=np.int32))
+        ids.append(np.repeat(np.searchsorted(names, some.column("id").to_numpy()).astype(np.int32), n))
+    return names, np.concatenate(ids), np.concatenate(at)
 
 
 def _extend(level: int):
@@ -140,35 +148,34 @@ def _extend(level: int):
     def run(lists: pa.Table, phrases: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64)] * 3
         if lists.num_rows:
-            ids, at = _positions(lists)
-            names, local = np.unique(ids, return_inverse=True)
-            word = np.full(at.max() + level + 1, -1, np.int64)
+            names, local, at = _positions(lists)
+            word = np.full(int(at.max()) + level + 1, -1, np.int32)
             word[at] = local
-            del ids, local
-            at.sort()
-            # what[i] is the phrase that starts at at[i], by its place in names
+            del local
+            at = np.flatnonzero(word >= 0).astype(np.int32)
+            # what[i] is the phrase that starts at at[i], by its place in labels
             what, of, labels = word[at], phrases.column("level").to_numpy(), names
             for k in range(2, level):
                 some = phrases.filter(pa.array(of == k))
-                a, b = np.searchsorted(labels, some.column("a").to_numpy()), np.searchsorted(names, some.column("b").to_numpy())
-                known = a * len(names) + b
+                known = np.searchsorted(labels, some.column("a").to_numpy()) * len(names) + np.searchsorted(names, some.column("b").to_numpy())
+                labels = np.sort(some.column("id").to_numpy())
                 order = np.argsort(known)
-                labels_k, known = some.column("id").to_numpy()[order], known[order]
-                later = word[at + k - 1]
+                known, place_of = known[order], np.searchsorted(labels, some.column("id").to_numpy()[order]).astype(np.int32)
+                later = word[at + (k - 1)]
                 hit = later >= 0
-                at, key = at[hit], what[hit] * len(names) + later[hit]
+                at, key = at[hit], what[hit].astype(np.int64) * len(names) + later[hit]
                 place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
                 hit = known[place] == key if len(known) else np.zeros(len(key), bool)
-                at, what = at[hit], place[hit]
-                by_id = np.argsort(labels_k)
-                rank = np.empty_like(by_id)
-                rank[by_id] = np.arange(len(by_id))
-                labels, what = labels_k[by_id], rank[what]
+                at, what = at[hit], place_of[place[hit]]
             # the last level - 1 words must be a frequent phrase too, which starts one word later
             goes_on = np.zeros(len(word), bool)
             goes_on[at] = True
-            hit = goes_on[at + 1] & (word[at + level - 1] >= 0)
-            key, n = np.unique(what[hit] * len(names) + word[at[hit] + level - 1], return_counts=True)
+            hit = goes_on[at + 1] & (word[at + (level - 1)] >= 0)
+            key = what[hit].astype(np.int64) * len(names) + word[at[hit] + (level - 1)]
+            del word, at, what, goes_on, hit
+            key.sort()
+            start = np.flatnonzero(np.diff(key, prepend=-1))
+            n, key = np.diff(start, append=len(key)), key[start]
             found = [labels[key // len(names)], names[key % len(names)], n] if len(key) else found
         shard = lists.column("shard")[0].as_py() if lists.num_rows else 0
         return pa.table({"shard": pa.array(np.full(len(found[0]), shard, np.int64)), "a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "n": pa.array(found[2], pa.int64())})
@@ -176,6 +183,11 @@ def _extend(level: int):
     return run
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows, which are counted; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 @dataclass
 class Phrases:
     """frequent (lang, phrase, words, f), and total (lang, n), the number of word occurrences."""
@@ -191,7 +203,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_word
     counts = materialize(every.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     total = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = materialize(counts.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f"), "frequent_words")
-    lists = materialize(every.join(words.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("shard", "id", "first", "width", "steps", "n"), "frequent_postings")
+    lists = materialize(every.join(_sent(words).select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("shard", "id", "first", "width", "steps", "n"), "frequent_postings")
     discard(every)
     found, before = words.withColumn("words", F.lit(1)), words
     of_shard = spark.createDataFrame([], "shard long, level int, a long, b long, id long")
@@ -199,11 +211,12 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_word
         grown = lists.groupBy("shard").cogroup(of_shard.groupBy("shard")).applyInArrow(_extend(level), "shard long, a long, b long, n long")
         grown = materialize(grown, f"phrases_{level}")
         frequent = materialize(grown.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), f"frequent_{level}")
+        sent = _sent(frequent)
         named = frequent.join(before.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head")), "a").join(words.select(F.col("id").alias("b"), F.col("phrase").alias("tail")), "b")
         before = materialize(named.select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"named_{level}")
         found = found.unionByName(before.withColumn("words", F.lit(level)))
         if level < longest:
-            met = grown.join(frequent.select("a", "b", "id"), ["a", "b"]).select("shard", F.lit(level).alias("level"), "a", "b", "id")
+            met = grown.join(sent.select("a", "b", "id"), ["a", "b"]).select("shard", F.lit(level).alias("level"), "a", "b", "id")
             of_shard = of_shard.unionByName(materialize(met, f"met_{level}"))
         discard(grown)
     discard(lists)

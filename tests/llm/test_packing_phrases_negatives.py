@@ -163,8 +163,8 @@ def test_lists_keep_positions(spark):
     text = "a " + "b " * 300 + "a " + "c " * 70_000 + "a a"
     rows = phrases.postings(spark.createDataFrame([("en", text)], "lang string, text string")).withColumn("id", phrases.F.ascii("word").cast("long")).toArrow()
     assert set(rows.column("width").to_pylist()) == {0, 2}
-    ids, at = phrases._positions(rows)
-    assert sorted(zip(at.tolist(), ids.tolist(), strict=True)) == [(i, ord(w)) for i, w in enumerate(text.split())]
+    names, ids, at = phrases._positions(rows)
+    assert sorted(zip(at.tolist(), names[ids].tolist(), strict=True)) == [(i, ord(w)) for i, w in enumerate(text.split())]
 
 
 def mined_negatives(rows, every):
