@@ -12,14 +12,15 @@ and meet the batch's texts, whose perplexities are then sums of look-ups. A batc
 has far fewer distinct n-grams than characters.
 
 One of HOLD trusted documents is held out of training. A document is kept if its
-perplexity is at most SLACK times the QUANTILE of the held-out perplexities of
-its language.
+perplexity is at most SLACK times its language's quantile, which is taken from
+held-out documents alone: the QUANTILE of its own n and that of all languages
+together are averaged as logarithms, with weights n and PRIOR. The same formula
+holds at every size.
 
 Edge cases: a null or empty text has no perplexity and is not kept. No language,
-and languages with fewer than LEAST_HELD held-out documents, take the quantile of
-all languages together; with fewer than FEW held-out documents in all, the largest
-perplexity of any trusted document, held out or not. Without any trusted document
-there is no threshold and every text with characters is kept. Repeated labels count once, and a document with several
+and a language without held-out documents, take the quantile of all languages
+together. Without any held-out document there is no threshold and every text with
+characters is kept. Repeated labels count once, and a document with several
 labels is trusted if any of them says so. Equal texts have equal perplexities, and
 one that equals the threshold is kept. Texts of any length are scored whole; the character U+0000
 is read as U+FFFD. Rows that repeat an id are rows of their own. Extra columns do
@@ -48,7 +49,8 @@ ORDER = 5
 BATCH_BYTES, TRAIN_BYTES = 32 << 20, 8 << 20
 #: One of HOLD trusted documents is held out; a document is kept up to this quantile of its language, times the slack.
 HOLD, QUANTILE, SLACK = 5, 0.98, 1.3
-LEAST_HELD, FEW = 50, 100
+#: Held-out documents that all languages' quantile counts for beside a language's own.
+PRIOR = 50
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 #: The n-gram that every batch asks for, so that a batch without an answer is noticed.
 MARK = 1
@@ -260,8 +262,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "perp
     kept = [c for c in docs.columns if c not in (output, "n_scored", text)]
     docs = docs.select(*kept, F.col(text).cast("string").alias("text"))
     unseen = model.unseen
-    # as many shares as the scan has, so that a share does not grow with the input
-    packed, shares = _packed(docs), docs.rdd.getNumPartitions()
+    # as many shares as full batches, so that a share does not grow with the input
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    packed, shares = _packed(docs), max(1, -(-size // BATCH_BYTES))
     none = F.lit(None).cast("float")
     mark = docs.sparkSession.range(MARK, MARK + 1, numPartitions=1).select(F.col("id").alias("gram"), none.alias("logp"), none.alias("back"))
     answers = materialize(_asked(packed).join(model.grams.unionByName(mark).hint("merge"), "gram"), "quality_answers")
@@ -294,13 +297,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs.where(F.col("text").isNotNull()).join(good.where(~held).hint("merge"), "doc_id", "left_semi").select("text"))
     scored = materialize(score(docs, model), "quality_scored")
     trusted = scored.where(F.col("perplexity").isNotNull()).join(good.hint("merge"), "doc_id", "left_semi").withColumn("held", held)
-    quantile = F.percentile_approx(F.when(F.col("held"), F.col("perplexity")), QUANTILE, 10_000)
-    top = trusted.agg(F.count(F.when(F.col("held"), 1)).alias("n"), quantile.alias("held"), F.max("perplexity").alias("every")).collect()[0]
-    whole = top["held"] if top["n"] >= FEW else top["every"]
-    whole = None if whole is None else float(whole) * SLACK
-    own = trusted.where("held").groupBy("lang").agg((F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("own"), F.count("*").alias("held_out"))
-    own = materialize(own.where(F.col("lang").isNotNull() & (F.col("held_out") >= LEAST_HELD)), "quality_limits")
-    limit = F.coalesce(F.col("own"), F.lit(whole).cast("double"))
+    quantile = F.percentile_approx("perplexity", QUANTILE, 10_000)
+    whole = trusted.where("held").agg(quantile).collect()[0][0]
+    whole = F.lit(None if whole is None else float(whole)).cast("double")
+    n = F.col("held_out")
+    own = trusted.where("held").groupBy("lang").agg(quantile.alias("own"), F.count("*").alias("held_out")).where(F.col("lang").isNotNull())
+    own = materialize(own.select("lang", F.exp((n * F.log("own") + PRIOR * F.log(whole)) / (n + PRIOR)).alias("own"), "held_out"), "quality_limits")
+    limit = F.coalesce(F.col("own"), whole) * SLACK
     rows = attach(scored, own, ["lang"], "held_out", ["doc_id", "n_scored"])
     return rows.select(
         "doc_id", "lang", "n_scored", "perplexity", limit.alias("threshold"), (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))).alias("keep")

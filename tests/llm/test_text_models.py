@@ -264,6 +264,36 @@ def test_quality_rejects_junk(spark, sf, share):
     assert sum(not r["keep"] for r in bad) >= share * len(bad)
 
 
+def test_quality_limits_by_brute_force(spark):
+    """Limits come from documents outside training alone, by one formula; every row follows its limit."""
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    rows = quality.op1_quality(spark, at).withColumn("held", quality.F.pmod(quality.F.xxhash64("doc_id"), quality.F.lit(quality.HOLD)) == 0).collect()
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    held = [r for r in rows if r["held"] and r["doc_id"] in good and r["perplexity"] is not None]
+    assert 20 < len(held) < len(good) / 3
+
+    def quantile(values):  # the least that QUANTILE of them do not exceed
+        return sorted(values)[math.ceil(quality.QUANTILE * len(values)) - 1]
+
+    whole = quantile([r["perplexity"] for r in held])
+    for r in rows:
+        own = [x["perplexity"] for x in held if x["lang"] == r["lang"] and r["lang"] is not None]
+        n = len(own)
+        limit = quality.SLACK * math.exp((n * math.log(quantile(own)) + quality.PRIOR * math.log(whole)) / (n + quality.PRIOR)) if n else quality.SLACK * whole
+        assert math.isclose(r["threshold"], limit, rel_tol=1e-9)
+        assert r["keep"] == (r["perplexity"] is not None and r["perplexity"] <= r["threshold"])
+    assert sum(r["keep"] for r in held) >= 0.96 * len(held)
+
+
+def test_quality_of_reduced_inputs(spark, odd_docs):
+    """Inputs that Spark has reduced to nothing, and labels that hold no document out."""
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    for none in (odd_docs.where("false"), odd_docs.limit(0)):
+        assert quality.classify(none, labels).count() == 0
+    assert quality.classify(odd_docs, labels.where("false")).where("keep").count() == 12
+
+
 def test_raking_meets_its_targets():
     rng = np.random.default_rng(0)
     a, b, c = (x.ravel() for x in np.meshgrid(range(4), range(3), range(2), indexing="ij"))
