@@ -7,7 +7,8 @@ postings of the words that follow, and the lengths of the new lists, summed over
 the shards, are exact frequencies. Only phrases whose first and last k words are
 frequent are extended, so that each level meets no more than the level before
 left. Positions never leave their shard; what is shuffled by phrase are counts,
-and which of its phrases are frequent is sent back to a shard.
+and which phrases are frequent goes back to the shards: to all of them while they
+are few, which is counted, else to a shard those that it holds.
 
 A candidate's score is the least of its cuts' in two, and candidates that a longer
 one accounts for are dropped; both are joins on the table of frequent phrases.
@@ -37,7 +38,7 @@ from graphfold.plans.ship import ship
 LEAST, LONGEST, COVERED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Words after which a shard is full; a document is not divided.
 SHARD = 3_000_000
-#: Frequent words or phrases that a join broadcasts at most.
+#: Frequent words or phrases of a level that are broadcast at most.
 SMALL = 400_000
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -141,9 +142,10 @@ def _positions(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, np.concatenate(ids), np.concatenate(at)
 
 
-def _extend(level: int):
+def _extend(level: int, shared):
     """For the lists and the frequent phrases (level, a, b, id) of a shard, of 2 to level - 1 words: how often each of
-    those of level - 1 words is followed by each word. a is the phrase without its last word, b that word."""
+    those of level - 1 words is followed by each word. a is the phrase without its last word, b that word. Levels with
+    few frequent phrases come from `shared`, a broadcast, with all of them."""
 
     def run(lists: pa.Table, phrases: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64)] * 3
@@ -157,10 +159,13 @@ def _extend(level: int):
             what, of, labels = word[at], phrases.column("level").to_numpy(), names
             for k in range(2, level):
                 some = phrases.filter(pa.array(of == k))
-                known = np.searchsorted(labels, some.column("a").to_numpy()) * len(names) + np.searchsorted(names, some.column("b").to_numpy())
-                labels = np.sort(some.column("id").to_numpy())
-                order = np.argsort(known)
-                known, place_of = known[order], np.searchsorted(labels, some.column("id").to_numpy()[order]).astype(np.int32)
+                a, b, id_ = shared.value.get(k) or (some.column(c).to_numpy() for c in ("a", "b", "id"))
+                first, last = np.searchsorted(labels, a), np.searchsorted(names, b)
+                here = (first < len(labels)) & (last < len(names))
+                here[here] = (labels[first[here]] == a[here]) & (names[last[here]] == b[here])
+                known, id_ = first[here] * len(names) + last[here], id_[here]
+                labels, order = np.sort(id_), np.argsort(known)
+                known, place_of = known[order], np.searchsorted(labels, id_[order]).astype(np.int32)
                 later = word[at + (k - 1)]
                 hit = later >= 0
                 at, key = at[hit], what[hit].astype(np.int64) * len(names) + later[hit]
@@ -206,17 +211,18 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_word
     lists = materialize(every.join(_sent(words).select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("shard", "id", "first", "width", "steps", "n"), "frequent_postings")
     discard(every)
     found, before = words.withColumn("words", F.lit(1)), words
-    of_shard = spark.createDataFrame([], "shard long, level int, a long, b long, id long")
+    of_shard, few = spark.createDataFrame([], "shard long, level int, a long, b long, id long"), {}
     for level in range(2, longest + 1):
-        grown = lists.groupBy("shard").cogroup(of_shard.groupBy("shard")).applyInArrow(_extend(level), "shard long, a long, b long, n long")
+        grown = lists.groupBy("shard").cogroup(of_shard.groupBy("shard")).applyInArrow(_extend(level, spark.sparkContext.broadcast(few)), "shard long, a long, b long, n long")
         grown = materialize(grown, f"phrases_{level}")
         frequent = materialize(grown.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), f"frequent_{level}")
-        sent = _sent(frequent)
         named = frequent.join(before.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head")), "a").join(words.select(F.col("id").alias("b"), F.col("phrase").alias("tail")), "b")
         before = materialize(named.select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"named_{level}")
         found = found.unionByName(before.withColumn("words", F.lit(level)))
-        if level < longest:
-            met = grown.join(sent.select("a", "b", "id"), ["a", "b"]).select("shard", F.lit(level).alias("level"), "a", "b", "id")
+        if level < longest and frequent.count() <= SMALL:
+            few = few | {level: tuple(c.to_numpy() for c in frequent.select("a", "b", "id").toArrow().columns)}
+        elif level < longest:
+            met = grown.join(frequent.select("a", "b", "id"), ["a", "b"]).select("shard", F.lit(level).alias("level"), "a", "b", "id")
             of_shard = of_shard.unionByName(materialize(met, f"met_{level}"))
         discard(grown)
     discard(lists)

@@ -141,8 +141,9 @@ def mined(rows, least, longest, top, covered):
     return {(lang, i + 1, p.decode(), -a, x, y, n[lang], -s) for lang, held in out.items() for i, (s, a, p, x, y) in enumerate(sorted(held)[:top])}
 
 
-@pytest.mark.parametrize("shard", [1, 60, 1 << 20])
-def test_phrases_match_brute_force(spark, shard):
+@pytest.mark.parametrize("shard, few", [(1, 1000), (60, 12), (60, 0), (1 << 20, 1000)])
+def test_phrases_match_brute_force(spark, monkeypatch, shard, few):
+    monkeypatch.setattr(phrases, "SMALL", few)  # more frequent phrases than that go back to their shards by a join
     rng = random.Random(11)
     words = ["Alpha", "beta", "gamma\t", "delta", "é", "\xa0x", "漢", "z"]
     rows = [(rng.choice(["en", "de", None, "und"]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", ". ", ",", "\n", "\r\n"]) for _ in range(rng.randint(0, 60)))) for _ in range(80)]
