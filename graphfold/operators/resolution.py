@@ -32,19 +32,20 @@ def resolve(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame
     """Nodes from mentions (doc_id, ord, item, name, type, description): one for each normalised type and name.
 
     The first spelling names the node, aliases and descriptions are folded in the
-    order (doc_id, ord, item). A node of existing (id, type, name, normalized_name,
+    order (doc_id, ord, item); described_by is the first document with a description. A node of existing (id, type, name, normalized_name,
     aliases, description) with that type and name, or else normalised name, keeps
     its id and name, and its folds come first.
     """
     keyed = mentions.withColumns({"type_key": normalize_type(F.col("type")), "name_key": normalize_name(F.col("name"))}).where(F.col("name_key") != "")
     # equal spellings with equal descriptions count once, at their first place, before the ordered lists are built
     first = keyed.groupBy("type_key", "name_key", "name", F.coalesce("description", F.lit("")).alias("description")).agg(F.min(F.struct("doc_id", "ord", "item")).alias("at"))
-    nodes = first.groupBy("type_key", "name_key").agg(F.array_sort(F.collect_list(F.struct("at", "name", "description"))).alias("m"))
-    nodes = nodes.select("type_key", "name_key", F.transform("m", lambda x: x["name"]).alias("names"), F.transform("m", lambda x: x["description"]).alias("descriptions"))
+    described = F.min_by("at.doc_id", F.when(F.col("description") != "", F.col("at"))).alias("described_by")
+    nodes = first.groupBy("type_key", "name_key").agg(F.array_sort(F.collect_list(F.struct("at", "name", "description"))).alias("m"), described)
+    nodes = nodes.select("type_key", "name_key", "described_by", F.transform("m", lambda x: x["name"]).alias("names"), F.transform("m", lambda x: x["description"]).alias("descriptions"))
     if existing is None:
         return nodes.select(
             stable_id(F.col("type_key"), F.col("name_key")).alias("id"), F.col("type_key").alias("type"), F.element_at("names", 1).alias("name"),
-            merge_descriptions(F.col("descriptions")).alias("description"), merge_aliases(F.col("names")).alias("aliases"), F.col("name_key").alias("normalized_name"), F.lit(True).alias("created"),
+            merge_descriptions(F.col("descriptions")).alias("description"), merge_aliases(F.col("names")).alias("aliases"), F.col("name_key").alias("normalized_name"), F.lit(True).alias("created"), "described_by",
         )
     old = existing.select("id", "type", "name", "normalized_name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("description", F.lit("")).alias("description"))
     by_name = old.select(F.col("type").alias("type_key"), F.lower(F.trim("name")).alias("name_key"), F.struct(F.lit(0).alias("p"), "id", "name", "aliases", "description").alias("o"))
@@ -55,7 +56,7 @@ def resolve(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame
     return j.select(
         F.coalesce("o.id", stable_id(F.col("type_key"), F.col("name_key"))).alias("id"), F.col("type_key").alias("type"), F.coalesce("o.name", F.element_at("names", 1)).alias("name"),
         merge_descriptions(F.when(has, F.concat(F.array("o.description"), F.col("descriptions"))).otherwise(F.col("descriptions"))).alias("description"),
-        merge_aliases(F.when(has, F.concat("o.aliases", "names")).otherwise(F.col("names"))).alias("aliases"), F.col("name_key").alias("normalized_name"), (~has).alias("created"),
+        merge_aliases(F.when(has, F.concat("o.aliases", "names")).otherwise(F.col("names"))).alias("aliases"), F.col("name_key").alias("normalized_name"), (~has).alias("created"), "described_by",
     )
 
 
@@ -63,7 +64,7 @@ def mention_edges(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges from document nodes (document_node_id) to the nodes they mention; chunk_id is that of the last mention."""
     keyed = mentions.select("document_node_id", "chunk_id", "ord", "item", normalize_type(F.col("type")).alias("type"), normalize_name(F.col("name")).alias("normalized_name"))
     hit = keyed.join(nodes.select(F.col("id").alias("dst"), "type", "normalized_name"), ["type", "normalized_name"])
-    return upsert_edges(hit.select(F.col("document_node_id").alias("src"), "dst", F.lit(MENTIONS).alias("type"), "chunk_id", F.lit("").alias("description"), F.struct("ord", "item").alias("at")))
+    return upsert_edges(hit.select(F.col("document_node_id").alias("src"), F.col("document_node_id").alias("doc_id"), "dst", F.lit(MENTIONS).alias("type"), "chunk_id", F.lit("").alias("description"), F.struct("ord", "item").alias("at")))
 
 
 def relation_edges(relations: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -78,22 +79,25 @@ def relation_edges(relations: DataFrame, mentions: DataFrame, nodes: DataFrame)
         b = in_doc.select("doc_id", F.col("normalized_name").alias(end), F.col("doc_hit").alias(f"{name}_b"))
         out = out.join(a, ["doc_id", "ord", end], "left").join(b, ["doc_id", end], "left").withColumn(name, F.coalesce(f"{name}_a", f"{name}_b"))
     out = out.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    return upsert_edges(out.select("src", "dst", "type", F.lit(None).cast("string").alias("chunk_id"), F.coalesce("description", F.lit("")).alias("description"), F.struct("doc_id", "ord", "item").alias("at")))
+    return upsert_edges(out.select("src", "dst", "type", "doc_id", F.lit(None).cast("string").alias("chunk_id"), F.coalesce("description", F.lit("")).alias("description"), F.struct("doc_id", "ord", "item").alias("at")))
 
 
 def upsert_edges(incoming: DataFrame) -> DataFrame:
-    """One edge for each (src, dst, type) of incoming (…, chunk_id, description, at): values that are not empty overwrite, the last wins."""
+    """One edge for each (src, dst, type) of incoming (…, chunk_id, description, at): values that are not empty overwrite,
+    the last wins. With a doc_id, the first document of each edge is kept."""
+    first = ["doc_id"] if "doc_id" in incoming.columns else []
     last = lambda c: F.max_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("at")))
-    e = incoming.groupBy("src", "dst", "type").agg(last("chunk_id").alias("chunk_id"), last("description").alias("description"))
-    return e.select(stable_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "src", "dst", "type", F.nullif("chunk_id", F.lit("")).alias("chunk_id"), F.nullif("description", F.lit("")).alias("description"))
+    e = incoming.groupBy("src", "dst", "type").agg(last("chunk_id").alias("chunk_id"), last("description").alias("description"), *(F.min(c).alias(c) for c in first))
+    return e.select(stable_id(F.col("src"), F.col("type"), F.col("dst")).alias("id"), "src", "dst", "type", F.nullif("chunk_id", F.lit("")).alias("chunk_id"), F.nullif("description", F.lit("")).alias("description"), *first)
 
 
 def merge_edges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """existing with incoming edges (id, src, dst, type, chunk_id, description): new triples are added, known ones updated."""
+    first = ["doc_id"] if "doc_id" in incoming.columns else []
     old = existing.select("id", "src", "dst", "type", "chunk_id", "description")
-    both = old.withColumn("p", F.lit(0)).unionByName(incoming.select(*old.columns).withColumn("p", F.lit(1)))
+    both = old.withColumn("p", F.lit(0)).unionByName(incoming.select(*old.columns, *first).withColumn("p", F.lit(1)), allowMissingColumns=True)
     pick = lambda c: F.max_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("p")))
-    return both.groupBy("src", "dst", "type").agg(F.min_by("id", "p").alias("id"), pick("chunk_id").alias("chunk_id"), pick("description").alias("description"), (F.min("p") == 1).alias("created"))
+    return both.groupBy("src", "dst", "type").agg(F.min_by("id", "p").alias("id"), pick("chunk_id").alias("chunk_id"), pick("description").alias("description"), (F.min("p") == 1).alias("created"), *(F.min(c).alias(c) for c in first))
 
 
 def description_chunks(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -101,6 +105,6 @@ def description_chunks(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     (stale says which; only those and new ones are embedded again)."""
     rank = F.row_number().over(Window.partitionBy("node_id").orderBy("id"))
     old = chunks.where(F.col("kind") == ENTITY_DESCRIPTION).withColumn("r", rank).where(F.col("r") == 1).select("node_id", F.col("id").alias("old_id"), F.col("text").alias("old_text"))
-    n = nodes.where(F.trim(F.coalesce("description", F.lit(""))) != "").select(F.col("id").alias("node_id"), F.trim("description").alias("text"))
+    n = nodes.where(F.trim(F.coalesce("description", F.lit(""))) != "").select(F.col("id").alias("node_id"), F.trim("description").alias("text"), *(["described_by"] if "described_by" in nodes.columns else []))
     j = n.join(old, "node_id", "left").where(F.col("old_text").isNull() | (F.col("old_text") != F.col("text")))
-    return j.select(F.coalesce("old_id", stable_id(F.col("node_id"), F.lit(ENTITY_DESCRIPTION))).alias("id"), "node_id", F.lit(ENTITY_DESCRIPTION).alias("kind"), "text", F.col("old_id").isNotNull().alias("stale"))
+    return j.select(F.coalesce("old_id", stable_id(F.col("node_id"), F.lit(ENTITY_DESCRIPTION))).alias("id"), "node_id", F.lit(ENTITY_DESCRIPTION).alias("kind"), "text", F.col("old_id").isNotNull().alias("stale"), *(c for c in n.columns if c == "described_by"))

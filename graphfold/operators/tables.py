@@ -77,19 +77,27 @@ def aligned(table: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(c).cast(t) if c in rows.columns else now.get(c, F.lit(None)).cast(t).alias(c) for c, t in ((f.name, f.dataType) for f in table.schema.fields)))
 
 
-def insert_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def node_rows(rows: DataFrame) -> DataFrame:
+    """rows with stripped types and names, and ids."""
     rows = rows.withColumns({"type": strip(F.col("type")), "name": strip(F.col("name"))})
-    if "id" not in rows.columns:
-        rows = rows.withColumn("id", stable_id(F.col("type"), F.col("name")))
+    return rows if "id" in rows.columns else rows.withColumn("id", stable_id(F.col("type"), F.col("name")))
+
+
+def insert_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = node_rows(rows)
     _raise_if(rows.where((F.col("type") == "") | (F.col("name") == "") | F.col("type").isNull() | F.col("name").isNull()).select("id"), Invalid, "nodes need a type and a name")
     _raise_if(rows.select("id").join(nodes.select("id"), "id", "left_semi"), Conflict, "nodes exist")
+    _raise_if(rows.groupBy("id").count().where("count > 1").select("id"), Conflict, "nodes are given twice")
     return nodes.unionByName(aligned(nodes, rows))
 
 
+def edge_rows(rows: DataFrame) -> DataFrame:
+    return rows if "id" in rows.columns else rows.withColumn("id", stable_id(F.col("src"), F.col("type"), F.col("dst")))
+
+
 def insert_edges(nodes: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
     """Loops are invalid, both ends must exist, and a triple may exist once."""
-    if "id" not in rows.columns:
-        rows = rows.withColumn("id", stable_id(F.col("src"), F.col("type"), F.col("dst")))
+    rows = edge_rows(rows)
     _raise_if(rows.where((F.col("src") == F.col("dst")) | (strip(F.col("type")) == "")).select("id"), Invalid, "an edge needs a type and two different ends")
     ends = rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     _raise_if(ends.join(nodes.select("id"), "id", "left_anti"), NotFound, "no such nodes")
@@ -112,10 +120,14 @@ def insert_chunks(nodes: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataF
     return chunks.unionByName(aligned(chunks, checked_chunks(nodes, rows)))
 
 
+def check_known(table: DataFrame, patch: DataFrame) -> None:
+    _raise_if(patch.select("id").join(table.select("id"), "id", "left_anti"), NotFound, "no such rows")
+
+
 def update(table: DataFrame, patch: DataFrame) -> DataFrame:
     """Values of patch (id and some columns) that are not null replace the table's; updated_at follows on the rows concerned."""
     columns = [c for c in patch.columns if c != "id"]
-    _raise_if(patch.select("id").join(table.select("id"), "id", "left_anti"), NotFound, "no such rows")
+    check_known(table, patch)
     p = patch.select("id", *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
     j = table.join(p, "id", "left")
     out = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in columns}
@@ -124,22 +136,31 @@ def update(table: DataFrame, patch: DataFrame) -> DataFrame:
     return j.withColumns(out).select(*table.columns)
 
 
+def without(table: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """table without the rows whose column names one of ids (id)."""
+    gone = ids.select(F.col("id").alias("__gone")).distinct()
+    return table.join(gone, table[column] == gone["__gone"], "left_anti")
+
+
+def unlinked(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """table with node_id null where it names one of ids (id)."""
+    gone = ids.select(F.col("id").alias("__gone")).distinct()
+    hit = table.join(gone, table["node_id"] == gone["__gone"], "left")
+    return hit.withColumn("node_id", F.when(F.col("__gone").isNull(), F.col("node_id"))).drop("__gone").select(*table.columns)
+
+
 def delete_with(ids: DataFrame, table: DataFrame, dependent: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """table without ids (id), and dependent without the rows whose column names one of them."""
-    gone = ids.select(F.col("id").alias("__gone")).distinct()
-    return table.join(gone, table["id"] == gone["__gone"], "left_anti"), dependent.join(gone, dependent[column] == gone["__gone"], "left_anti")
+    return without(table, ids), without(dependent, ids, column)
 
 
 def delete_nodes(ids: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, members: DataFrame | None = None, documents: DataFrame | None = None, communities: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables without the nodes of ids (id): edges, chunks and memberships go with them, documents and communities lose the link."""
-    gone = ids.select(F.col("id").alias("__gone")).distinct()
-    drop = lambda df, c: df.join(gone, df[c] == gone["__gone"], "left_anti")
-    unlink = lambda df: df.join(gone, df["node_id"] == gone["__gone"], "left").withColumn("node_id", F.when(F.col("__gone").isNull(), F.col("node_id"))).drop("__gone")
-    out = {"nodes": drop(nodes, "id"), "edges": drop(drop(edges, "src"), "dst"), "chunks": drop(chunks, "node_id")}
+    out = {"nodes": without(nodes, ids), "edges": without(without(edges, ids, "src"), ids, "dst"), "chunks": without(chunks, ids, "node_id")}
     if members is not None:
-        out["members"] = drop(members, "node_id")
+        out["members"] = without(members, ids, "node_id")
     if documents is not None:
-        out["documents"] = unlink(documents)
+        out["documents"] = unlinked(documents, ids)
     if communities is not None:
-        out["communities"] = unlink(communities)
+        out["communities"] = unlinked(communities, ids)
     return out

@@ -15,7 +15,7 @@ NODES = f"id string, type string, name string, description string, aliases array
 EDGES = "id string, src string, dst string, type string, chunk_id string, description string, props string, created_at timestamp"
 CHUNKS = f"id string, node_id string, kind string, ord int, text string, embedding array<float>, props string, {_STAMPS}"
 DOCUMENTS = f"id string, title string, text string, source_uri string, status string, node_id string, error string, props string, {_STAMPS}"
-JOBS = f"id string, document_id string, stage string, status string, entities bigint, mentions bigint, relationships bigint, description_chunks bigint, error string, {_STAMPS}"
+JOBS = f"id string, document_id string, stage string, status string, chunks bigint, extractions bigint, entities bigint, mentions bigint, relationships bigint, description_chunks bigint, communities bigint, error string, {_STAMPS}"
 COMMUNITIES = f"id string, label string, summary string, node_id string, member_count int, props string, {_STAMPS}"
 MEMBERS = "community_id string, node_id string"
 

@@ -638,6 +638,8 @@ def _atlas_reply(system: str, user: str) -> str:
     """What a model finds in a sentence on a nation or a region."""
     if system != ingest.EXTRACT_SYSTEM:
         return f"a summary of {len(user)} characters"
+    if user.endswith(" is unreadable"):
+        return "no json"
     name, lies, region = user.partition(" lies in ")
     if lies:
         entities = [{"name": name, "type": "Nation", "description": f"in {region}"}, {"name": region, "type": "region", "description": "a region"}]
@@ -650,7 +652,8 @@ _ATLAS: dict[tuple[str, str], Engine] = {}
 
 
 def _atlas(spark, sf_dir) -> Engine:
-    """An engine that has ingested a document on each nation, then one on each region; once for each application and folder."""
+    """An engine that has ingested a document on each nation, then two on each region, one of which the model cannot read;
+    once for each application and folder."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _ATLAS or not there(spark, _ATLAS[key].store.path):
         config = EngineConfig(dim=16)
@@ -658,7 +661,8 @@ def _atlas(spark, sf_dir) -> Engine:
         regions = table(spark, sf_dir, "region")
         nations = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
         engine.ingest(nations.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("title"), F.concat_ws(" ", "n_name", F.lit("lies in"), "r_name").alias("text")))
-        engine.ingest(regions.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.concat(F.lit(" About "), "r_name").alias("title"), F.concat_ws(" ", F.lower("r_name"), F.lit("spans the globe")).alias("text")))
+        about = lambda letter, what: regions.select(F.concat(F.lit(letter), F.col("r_regionkey").cast("string")).alias("id"), F.concat(F.lit(" About "), "r_name").alias("title"), F.concat_ws(" ", F.lower("r_name"), F.lit(what)).alias("text"))
+        engine.ingest(about("r", "spans the globe").unionByName(about("b", "is unreadable")))
         _ATLAS[key] = engine
     return _ATLAS[key]
 
@@ -686,15 +690,61 @@ def ingest_edges(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT count(*) AS n, count(DISTINCT n_regionkey) AS r FROM nation JOIN region ON r_regionkey = n_regionkey), m AS (SELECT count(*) AS r FROM region)
-SELECT concat('n', CAST(n_nationkey AS string)) AS document_id, 'ready' AS document, 'ready' AS stage, 'completed' AS job, 2 * n AS entities, 2 * n AS mentions, n AS relationships, n + r AS description_chunks FROM nation, n
-UNION ALL SELECT concat('r', CAST(r_regionkey AS string)), 'ready', 'ready', 'completed', m.r, m.r, 0, m.r - n.r FROM region, m, n""",
+    """WITH d AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY md5(concat('document', chr(31), 'n', CAST(n_nationkey AS string)))) AS place FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT concat('n', CAST(n_nationkey AS string)) AS document_id, 'ready' AS document, 'ready' AS stage, 'completed' AS job, NULL AS error, 1 AS chunks, 1 AS extractions, 2 AS entities, 2 AS mentions, 1 AS relationships, CASE WHEN place = 1 THEN 2 ELSE 1 END AS description_chunks FROM d
+UNION ALL SELECT concat('r', CAST(r_regionkey AS string)), 'ready', 'ready', 'completed', NULL, 1, 1, 1, 1, 0, CASE WHEN r_regionkey IN (SELECT n_regionkey FROM d) THEN 0 ELSE 1 END FROM region
+UNION ALL SELECT concat('b', CAST(r_regionkey AS string)), 'failed', 'extracting', 'failed', 'extraction reply is invalid', 1, NULL, NULL, NULL, NULL, NULL FROM region""",
     graph_ctes=False,
 )
 def job_states(spark, sf_dir):
+    """Each job with its own document's progress; documents that the model cannot read fail alone."""
     store = _atlas(spark, sf_dir).store
     documents = store.read("documents").select(F.col("id").alias("document_id"), F.col("status").alias("document"))
-    return store.read("jobs").join(documents, "document_id").select("document_id", "document", "stage", F.col("status").alias("job"), "entities", "mentions", "relationships", "description_chunks")
+    return store.read("jobs").join(documents, "document_id").select("document_id", "document", "stage", F.col("status").alias("job"), "error", *ingest.PROGRESS)
+
+
+@query(
+    """SELECT concat('n', CAST(n_nationkey AS string)) AS document_id, 0 AS ord, concat(n_name, ' lies in ', r_name) AS text FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT concat('r', CAST(r_regionkey AS string)), 0, concat(lower(r_name), ' spans the globe') FROM region""",
+    graph_ctes=False,
+)
+def ingest_chunks(spark, sf_dir):
+    """The chunks that an ingest leaves, by document; failed documents have none."""
+    store = _atlas(spark, sf_dir).store
+    nodes = store.read("documents").select(F.col("id").alias("document_id"), "node_id")
+    return store.read("chunks").where("kind = 'document_chunk' AND embedding IS NOT NULL").join(nodes, "node_id").select("document_id", F.col("ord").cast("int").alias("ord"), "text")
+
+
+_CUSTOMERS = "SELECT concat('c', CAST(c_custkey AS string)) AS id, c_name AS name, c_mktsegment AS segment, c_nationkey AS nation FROM customer"
+
+
+def _customers(spark, sf_dir, store: Store) -> None:
+    c = table(spark, sf_dir, "customer")
+    store.write(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")), "customers")
+
+
+@query(
+    f"""WITH c AS ({_CUSTOMERS}), lo AS (SELECT min(nation) AS a, max(nation) AS b FROM c)
+SELECT id, CASE WHEN nation = a THEN concat('Old ', name) ELSE name END AS name, CASE WHEN nation = a THEN 'moved' ELSE segment END AS segment, nation FROM c, lo WHERE nation <> b
+UNION ALL SELECT concat('new ', id), name, 'added', nation FROM c, lo WHERE nation = a""",
+    graph_ctes=False,
+)
+def store_upserts(spark, sf_dir):
+    """An update, an insert and a delete of a bucketed table, each a commit that rewrites only the buckets it touches."""
+    store = Store(spark, f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/customers", buckets=16)
+    _customers(spark, sf_dir, store)
+    c = store.read("customers")
+    ends = c.agg(F.min("nation").alias("a"), F.max("nation").alias("b")).collect()[0]
+    first = c.where(F.col("nation") == ends["a"])
+    for rows, by in (
+        (first.select("id", F.concat(F.lit("Old "), "name").alias("name"), F.lit("moved").alias("segment")), lambda rows: lambda old: tables.update(old, rows)),
+        (first.select(F.concat(F.lit("new "), "id").alias("id"), "name", F.lit("added").alias("segment"), "nation"), lambda rows: lambda old: old.unionByName(rows)),
+        (c.where(F.col("nation") == ends["b"]).select("id"), lambda rows: lambda old: tables.without(old, rows)),
+    ):
+        t = store.begin()
+        t.change("customers", rows, by(rows))
+        t.commit()
+    return store.read("customers")
 
 
 @query(

@@ -96,15 +96,34 @@ def embed_texts(client: EmbeddingClient, texts: Sequence[str], config: EngineCon
     return out
 
 
-def with_embeddings(df: DataFrame, client: EmbeddingClient, config: EngineConfig, text: str = "text", output: str = "embedding") -> DataFrame:
-    """df with the embedding of a text column. Workers call the provider, Arrow batch by Arrow batch."""
+def with_embeddings(df: DataFrame, client: EmbeddingClient, config: EngineConfig, text: str = "text", output: str = "embedding", strict: bool = True) -> DataFrame:
+    """df with the embedding of a text column. Workers call the provider, Arrow batch by Arrow batch. Without strict, a text
+    that cannot be embedded has an error in `{output}_error` instead: where a batch fails, its texts are tried one by one."""
     ship(df.sparkSession)
-    df = df.drop(output)
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
+    df = df.drop(output, f"{output}_error")
+    errors = [] if strict else [T.StructField(f"{output}_error", T.StringType())]
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.FloatType())), *errors])
+
+    def one(value: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return embed_texts(client, [value], config)[0], None
+        except (Upstream, EmbeddingDimension) as e:
+            return None, str(e)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(**{output: embed_texts(client, pdf[text].fillna("").tolist(), config)})
+            texts = pdf[text].fillna("").tolist()
+            if strict:
+                yield pdf.assign(**{output: embed_texts(client, texts, config)})
+                continue
+            got: list[tuple[list[float] | None, str | None]] = []
+            for i in range(0, len(texts), config.embedding_batch_size):
+                part = texts[i : i + config.embedding_batch_size]
+                try:
+                    got += [(v, None) for v in embed_texts(client, part, config)]
+                except (Upstream, EmbeddingDimension):
+                    got += [one(t) for t in part]
+            yield pdf.assign(**{output: [v for v, _ in got], f"{output}_error": [e for _, e in got]})
 
     return df.mapInPandas(run, schema)
 

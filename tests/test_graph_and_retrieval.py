@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphfold.config import EngineConfig
 from graphfold.engine import Engine
-from graphfold.errors import NotFound
+from graphfold.errors import Conflict, NotFound
 from graphfold.functions.text import contains_props
 from graphfold.operators import community, extraction, graph, ingest, qa, resolution, retrieval, topk
 from graphfold.operators.components import connected_components
@@ -210,7 +210,7 @@ def test_engine_ingests_and_reindexes(spark, tmp_path):
     engine = Engine(spark, Store(spark, str(tmp_path / "g")), embedder, model, EngineConfig(dim=16))
     docs = spark.createDataFrame([("1", " One ", "First text.\n\nSecond."), ("2", "Two", "Another text about Acme.")], "id string, title string, text string")
     made = engine.ingest(docs)
-    assert made.progress == {"entities": 6, "mentions": 6, "relationships": 2, "description_chunks": 1}
+    assert made.progress == {"chunks": 2, "extractions": 2, "entities": 6, "mentions": 6, "relationships": 2, "description_chunks": 1}
     g = engine.graph()
     assert g.nodes.where("type = 'document'").count() == 2 and g.nodes.where("type = 'community'").count() == 1
     assert g.nodes.where("created_at is null or updated_at is null").count() == 0 and g.chunks.where("embedding is null or created_at is null").count() == 0
@@ -220,13 +220,15 @@ def test_engine_ingests_and_reindexes(spark, tmp_path):
     assert engine.store.read("members").count() == 3
     state = lambda: [tuple(r) for r in engine.store.read("documents").select("id", "status", "error").orderBy("id").collect()]
     jobs = lambda: sorted(tuple(r) for r in engine.store.read("jobs").select("document_id", "stage", "status", "entities", "description_chunks").collect())
-    assert state() == [("1", "ready", None), ("2", "ready", None)] and jobs() == [("1", "ready", "completed", 6, 1), ("2", "ready", "completed", 6, 1)]
+    assert state() == [("1", "ready", None), ("2", "ready", None)]
+    # each job has its own document's progress; what both give counts for the first
+    assert [j[:4] for j in jobs()] == [("1", "ready", "completed", 3), ("2", "ready", "completed", 3)] and sorted(j[4] for j in jobs()) == [0, 1]
     before = {t: engine.store.read(t).count() for t in ("nodes", "edges", "chunks")}
     engine.reindex(docs.select("id"))
     assert {t: engine.store.read(t).count() for t in before} == before and len(jobs()) == 4
     # a later document that mentions the same entities adds to them
     later = engine.ingest(spark.createDataFrame([("3", "Three", "The second text.")], docs.schema))
-    assert later.progress == {"entities": 3, "mentions": 3, "relationships": 0, "description_chunks": 0}
+    assert later.progress == {"chunks": 1, "extractions": 1, "entities": 3, "mentions": 3, "relationships": 0, "description_chunks": 0}
     acme = engine.graph().nodes.where("name = 'Acme'").collect()
     assert len(acme) == 1 and acme[0]["description"] == "a firm\na large firm" and acme[0]["aliases"] == ["Acme"]
     assert {r["text"] for r in engine.graph().chunks.where("kind = 'entity_description'").collect()} == {"a firm\na large firm"}
@@ -237,6 +239,11 @@ def test_engine_ingests_and_reindexes(spark, tmp_path):
         engine.ingest(spark.createDataFrame([("4", "Four", "broken")], docs.schema))
     assert state()[3][1] == "failed" and "invalid" in state()[3][2] and ("4", "extracting", "failed", None, None) in jobs()
     assert engine.graph().nodes.where("type = 'document'").count() == 3
+    # among others, it fails alone
+    mixed = engine.ingest(spark.createDataFrame([("5", "Five", "broken"), ("6", "Six", "A sixth text.")], docs.schema))
+    assert [tuple(r) for r in mixed.failed.collect()] == [("5", "extraction reply is invalid")] and mixed.progress["entities"] == 3
+    assert [s[:2] for s in state()[4:]] == [("5", "failed"), ("6", "ready")] and ("6", "ready", "completed", 3, 0) in jobs() and ("5", "extracting", "failed", None, None) in jobs()
+    engine.delete("documents", spark.createDataFrame([("4",), ("5",), ("6",)], "id string"))
     acme = acme[0]["id"]
     assert engine.neighbors(acme, "out").nodes.count() == 2
     found = engine.store.read("communities").collect()[0]["id"]
@@ -279,13 +286,71 @@ def test_seeds_look_at_the_name(spark):
     assert seeds("LNF") == {"2": (1.0, "exact")} and seeds("the council") == {"1": (0.95, "alias")} and seeds("cab") == {}
 
 
-def test_versions_are_claimed(spark, tmp_path):
+def letters(spark, ids):
+    return spark.createDataFrame([(i, "new") for i in ids], "id string, v string")
+
+
+def test_upserts_write_few_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=32)
+    store.write(spark.range(2000).select(F.col("id").cast("string").alias("id"), F.lit("old").alias("v")), "t")
+    before = store.manifest()["tables"]["t"]["files"]
+    assert len(before) == 32
+    rows = letters(spark, [str(i) for i in range(5)] + [f"x{i}" for i in range(5)])
+    t = store.begin()
+    t.change("t", rows, lambda old: ingest.upserted(old, rows))
+    assert t.commit() == 2
+    after = store.manifest()["tables"]["t"]["files"]
+    assert 0 < sum(after[b] != before[b] for b in before) <= 10
+    assert store.read("t").count() == 2005 and store.read("t").where("v = 'new'").count() == 10 and store.read("t", 1).where("v = 'new'").count() == 0
+    assert sorted(r["id"] for r in store.lookup("t", ["x1", "77", "none"]).collect()) == ["77", "x1"]
+    one = store.lookup("t", ["77"])
+    assert len({f.split("__bucket=")[1].split("/")[0] for f in one.inputFiles()}) == 1 and "EqualTo(id,77)" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stale_writers_conflict(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    df = spark.range(3)
-    assert store.write(df, "t").count() == 3
-    (tmp_path / "s" / "t" / "_claims" / "v2").touch()  # another writer has taken the next number
-    store.write(df.limit(1), "t")
-    assert store.read("t").count() == 1 and store._versions("t") == [1, 3]
+    store.write(letters(spark, ["a"]), "t")
+    one, two, other = (store.begin() for _ in range(3))
+    add = lambda i: lambda old: old.unionByName(letters(spark, [i]))
+    one.change("t", letters(spark, ["b"]), add("b"))
+    two.change("t", letters(spark, ["c"]), add("c"))
+    other.put("u", letters(spark, ["z"]))
+    assert one.commit() == 2
+    with pytest.raises(Conflict):
+        two.commit()
+    assert other.commit() == 3  # another table: it goes on top
+    assert sorted(r["id"] for r in store.read("t").collect()) == ["a", "b"] and store.read("u").count() == 1
+    # what no commit holds goes, once nobody may still be writing it
+    assert not store.vacuum() and len(store.vacuum(1, 0)) >= 1 and store.versions() == [3]
+    assert store.read("t").count() == 2
+    store.rebucket("t", 3)
+    assert store.manifest()["tables"]["t"]["buckets"] == 3 and store.read("t").count() == 2
+    with pytest.raises(NotFound):
+        store.read("nothing")
+
+
+def test_edges_are_kept_by_both_ends(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=16)
+    store.write(edges_of(spark, [(f"s{i % 50}", f"d{i}", "x") for i in range(400)]), "edges")
+    gone = spark.createDataFrame([("s1",)], "src string")
+    t = store.begin()
+    t.change("edges", gone.union(spark.createDataFrame([("new",)], "src string")), lambda old: old.where("src <> 's1'").unionByName(edges_of(spark, [("new", "d0", "y")])))
+    t.commit()
+    out, into = store.read("edges"), store.read("edges_in")
+    assert out.count() == into.count() == 393 and out.exceptAll(into).count() == 0
+    near = lambda name, *nodes: sorted(r["id"] for r in store.near(name, spark.createDataFrame([(n,) for n in nodes], "node string")).collect())
+    assert near("edges_in", "d0", "d1") == ["new|y|d0", "s0|x|d0"] and near("edges", "new", "s1") == ["new|y|d0"]
+
+
+def test_batches_are_submitted_once(spark, tmp_path):
+    engine = Engine(spark, Store(spark, str(tmp_path / "g")), HashEmbeddings(16), EchoLanguage(lambda s, u: '{"entities": [{"name": "Acme", "type": "org"}], "relationships": []}'), EngineConfig(dim=16))
+    docs = spark.createDataFrame([("1", "One", "Acme.")], "id string, title string, text string")
+    assert engine.ingest(docs, ("feed", 4)).progress["entities"] == 1
+    before = engine.store.versions()
+    assert engine.ingest(docs, ("feed", 4)) is None and engine.ingest(docs, ("feed", 3)) is None and engine.store.versions() == before
+    # a driver that was lost between submitting and the end: the batch comes again and runs what is left
+    engine.submit(docs, ("feed", 5))
+    assert engine.ingest(docs, ("feed", 5)).progress["mentions"] == 0 and engine.store.read("jobs").where("status = 'completed'").count() == 2
 
 
 def test_a_hop_reads_the_edges_once(spark, tmp_path):
@@ -328,7 +393,7 @@ def test_documents_arrive_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = ['{"id": "1", "title": "One", "text": "Acme."}', '{"id": "1", "title": "One", "text": "Acme."}', '{"id": "2", "title": "Two", "text": "More of Acme."}']
     (tmp_path / "in" / "a.json").write_text("\n".join(lines))
-    run = lambda: jobs.ingest_stream(jobs.documents_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), lambda df, batch: engine.ingest(df.select("id", "title", "text"))).awaitTermination(120)
+    run = lambda: jobs.ingest_stream(jobs.documents_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), lambda df, batch: engine.ingest(df.select("id", "title", "text"), ("documents", batch))).awaitTermination(120)
     assert run()
     assert engine.store.read("documents").where("status = 'ready'").count() == 2 and engine.graph().nodes.where("type = 'org'").count() == 1
     (tmp_path / "in" / "b.json").write_text('{"id": "3", "title": "Three", "text": "Acme again."}')
