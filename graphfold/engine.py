@@ -20,7 +20,7 @@ class Engine:
         self.spark, self.store, self.embedder, self.model, self.config = spark, store, embedder, model, config or EngineConfig()
 
     def graph(self) -> retrieval.Graph:
-        return retrieval.Graph(*(self.store.read(t) for t in ("nodes", "edges", "chunks")))
+        return retrieval.Graph(*(self.store.read(t) for t in ("nodes", "edges", "chunks")), self.store.near)
 
     def get(self, table: str, key: str):
         rows = tables.get(self.store.lookup(table, [key]) if KEYS.get(table, "id") == "id" else self.store.read(table), key).collect()
@@ -110,7 +110,7 @@ class Engine:
     def neighbors(self, node_id: str, direction: str = "both", edge_type: str | None = None, depth: int = 1) -> graph.Expansion:
         self.get("nodes", node_id)
         g = self.graph()
-        return graph.neighbors(g.nodes, g.edges, node_id, direction, edge_type, depth)
+        return graph.neighbors(g.nodes, g.walkable, node_id, direction, edge_type, depth)
 
     def search(self, query: str, **how) -> retrieval.Result:
         return retrieval.search(self.graph(), query, embed_texts(self.embedder, [query], self.config)[0], self.config, **how)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphfold.errors import Invalid
+
 #: White space as Unicode has it, with the four separators that Java's class leaves out.
 _WS = r"(?U)[\s\x1c-\x1f]+"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -27,6 +31,7 @@ THEMATIC = (
     "entire",
     "whole dataset",
 )
+#: What a token of a query is, and the form of a header.
 TOKEN = r"[a-z0-9][a-z0-9._-]{1,}"
 
 
@@ -53,16 +58,44 @@ def clean_type(c: Column) -> Column:
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("concept"))
 
 
-def contains_props(props: Column, wanted: dict[str, str | int | float | bool]) -> Column:
-    """Whether an object in JSON has all the wanted members, at its top level and with these values."""
-    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
-    value = F.try_parse_json(props)
-    out = F.lit(True)
-    for name, want in wanted.items():
-        member = F.try_variant_get(value, f"$.{name}", "variant")
-        typed = F.schema_of_variant(member).startswith("STRING") == F.lit(isinstance(want, str))
-        out = out & F.coalesce(typed & (F.try_variant_get(value, f"$.{name}", kinds[type(want)]) == F.lit(want)), F.lit(False))
-    return out
+def _member(name: str) -> str:
+    """The path of a member, whatever its name holds."""
+    if "'" in name and '"' in name:
+        raise Invalid(f"a member's name may hold one kind of quotes: {name}")
+    return f"$['{name}']" if "'" not in name else f'$["{name}"]'
+
+
+def _holds(value: Column, wanted) -> Column:
+    kind = F.schema_of_variant(value)
+    if wanted is None:
+        return F.is_variant_null(value)
+    if isinstance(wanted, dict):
+        out = kind.startswith("OBJECT")
+        for name, want in wanted.items():
+            out = out & F.coalesce(_holds(F.try_variant_get(value, _member(name), "variant"), want), F.lit(False))
+        return out
+    if isinstance(wanted, (list, tuple)):
+        items, out = F.try_variant_get(value, "$", "array<variant>"), kind.startswith("ARRAY")
+        holds = lambda want: lambda x: F.coalesce(_holds(x, want), F.lit(False))
+        for want in wanted:
+            out = out & F.coalesce(F.exists(items, holds(want)), F.lit(False))
+        return out
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
+    if isinstance(wanted, str):
+        return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
+    number = kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | kind.startswith("DECIMAL")
+    exact = F.try_variant_get(value, "$", "decimal(38,12)") == F.lit(Decimal(str(wanted))).cast("decimal(38,12)")
+    return number & F.coalesce(exact, F.try_variant_get(value, "$", "double") == F.lit(float(wanted)))
+
+
+def contains_props(props: Column, wanted: dict) -> Column:
+    """Whether an object in JSON contains the wanted one: its members, at any depth, with values of the same kind that are
+    equal. Numbers are equal by value, true is no number, and an array contains another if each of that one's items is
+    contained in one of its own. Nothing but what is wanted is compared; a text that is not JSON contains nothing."""
+    if not wanted:
+        return F.lit(True)
+    return F.coalesce(_holds(F.try_parse_json(props), wanted), F.lit(False))
 
 
 def tokens(c: Column) -> Column:

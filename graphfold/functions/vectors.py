@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def literal(vector: Sequence[float]) -> Column:
-    return F.lit([float(x) for x in vector])
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Null where either vector is zero."""
-    return F.try_divide(dot(a, b), F.nullif(norm(a) * norm(b), F.lit(0.0)))
-
-
 def fit_embedding(v: Column, dim: int) -> Column:
     """A vector of exactly dim stays as it is; a longer one is cut and scaled to length 1; a shorter one is an error."""
     head = F.slice(v, 1, dim)

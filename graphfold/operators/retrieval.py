@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from graphfold.config import EngineConfig
 from graphfold.errors import Invalid
 from graphfold.functions.text import excerpt, header_block, normalize_name, phrases, thematic
-from graphfold.operators.graph import Expansion, edge_filter, expand
-from graphfold.operators.topk import knn, scored
+from graphfold.operators.graph import Adjacency, Expansion, edge_filter, expand
+from graphfold.operators.topk import knn, scores
 from graphfold.plans.schemas import COMMUNITY_SUMMARY, ENTITY_DESCRIPTION, MENTIONS, SCAFFOLD
 
 MODES = ("auto", "local", "global", "hybrid")
@@ -21,11 +21,29 @@ HIT_COLUMNS = ("id", "node_id", "node_name", "node_type", "kind", "text", "score
 
 @dataclass
 class Graph:
-    """nodes (id, type, name, …), edges (id, src, dst, type, …) and chunks (id, node_id, kind, text, embedding)."""
+    """nodes (id, type, name, …), edges (id, src, dst, type, …) and chunks (id, node_id, kind, text, embedding). A stored
+    graph also has near(table, nodes), which reads the rows of some nodes (node) of nodes, edges, edges_in or chunks."""
 
     nodes: DataFrame
     edges: DataFrame
     chunks: DataFrame
+    near: Callable[[str, DataFrame], DataFrame] | None = None
+
+    @property
+    def walkable(self) -> DataFrame | Adjacency:
+        if self.near is None:
+            return self.edges
+        return Adjacency(self.edges, lambda nodes: self.near("edges", nodes), lambda nodes: self.near("edges_in", nodes))
+
+    def nodes_of(self, ids: DataFrame) -> DataFrame:
+        """The rows of ids (node), with the columns of ids."""
+        some = self.nodes if self.near is None else self.near("nodes", ids)
+        return some.join(ids.withColumnRenamed("node", "id"), "id")
+
+    def chunks_of(self, ids: DataFrame) -> DataFrame:
+        """The chunks of ids (node, …) with its columns; the embedding is not read."""
+        some = (self.chunks if self.near is None else self.near("chunks", ids)).drop("embedding")
+        return some.join(ids.withColumnRenamed("node", "node_id"), "node_id")
 
 
 @dataclass
@@ -59,23 +77,50 @@ def _best(hits: DataFrame) -> DataFrame:
     return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def nearest(g: Graph, query: Sequence[float], k: int, nodes: DataFrame | None = None, where: Column | None = None) -> tuple[DataFrame, list]:
+    """The k best chunks of existing nodes, as a local table (id, node_id, node_name, node_type, kind, text, score) and its
+    rows. nodes (id) limits their nodes, where is a condition on chunks.
+
+    Only ids, embeddings and what the condition reads is scanned, and no embedding is shuffled: nodes are looked up for
+    scores. Without a limit on nodes only k rows a task leave the scan; if their nodes are gone, more are asked for.
+    """
+    chunks = g.chunks if where is None else g.chunks.where(where)
+    slim = chunks.select("id", "node_id", "embedding")
+    n = k
+    while True:
+        if nodes is None:
+            best = knn(slim, query, n)
+        else:
+            best = scores(slim, query).join(nodes.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").orderBy(F.desc("score"), "id").limit(n)
+        rows = best.select("id", "node_id", "score").collect()  # n rows
+        ids, of = [r["id"] for r in rows], {r["node_id"] for r in rows}
+        named = {r["id"]: r for r in g.nodes.where(F.col("id").isin(*of)).select("id", "name", "type").collect()} if of else {}
+        kept = [r for r in rows if r["node_id"] in named][:k]
+        if len(kept) == k or len(rows) < n:
+            break
+        n *= 4
+    texts = {r["id"]: r for r in g.chunks.where(F.col("id").isin(*ids)).select("id", "kind", "text").collect()} if kept else {}
+    out = [(r["id"], r["node_id"], named[r["node_id"]]["name"], named[r["node_id"]]["type"], texts[r["id"]]["kind"], texts[r["id"]]["text"], r["score"]) for r in kept]
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    schema = f"id {kind(g.chunks, 'id')}, node_id {kind(g.chunks, 'node_id')}, node_name string, node_type string, kind string, text string, score double"
+    df = g.nodes.sparkSession.createDataFrame(out, schema)
+    return df, df.collect()
+
+
 def hybrid(g: Graph, query: Sequence[float], config: EngineConfig, top_k: int | None = None, node_types: Sequence[str] | None = None, hops: int | None = None, edge_types: Sequence[str] | None = None) -> Result:
     """The nearest chunks and all chunks of their nodes' surroundings, which score half the best seed's for each hop.
 
     node_types limits seeds and collected nodes but not the walk. The result is not cut to top_k.
     """
     k, hops = top_k or config.retrieval_top_k, config.expand_hops if hops is None else hops
-    typed = F.col("node_type").isin(*node_types) if node_types else None
     columns = ["id", "node_id", "node_name", "node_type", "kind", "text"]
-    found = _with_nodes(g.chunks, g.nodes)
-    seeds, rows = _few(knn(found, query, k, typed).select(*columns, "score"), k)
+    seeds, rows = nearest(g, query, k, g.nodes.where(F.col("type").isin(*node_types)) if node_types else None)
     base = max((r["score"] for r in rows), default=0.5)
-    walk = expand(edge_filter(g.edges, edge_types), seeds.select(F.col("node_id").alias("node")), hops)
-    reached = walk.nodes.where("hop > 0")
-    near = found.drop("embedding").join(reached.withColumnRenamed("node", "node_id"), "node_id")
-    near = near if typed is None else near.where(typed)
+    walk = expand(edge_filter(g.walkable, edge_types), seeds.select(F.col("node_id").alias("node")), hops)
+    near = _with_nodes(g.chunks_of(walk.nodes.where("hop > 0")), g.nodes)
+    near = near.where(F.col("node_type").isin(*node_types)) if node_types else near
     hits = seeds.withColumns({"hop": F.lit(0), "phase": F.lit(0)}).unionByName(near.select(*columns, (F.lit(float(base)) * F.pow(F.lit(0.5), F.col("hop"))).alias("score"), "hop", F.lit(0).alias("phase")))
-    nodes = g.nodes.join(walk.nodes.withColumnRenamed("node", "id"), "id")
+    nodes = g.nodes_of(walk.nodes)
     if node_types:
         nodes = nodes.where((F.col("hop") == 0) | F.col("type").isin(*node_types))
     return Result(ranked(hits), nodes, walk.edges, "hybrid")
@@ -102,8 +147,7 @@ def entity_seeds(g: Graph, query: str, vector: Sequence[float], config: EngineCo
     """(node_id, score, match): entities that the query names or whose description is near to it, best first."""
     k = top_k or config.local_entity_top_k
     threshold = config.auto_entity_score_threshold if threshold is None else threshold
-    described = _with_nodes(g.chunks.where(F.col("kind") == ENTITY_DESCRIPTION), g.nodes).where(~F.col("node_type").isin(*SCAFFOLD))
-    near = knn(described, vector, 2 * k).where(F.col("score") >= threshold).select("node_id", "score", F.lit("embedding").alias("match"))
+    near = nearest(g, vector, 2 * k, g.nodes.where(~F.col("type").isin(*SCAFFOLD)), F.col("kind") == ENTITY_DESCRIPTION)[0].where(F.col("score") >= threshold).select("node_id", "score", F.lit("embedding").alias("match"))
     both = seeds_by_name(g.nodes, query).withColumn("p", F.lit(0)).unionByName(near.withColumn("p", F.lit(1)))
     one = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("score"), "p"))
     return both.withColumn("r", one).where("r = 1").select("node_id", "score", "match").orderBy(F.desc("score"), "node_id").limit(k)
@@ -118,14 +162,15 @@ def local(g: Graph, query: str, vector: Sequence[float], config: EngineConfig, t
     base = max(r["score"] for r in rows)
     # mentions are not walked, but a request for nothing but mentions filters nothing
     wanted = [t for t in edge_types or () if t != MENTIONS]
-    walk = expand(edge_filter(g.edges, wanted, None if edge_types else [MENTIONS]), seeds.select(F.col("node_id").alias("node")), hops)
-    entities = g.nodes.where(~F.col("type").isin(*SCAFFOLD)).join(walk.nodes.withColumnRenamed("node", "id"), "id")
+    walk = expand(edge_filter(g.walkable, wanted, None if edge_types else [MENTIONS]), seeds.select(F.col("node_id").alias("node")), hops)
+    entities = g.nodes_of(walk.nodes).where(~F.col("type").isin(*SCAFFOLD))
     scored_nodes = entities.select(F.col("id").alias("node_id"), "hop").join(seeds.select("node_id", F.col("score").alias("own")), "node_id", "left")
     columns = ["id", "node_id", "node_name", "node_type", "kind", "text"]
     found = _with_nodes(g.chunks.drop("embedding"), g.nodes)
     boost = F.when(F.col("kind") == ENTITY_DESCRIPTION, 1.05).otherwise(1.0)
     first = found.join(scored_nodes, "node_id").select(*columns, (F.coalesce("own", F.lit(float(base))) * F.pow(F.lit(0.5), F.col("hop")) * boost).alias("score"), "hop", F.lit(0).alias("phase"))
-    evidence = g.edges.where(F.col("type") == MENTIONS).join(entities.select(F.col("id").alias("dst")), "dst", "left_semi")
+    into = g.edges if g.near is None else g.near("edges_in", walk.nodes)
+    evidence = into.where(F.col("type") == MENTIONS).join(entities.select(F.col("id").alias("dst")), "dst", "left_semi")
     sources = evidence.select(F.col("src").alias("id")).distinct()
     nodes = g.nodes.join(entities.select("id").union(sources).distinct(), "id", "left_semi")
     half = F.lit(float(base) * 0.5)
@@ -145,9 +190,11 @@ def local(g: Graph, query: str, vector: Sequence[float], config: EngineConfig, t
 def global_(g: Graph, vector: Sequence[float], config: EngineConfig, top_k: int | None = None) -> Result:
     """The nearest community summaries. Without any: hybrid."""
     k = top_k or config.global_map_top_k
-    found = _with_nodes(g.chunks, g.nodes)
-    best = knn(found, vector, k, (F.col("node_type") == "community") | (F.col("kind") == COMMUNITY_SUMMARY))
-    hits, rows = _few(best.select("id", "node_id", "node_name", "node_type", "kind", "text", "score", F.lit(0).alias("hop"), F.lit(0).alias("phase")), k)
+    # summaries by their kind and chunks of communities by their node: each list has its own best, and the best of both count
+    summaries, _ = nearest(g, vector, k, None, F.col("kind") == COMMUNITY_SUMMARY)
+    others, _ = nearest(g, vector, k, g.nodes.where(F.col("type") == "community"), F.coalesce(F.col("kind") != COMMUNITY_SUMMARY, F.lit(True)))
+    best = summaries.unionByName(others).orderBy(F.desc("score"), "id")
+    hits, rows = _few(best.withColumns({"hop": F.lit(0), "phase": F.lit(0)}), k)
     if not rows:
         return hybrid(g, vector, config, k)
     return Result(ranked(hits), g.nodes.join(hits.select(F.col("node_id").alias("id")), "id", "left_semi"), g.edges.limit(0), "global")
@@ -210,4 +257,4 @@ def confidence(hits: DataFrame, top_k: int) -> DataFrame:
     return first.agg(F.bround(0.65 * F.max("s") + 0.35 * F.avg("s"), 3).alias("confidence"))
 
 
-__all__ = ["Expansion", "Graph", "Result", "choose_mode", "confidence", "entity_seeds", "global_", "hybrid", "local", "pack_context", "packed", "resolve_mode", "scored", "search", "seeds_by_name", "sources"]
+__all__ = ["Expansion", "Graph", "Result", "choose_mode", "confidence", "entity_seeds", "global_", "hybrid", "local", "nearest", "pack_context", "packed", "resolve_mode", "search", "seeds_by_name", "sources"]

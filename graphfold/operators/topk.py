@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphfold.functions.vectors import cosine, literal
 from graphfold.plans.ship import ship
 
 #: Queries that one scan serves; more are served by further scans.
@@ -20,11 +19,6 @@ BLOCK = 1024
 CELLS = 1 << 21
 
 
-def scored(chunks: DataFrame, query: Sequence[float]) -> DataFrame:
-    """Chunks with an embedding and a direction, with their score; the embedding itself goes."""
-    return chunks.where(F.col("embedding").isNotNull()).withColumn("score", cosine(F.col("embedding"), literal(query))).where(F.col("score").isNotNull()).drop("embedding")
-
-
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length 1; those without a direction become NaN."""
     n = np.sqrt((rows * rows).sum(axis=1))
@@ -49,6 +43,23 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
+def scores(chunks: DataFrame, query: Sequence[float]) -> DataFrame:
+    """The columns of chunks but the embedding, with the cosine; rows without a direction go."""
+    ship(chunks.sparkSession)
+    q = _unit(np.array([query], np.float64))
+    kept = [f for f in chunks.schema.fields if f.name not in ("embedding", "score")]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = cosines(batch.column("embedding"), q)[:, 0]
+            at = pa.array(np.flatnonzero(~np.isnan(score)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in names), pa.array(score).take(at)], names=[*names, "score"])
+
+    rows = chunks.where(F.col("embedding").isNotNull()).select(*names, "embedding")
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+
+
 def knn(chunks: DataFrame, query: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
     """The k best chunks with their score, of equal scores those with smaller ids."""
     rows = chunks if where is None else chunks.where(where)

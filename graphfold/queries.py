@@ -19,7 +19,7 @@ from graphfold.plans.written import shared_dir, there
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings
 from graphfold.sources.fixture import CTES, query_vector, table
 from graphfold.sources.fixture import graph as fixture
-from graphfold.sources.store import Store, requests
+from graphfold.sources.store import Field, Store, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,14 +50,14 @@ COS = "list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.v)"
 
 @query(f"{Q0} SELECT c.id, round({COS}, 6) AS score FROM g_chunks c, q ORDER BY {COS} DESC, c.id LIMIT 8")
 def knn_topk(spark, sf_dir):
-    return knn(fixture(spark, sf_dir).chunks, query_vector(spark, sf_dir), 8).select("id", r6("score").alias("score"))
+    return knn(fixture(spark, sf_dir).chunks.select("id", "embedding"), query_vector(spark, sf_dir), 8).select("id", r6("score").alias("score"))
 
 
 @query(f"{Q0} SELECT c.id, n.type AS node_type, round({COS}, 6) AS score FROM g_chunks c JOIN g_nodes n ON n.id = c.node_id, q WHERE n.type = 'customer' ORDER BY {COS} DESC, c.id LIMIT 8")
 def knn_type_filter(spark, sf_dir):
     g = fixture(spark, sf_dir)
-    typed = g.chunks.join(g.nodes.select(F.col("id").alias("node_id"), F.col("type").alias("node_type")), "node_id")
-    return knn(typed, query_vector(spark, sf_dir), 8, F.col("node_type") == "customer").select("id", "node_type", r6("score").alias("score"))
+    hits, _ = retrieval.nearest(g, query_vector(spark, sf_dir), 8, g.nodes.where(F.col("type") == "customer"))
+    return hits.select("id", "node_type", r6("score").alias("score"))
 
 
 @query(
@@ -96,13 +96,32 @@ def node_list_ilike(spark, sf_dir):
     return tables.list_nodes(nodes, type="part", q="D%r_N", limit=20, offset=5).select("id", "name")
 
 
-@query("SELECT concat('p:', CAST(p_partkey AS string)) AS id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_size = 7 ORDER BY p_partkey % 10 DESC, id LIMIT 40", graph_ctes=False)
+@query(
+    """WITH b AS (SELECT min(p_brand) AS b FROM part), p AS (SELECT *, p_partkey % 4 AS k FROM part),
+w AS (SELECT 'brand and size' AS wanted, p_partkey FROM p, b WHERE p_brand = b AND p_size = 7 UNION ALL SELECT 'a number, not true', p_partkey FROM p WHERE k = 0
+UNION ALL SELECT 'true, not a number', p_partkey FROM p WHERE k = 1 UNION ALL SELECT 'nested', p_partkey FROM p WHERE p_size = 7 AND p_partkey % 2 = 0 UNION ALL SELECT 'items', p_partkey FROM p, b WHERE p_brand = b),
+r AS (SELECT wanted, concat('p:', CAST(p_partkey AS string)) AS id, row_number() OVER (PARTITION BY wanted ORDER BY p_partkey % 10 DESC, concat('p:', CAST(p_partkey AS string))) AS r FROM w)
+SELECT wanted, id FROM r WHERE r <= 40""",
+    graph_ctes=False,
+)
 def node_list_props(spark, sf_dir):
+    """Members by kind, at any depth: 1, true and "1" differ, 1 and 1.0 do not."""
     p = table(spark, sf_dir, "part")
     brand = p.agg(F.min("p_brand")).collect()[0][0]
-    props = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.array("p_name").alias("names")))
+    k = F.col("p_partkey") % 4
+    flag = F.when(k == 0, "1").when(k == 1, "true").when(k == 2, '"1"').otherwise("1.5")
+    deep = F.to_json(F.struct((F.col("p_partkey") % 2 == 0).alias("even"), F.col("p_size").alias("s.ize")))
+    props = F.concat(F.lit('{"brand": "'), "p_brand", F.lit('", "size": '), F.col("p_size").cast("string"), F.lit(', "flag": '), flag, F.lit(', "deep": '), deep, F.lit(', "items": ["x", {"of": "'), "p_brand", F.lit('", "n": 1}]}'))
     nodes = p.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), props.alias("props"), (F.col("p_partkey") % 10).alias("created_at"))
-    return tables.list_nodes(nodes, props={"brand": brand, "size": 7}, limit=40).select("id")
+    wanted = {
+        "brand and size": {"brand": brand, "size": 7.0}, "a number, not true": {"flag": 1}, "true, not a number": {"flag": True},
+        "nested": {"deep": {"even": True, "s.ize": 7}}, "items": {"items": [{"of": brand}, "x"]},
+    }
+    pages = [tables.list_nodes(nodes, props=w, limit=40).select(F.lit(name).alias("wanted"), "id") for name, w in wanted.items()]
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out
 
 
 @query("SELECT id, dst FROM g_edges WHERE type = 'supplies' AND src = 's:3' ORDER BY dst DESC, id LIMIT 100")
@@ -197,6 +216,20 @@ def bfs_hops(spark, sf_dir):
     return graph.bfs(edges, spark.createDataFrame([("r:0",)], "node string"), 3)
 
 
+@query(
+    f"""{ADJ}, s AS (SELECT conv_id AS query, concat('c:', CAST(1 + conv_id % (SELECT count(*) FROM customer) AS string)) AS node FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id < 50),
+h1 AS (SELECT DISTINCT query, b AS node FROM s JOIN adj ON a = node), h2 AS (SELECT DISTINCT query, b AS node FROM h1 JOIN adj ON a = node),
+w AS (SELECT query, node, 0 AS hop FROM s UNION ALL SELECT query, node, 1 FROM h1 UNION ALL SELECT query, node, 2 FROM h2)
+SELECT query, node, min(hop) AS hop FROM w GROUP BY query, node"""
+)
+def walks_for_queries(spark, sf_dir):
+    """Two hops around a customer for each of 50 conversations, in one pass over the edges a hop."""
+    c = table(spark, sf_dir, "conversations").where("conv_id < 50").select("conv_id").distinct()
+    n = table(spark, sf_dir, "customer").count()
+    seeds = c.select(F.col("conv_id").alias("query"), F.concat(F.lit("c:"), (F.lit(1) + F.col("conv_id") % n).cast("string")).alias("node"))
+    return graph.expand_many(fixture(spark, sf_dir).edges, seeds, 2)
+
+
 LOCATED = """located AS (SELECT id FROM g_nodes WHERE type IN ('customer', 'supplier', 'nation')),
 le AS (SELECT src AS a, dst AS b FROM g_edges WHERE type = 'located_in' UNION ALL SELECT dst, src FROM g_edges WHERE type = 'located_in'),
 reach AS (SELECT id AS start, id FROM g_nodes WHERE type = 'nation' UNION SELECT reach.start, le.b FROM reach JOIN le ON le.a = reach.id),
@@ -625,13 +658,22 @@ def resolve_existing(spark, sf_dir):
 
 
 @query(
-    """SELECT CASE WHEN c_custkey % 5 > 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN concat('bad ', c_name) END AS rejected FROM customer""",
+    """WITH c AS (SELECT c_custkey, c_name, c_custkey % 8 AS k FROM customer)
+SELECT CASE WHEN k IN (0, 7) THEN c_custkey END AS id, CASE WHEN k IN (0, 7) THEN c_name END AS name, CASE WHEN k = 7 THEN 3 END AS top_k,
+  CASE k WHEN 0 THEN '' WHEN 7 THEN '' WHEN 1 THEN 'the body is not an object' WHEN 2 THEN 'id is not a long' WHEN 3 THEN 'name is not a string' WHEN 4 THEN 'id is not a long|name is missing'
+    WHEN 5 THEN 'name is out of range|top_k is out of range' WHEN 6 THEN 'the body is not an object' END AS reasons,
+  CASE k WHEN 1 THEN concat('bad ', c_name) WHEN 2 THEN concat('{"id": "', CAST(c_custkey AS string), '", "name": "x"}') WHEN 3 THEN concat('{"id": ', CAST(c_custkey AS string), ', "name": 7}') WHEN 4 THEN '{"id": 1.5, "name": null}'
+    WHEN 5 THEN concat('{"id": ', CAST(c_custkey AS string), ', "name": "", "top_k": 101}') WHEN 6 THEN 'null' END AS rejected FROM c""",
     graph_ctes=False,
 )
 def requests_checked(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    lines = c.select(F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("bad "), "c_name")).otherwise(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))).alias("value"))
-    return requests(spark, lines, "id long, name string")
+    """Bodies that fit, and bodies that are no JSON, no object, or have members that are missing, of another kind or out of range."""
+    key, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 8
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    line = F.when(k == 0, said('{"id": ', key, ', "name": "', F.col("c_name"), '", "other": [1]}')).when(k == 1, said("bad ", F.col("c_name"))).when(k == 2, said('{"id": "', key, '", "name": "x"}'))
+    line = line.when(k == 3, said('{"id": ', key, ', "name": 7}')).when(k == 4, '{"id": 1.5, "name": null}').when(k == 5, said('{"id": ', key, ', "name": "", "top_k": 101}')).when(k == 7, said('{"id": ', key, ', "name": "', F.col("c_name"), '", "top_k": 3}'))
+    got = requests(table(spark, sf_dir, "customer").select(line.alias("value")), [Field("id", "long"), Field("name", least=1, most=200), Field("top_k", "long", True, 1, 100)])
+    return got.withColumns({"reasons": F.array_join("reasons", "|"), "top_k": F.col("top_k").cast("int")})
 
 
 def _atlas_reply(system: str, user: str) -> str:

@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,8 +263,45 @@ def jdbc(spark: SparkSession, url: str, name: str, partition_column: str | None
     return r.load()
 
 
-def requests(spark: SparkSession, lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Request bodies in JSON, checked against a schema; a body that does not fit is kept in `rejected`."""
-    body = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
-    out = lines.withColumn("body", body)
-    return out.select("body.*", F.when(F.col("body").isNull() | (F.to_json("body") == "{}"), F.col(column)).alias("rejected"))
+@dataclass(frozen=True)
+class Field:
+    """A member of a request: its type (string, long, double, boolean or array<string>), whether it may be missing or null,
+    and the least and largest value, or length of a string or array."""
+
+    name: str
+    type: str = "string"
+    optional: bool = False
+    least: float | None = None
+    most: float | None = None
+
+
+#: The kinds of JSON values that a type takes.
+_KINDS = {"string": ("STRING",), "long": ("BIGINT", "INT", "SMALLINT", "TINYINT"), "double": ("BIGINT", "INT", "SMALLINT", "TINYINT", "FLOAT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array<string>": ("ARRAY",)}
+
+
+def requests(lines: DataFrame, fields: Sequence[Field], column: str = "value") -> DataFrame:
+    """Request bodies in JSON, a row for each line: the fields; `reasons`, what is wrong, in the order of fields; and
+    `rejected`, the line, if anything is. The fields of a rejected line are null, and a line is rejected as a whole where
+    it is not an object. A number is no text and a text no number; members that no field names are ignored."""
+    body = F.try_parse_json(column)
+    none, text = F.lit(None).cast("string"), F.lit
+    values, reasons = [], []
+    for f in fields:
+        member = F.try_variant_get(body, f"$['{f.name}']", "variant")
+        value = F.try_variant_get(member, "$", f.type)
+        fits = F.array_contains(F.lit(list(_KINDS[f.type])), F.regexp_extract(F.schema_of_variant(member), "^[A-Z]+", 0)) & value.isNotNull()
+        if f.type == "array<string>":
+            items = F.try_variant_get(member, "$", "array<variant>")
+            fits = fits & F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")
+        size = value if f.type in ("long", "double") else F.length(value) if f.type == "string" else F.size(value)
+        low = size < F.lit(f.least) if f.least is not None else F.lit(False)
+        high = size > F.lit(f.most) if f.most is not None else F.lit(False)
+        missing = member.isNull() | F.is_variant_null(member)
+        wrong = F.when(missing, none if f.optional else text(f"{f.name} is missing")).when(~F.coalesce(fits, F.lit(False)), text(f"{f.name} is not a {f.type}"))
+        reasons.append(wrong.when(low | high, text(f"{f.name} is out of range")) if f.type != "boolean" else wrong)
+        values.append(value.alias(f.name))
+    object_ = F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
+    why = F.when(~object_, F.array(text("the body is not an object"))).otherwise(F.filter(F.array(*reasons), lambda r: r.isNotNull()))
+    out = lines.withColumn("__why", why)
+    good = F.size("__why") == 0
+    return out.select(*(F.when(good, v).alias(f.name) for v, f in zip(values, fields, strict=True)), F.col("__why").alias("reasons"), F.when(~good, F.coalesce(F.col(column), text("null"))).alias("rejected"))
