@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphfold.functions.text import normalize_name, normalize_type
 from graphfold.plans.schemas import ENTITY_DESCRIPTION, MENTIONS
+from graphfold.plans.ship import ship
 
 
 def stable_id(*parts: Column) -> Column:
@@ -19,44 +24,98 @@ def merge_aliases(ordered: Column) -> Column:
     return F.array_distinct(ordered)
 
 
-def merge_descriptions(ordered: Column) -> Column:
-    """Joined by line ends; one that the text so far contains is left out."""
-
-    def add(acc: Column, d: Column) -> Column:
-        return F.when(F.coalesce(d, F.lit("")) == "", acc).when(acc == "", d).when(F.contains(acc, d), acc).otherwise(F.concat(acc, F.lit("\n"), d))
-
-    return F.aggregate(ordered, F.lit(""), add)
+#: Bytes of text from which on a filter of its runs answers most questions for what it does not hold, and its slots.
+LONG, SLOTS = 1 << 16, 1 << 24
+
+
+class Folded:
+    """Descriptions joined by line ends; one that the text so far contains is left out. Most of what a long text does not
+    contain is told by a filter of its runs of eight bytes, in time of the description; the rest is searched for."""
+
+    def __init__(self) -> None:
+        self.text, self.runs = bytearray(), None
+
+    @staticmethod
+    def _slots(text: bytes) -> np.ndarray:
+        runs = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)
+        words = np.ascontiguousarray(runs).view("<u8").ravel()
+        return ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SLOTS
+
+    def add(self, description: str | None) -> None:
+        d = (description or "").encode()
+        if not d:
+            return
+        if self.text:
+            new = self.runs is not None and len(d) >= 8 and not self.runs[self._slots(d)].all()
+            if not new and d in self.text:
+                return
+            self.text += b"\n"
+        before = len(self.text)
+        self.text += d
+        if self.runs is None and len(self.text) >= LONG:
+            self.runs, before = np.zeros(SLOTS, bool), 8
+        if self.runs is not None:
+            self.runs[self._slots(bytes(self.text[max(0, before - 8) :]))] = True
+
+
+def fold_descriptions(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(…keys, description): each key's descriptions, which come sorted and are not held, only the text that they make."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text = None, Folded()
+        for batch in batches:
+            done: list[tuple] = []
+            for *key, d in zip(*(batch.column(c).to_pylist() for c in (*keys, "description")), strict=True):
+                if key != now:
+                    if now is not None:
+                        done.append((*now, text.text.decode()))
+                    now, text = key, Folded()
+                text.add(d)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], names=[*keys, "description"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in (*now, text.text.decode())], names=[*keys, "description"])
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*(F.col(k).cast("string").alias(k) for k in keys), "description")
+    return ordered.mapInArrow(run, ", ".join(f"{k} string" for k in (*keys, "description")))
 
 
 def resolve(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Nodes from mentions (doc_id, ord, item, name, type, description): one for each normalised type and name.
 
     The first spelling names the node, aliases and descriptions are folded in the
-    order (doc_id, ord, item); described_by is the first document with a description. A node of existing (id, type, name, normalized_name,
-    aliases, description) with that type and name, or else normalised name, keeps
-    its id and name, and its folds come first.
+    order (doc_id, ord, item); described_by is the first document with a description. A node of existing (id, type, name,
+    normalized_name, aliases, description) with that type and name, or else normalised name, keeps its id and name, and
+    its folds come first.
     """
-    keyed = mentions.withColumns({"type_key": normalize_type(F.col("type")), "name_key": normalize_name(F.col("name"))}).where(F.col("name_key") != "")
-    # equal spellings with equal descriptions count once, at their first place, before the ordered lists are built
-    first = keyed.groupBy("type_key", "name_key", "name", F.coalesce("description", F.lit("")).alias("description")).agg(F.min(F.struct("doc_id", "ord", "item")).alias("at"))
-    described = F.min_by("at.doc_id", F.when(F.col("description") != "", F.col("at"))).alias("described_by")
-    nodes = first.groupBy("type_key", "name_key").agg(F.array_sort(F.collect_list(F.struct("at", "name", "description"))).alias("m"), described)
-    nodes = nodes.select("type_key", "name_key", "described_by", F.transform("m", lambda x: x["name"]).alias("names"), F.transform("m", lambda x: x["description"]).alias("descriptions"))
+    key = ["type_key", "name_key"]
+    keyed = mentions.withColumns({"type_key": normalize_type(F.col("type")), "name_key": normalize_name(F.col("name")), "description": F.coalesce("description", F.lit(""))}).where(F.col("name_key") != "")
+    # equal spellings with equal descriptions count once, at their first place, before anything is ordered
+    first = keyed.groupBy(*key, "name", "description").agg(F.min(F.struct("doc_id", "ord", "item")).alias("at"))
+    spelt = first.groupBy(*key, "name").agg(F.min("at").alias("at")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("m"))  # distinct spellings
+    nodes = spelt.select(*key, F.transform("m", lambda x: x["name"]).alias("names"))
+    told = first.where(F.col("description") != "").groupBy(*key, "description").agg(F.min("at").alias("at"))
+    described = told.groupBy(*key).agg(F.min("at")["doc_id"].alias("described_by"))
+    rows = told.select(*key, F.lit(1).alias("p"), "at", "description")
+    fold = lambda rows: fold_descriptions(rows, key, ["p", "at"])
+    text = F.coalesce("description", F.lit("")).alias("description")
     if existing is None:
-        return nodes.select(
+        j = nodes.join(described, key, "left").join(fold(rows), key, "left")
+        return j.select(
             stable_id(F.col("type_key"), F.col("name_key")).alias("id"), F.col("type_key").alias("type"), F.element_at("names", 1).alias("name"),
-            merge_descriptions(F.col("descriptions")).alias("description"), merge_aliases(F.col("names")).alias("aliases"), F.col("name_key").alias("normalized_name"), F.lit(True).alias("created"), "described_by",
+            text, merge_aliases(F.col("names")).alias("aliases"), F.col("name_key").alias("normalized_name"), F.lit(True).alias("created"), "described_by",
         )
     old = existing.select("id", "type", "name", "normalized_name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("description", F.lit("")).alias("description"))
     by_name = old.select(F.col("type").alias("type_key"), F.lower(F.trim("name")).alias("name_key"), F.struct(F.lit(0).alias("p"), "id", "name", "aliases", "description").alias("o"))
     by_key = old.select(F.col("type").alias("type_key"), F.col("normalized_name").alias("name_key"), F.struct(F.lit(1).alias("p"), "id", "name", "aliases", "description").alias("o"))
-    found = by_name.unionByName(by_key).groupBy("type_key", "name_key").agg(F.min("o").alias("o"))
-    j = nodes.join(found, ["type_key", "name_key"], "left")
+    found = by_name.unionByName(by_key).join(nodes.select(*key), key, "left_semi").groupBy(*key).agg(F.min("o").alias("o"))
+    held = found.select(*key, F.lit(0).alias("p"), F.lit(None).cast(rows.schema["at"].dataType).alias("at"), F.col("o.description").alias("description"))
+    j = nodes.join(found, key, "left").join(described, key, "left").join(fold(held.unionByName(rows)), key, "left")
     has = F.col("o").isNotNull()
     return j.select(
         F.coalesce("o.id", stable_id(F.col("type_key"), F.col("name_key"))).alias("id"), F.col("type_key").alias("type"), F.coalesce("o.name", F.element_at("names", 1)).alias("name"),
-        merge_descriptions(F.when(has, F.concat(F.array("o.description"), F.col("descriptions"))).otherwise(F.col("descriptions"))).alias("description"),
-        merge_aliases(F.when(has, F.concat("o.aliases", "names")).otherwise(F.col("names"))).alias("aliases"), F.col("name_key").alias("normalized_name"), (~has).alias("created"), "described_by",
+        text, merge_aliases(F.when(has, F.concat("o.aliases", "names")).otherwise(F.col("names"))).alias("aliases"), F.col("name_key").alias("normalized_name"), (~has).alias("created"), "described_by",
     )
 
 

@@ -393,6 +393,23 @@ def seeds_by_name(spark, sf_dir):
     return retrieval.seeds_by_name(fixture(spark, sf_dir).nodes, NAMED)
 
 
+@query(
+    """u AS (SELECT concat(conv_id, ':', turn) AS query_id, lower(trim(regexp_replace(concat(text, ' on customer#', lpad(CAST(conv_id AS string), 9, '0'), 'x, Works ', turn, ' and land ', conv_id % 30), '\\s+', ' ', 'g'))) AS q FROM conversations),
+t AS (SELECT query_id, q, regexp_extract_all(q, '[a-z0-9][a-z0-9._-]{1,}') AS t FROM u),
+ph AS (SELECT query_id, q AS p FROM t UNION SELECT query_id, unnest(t) FROM t UNION SELECT query_id, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: concat(t[i], ' ', t[i + 1]))) FROM t),
+en AS (SELECT id, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS own, coalesce(lower(trim(nullif(normalized_name, ''))), lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))) AS stored, list_transform(aliases, lambda a: lower(trim(a))) AS aliases FROM g_nodes WHERE type NOT IN ('document', 'community')),
+m AS (SELECT query_id, id, 1.0 AS s FROM ph JOIN en ON p = own UNION ALL SELECT query_id, id, 1.0 FROM ph JOIN en ON p = stored
+UNION ALL SELECT query_id, id, 0.95 FROM ph JOIN (SELECT id, unnest(aliases) AS a FROM en) ON p = a UNION ALL SELECT query_id, id, 0.9 FROM u JOIN en ON length(own) >= 3 AND contains(q, own))
+SELECT query_id, id AS node_id, CAST(max(s) AS DOUBLE) AS score, CASE WHEN max(s) = 0.95 THEN 'alias' ELSE 'exact' END AS "match" FROM m GROUP BY query_id, id"""
+)
+def seeds_for_queries(spark, sf_dir):
+    """The entities that each turn of the conversations names."""
+    c = table(spark, sf_dir, "conversations")
+    number = F.lpad(F.col("conv_id").cast("string"), 9, "0")
+    text = F.concat("text", F.lit(" on customer#"), number, F.lit("x, Works "), F.col("turn").cast("string"), F.lit(" and land "), (F.col("conv_id") % 30).cast("string"))
+    return retrieval.seeds_for_queries(fixture(spark, sf_dir).nodes, c.select(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("query_id"), text.alias("text")))
+
+
 @query(
     """WITH s AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
 w AS (SELECT doc_id, text, n, unnest(generate_series(0, greatest(0, CAST(ceil((n - 1200) / 1000.0) AS BIGINT)))) AS ord FROM s)

@@ -10,7 +10,7 @@ from graphfold.functions.text import contains_props
 from graphfold.operators import community, extraction, graph, ingest, qa, resolution, retrieval, topk
 from graphfold.operators.components import connected_components
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings
-from graphfold.sources.store import Store
+from graphfold.sources.store import Field, Store, jdbc, requests
 from graphfold.streaming import jobs
 
 
@@ -286,6 +286,85 @@ def test_seeds_look_at_the_name(spark):
     assert seeds("LNF") == {"2": (1.0, "exact")} and seeds("the council") == {"1": (0.95, "alias")} and seeds("cab") == {}
 
 
+def test_seeds_of_many_queries_are_those_of_each(spark):
+    rows = [("1", "org", "NYC Council", ["The Council"], "new york city council"), ("2", "org", "Long Name Of A Firm", [], "lnf"), ("3", "org", "ab", [], None), ("4", "document", "lnf", [], None), ("5", "org", "lnf", None, ""), ("6", "org", None, [], None), ("7", "org", "Firm", ["lnf"], None)]
+    nodes = spark.createDataFrame(rows, "id string, type string, name string, aliases array<string>, normalized_name string")
+    texts = ["who runs the new york city council today", "about the long name of a firm here", "LNF", "the council", "cab", "", None, "  ", "firm firm"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    got = {tuple(r) for r in retrieval.seeds_for_queries(nodes, queries).collect()}
+    assert got == {(i, *r) for i, t in enumerate(texts) if t is not None for r in map(tuple, retrieval.seeds_by_name(nodes, t).collect())}
+    plan = retrieval.seeds_for_queries(nodes, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_descriptions_fold_in_order(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "LONG", 64)
+    rng = random.Random(3)
+    told = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 14))) + rng.choice(["", "é", "\n"]) for _ in range(400)]
+    folded, want = resolution.Folded(), ""
+    for d in told:
+        folded.add(d)
+        want = want if not d or d in want else f"{want}\n{d}" if want else d
+    assert folded.text.decode() == want and folded.runs is not None
+    # very many descriptions of one entity: none are held but the text they make
+    rows = spark.range(100_000).select(F.lit("d").alias("doc_id"), F.lit(0).alias("ord"), F.col("id").alias("item"), F.lit("Acme").alias("name"), F.lit("org").alias("type"), F.concat(F.lit("a firm seen as number "), (F.col("id") % 60_000).cast("string"), F.lit(".")).alias("description"))
+    lines = resolution.resolve(rows).collect()[0]["description"].split("\n")
+    assert lines == [f"a firm seen as number {i}." for i in range(60_000)]
+
+
+def test_hops_of_a_stored_graph_read_few_edges(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=32)
+    store.write(edges_of(spark, [(f"n{i}", f"n{i + 1}", "x") for i in range(600)]), "edges")
+    near = graph.Adjacency(store.read("edges"), lambda n: store.near("edges", n), lambda n: store.near("edges_in", n))
+    seed = spark.createDataFrame([("n300",), ("n301",)], "node string")
+    touched = graph.incident(near, seed)
+    assert sorted(r["id"] for r in touched.collect()) == ["n299|x|n300", "n300|x|n301", "n301|x|n302"]
+    assert len(touched.inputFiles()) <= 4 < len(store.read("edges").inputFiles())
+    for direction in graph.DIRECTIONS:
+        a, b = (graph.expand(e, seed, 3, direction) for e in (near, store.read("edges")))
+        assert hops(a.nodes) == hops(b.nodes) and {r["id"] for r in a.edges.collect()} == {r["id"] for r in b.edges.collect()}
+    many = graph.expand_many(store.read("edges"), spark.createDataFrame([(1, "n300"), (2, "n0"), (2, "n1")], "query int, node string"), 3).collect()
+    for q, seeds in ((1, ["n300"]), (2, ["n0", "n1"])):
+        assert {r["node"]: r["hop"] for r in many if r["query"] == q} == hops(graph.bfs(store.read("edges"), spark.createDataFrame([(n,) for n in seeds], "node string"), 3))
+
+
+def test_top_k_shuffles_no_embeddings(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i}", "org" if i % 2 else "person", f"N{i}") for i in range(20)], "id string, type string, name string")
+    chunks = spark.createDataFrame([(f"c{i:02d}", f"n{i}", "document_chunk", f"text {i}", [1.0, i / 10]) for i in range(24)], "id string, node_id string, kind string, text string, embedding array<float>")
+    g = retrieval.Graph(nodes, spark.createDataFrame([], "id string, src string, dst string, type string"), chunks)
+    # the nodes of c20 to c23 are gone
+    assert [r["id"] for r in retrieval.nearest(g, [0.0, 1.0], 3)[1]] == ["c19", "c18", "c17"]
+    assert [r["id"] for r in retrieval.nearest(g, [0.0, 1.0], 3, nodes.where("type = 'person'"))[1]] == ["c18", "c16", "c14"]
+    assert len(retrieval.nearest(g, [0.0, 1.0], 50)[1]) == 20 and retrieval.nearest(g, [0.0, 1.0], 3, nodes.where("false"))[1] == []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = topk.scores(chunks.select("id", "node_id", "embedding"), [0.0, 1.0]).join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and all("embedding" not in line for line in plan.splitlines() if "Exchange" in line)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_database_tables_are_read_in_ranges(spark):
+    url = "jdbc:derby:memory:graphfold;create=true"
+    rows = spark.range(100).select(F.col("id").cast("int").alias("K"), F.concat(F.lit("v"), "id").alias("V"))
+    rows.write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    got = jdbc(spark, url, "T", "K", (0, 100, 4), driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and sorted(got.collect()) == sorted(rows.collect())
+
+
+def test_requests_are_checked_field_by_field(spark):
+    fields = [Field("id", "long", least=1, most=9), Field("name"), Field("score", "double", True), Field("tags", "array<string>", True, 1, 2), Field("on", "boolean", True)]
+    lines = ['{"id": 3, "name": "x", "score": 1, "tags": ["a"], "on": false}', '{"id": "3", "name": 7}', '{"id": 30, "name": "", "tags": [], "on": 1}', '{"name": null, "tags": ["a", 1], "score": "1"}', "[1]", None, "", '{"id": true, "name": "x", "score": null}']
+    got = requests(spark.createDataFrame([(x,) for x in lines], "value string"), fields).collect()
+    assert tuple(got[0]) == (3, "x", 1.0, ["a"], False, [], None)
+    assert [r["reasons"] for r in got[1:]] == [
+        ["id is not a long", "name is not a string"], ["id is out of range", "tags is out of range", "on is not a boolean"], ["id is missing", "name is missing", "score is not a double", "tags is not a array<string>"],
+        ["the body is not an object"], ["the body is not an object"], ["the body is not an object"], ["id is not a long"],
+    ]
+    assert all(r["rejected"] is not None and r["id"] is None for r in got[1:])
+
+
 def letters(spark, ids):
     return spark.createDataFrame([(i, "new") for i in ids], "id string, v string")
 
@@ -406,3 +485,7 @@ def test_props_are_matched_by_type(spark):
     df = spark.createDataFrame(rows, "i int, props string")
     has = lambda wanted: [r["i"] for r in df.where(contains_props(F.col("props"), wanted)).orderBy("i").collect()]
     assert has({"a": "x"}) == [1, 3] and has({"n": 2}) == [1, 2] and has({"a": "x", "n": 2}) == [1] and has({"b": True}) == [1] and has({}) == [1, 2, 3, 4, 5, 6]
+    assert has({"b": 1}) == [] and has({"a": ["x"]}) == [6] and has({"a": []}) == [6] and has({"n": 2.0}) == [1, 2] and has({"z": None}) == []
+    deep = spark.createDataFrame([(1, '{"a": {"b.c": [1, {"d": null, "e": 1.5}]}}'), (2, '{"a": {"b.c": [1.5]}}'), (3, '{"a": 1}'), (4, '{"a": true, "it\'s": 1}')], "i int, props string")
+    has = lambda wanted: [r["i"] for r in deep.where(contains_props(F.col("props"), wanted)).orderBy("i").collect()]
+    assert has({"a": {"b.c": [{"e": 1.5}]}}) == [1] and has({"a": {"b.c": [{"d": None}, 1]}}) == [1] and has({"a": {"b.c": [1.5]}}) == [2] and has({"a": 1}) == [3] and has({"a": True}) == [4] and has({"it's": 1}) == [4] and has({"a": {}}) == [1, 2]
