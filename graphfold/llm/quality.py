@@ -262,9 +262,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "perp
     kept = [c for c in docs.columns if c not in (output, "n_scored", text)]
     docs = docs.select(*kept, F.col(text).cast("string").alias("text"))
     unseen = model.unseen
-    # as many shares as full batches, so that a share does not grow with the input
+    # as many shares as full batches, so that a share does not grow with the input, and no fewer than a shuffle has
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    packed, shares = _packed(docs), max(1, -(-size // BATCH_BYTES))
+    packed, shares = _packed(docs), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BATCH_BYTES))
     none = F.lit(None).cast("float")
     mark = docs.sparkSession.range(MARK, MARK + 1, numPartitions=1).select(F.col("id").alias("gram"), none.alias("logp"), none.alias("back"))
     answers = materialize(_asked(packed).join(model.grams.unionByName(mark).hint("merge"), "gram"), "quality_answers")
