@@ -37,7 +37,7 @@ from graphfold.plans.ship import ship
 
 LEAST, LONGEST, COVERED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Words after which a shard is full; a document is not divided.
-SHARD = 3_000_000
+SHARD = 1_500_000
 #: Frequent words or phrases of a level that are broadcast at most.
 SMALL = 400_000
 
@@ -183,6 +183,7 @@ def _extend(level: int, shared):
             n, key = np.diff(start, append=len(key)), key[start]
             found = [labels[key // len(names)], names[key % len(names)], n] if len(key) else found
         shard = lists.column("shard")[0].as_py() if lists.num_rows else 0
+        pa.default_memory_pool().release_unused()
         return pa.table({"shard": pa.array(np.full(len(found[0]), shard, np.int64)), "a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "n": pa.array(found[2], pa.int64())})
 
     return run
