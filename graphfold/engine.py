@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphfold.config import EngineConfig
 from graphfold.errors import EngineError, NotFound
 from graphfold.operators import community, graph, ingest, qa, retrieval, tables
+from graphfold.operators.index import VectorIndex
 from graphfold.plans.written import discard, materialize
 from graphfold.sources.clients import EmbeddingClient, LanguageClient, embed_texts, with_completions, with_embeddings
 from graphfold.sources.store import KEYS, Store
@@ -18,9 +19,15 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: Store, embedder: EmbeddingClient, model: LanguageClient, config: EngineConfig | None = None):
         self.spark, self.store, self.embedder, self.model, self.config = spark, store, embedder, model, config or EngineConfig()
+        self.index: VectorIndex | None = None
 
     def graph(self) -> retrieval.Graph:
-        return retrieval.Graph(*(self.store.read(t) for t in ("nodes", "edges", "chunks")), self.store.near)
+        return retrieval.Graph(*(self.store.read(t) for t in ("nodes", "edges", "chunks")), self.store.near, self.index)
+
+    def build_index(self, breadth: int = 64, cells: int | None = None) -> VectorIndex:
+        """Indexes all chunks; searches read the `breadth` nearest cells from now on, and chunks that come later in full."""
+        self.index = VectorIndex.build(self.store.read("chunks"), f"{self.store.path}/_index", cells, breadth)
+        return self.index
 
     def get(self, table: str, key: str):
         rows = tables.get(self.store.lookup(table, [key]) if KEYS.get(table, "id") == "id" else self.store.read(table), key).collect()

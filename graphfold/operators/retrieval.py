@@ -12,6 +12,7 @@ from graphfold.config import EngineConfig
 from graphfold.errors import Invalid
 from graphfold.functions.text import excerpt, header_block, normalize_name, phrases, thematic
 from graphfold.operators.graph import Adjacency, Expansion, edge_filter, expand
+from graphfold.operators.index import VectorIndex
 from graphfold.operators.topk import knn, scores
 from graphfold.plans.schemas import COMMUNITY_SUMMARY, ENTITY_DESCRIPTION, MENTIONS, SCAFFOLD
 from graphfold.plans.written import materialize
@@ -23,12 +24,14 @@ HIT_COLUMNS = ("id", "node_id", "node_name", "node_type", "kind", "text", "score
 @dataclass
 class Graph:
     """nodes (id, type, name, …), edges (id, src, dst, type, …) and chunks (id, node_id, kind, text, embedding). A stored
-    graph also has near(table, nodes), which reads the rows of some nodes (node) of nodes, edges, edges_in or chunks."""
+    graph also has near(table, nodes), which reads the rows of some nodes (node) of nodes, edges, edges_in or chunks. With an
+    index, the nearest chunks are looked for in its nearest cells; without one, which is the default, in all chunks."""
 
     nodes: DataFrame
     edges: DataFrame
     chunks: DataFrame
     near: Callable[[str, DataFrame], DataFrame] | None = None
+    index: VectorIndex | None = None
 
     @property
     def walkable(self) -> DataFrame | Adjacency:
@@ -85,7 +88,8 @@ def nearest(g: Graph, query: Sequence[float], k: int, nodes: DataFrame | None =
     Only ids, embeddings and what the condition reads is scanned, and no embedding is shuffled: nodes are looked up for
     scores. Without a limit on nodes only k rows a task leave the scan; if their nodes are gone, more are asked for.
     """
-    chunks = g.chunks if where is None else g.chunks.where(where)
+    chunks = g.chunks if g.index is None else g.index.near(query, g.chunks)
+    chunks = chunks if where is None else chunks.where(where)
     slim = chunks.select("id", "node_id", "embedding")
     n = k
     while True:
@@ -96,11 +100,11 @@ def nearest(g: Graph, query: Sequence[float], k: int, nodes: DataFrame | None =
         rows = best.select("id", "node_id", "score").collect()  # n rows
         ids, of = [r["id"] for r in rows], {r["node_id"] for r in rows}
         named = {r["id"]: r for r in g.nodes.where(F.col("id").isin(*of)).select("id", "name", "type").collect()} if of else {}
-        kept = [r for r in rows if r["node_id"] in named][:k]
+        texts = {r["id"]: r for r in g.chunks.where(F.col("id").isin(*ids)).select("id", "kind", "text").collect()} if ids else {}
+        kept = [r for r in rows if r["node_id"] in named and r["id"] in texts][:k]
         if len(kept) == k or len(rows) < n:
             break
         n *= 4
-    texts = {r["id"]: r for r in g.chunks.where(F.col("id").isin(*ids)).select("id", "kind", "text").collect()} if kept else {}
     out = [(r["id"], r["node_id"], named[r["node_id"]]["name"], named[r["node_id"]]["type"], texts[r["id"]]["kind"], texts[r["id"]]["text"], r["score"]) for r in kept]
     kind = lambda t, c: t.schema[c].dataType.simpleString()
     schema = f"id {kind(g.chunks, 'id')}, node_id {kind(g.chunks, 'node_id')}, node_name string, node_type string, kind string, text string, score double"
@@ -260,6 +264,23 @@ def search(g: Graph, query: str, vector: Sequence[float], config: EngineConfig,
     return replace(hybrid(g, vector, config, top_k, node_types, hops, edge_types), mode=mode)
 
 
+@dataclass
+class Response:
+    """What a caller sees of a search: hits without embeddings, the subgraph, and the mode that was used."""
+
+    hits: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    mode_used: str
+
+
+def response(found: Result) -> Response:
+    hits = found.hits.select(F.col("id").alias("chunk_id"), "node_id", "node_name", "node_type", "text", "score", "hop")
+    hidden = ("hop", "normalized_name", "embedding")
+    visible = lambda df: df.select(*(c for c in df.columns if c not in hidden))
+    return Response(hits, visible(found.nodes), visible(found.edges), found.mode)
+
+
 #: Characters of a header without names, type, id or text.
 LEAST_BLOCK = len("[node:||chunk:]\n")
 

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from graphfold.plans.ship import ship
 
-#: Queries that one scan serves; more are served by further scans.
-BLOCK = 1024
+#: Queries that a task multiplies at once, and that one scan serves, block after block; more are served by further scans.
+BLOCK, SERVED = 1024, 65_536
 #: Products that are held at once.
 CELLS = 1 << 21
 
@@ -84,42 +84,45 @@ def knn(chunks: DataFrame, query: Sequence[float], k: int, where: Column | None
 
 
 def knn_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, query_id, score, rank): the k best chunks for each row of queries (query_id, vector), which are sent to every
-    task in blocks of about BLOCK; each task keeps k rows a query, and ties, before anything is shuffled."""
-    ship(chunks.sparkSession)
+    """(id, query_id, score, rank): the k best chunks for each row of queries (query_id, vector). Up to SERVED of them are
+    broadcast and share one scan; each task keeps k rows a query, and ties, before anything is shuffled."""
+    spark = ship(chunks.sparkSession)
     rows = chunks.where(F.col("embedding").isNotNull()).select("id", "embedding")
     of_query = queries.schema["query_id"]
     schema = T.StructType([chunks.schema["id"], of_query, T.StructField("score", T.DoubleType())])
-    blocks, found = max(1, -(-queries.count() // BLOCK)), None
+    scans, found = max(1, -(-queries.count() // SERVED)), None
 
-    def nearest(ids: pa.Array, vectors: np.ndarray):
+    def nearest(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, CELLS // max(1, len(vectors)))
+            ids, vectors = shared.value
+            step = max(1, CELLS // max(1, min(BLOCK, len(vectors))))
             held: list[tuple[np.ndarray, pa.Array]] = [(np.zeros(0), None)] * len(vectors)
             for whole in batches:
                 for lo in range(0, whole.num_rows, step):
                     batch = whole.slice(lo, step)
-                    score = cosines(batch.column("embedding"), vectors)
-                    for j in range(len(vectors)):
-                        at = _best(score[:, j], k)
-                        s, x = held[j]
-                        s, x = np.concatenate([s, score[at, j]]), batch.column("id").take(pa.array(at)) if x is None else pa.concat_arrays([x, batch.column("id").take(pa.array(at))])
-                        at = _best(s, k)
-                        held[j] = s[at], x.take(pa.array(at))
+                    for first in range(0, len(vectors), BLOCK):
+                        score = cosines(batch.column("embedding"), vectors[first : first + BLOCK])
+                        for j in range(score.shape[1]):
+                            at = _best(score[:, j], k)
+                            s, x = held[first + j]
+                            new = batch.column("id").take(pa.array(at))
+                            s, x = np.concatenate([s, score[at, j]]), new if x is None else pa.concat_arrays([x, new])
+                            at = _best(s, k)
+                            held[first + j] = s[at], x.take(pa.array(at))
             for j, (s, x) in enumerate(held):
                 if len(s):
                     yield pa.RecordBatch.from_arrays([x, ids.take(pa.array([j] * len(s))), pa.array(s)], names=["id", "query_id", "score"])
 
         return run
 
-    for b in range(blocks):
-        some = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().combine_chunks()
+    for b in range(scans):
+        some = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(scans)) == b)).toArrow().combine_chunks()
         if not some.num_rows:
             continue
         vectors = _unit(np.array(some.column("vector").to_pylist(), np.float64))
-        part = rows.mapInArrow(nearest(some.column("query_id").chunk(0), vectors), schema)
+        part = rows.mapInArrow(nearest(spark.sparkContext.broadcast((some.column("query_id").chunk(0), vectors))), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = chunks.sparkSession.createDataFrame([], schema)
+        found = spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

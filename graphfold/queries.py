@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphfold.config import EngineConfig
+from graphfold.errors import Upstream
 from graphfold.functions import text as X
 from graphfold.functions import vectors as V
 from graphfold.engine import Engine
@@ -584,6 +585,54 @@ def qa_confidence(spark, sf_dir):
     return retrieval.confidence(r.hits, CONFIG.retrieval_top_k)
 
 
+QUESTIONS = {1: ASKED, 2: "an overview of the corpus", 3: "what is new"}
+
+
+@query(
+    f"""{Q0}, en AS (SELECT id, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS nn FROM g_nodes WHERE type NOT IN ('document', 'community')),
+near AS (SELECT coalesce(max({COS}), 0) >= 0.55 AS strong FROM g_chunks c JOIN en ON en.id = c.node_id, q WHERE c.kind = 'entity_description'),
+named AS (SELECT count(*) > 0 AS strong FROM en WHERE nn IN {_SAID}), k AS (SELECT count(*) > 0 AS communities FROM g_nodes WHERE type = 'community'),
+t(question, thematic) AS (VALUES (1, false), (2, true), (3, false)), s AS (SELECT question, thematic, near.strong OR (question = 1 AND named.strong) AS strong, communities FROM t, near, named, k)
+SELECT question, CASE WHEN strong AND NOT thematic THEN 'local' WHEN communities AND (thematic OR NOT strong) THEN 'global' ELSE 'hybrid' END AS mode FROM s"""
+)
+def mode_resolved(spark, sf_dir):
+    """The mode that the graph gives each of three questions."""
+    g, v, modes = fixture(spark, sf_dir), query_vector(spark, sf_dir), []
+    for i, question in QUESTIONS.items():
+        modes.append((i, retrieval.resolve_mode(g, question, v, CONFIG)))
+    return spark.createDataFrame(modes, "question int, mode string")
+
+
+@query(f"{LOCAL} SELECT 'local' AS mode, lb.id AS chunk_id, node_id, n.name AS node_name, n.type AS node_type, md5(c.text) AS text_md5, round(score, 6) AS score, hop FROM lb JOIN g_nodes n ON n.id = lb.node_id JOIN g_chunks c USING (id) WHERE r = 1 ORDER BY lb.score DESC, phase, hop, lb.id LIMIT 20".replace("n.id = lb.node_id JOIN g_chunks c USING (id)", "n.id = lb.node_id JOIN (SELECT id AS cid, text FROM g_chunks) AS c ON c.cid = lb.id"))
+def search_auto(spark, sf_dir):
+    """A search in automatic mode, as its caller sees it."""
+    found = retrieval.response(retrieval.search(fixture(spark, sf_dir), ASKED, query_vector(spark, sf_dir), LOW, "auto", 20))
+    return found.hits.select(F.lit(found.mode_used).alias("mode"), "chunk_id", "node_id", "node_name", "node_type", F.md5("text").alias("text_md5"), r6("score").alias("score"), "hop")
+
+
+def _refuses(system: str, user: str) -> str:
+    raise Upstream("no model today")
+
+
+@query(
+    f"""{HYBRID}, top AS (SELECT greatest(0.0, least(1.0, score)) AS s FROM hits ORDER BY score DESC, hop, id LIMIT 8), sure AS (SELECT round(0.65 * max(s) + 0.35 * avg(s), 3) AS confidence, count(*) AS n FROM top),
+blocks AS (SELECT row_number() OVER (ORDER BY h.score DESC, h.hop, h.id) AS rank, concat('[node:', n.name, '|', n.type, '|chunk:', h.id, ']', chr(10), c.text) AS block FROM hits h JOIN g_nodes n ON n.id = h.node_id JOIN g_chunks c ON c.id = h.id),
+cum AS (SELECT *, sum(length(block)) OVER (ORDER BY rank) AS total FROM blocks), ctx AS (SELECT string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM cum WHERE total <= 4 * 4000 OR rank = 1)
+SELECT 'answered' AS what, concat('answer:', length(concat('Context:', chr(10), context, chr(10), chr(10), 'Question: why', chr(10), chr(10), 'Answer:'))) AS answer, 'hybrid' AS mode, confidence, NULL AS error, n AS sources FROM ctx, sure
+UNION ALL SELECT 'no model', '{qa.NO_GENERATION}', 'hybrid', confidence, 'no model today', n FROM sure
+UNION ALL SELECT 'no hits', '{qa.NO_CONTEXT}', 'hybrid', NULL, NULL, 0"""
+)
+def qa_answers(spark, sf_dir):
+    """An answer, one without a model and one without hits."""
+    g, v = fixture(spark, sf_dir), query_vector(spark, sf_dir)
+    cases = (("answered", EchoLanguage(), None), ("no model", EchoLanguage(_refuses), None), ("no hits", EchoLanguage(_refuses), ["nothing"]))
+    rows = []
+    for what, model, types in cases:
+        a = qa.ask(g, "why", v, model, CONFIG, "hybrid", 8, hops=2, node_types=types)
+        rows.append((what, a.answer, a.mode, a.confidence, a.error, len(a.sources)))
+    return spark.createDataFrame(rows, "what string, answer string, mode string, confidence double, error string, sources long")
+
+
 def _map_reply(system: str, user: str) -> str:
     return " no_info " if len(user) % 3 == 0 else f" {user.splitlines()[0].upper()} in {len(user)} characters"
 

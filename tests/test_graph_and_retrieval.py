@@ -1,15 +1,22 @@
+import json
 import random
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphfold.config import EngineConfig
 from graphfold.engine import Engine
-from graphfold.errors import Conflict, NotFound
+from graphfold.errors import Conflict, NotFound, Upstream
 from graphfold.functions.text import contains_props
 from graphfold.operators import community, extraction, graph, ingest, qa, resolution, retrieval, topk
 from graphfold.operators.components import connected_components
-from graphfold.sources.clients import EchoLanguage, HashEmbeddings
+from graphfold.operators.index import VectorIndex
+from graphfold.sources.clients import EchoLanguage, HashEmbeddings, with_completions, with_embeddings
+from graphfold.sources.http import HttpEmbeddings, HttpLanguage
 from graphfold.sources.store import Field, Store, jdbc, requests
 from graphfold.streaming import jobs
 
@@ -365,6 +372,96 @@ def test_requests_are_checked_field_by_field(spark):
     assert all(r["rejected"] is not None and r["id"] is None for r in got[1:])
 
 
+@pytest.fixture
+def provider():
+    """A server on this machine that replies out of order, and refuses the first request of each text once."""
+    seen = []
+
+    class Reply(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            again = body in [b for _, b, _ in seen]
+            seen.append((self.path, body, (self.client_address, self.headers["Authorization"])))
+            status, said = 200, {}
+            if self.path.endswith("/embeddings"):
+                texts = body["input"]
+                status = 503 if "busy" in texts and not again else 400 if "bad" in texts else 200
+                said = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(texts)))]}
+                if "short" in texts:
+                    said["data"].pop()
+            else:
+                user = body["messages"][1]["content"]
+                said = {"choices": [{"message": {"content": None if user == "nothing" else user.upper()}}]} if user != "none" else {"choices": []}
+            out = json.dumps(said).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(out)))
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Reply)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1/", seen
+    server.shutdown()
+
+
+def test_providers_over_http(spark, provider):
+    base, seen = provider
+    embedder, model = HttpEmbeddings(base, "m", "secret"), HttpLanguage(base, "m", per_second=200)
+    config = EngineConfig(dim=2, embedding_batch_size=3, retry_base=0.01)
+    assert embedder.embed(["a", "bbb", "cc"]) == [[1.0, 1.0], [3.0, 1.0], [2.0, 1.0]] and embedder.embed([]) == []
+    assert seen[0][0] == "/v1/embeddings" and seen[0][2][1] == "Bearer secret"
+    embedder.embed(["d"])
+    assert seen[0][2][0] == seen[1][2][0]  # the connection stays open
+    with pytest.raises(Upstream):
+        embedder.embed(["short", "x"])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "busy", "four", "bad", "x"])], "i int, text string").coalesce(1)
+    got = {r["text"]: r for r in with_embeddings(df, embedder, config, strict=False).collect()}
+    assert got["busy"]["embedding"] == [4.0, 1.0] and got["x"]["embedding"] == [1.0, 1.0] and got["x"]["embedding_error"] is None
+    assert got["bad"]["embedding"] is None and "400" in got["bad"]["embedding_error"]
+    said = {r["prompt"]: (r["reply"], r["reply_error"]) for r in with_completions(spark.createDataFrame([("hi",), ("nothing",), ("none",)], "prompt string"), model, config, "s", concurrency=2).collect()}
+    assert said["hi"] == ("HI", None) and said["nothing"] == ("", None) and said["none"][0] is None and "choices" in said["none"][1]
+    assert [b["temperature"] for p, b, _ in seen if p.endswith("completions")] == [0.0] * 3
+    slow = HttpLanguage(base, "m", per_second=20)
+    began = time.monotonic()
+    assert [slow.complete("s", str(i)) for i in range(5)] == list("01234") and time.monotonic() - began >= 0.19
+    with pytest.raises(ConnectionError):
+        HttpLanguage("http://127.0.0.1:9", "m", timeout=2).complete("s", "u")
+
+
+def test_index_finds_most_of_the_nearest(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    rows = [(f"c{i:04d}", f"n{i % 50}", "document_chunk", (centres[i % 40] + rng.normal(scale=0.3, size=16)).tolist()) for i in range(4000)]
+    rows += [("zero", "n0", "document_chunk", [0.0] * 16), ("short", "n0", "document_chunk", [1.0]), ("none", "n0", "document_chunk", None)]
+    chunks = spark.createDataFrame([(*r[:3], "text", r[3]) for r in rows], "id string, node_id string, kind string, text string, embedding array<float>")
+    index = VectorIndex.build(chunks, str(tmp_path / "i"), cells=64)
+    assert index.held.sum() == 4000
+    probes = spark.createDataFrame([(i, rows[7 * i][3]) for i in range(60)], "query_id int, vector array<double>")
+    assert index.calibrate(probes, 10, 0.95) < 32
+    hit = total = 0
+    for i in range(1000, 1010):
+        q = rows[i][3]
+        exact = {r["id"] for r in topk.knn(chunks, q, 10).collect()}
+        near = index.near(q)
+        hit, total = hit + len(exact & {r["id"] for r in topk.knn(near, q, 10).collect()}), total + 10
+        assert index.share(q) < 0.5
+    assert hit >= 0.9 * total
+    assert " IN (" in index.near(rows[0][3])._jdf.queryExecution().executedPlan().toString()  # among partitions
+    # a search through it, with all cells: as without
+    nodes = spark.createDataFrame([(f"n{i}", "org", f"N{i}") for i in range(50)], "id string, type string, name string")
+    g = retrieval.Graph(nodes, edges_of(spark, [("n0", "n1", "x")]), chunks)
+    index.breadth = 64
+    best = [[r["id"] for r in retrieval.nearest(x, rows[5][3], 7)[1]] for x in (g, retrieval.Graph(g.nodes, g.edges, g.chunks, index=index))]
+    assert best[0] == best[1]
+    late = chunks.withColumn("updated_at", F.when(F.col("id") == "c0005", F.current_timestamp()).otherwise(F.lit("2000-01-01").cast("timestamp")))
+    assert sum(r["id"] == "c0005" for r in index.near(rows[5][3], late).collect()) == 1
+
+
 def letters(spark, ids):
     return spark.createDataFrame([(i, "new") for i in ids], "id string, v string")
 
