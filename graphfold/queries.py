@@ -18,7 +18,7 @@ from graphfold.operators import chunking, community, extraction, graph, ingest,
 from graphfold.operators.topk import knn, knn_batch
 from graphfold.plans.written import shared_dir, there
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings
-from graphfold.sources.fixture import CTES, query_vector, table
+from graphfold.sources.fixture import CTES, query_vector, table, written_at
 from graphfold.sources.fixture import graph as fixture
 from graphfold.sources.store import Field, Store, requests
 
@@ -756,13 +756,13 @@ def _atlas_reply(system: str, user: str) -> str:
     return "```json\n" + json.dumps({"entities": [{"name": name, "type": "Region", "description": "spans the globe"}], "relationships": []}) + "\n```"
 
 
-_ATLAS: dict[tuple[str, str], Engine] = {}
+_ATLAS: dict[tuple, Engine] = {}
 
 
 def _atlas(spark, sf_dir) -> Engine:
     """An engine that has ingested a document on each nation, then two on each region, one of which the model cannot read;
     once for each application and folder."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir, written_at(spark, sf_dir)
     if key not in _ATLAS or not there(spark, _ATLAS[key].store.path):
         config = EngineConfig(dim=16)
         engine = Engine(spark, Store(spark, f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/atlas"), HashEmbeddings(16), EchoLanguage(_atlas_reply), config)
@@ -823,6 +823,33 @@ def ingest_chunks(spark, sf_dir):
     return store.read("chunks").where("kind = 'document_chunk' AND embedding IS NOT NULL").join(nodes, "node_id").select("document_id", F.col("ord").cast("int").alias("ord"), "text")
 
 
+@query(
+    """WITH n AS (SELECT concat('n', CAST(n_nationkey AS string)) AS id, n_name AS name, n_regionkey AS r, n_nationkey AS k FROM nation), x AS (SELECT min(r_regionkey) AS gone, max(r_regionkey) AS new FROM region),
+e AS (SELECT id AS src, concat('r', CAST(r AS string)) AS dst FROM n, x WHERE r <> gone)
+SELECT 'nodes' AS tbl, id, concat('nation', ':', CASE WHEN r = new THEN concat('New ', name) ELSE name END) AS value FROM n, x UNION ALL SELECT 'nodes', concat('r', CAST(r_regionkey AS string)), concat('region', ':', r_name) FROM region, x WHERE r_regionkey <> gone
+UNION ALL SELECT 'edges', md5(concat_ws(chr(31), src, 'in', dst)), concat(src, '>', dst) FROM e
+UNION ALL SELECT 'chunks', md5(concat_ws(chr(31), concat('r', CAST(r_regionkey AS string)), concat('About ', r_name))), CASE WHEN r_regionkey = new THEN 'Rewritten' ELSE concat('About ', r_name) END FROM region, x WHERE r_regionkey <> gone
+UNION ALL SELECT 'embedded', concat('r', CAST(r_regionkey AS string)), '16' FROM region, x WHERE r_regionkey <> gone""",
+    graph_ctes=False,
+)
+def graph_writes(spark, sf_dir):
+    """Inserts, updates and a cascading delete of stored nodes, edges and chunks, each a commit."""
+    engine = Engine(spark, Store(spark, f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/written"), HashEmbeddings(16), EchoLanguage(), EngineConfig(dim=16))
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    ends = regions.agg(F.min("r_regionkey").alias("gone"), F.max("r_regionkey").alias("new")).collect()[0]
+    of = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    engine.create_nodes(nations.select(of("n", "n_nationkey").alias("id"), F.lit(" nation ").alias("type"), F.col("n_name").alias("name")).unionByName(regions.select(of("r", "r_regionkey").alias("id"), F.lit("region").alias("type"), F.concat(F.lit(" "), "r_name").alias("name"))))
+    engine.create_edges(nations.select(of("n", "n_nationkey").alias("src"), of("r", "n_regionkey").alias("dst"), F.lit("in").alias("type")))
+    engine.create_chunks(regions.select(of("r", "r_regionkey").alias("node_id"), F.concat(F.lit("About "), "r_name").alias("text")))
+    engine.update("nodes", nations.where(F.col("n_regionkey") == ends["new"]).select(of("n", "n_nationkey").alias("id"), F.concat(F.lit("New "), "n_name").alias("name")))
+    engine.update("chunks", engine.store.read("chunks").where(F.col("node_id") == f"r{ends['new']}").select("id", F.lit("Rewritten").alias("text")))
+    engine.delete("nodes", spark.createDataFrame([(f"r{ends['gone']}",)], "id string"))
+    g = engine.graph()
+    rows = lambda df, name, key, value: df.select(F.lit(name).alias("tbl"), F.col(key).alias("id"), value.alias("value"))
+    out = rows(g.nodes, "nodes", "id", F.concat_ws(":", "type", "name")).unionByName(rows(g.edges, "edges", "id", F.concat_ws(">", "src", "dst")))
+    return out.unionByName(rows(g.chunks, "chunks", "id", F.col("text"))).unionByName(rows(g.chunks, "embedded", "node_id", F.size("embedding").cast("string")))
+
+
 _CUSTOMERS = "SELECT concat('c', CAST(c_custkey AS string)) AS id, c_name AS name, c_mktsegment AS segment, c_nationkey AS nation FROM customer"
 
 

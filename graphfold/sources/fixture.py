@@ -54,12 +54,19 @@ def views(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-_BUILT: dict[tuple[str, str], Graph] = {}
+def written_at(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the tables' files were last written: what is built of them is built again when they change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in TABLES]
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+
+
+_BUILT: dict[tuple, Graph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph as tables, written once for each application and folder, as a store would hold it."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The graph as tables, written once for each application and state of the folder, as a store would hold it."""
+    key = spark.sparkContext.applicationId, sf_dir, written_at(spark, sf_dir)
     held = _BUILT.get(key)
     if held is None or not all(there(spark, df._written_to) for df in (held.nodes, held.edges, held.chunks)):
         views(spark, sf_dir)
