@@ -558,3 +558,8 @@ def op4_flac_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = to_flac(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media")
     return read_back(stored)
+
+
+def media_payload(spark, sf_dir: str) -> DataFrame:
+    """What of op4_flac_media does not depend on the format: sizes and the digest of the bytes that are read back."""
+    return op4_flac_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")

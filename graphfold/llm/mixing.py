@@ -230,6 +230,11 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def mixing_tokens(spark, sf_dir: str) -> DataFrame:
+    """The number of tokens that op8_mixing rakes, of each document."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "n_tokens")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str, rate: float = 0.9) -> DataFrame:
     """Keeps the sampled documents."""
     found = features(docs)

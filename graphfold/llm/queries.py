@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from graphfold.llm import oracles
-from graphfold.llm.ann import op10_nearest
+from graphfold.llm.ann import exact_neighbours, op10_nearest
 from graphfold.llm.bpe import op3_bpe_round_trip
-from graphfold.llm.flac import op4_flac_media
+from graphfold.llm.flac import media_payload, op4_flac_media
 from graphfold.llm.langid import op6_language_id
-from graphfold.llm.mixing import op8_mixing
+from graphfold.llm.mixing import mixing_tokens, op8_mixing
 from graphfold.llm.negatives import op13_negatives
 from graphfold.llm.ngram_join import op5_ngram_join
 from graphfold.llm.packing import op11_packing
@@ -31,9 +31,12 @@ QUERIES = {
     "op11_packing": op11_packing,
     "op12_phrases": op12_phrases,
     "op13_negatives": op13_negatives,
-    # the parts of op7 and op2 that no model decides
+    # the parts of op7, op2, op4 and op8 that no model or format decides, and what op10 is measured against
     "base_secrets": base_secrets,
     "url_rules": url_rules,
+    "media_payload": media_payload,
+    "mixing_tokens": mixing_tokens,
+    "exact_neighbours": exact_neighbours,
 }
 
 #: DuckDB SQL of those that SQL can express.
@@ -44,4 +47,7 @@ ORACLE_SQL = {
     "op13_negatives": oracles.NEGATIVES,
     "base_secrets": oracles.BASE_SECRETS,
     "url_rules": oracles.URL_RULES,
+    "media_payload": oracles.MEDIA_PAYLOAD,
+    "mixing_tokens": oracles.MIXING_TOKENS,
+    "exact_neighbours": oracles.EXACT_NEIGHBOURS,
 }
