@@ -227,14 +227,15 @@ def mine(index: Lists, anchors: DataFrame, positives: int = POSITIVES, negatives
     blocks = max(1, -(-anchors.count() // BLOCK))
     anchors = anchors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     everything = F.array(wants(F.lit(0), F.lit(_NONE), F.lit(-_NONE))).cast(_WANT)
-    near = materialize(_best(anchors.withColumn("wants", everything), index, True, positives).select("vec_id", F.col("found").alias("slot"), F.col("score").alias("positive_score")), "positives")
-    # a row that repeats an id with the same score is the same positive
-    near = near.distinct()
+    best = _best(anchors.withColumn("wants", everything), index, True, positives)
+    # a row that repeats an id with the same score is the same positive; its rank names the want
+    near = best.groupBy("vec_id", F.col("found").alias("positive_id"), F.col("score").alias("positive_score")).agg(F.min("rank").cast("long").alias("slot"))
+    near = materialize(near, "positives")
     s = F.col("positive_score")
     lo, hi = -_percent(-s, low), _percent(s, high)
     windows = near.where(lo <= hi).groupBy("vec_id").agg(F.collect_list(wants(F.col("slot"), lo, hi)).cast(_WANT).alias("wants"))  # `positives` entries
     found = _best(anchors.join(windows, "vec_id"), index, False, negatives)
-    return found.join(near, ["vec_id", "slot"]).select(F.col("vec_id").alias("anchor_id"), F.col("slot").alias("positive_id"), "rank", F.col("found").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    return found.join(near, ["vec_id", "slot"]).select(F.col("vec_id").alias("anchor_id"), "positive_id", "rank", F.col("found").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
 def op13_negatives(spark, sf_dir: str) -> DataFrame:

@@ -194,6 +194,7 @@ def test_negatives_match_brute_force(spark, monkeypatch, probe):
     same = rows[5][2]
     rows += [(300 + i, i % 3, same) for i in range(60)]  # one vector is a fifth of all rows
     rows += [(None, 1, same), (401, None, same), (402, 1, None), (403, 1, [1.0, None] + [1.0] * 6), (404, 1, [float("nan")] * 8), (405, 1, [float("inf")] * 8), (406, 2, [0.5, -1.0]), (407, 1, [0.0] * 8), (408, 1, []), (0, 1, same), (10, 2, same)]
+    rows += [(20, 1, [9.0] * 8), (21, 1, [9.0] * 8), (21, 1, [9.0] * 8), (21, 1, [8.5] * 8), (22, 2, [7.0] * 8), (23, 2, [5.0] * 8)]  # an id with several scores
     df = spark.createDataFrame([(i, lab, v, "clash", 3) for i, lab, v in rows], "vec_id long, label int, embedding array<double>, list string, block int").repartition(3)
     index = negatives.build(negatives.whole_rows(df, "vec_id", "label", "embedding"))
     got = negatives.mine(index, index.rows.where("vec_id % 10 = 0").select("vec_id", "label", "v")).collect()
