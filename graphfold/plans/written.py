@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_LOCK, _WRITES = threading.Lock(), {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any thread writes, and what it was before when the last one has ended."""
+    with _LOCK:
+        if not _WRITES["n"]:
+            _WRITES["before"] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _WRITES["n"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITES["n"] -= 1
+            if not _WRITES["n"]:
+                spark.conf.set(CLEANUP, _WRITES["before"])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: later steps do not recompute it, and survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphfold/{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -2,6 +2,7 @@ import json
 import random
 import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
@@ -15,6 +16,7 @@ from graphfold.functions.text import contains_props
 from graphfold.operators import community, extraction, graph, ingest, qa, resolution, retrieval, topk
 from graphfold.operators.components import connected_components
 from graphfold.operators.index import VectorIndex
+from graphfold.plans import written
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings, with_completions, with_embeddings
 from graphfold.sources.http import HttpEmbeddings, HttpLanguage
 from graphfold.sources.store import Field, Store, jdbc, requests
@@ -462,6 +464,13 @@ def test_index_finds_most_of_the_nearest(spark, tmp_path):
     assert sum(r["id"] == "c0005" for r in index.near(rows[5][3], late).collect()) == 1
 
 
+def test_writes_of_threads_leave_the_setting(spark):
+    before = spark.conf.get(written.CLEANUP)
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda n: written.materialize(spark.range(n), "t").count(), range(1, 9))) == list(range(1, 9))
+    assert spark.conf.get(written.CLEANUP) == before
+
+
 def letters(spark, ids):
     return spark.createDataFrame([(i, "new") for i in ids], "id string, v string")
 
