@@ -81,13 +81,13 @@ def fold_descriptions(rows: DataFrame, keys: list[str], order: list[str]) -> Dat
     return ordered.mapInArrow(run, ", ".join(f"{k} string" for k in (*keys, "description")))
 
 
-def resolve(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def resolve(mentions: DataFrame, existing: DataFrame | None = None, describe: bool = True) -> DataFrame:
     """Nodes from mentions (doc_id, ord, item, name, type, description): one for each normalised type and name.
 
     The first spelling names the node, aliases and descriptions are folded in the
     order (doc_id, ord, item); described_by is the first document with a description. A node of existing (id, type, name,
     normalized_name, aliases, description) with that type and name, or else normalised name, keeps its id and name, and
-    its folds come first.
+    its folds come first. Without describe, descriptions are left as they are and those of mentions are not folded.
     """
     key = ["type_key", "name_key"]
     keyed = mentions.withColumns({"type_key": normalize_type(F.col("type")), "name_key": normalize_name(F.col("name")), "description": F.coalesce("description", F.lit(""))}).where(F.col("name_key") != "")
@@ -101,7 +101,7 @@ def resolve(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame
     fold = lambda rows: fold_descriptions(rows, key, ["p", "at"])
     text = F.coalesce("description", F.lit("")).alias("description")
     if existing is None:
-        j = nodes.join(described, key, "left").join(fold(rows), key, "left")
+        j = nodes.join(described, key, "left").join(fold(rows), key, "left") if describe else nodes.withColumns({c: F.lit(None).cast("string") for c in ("described_by", "description")})
         return j.select(
             stable_id(F.col("type_key"), F.col("name_key")).alias("id"), F.col("type_key").alias("type"), F.element_at("names", 1).alias("name"),
             text, merge_aliases(F.col("names")).alias("aliases"), F.col("name_key").alias("normalized_name"), F.lit(True).alias("created"), "described_by",
@@ -111,7 +111,10 @@ def resolve(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame
     by_key = old.select(F.col("type").alias("type_key"), F.col("normalized_name").alias("name_key"), F.struct(F.lit(1).alias("p"), "id", "name", "aliases", "description").alias("o"))
     found = by_name.unionByName(by_key).join(nodes.select(*key), key, "left_semi").groupBy(*key).agg(F.min("o").alias("o"))
     held = found.select(*key, F.lit(0).alias("p"), F.lit(None).cast(rows.schema["at"].dataType).alias("at"), F.col("o.description").alias("description"))
-    j = nodes.join(found, key, "left").join(described, key, "left").join(fold(held.unionByName(rows)), key, "left")
+    if describe:
+        j = nodes.join(found, key, "left").join(described, key, "left").join(fold(held.unionByName(rows)), key, "left")
+    else:
+        j = nodes.join(found, key, "left").withColumns({"described_by": F.lit(None).cast("string"), "description": F.col("o.description")})
     has = F.col("o").isNotNull()
     return j.select(
         F.coalesce("o.id", stable_id(F.col("type_key"), F.col("name_key"))).alias("id"), F.col("type_key").alias("type"), F.coalesce("o.name", F.element_at("names", 1)).alias("name"),

@@ -500,7 +500,7 @@ SELECT type, nn AS normalized_name, arg_min(name, place) AS name, string_agg(nam
     graph_ctes=False,
 )
 def resolve_entities(spark, sf_dir):
-    return resolution.resolve(_mentions(spark, sf_dir)).select("type", "normalized_name", "name", F.array_join("aliases", "|").alias("aliases"))
+    return resolution.resolve(_mentions(spark, sf_dir), describe=False).select("type", "normalized_name", "name", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query(
@@ -690,7 +690,7 @@ def description_chunks(spark, sf_dir):
 def mention_edges(spark, sf_dir):
     place = (F.col("doc_id") * 8 + F.col("item")).cast("string")
     m = _mentions(spark, sf_dir).withColumns({"document_node_id": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "chunk_id": F.concat(F.lit("x"), place)})
-    nodes = resolution.resolve(m).select("id", "type", "normalized_name")
+    nodes = resolution.resolve(m, describe=False).select("id", "type", "normalized_name")
     e = resolution.mention_edges(m, nodes)
     return e.join(nodes.select(F.col("id").alias("dst"), F.concat_ws(":", "type", "normalized_name").alias("name")), "dst").select("src", F.col("name").alias("dst"), "chunk_id")
 
@@ -904,7 +904,7 @@ def relation_edges(spark, sf_dir):
     from pyspark.sql import Window
 
     m = _mentions(spark, sf_dir)
-    nodes = resolution.resolve(m).select("id", "type", "normalized_name")
+    nodes = resolution.resolve(m, describe=False).select("id", "type", "normalized_name")
     target = F.lead("name").over(Window.partitionBy("doc_id").orderBy("item"))
     rel = m.select("doc_id", "ord", "item", F.col("name").alias("source"), target.alias("target"), F.lit("next").alias("type"), F.lit("").alias("description")).where(F.col("target").isNotNull())
     e = resolution.relation_edges(rel, m, nodes)
