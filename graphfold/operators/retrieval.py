@@ -109,7 +109,7 @@ def nearest(g: Graph, query: Sequence[float], k: int, nodes: DataFrame | None =
     kind = lambda t, c: t.schema[c].dataType.simpleString()
     schema = f"id {kind(g.chunks, 'id')}, node_id {kind(g.chunks, 'node_id')}, node_name string, node_type string, kind string, text string, score double"
     df = g.nodes.sparkSession.createDataFrame(out, schema)
-    return df, df.collect()
+    return df, [dict(zip(df.columns, row, strict=True)) for row in out]
 
 
 def hybrid(g: Graph, query: Sequence[float], config: EngineConfig, top_k: int | None = None, node_types: Sequence[str] | None = None, hops: int | None = None, edge_types: Sequence[str] | None = None) -> Result:
