@@ -3,8 +3,11 @@
 All n-grams have one global order: rare ones first, by a count sketch over every
 document, then by hash. Two sets with a similarity of at least t share an n-gram
 among the first n - ceil(t * n) + 1 of each, so the lists of documents that share
-a prefix n-gram give all candidates. Only postings with a partner of like size in
-their list are kept.
+a prefix n-gram give all candidates. The first n-gram that two sets share leaves
+both no more to share than what follows it, so a posting's place bounds the sizes
+that its document can be linked with there. Only postings with a partner in their
+list that each other's bounds allow are kept: texts that share a template, but less
+than they must, have their own n-grams first, and do not meet in its lists.
 
 Groups of copies are contracted before anything is compared in full. In each of
 STARS rounds every document is set against one hub, the same for most of a group,
@@ -40,7 +43,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +75,10 @@ class Threshold:
         """The least intersection of two similar sets."""
         return -(-self.part * (n + m) // (self.part + self.whole))
 
+    def reach(self, n, left):
+        """The largest set that is similar to one of n grams if it shares `left` of them; below n if none is that large."""
+        return left * (self.part + self.whole) // self.part - n
+
     def largest(self, n):
         """The largest set that can be similar to a smaller one of n grams."""
         return self.whole * n // self.part
@@ -131,53 +138,88 @@ def prefixes(docs: DataFrame, counts, size: int, t: Threshold) -> DataFrame:
     return arrow_rows(docs.select("doc_id", "text"), run, [("doc_id", T.LongType()), ("n", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("prefix", T.ArrayType(T.LongType())), ("bits", T.BinaryType())])
 
 
-def postings(own: DataFrame, counts, common: int) -> DataFrame:
-    """(gram, n, id, common) of all prefixes of own (id, n, prefix); common: more than so many documents may hold the gram."""
+POSTING = [("gram", T.LongType()), ("n", T.LongType()), ("id", T.LongType()), ("reach", T.LongType())]
+
+
+def postings(own: DataFrame, counts, common: int, t: Threshold) -> DataFrame:
+    """(gram, n, id, reach, common) of all prefixes of own (id, n, prefix). reach: the largest partner, if gram is the first
+    that is shared; common: more than so many documents may hold the gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
-            sizes = np.diff(lists.offsets.to_numpy())
+            starts = lists.offsets.to_numpy()
+            sizes = np.diff(starts)
             grams = lists.flatten().to_numpy()
             often = counts.value[(grams.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > common
-            columns = [pa.array(grams), *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("n", "id")), pa.array(often)]
+            n, ids = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("n", "id"))
+            place = np.arange(len(grams)) - np.repeat(starts[:-1] - starts[0], sizes)
+            columns = [pa.array(x) for x in (grams, n, ids, t.reach(n, n - place), often)]
             for lo in range(0, len(grams), 1 << 16):
-                yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 16) for c in columns], names=["gram", "n", "id", "common"])
+                yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 16) for c in columns], names=[*(c for c, _ in POSTING), "common"])
 
-    return arrow_rows(own.select("id", "n", "prefix"), run, [("gram", T.LongType()), ("n", T.LongType()), ("id", T.LongType()), ("common", T.BooleanType())])
+    return arrow_rows(own.select("id", "n", "prefix"), run, [*POSTING, ("common", T.BooleanType())])
 
 
-def lists(rows: DataFrame, t: Threshold) -> DataFrame:
-    """The postings (gram, n, id) with a partner: another posting of their gram whose size is the next and fits. Those of
-    common grams are taken to have one, and need not meet in a task."""
+def _bucket(t: Threshold) -> Column:
+    """Sizes in classes, such that similar sets lie in one or in two that follow each other."""
+    return F.floor(F.log("n") / math.log(t.whole / t.part))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, near = None, False  # the last row, and whether it has a partner before it
 
-        def row(gram: int, n: int, i: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (gram, n, i)], names=["gram", "n", "id"])
+def _reached(rows: DataFrame, t: Threshold) -> DataFrame:
+    """The postings of common grams that a smaller or equal set reaches, and those that reach one of their own size."""
+    own = rows.withColumn("bucket", _bucket(t))
+    first = own.where("reach >= n").groupBy("gram", "bucket").agg(F.max("reach").alias("far"), F.min("n").alias("low"))
+    # one more class than sizes need, as logarithms are rounded
+    first = first.select("gram", F.explode(F.array(*(F.col("bucket") + k for k in range(3)))).alias("bucket"), "far", "low")
+    first = first.groupBy("gram", "bucket").agg(F.max("far").alias("far"), F.min("low").alias("low"))
+    return own.join(first.hint("merge"), ["gram", "bucket"]).where("n <= far and low <= reach").select(*(c for c, _ in POSTING))
+
 
+def lists(rows: DataFrame, t: Threshold) -> DataFrame:
+    """The postings (gram, n, id, reach) that may have a partner in their list: two sets whose first common gram it is each
+    lie within the other's reach.
+
+    In order of size, a posting has a larger partner if the next one lies within its reach, and a smaller one if one
+    before it reaches it, and it the smallest of these. Those of common grams need not meet in a task: they are set
+    against what aggregations know of their list.
+    """
+    base = np.int64(1 << 40)  # above all sizes; batches have fewer rows than 2**23
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row as a batch of one, whether it has a smaller partner, and what is known of its list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, n, ids = (batch.column(c).to_numpy() for c in ("gram", "n", "id"))
-            with_next = np.zeros(len(n), bool)
-            with_next[:-1] = (gram[1:] == gram[:-1]) & (n[1:] <= t.largest(n[:-1]))
-            with_last = np.concatenate([[False], with_next[:-1]])
+            before, far, low = 0, 0, base - 1
             if held:
-                with_last[0] = held[0] == gram[0] and n[0] <= t.largest(held[1])
-                if near or with_last[0]:
-                    yield row(*held)
-            keep = with_next | with_last
+                last, near, far, low = held
+                batch, before = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0], 1
+            gram, n, reach = (batch.column(c).to_numpy() for c in ("gram", "n", "reach"))
+            same = gram[1:] == gram[:-1]
+            part = np.concatenate([[0], np.cumsum(~same)]) * base
+            first = reach >= n
+            # the farthest reach and the least size of the earlier rows of a list that reach their own size
+            fars, lows = np.where(first, reach, 0), np.where(first, base - 1 - n, 0)
+            if before:
+                fars[0], lows[0] = far, base - 1 - low
+            fars, lows = (np.maximum.accumulate(x + part) - part for x in (fars, lows))
+            smaller = np.zeros(len(n), bool)
+            smaller[1:] = same & (n[1:] <= fars[:-1]) & (base - 1 - lows[:-1] <= reach[1:])
+            if before:
+                smaller[0] = near
+            keep = smaller.copy()
+            keep[:-1] |= same & (n[1:] <= reach[:-1])
             keep[-1] = False
-            held, near = (int(gram[-1]), int(n[-1]), int(ids[-1])), bool(with_last[-1])
+            held = batch.slice(len(n) - 1), bool(smaller[-1]), int(fars[-1]), int(base - 1 - lows[-1])
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, n, ids)], names=["gram", "n", "id"])
-        if held and near:
-            yield row(*held)
+                yield batch.filter(pa.array(keep))
+        if held and held[1]:
+            yield held[0]
 
-    kept = arrow_rows(rows.where("not common").select("gram", "n", "id").repartition(F.col("gram")).sortWithinPartitions("gram", "n", "id"), run, [("gram", T.LongType()), ("n", T.LongType()), ("id", T.LongType())])
-    return kept.unionByName(rows.where("common").select("gram", "n", "id"))
+    names = [c for c, _ in POSTING]
+    kept = arrow_rows(rows.where("not common").select(*names).repartition(F.col("gram")).sortWithinPartitions("gram", "n", "id"), run, POSTING)
+    return kept.unionByName(_reached(rows.where("common").select(*names), t))
 
 
 def _labelled(table_: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -188,18 +230,25 @@ def _labelled(table_: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _stars(table_: DataFrame, t: Threshold, turn: int) -> DataFrame:
-    """(hub, id, n, label) from lists (gram, n, id, label): one hub for each document that shares a list and a class of
-    sizes with one of another label, and the hubs themselves.
+    """(hub, id, n, label) from lists (gram, n, id, reach, label): one hub for each document that shares a list with one of
+    another label and like size that its reach allows, and the hubs themselves.
 
-    A list's hub is its document with the smallest hash, which most lists of a group of copies have in common. A document
-    takes the hub of its list with the smallest hash.
+    A list's hub is its document with the smallest hash, which most lists of a group of copies have in common, among those
+    that reach documents of their own size, if there are any. Where it is out of reach, the farthest reaching document of
+    the next smaller sizes takes its place. A document takes the hub of its list with the smallest hash.
     """
-    bucket = F.floor(F.log("n") / math.log(t.whole / t.part))
-    own = table_.withColumn("bucket", bucket)
-    hubs = own.groupBy("gram", "bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-    hubs = hubs.where("low < high").select("gram", "bucket", "hub")
-    first = own.join(hubs.hint("merge"), ["gram", "bucket"]).where(F.col("label") != F.col("hub.label"))
-    first = first.groupBy("id", "n", "label").agg(F.min(F.struct(F.xxhash64("gram", F.lit(turn)).alias("h"), "hub")).alias("one"))
+    own = table_.withColumn("bucket", _bucket(t))
+    one = F.struct("id", "n", "label", "reach")
+    near = F.min(F.struct((F.col("reach") < F.col("n")).alias("late"), F.xxhash64("id", F.lit(turn)).alias("h"), one.alias("hub")))["hub"]
+    far = F.max(F.struct("reach", F.xxhash64("id", F.lit(turn)).alias("h"), one.alias("hub")))["hub"]
+    hubs = own.groupBy("gram", "bucket").agg(near.alias("near"), far.alias("far"), F.min("label").alias("low"), F.max("label").alias("high"))
+    none = F.lit(None).cast(hubs.schema["near"].dataType)
+    places = F.array(F.struct("bucket", "near", none.alias("far")), F.struct((F.col("bucket") + 1).alias("bucket"), none.alias("near"), "far"))
+    hubs = hubs.select("gram", F.explode(places).alias("at"), "low", "high").groupBy("gram", "at.bucket")
+    hubs = hubs.agg(F.max("at.near").alias("near"), F.max("at.far").alias("far"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").drop("low", "high")
+    fits = lambda hub: (F.col("label") != F.col(f"{hub}.label")) & (F.col("n") <= F.col(f"{hub}.reach")) & (F.col(f"{hub}.n") <= F.col("reach"))
+    first = own.join(hubs.hint("merge"), ["gram", "bucket"]).withColumn("hub", F.when(fits("near"), F.col("near")).when(fits("far"), F.col("far"))).where("hub is not null")
+    first = first.groupBy("id", "n", "label").agg(F.min(F.struct(F.xxhash64("gram", F.lit(turn)).alias("h"), F.struct("hub.id", "hub.n", "hub.label").alias("hub"))).alias("one"))
     members = first.select(F.col("one.hub").alias("hub"), F.struct("id", "n", "label").alias("x"))
     both = members.select(F.col("hub.id").alias("hub"), F.explode(F.array("x", F.struct("hub.id", "hub.n", "hub.label"))).alias("x"))
     return both.select("hub", "x.*").distinct()
@@ -411,7 +460,7 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     own = materialize(some.join(classes.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), "join_own")
     sizes = materialize(found.select("doc_id", "n", "d1", "d2"), "join_sizes")
     discard(found)
-    shared = materialize(lists(postings(own, counts, common), t), "join_lists")
+    shared = materialize(lists(postings(own, counts, common, t), t), "join_lists")
     wanted = materialize(shared.select("id").distinct(), "join_wanted")
     signs = materialize(own.join(wanted.hint("merge"), "id", "left_semi").select("id", "bits"), "join_signs")
     discard(own)
@@ -426,7 +475,9 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
         for done in (parts, sets):
             discard(done)
         if turn < STARS:
-            labels = materialize(_relabelled(links[-1], labels), "join_labels")
+            # the first pass takes the least label to the middle of a star, the second to all that are linked with it
+            for _ in range(2):
+                labels = materialize(_relabelled(links[-1], labels), "join_labels")
     for done in (shared, signs):
         discard(done)
     final = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "id")

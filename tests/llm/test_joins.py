@@ -102,6 +102,49 @@ def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
     assert all(large <= 6 * max(small, 20) for small, large in zip(seen[0].values(), seen[1].values(), strict=True))
 
 
+def of_template(many, least, seed=11):
+    """Texts of `least` to 34 words of their own before a template of 200 n-grams, and how many words each has of its own."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    template, rows = [word() for _ in range(203)], []
+    for i in range(many):
+        k = rng.randint(least, 34)
+        rows.append((i, k, " ".join([word() for _ in range(k)] + template)))
+    return rows
+
+
+def test_texts_of_a_template_do_not_meet(spark, monkeypatch):
+    """Thousands of texts that share 86 to 91 % with a template, none 85 % alike, at shipped settings: no rows at all are
+    left to compare, where chunks of one block would pair all of them."""
+    made, write = {}, ngram_join.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    rows = of_template(3000, 20)
+    got = ngram_join.join(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (200 + k, i) for i, k, _ in rows}
+    assert not any(made[k] for k in ("join_lists", "join_stars", "join_blocks", "join_hopeful"))
+
+
+@pytest.mark.parametrize("common", [10_000, 2])
+def test_lists_keep_all_that_may_link(spark, common):
+    """Postings with a partner stay, in batches of any size, and those of common grams too."""
+    rng, t = random.Random(common), ngram_join.Threshold()
+    rows = [(g, n, i, t.reach(n, n - rng.randrange(n - -(-85 * n // 100) + 1)), common == 2) for i, (g, n) in enumerate((rng.randrange(6), rng.randint(1, 60)) for _ in range(120))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["id"] for r in ngram_join.lists(spark.createDataFrame(rows, "gram long, n long, id long, reach long, common boolean"), t).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {a[2] for a in rows for b in rows if a[2] != b[2] and a[0] == b[0] and a[1] <= b[3] and b[1] <= a[3]}
+    assert want and want <= got
+    assert len(got) < len(rows)
+
+
 def test_join_of_odd_rows(spark, odd_docs, no_docs, texts):
     got = ngram_join.join(odd_docs).collect()
     want = components_by_hand(texts)
