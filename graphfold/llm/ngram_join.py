@@ -17,6 +17,9 @@ compared wherever their labels differ. Rows grow with the postings, never with
 the square of a group: a document has one row in a round of stars, and one in a
 block for each label that shares a list with it. Blocks that are too large for a
 task are dealt into chunks, where documents of the most common label do not meet.
+Where many labels are left in such blocks, the classes that all links make so far
+are the labels of further rounds of stars, so that what belongs together is one
+label before chunks meet.
 
 Within a block, parity bitmaps bound what two sets can share, and documents
 without any partner left go. The others' ordered sets stand in a trie that is
@@ -60,6 +63,8 @@ CHUNK, STAR_CHUNK, CHUNK_GRAMS = 1024, 512, 1024
 FILTER_BITS = 25
 #: Rounds of stars before what is left is compared in full, and how many documents may hold a gram that is common.
 STARS, COMMON = 2, 10_000
+#: While chunks would repeat the rows of large blocks more than WIDE times on average, up to MORE further rounds come first.
+MORE, WIDE = 3, 2
 
 
 class Threshold:
@@ -261,27 +266,49 @@ def _blocks(table_: DataFrame) -> DataFrame:
     return table_.join(names.hint("merge"), "gram").select("hub", "id", "n", "label").distinct()
 
 
-def _parts(rows: DataFrame, star: bool) -> DataFrame:
-    """rows (hub, id, n, label) with a part: of a small block 0. A larger block is dealt into chunks.
+def _chunks(rows: str, grams: str, most: int) -> Column:
+    """How many chunks so many documents and grams fill."""
+    count = lambda c, room: F.ceil(F.expr(c) / F.lit(float(room)))
+    return F.greatest(count(rows, most), count(grams, most * CHUNK_GRAMS)).cast("int")
 
-    A star's hub goes to each chunk. Of other blocks, the documents of the most common label are set against chunks of the
-    others, and these against each other; those of the most common label never meet. Only the large blocks, of which
-    there are few, are looked up: Spark broadcasts them while their table is small.
+
+def _sums() -> tuple[Column, Column]:
+    return F.count("*").alias("rows"), F.sum("n").alias("grams")
+
+
+def _star_parts(rows: DataFrame) -> DataFrame:
+    """Stars (hub, id, n, label) with a part: of a small star 0. A larger star is dealt into chunks, and its hub goes to each.
+
+    Only the large stars, of which there are few, are looked up: Spark broadcasts them while their table is small.
+    """
+    large = materialize(rows.groupBy("hub").agg(*_sums()).select("hub", _chunks("rows", "grams", STAR_CHUNK).alias("k")).where("k > 1"), "join_large")
+    own = rows.join(large, "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    mine = F.array(F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    return own.withColumn("part", F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(mine))).drop("k")
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """The blocks of more than one chunk: hub, the most common label, the chunks of its documents (b) and of the others (o),
+    the rows, and the rows that chunks make of them (dealt)."""
+    by_label = rows.groupBy("hub", "label").agg(*_sums())
+    large = by_label.groupBy("hub").agg(F.max(F.struct("rows", "label", "grams")).alias("top"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
+    large = large.where(_chunks("rows", "grams", CHUNK) > 1)
+    large = large.select("hub", F.col("top.label").alias("most"), "rows", "top", _chunks("top.rows", "top.grams", CHUNK).alias("b"), _chunks("rows - top.rows", "grams - top.grams", CHUNK).alias("o"))
+    return materialize(large.select("hub", "most", "b", "o", "rows", F.expr("(rows - top.rows) * (o + b) + top.rows * o").alias("dealt")), "join_large")
+
+
+def _wide(large: DataFrame) -> bool:
+    rows, dealt = large.agg(F.sum("rows"), F.sum("dealt")).collect()[0]
+    return (dealt or 0) > WIDE * (rows or 0)
+
+
+def _block_parts(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Blocks (hub, id, n, label) with a part: of a small block 0. The others (_large()) are dealt into chunks.
+
+    The documents of the most common label are set against chunks of the others, and these against each other; those of
+    the most common label never meet.
     """
-    most = STAR_CHUNK if star else CHUNK
-    room = F.lit(float(most)), F.lit(float(most * CHUNK_GRAMS))
-    sums = F.count("*").alias("rows"), F.sum("n").alias("grams")
-    parts = lambda: F.greatest(F.ceil(F.col("rows") / room[0]), F.ceil(F.col("grams") / room[1])).cast("int")
-    if star:
-        large = materialize(rows.groupBy("hub").agg(*sums).select("hub", parts().alias("k")).where("k > 1"), "join_large")
-        own = rows.join(large, "hub", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-        mine = F.array(F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-        return own.withColumn("part", F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(mine))).drop("k")
-    by_label = rows.groupBy("hub", "label").agg(*sums)
-    first = F.max(F.struct("rows", "label", "grams")).alias("top")
-    large = by_label.groupBy("hub").agg(first, F.sum("rows").alias("rows"), F.sum("grams").alias("grams")).where(parts() > 1)
-    large = large.select("hub", F.col("top.label").alias("most"), F.greatest(F.ceil(F.col("top.rows") / room[0]), F.ceil(F.col("top.grams") / room[1])).cast("int").alias("b"), F.greatest(F.ceil((F.col("rows") - F.col("top.rows")) / room[0]), F.ceil((F.col("grams") - F.col("top.grams")) / room[1])).cast("int").alias("o"))
-    own = rows.join(materialize(large, "join_large"), "hub", "left")
+    own = rows.join(large.select("hub", "most", "b", "o"), "hub", "left")
     # part x * (o + b) + y: chunk x of the others beside chunk y of the others (y >= x) or chunk y - o of the most common label
     wide, at = F.col("o") + F.col("b"), lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
     common = F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda x: x * wide + F.col("o") + at(F.col("b")))
@@ -465,19 +492,26 @@ def join(docs: DataFrame, size: int = 4, t: Threshold | None = None) -> DataFram
     signs = materialize(own.join(wanted.hint("merge"), "id", "left_semi").select("id", "bits"), "join_signs")
     discard(own)
 
-    labels, links = None, []
-    for turn in range(STARS + 1):
+    labels, links, turn, star = None, [], 0, True
+    while star:
         table_ = _labelled(shared, labels)
-        rows = _parts(materialize(_stars(table_, t, turn), "join_stars"), True) if turn < STARS else _parts(materialize(_blocks(table_), "join_blocks"), False)
+        if turn >= STARS:
+            blocks = materialize(_blocks(table_), "join_blocks")
+            large = _large(blocks)
+            star = turn < STARS + MORE and _wide(large)
+        rows = _star_parts(materialize(_stars(table_, t, turn), "join_stars")) if star else _block_parts(blocks, large)
         parts = materialize(_hopeful(rows, signs, t), "join_hopeful")
         sets = materialize(_sets(docs, parts.select("id").distinct(), counts, size), "join_sets")
         links.append(materialize(_links(parts, sets, t), "join_links"))
         for done in (parts, sets):
             discard(done)
-        if turn < STARS:
+        turn += 1
+        if star and turn <= STARS:
             # the first pass takes the least label to the middle of a star, the second to all that are linked with it
             for _ in range(2):
                 labels = materialize(_relabelled(links[-1], labels), "join_labels")
+        elif star:
+            labels = materialize(connected_components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("id"), F.col("component").alias("label")), "join_labels")
     for done in (shared, signs):
         discard(done)
     final = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "id")

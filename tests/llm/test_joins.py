@@ -61,11 +61,12 @@ def test_join_matches_all_pairs(spark, seed):
     assert len({c for _, c in got.values()}) < len(rows)
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_chunks_of_a_block_meet(spark, monkeypatch, stars):
+@pytest.mark.parametrize(("stars", "more"), [(0, 0), (2, 0), (0, 3), (2, 3)])
+def test_chunks_of_a_block_meet(spark, monkeypatch, stars, more):
     monkeypatch.setattr(ngram_join, "CHUNK", 3)
     monkeypatch.setattr(ngram_join, "STAR_CHUNK", 3)
     monkeypatch.setattr(ngram_join, "STARS", stars)
+    monkeypatch.setattr(ngram_join, "MORE", more)
     monkeypatch.setattr(ngram_join, "COMMON", 2 if stars else 10_000)
     rows = copies(5, 4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -130,6 +131,25 @@ def test_texts_of_a_template_do_not_meet(spark, monkeypatch):
     assert not any(made[k] for k in ("join_lists", "join_stars", "join_blocks", "join_hopeful"))
 
 
+def test_rows_of_a_template_class_are_not_paired_by_chunks(spark, monkeypatch):
+    """Thousands of texts of 1 to 34 words of their own beside a template, at shipped settings: those of 35 words together
+    link, so all are one class. Further rounds make it one label, and chunks do not repeat its rows."""
+    dealt, deal = [], ngram_join._block_parts
+
+    def counted(rows, large):
+        out = deal(rows, large)
+        dealt.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_block_parts", counted)
+    rows = of_template(4000, 1)
+    got = ngram_join.join(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()
+    assert min(k for _, k, _ in rows) == 1 and max(k for _, k, _ in rows) == 34
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (200 + k, 0) for i, k, _ in rows}
+    (before, after), = dealt
+    assert after <= 2 * before
+
+
 @pytest.mark.parametrize("common", [10_000, 2])
 def test_lists_keep_all_that_may_link(spark, common):
     """Postings with a partner stay, in batches of any size, and those of common grams too."""
