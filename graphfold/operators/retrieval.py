@@ -13,6 +13,7 @@ from graphfold.errors import Invalid
 from graphfold.functions.text import excerpt, header_block, normalize_name, phrases, thematic
 from graphfold.operators.graph import Adjacency, Expansion, edge_filter, expand
 from graphfold.operators.index import VectorIndex
+from graphfold.operators.runs import LENGTHS, runs, sieve, sifted
 from graphfold.operators.topk import knn, scores
 from graphfold.plans.schemas import COMMUNITY_SUMMARY, ENTITY_DESCRIPTION, MENTIONS, SCAFFOLD
 from graphfold.plans.written import materialize
@@ -148,37 +149,36 @@ def seeds_by_name(nodes: DataFrame, query: str) -> DataFrame:
     return named.where(~F.col("type").isin(*SCAFFOLD)).select(F.col("id").alias("node_id"), score.alias("score"), F.when(exact | ~alias, "exact").otherwise("alias").alias("match")).where(F.col("score").isNotNull())
 
 
-#: Characters of the runs that names are looked up by, the shortest name that is found within a query.
-RUN = 3
-
-
 def seeds_for_queries(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, node_id, score, match) of the entities that each of queries (query_id, text) names, as seeds_by_name()
     gives them for one.
 
     Names and aliases that are phrases of a query are joined by equality. A name within a query shares all its runs of
-    characters with it, so it is looked up by the one that the fewest queries have, and then compared; no query meets
-    all names.
+    characters with it, so it is looked up by that of its longest runs that the fewest queries have, and then compared; no
+    query meets all names. Phrases and runs of queries that no name has stay where they are: sieves of fixed size, which
+    hold what the names have, are broadcast.
     """
     named = nodes if "normalized_name" in nodes.columns else nodes.withColumn("normalized_name", F.lit(None).cast("string"))
     named = named if "aliases" in named.columns else named.withColumn("aliases", F.array().cast("array<string>"))
     own = normalize_name(F.col("name"))
     stored = F.coalesce(normalize_name(F.nullif("normalized_name", F.lit(""))), own)
     entities = named.where(~F.col("type").isin(*SCAFFOLD)).select(F.col("id").alias("node_id"), own.alias("own"), stored.alias("stored"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normalize_name).alias("aliases"))
+    keys = entities.select("node_id", F.explode(F.array_distinct(F.array("own", "stored"))).alias("key"), F.lit("exact").alias("what"))
+    keys = keys.unionByName(entities.select("node_id", F.explode(F.array_distinct("aliases")).alias("key"), F.lit("alias").alias("what"))).where(F.col("key").isNotNull())
     said = queries.select("query_id", phrases(F.col("text")).alias("p")).select("query_id", F.when(F.coalesce(F.size("p"), F.lit(0)) > 0, F.col("p")).otherwise(F.array(F.lit(""))).alias("p"))
-    asked = said.select("query_id", F.explode("p").alias("key")).distinct()
-    flag = lambda df, what: df.select("query_id", "node_id", *(F.lit(c == what).alias(c) for c in ("exact", "alias", "inside")))
-    exact = entities.select("node_id", F.explode(F.array_distinct(F.array("own", "stored"))).alias("key")).join(asked, "key")
-    alias = entities.select("node_id", F.explode(F.array_distinct("aliases")).alias("key")).join(asked, "key")
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - RUN + 1), lambda i: F.substr(c, i, F.lit(RUN))))
-    texts = said.select("query_id", F.element_at("p", 1).alias("text")).where(F.length("text") >= RUN)
-    of_query = materialize(texts.select("query_id", "text", F.explode(runs(F.col("text"))).alias("run")), "query_runs")
-    names = entities.where(F.length("own") >= RUN).select("own").distinct()
+    asked = said.select("query_id", F.explode("p").alias("key")).withColumn("hash", F.xxhash64("key"))
+    asked = sifted(asked, "hash", sieve(keys.select(F.xxhash64("key").alias("hash")), "hash"))
+    equal = keys.join(asked.select("query_id", "key"), "key").select("query_id", "node_id", "what")
+    texts = queries.select("query_id", normalize_name(F.col("text")).alias("text")).where(F.length("text") >= LENGTHS[0])
+    names = entities.where(F.length("own") >= LENGTHS[0]).select("own").distinct()
+    of_name = materialize(runs(names, "own", "own", longest=True), "name_runs")
+    of_query = materialize(runs(texts, "query_id", "text", sieve=sieve(of_name, "run")), "query_runs")
     common = of_query.groupBy("run").agg(F.count("*").alias("n"))
-    held = names.select("own", F.explode(runs(F.col("own"))).alias("run")).join(common, "run", "left")
-    rarest = held.groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).where("r.n > 0").select("own", "r.run")
-    inside = of_query.join(rarest, "run").where(F.contains("text", "own")).select("query_id", "own").distinct().join(entities.select("node_id", "own"), "own")
-    found = flag(exact, "exact").unionByName(flag(alias, "alias")).unionByName(flag(inside, "inside")).groupBy("query_id", "node_id").agg(*(F.max(c).alias(c) for c in ("exact", "alias", "inside")))
+    rarest = of_name.join(common, "run", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).where("r.n > 0").select("own", "r.run")
+    candidates = of_query.join(rarest, "run").select("query_id", "own").distinct()
+    within = candidates.join(texts, "query_id").where(F.contains("text", "own")).select("query_id", "own").distinct()
+    inside = within.join(entities.select("node_id", "own"), "own").select("query_id", "node_id", F.lit("inside").alias("what"))
+    found = equal.unionByName(inside).groupBy("query_id", "node_id").agg(*(F.max(F.col("what") == c).alias(c) for c in ("exact", "alias")))
     score = F.when(F.col("exact"), 1.0).when(F.col("alias"), 0.95).otherwise(0.9)
     return found.select("query_id", "node_id", score.alias("score"), F.when(F.col("exact") | ~F.col("alias"), "exact").otherwise("alias").alias("match"))
 

@@ -306,6 +306,20 @@ def test_seeds_of_many_queries_are_those_of_each(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_runs_of_queries_hold_no_texts(spark, monkeypatch):
+    nodes = spark.createDataFrame([(str(i), "org", n) for i, n in enumerate(["ab", "Ohm", "Ünal é", "Firm of Doe", "customer#000000123", "a name of thirty characters, so"])], "id string, type string, name string")
+    noise = " ".join(f"w{i}" for i in range(400))
+    texts = [f"{noise} ohm", f"ünal é {noise}", f"about firm of doex {noise}", f"customer#000000123x {noise}", f"{noise} xa name of thirty characters, so on", "oh firm", f"customer#000000124x {noise}"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    written = {}
+    plain = retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: written.setdefault(name, plain(df, name)))
+    got = {tuple(r) for r in retrieval.seeds_for_queries(nodes, queries).collect()}
+    assert got == {(i, *r) for i, t in enumerate(texts) for r in map(tuple, retrieval.seeds_by_name(nodes, t).collect())} and len(got) == 5
+    # a query's runs are those that names have, each a number: its text does not come with every run
+    assert "text" not in written["query_runs"].columns and written["query_runs"].count() < 60
+
+
 def test_descriptions_fold_in_order(spark, monkeypatch):
     monkeypatch.setattr(resolution, "LONG", 64)
     rng = random.Random(3)
