@@ -58,7 +58,9 @@ def ask(g: R.Graph, question: str, vector: Sequence[float], client: LanguageClie
     """
     mode = R.resolve_mode(g, question, vector, config, mode)
     found = R.global_(g, vector, config, top_k) if mode == "global" else R.search(g, question, vector, config, mode, top_k, **filters)
-    hits = settle(found.hits)
+    # the answer reads no more of ranked hits than its context can hold and its sources and confidence name; maps read all
+    read = max(R.most_packed(config.context_token_budget), top_k or config.retrieval_top_k, config.retrieval_top_k)
+    hits = settle(found.hits if found.mode == "global" else found.hits.limit(read))
     if not hits.limit(1).count():
         return Answer(NO_CONTEXT, [], found.mode, None)
 

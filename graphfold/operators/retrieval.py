@@ -165,11 +165,13 @@ def seeds_for_queries(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     entities = named.where(~F.col("type").isin(*SCAFFOLD)).select(F.col("id").alias("node_id"), own.alias("own"), stored.alias("stored"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normalize_name).alias("aliases"))
     keys = entities.select("node_id", F.explode(F.array_distinct(F.array("own", "stored"))).alias("key"), F.lit("exact").alias("what"))
     keys = keys.unionByName(entities.select("node_id", F.explode(F.array_distinct("aliases")).alias("key"), F.lit("alias").alias("what"))).where(F.col("key").isNotNull())
-    said = queries.select("query_id", phrases(F.col("text")).alias("p")).select("query_id", F.when(F.coalesce(F.size("p"), F.lit(0)) > 0, F.col("p")).otherwise(F.array(F.lit(""))).alias("p"))
+    # written once, in as many shares as there are cores: few row groups may hold all of a small file's queries
+    asking = materialize(queries.select("query_id", normalize_name(F.col("text")).alias("text")).repartition(nodes.sparkSession.sparkContext.defaultParallelism, "query_id"), "queries")
+    said = asking.select("query_id", phrases(F.col("text")).alias("p")).select("query_id", F.when(F.coalesce(F.size("p"), F.lit(0)) > 0, F.col("p")).otherwise(F.array(F.lit(""))).alias("p"))
     asked = said.select("query_id", F.explode("p").alias("key")).withColumn("hash", F.xxhash64("key"))
     asked = sifted(asked, "hash", sieve(keys.select(F.xxhash64("key").alias("hash")), "hash"))
     equal = keys.join(asked.select("query_id", "key"), "key").select("query_id", "node_id", "what")
-    texts = queries.select("query_id", normalize_name(F.col("text")).alias("text")).where(F.length("text") >= LENGTHS[0])
+    texts = asking.where(F.length("text") >= LENGTHS[0])
     names = entities.where(F.length("own") >= LENGTHS[0]).select("own").distinct()
     of_name = materialize(runs(names, "own", "own", longest=True), "name_runs")
     of_query = materialize(runs(texts, "query_id", "text", sieve=sieve(of_name, "run")), "query_runs")
@@ -285,13 +287,18 @@ def response(found: Result) -> Response:
 LEAST_BLOCK = len("[node:||chunk:]\n")
 
 
+def most_packed(budget_tokens: int) -> int:
+    """How many hits a context can hold at most, and one more."""
+    return 4 * max(budget_tokens, 1) // LEAST_BLOCK + 1
+
+
 def packed(hits: DataFrame, budget_tokens: int) -> DataFrame:
     """(rank, block) of the longest prefix of hits whose blocks fit 4 characters a token; the first always stays.
 
     No block is shorter than its header, so a bounded number of the best hits is all that is ranked.
     """
     order = [F.desc("score"), F.asc("phase"), F.asc("hop"), F.asc("id")]
-    best = hits.orderBy(*order).limit(4 * max(budget_tokens, 1) // LEAST_BLOCK + 1)
+    best = hits.orderBy(*order).limit(most_packed(budget_tokens))
     block = header_block(F.col("node_name"), F.col("node_type"), F.col("id"), F.col("text"))
     blocks = best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), block.alias("block"))
     total = F.sum(F.length("block")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
