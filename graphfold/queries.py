@@ -16,7 +16,7 @@ from graphfold.functions import vectors as V
 from graphfold.engine import Engine
 from graphfold.operators import chunking, community, extraction, graph, ingest, qa, resolution, retrieval, tables
 from graphfold.operators.topk import knn, knn_batch
-from graphfold.plans.written import shared_dir, there
+from graphfold.plans.written import materialize, shared_dir, there
 from graphfold.sources.clients import EchoLanguage, HashEmbeddings
 from graphfold.sources.fixture import CTES, query_vector, table, written_at
 from graphfold.sources.fixture import graph as fixture
@@ -649,10 +649,10 @@ def map_reduce_partials(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir):
-    """The replies as extractions of chunks, eight to a document."""
+    """The replies as extractions of chunks, eight to a document; written, as what follows refers to them often."""
     key = F.col("p_partkey")
     rows = _replies(spark, sf_dir).where(key % 4 < 3).select(F.concat(F.lit("x"), key.cast("string")).alias("id"), F.concat(F.lit("d"), (key / 8).cast("long").cast("string")).alias("node_id"), (key % 8).cast("int").alias("ord"), "raw")
-    return extraction.parse(rows, strict=True)
+    return materialize(extraction.parse(rows, strict=True).drop("raw"), "extracted")
 
 
 _PARTS = "k AS (SELECT p_partkey // 8 AS doc, lower(p_type) AS t, lower(p_name) AS n, lower(p_brand) AS b FROM part WHERE p_partkey % 4 < 3)"
@@ -667,7 +667,7 @@ SELECT 2 * (SELECT count(*) FROM k) AS entities, (SELECT count(*) FROM (SELECT D
 def ingest_totals(spark, sf_dir):
     x = _extracted(spark, sf_dir)
     named = ingest.mentions(x)
-    nodes = resolution.resolve(named)
+    nodes = materialize(resolution.resolve(named), "entities")
     none = spark.createDataFrame([], "id string, node_id string, kind string, text string")
     return ingest.totals(x, resolution.mention_edges(named, nodes), resolution.relation_edges(ingest.relations(x), named, nodes), resolution.description_chunks(nodes, none))
 
@@ -675,7 +675,7 @@ def ingest_totals(spark, sf_dir):
 @query(f"WITH {_PARTS}, d AS (SELECT DISTINCT t, n FROM k) SELECT t AS type, n AS normalized_name, length(n) % 2 = 0 AS stale FROM d WHERE length(n) % 3 > 0", graph_ctes=False)
 def description_chunks(spark, sf_dir):
     """Every third node has the chunk that it needs, and every second of the others an old one."""
-    nodes = resolution.resolve(ingest.mentions(_extracted(spark, sf_dir)))
+    nodes = materialize(resolution.resolve(ingest.mentions(_extracted(spark, sf_dir))), "entities")
     n = F.length("normalized_name")
     text = F.when(n % 3 == 0, F.trim("description")).when(n % 2 == 0, F.lit("old"))
     chunks = nodes.select(F.concat(F.lit("c"), "id").alias("id"), F.col("id").alias("node_id"), F.lit("entity_description").alias("kind"), text.alias("text")).where(F.col("text").isNotNull())
