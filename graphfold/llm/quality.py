@@ -30,6 +30,7 @@ not matter, and empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 from collections.abc import Iterator
 
@@ -168,13 +169,17 @@ class Found:
         order = np.argsort(grams, kind="stable")
         self.keys = np.append(grams[order], np.uint64(0xFFFFFFFFFFFFFFFF))
         self.logp, self.back, self.unseen = np.append(logp[order], np.nan), np.nan_to_num(np.append(back[order], 0.0)), unseen
-        bits = min(24, max(8, len(grams).bit_length() + 2))
+        bits = min(22, max(8, len(grams).bit_length() + 1))
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        # where the hashes with each first bits begin, from how many have them: one small array, no search for each slot
+        self.first = np.zeros(1 << bits, np.int32)
+        at, n = np.unique((self.keys[:-1] >> self.shift).astype(np.int32), return_counts=True)
+        self.first[at[at < (1 << bits) - 1] + 1] = n[at < (1 << bits) - 1]
+        np.cumsum(self.first, out=self.first)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, or that of the end."""
-        at = self.first[(h >> self.shift).astype(np.int64)]
+        at = self.first[(h >> self.shift).astype(np.int32)]
         behind = np.flatnonzero(self.keys[at] < h)
         while len(behind):
             at[behind] += 1
@@ -203,33 +208,37 @@ def _packed(docs: DataFrame) -> DataFrame:
     name in both of its scans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, z = [], 0, zstandard.ZstdCompressor(1)
+        # rows are compressed as they come, so that a batch is never held as it is
+        z, sink, writer, size = zstandard.ZstdCompressor(1), None, None, 0
 
         def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as w:
-                for b in held:
-                    w.write_batch(b)
-            blob = z.compress(sink.getvalue().to_pybytes())
-            held.clear()
+            writer[1].close()
+            writer[0].flush(zstandard.FLUSH_FRAME)
+            blob = sink.getvalue()
             name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "blob"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(part)
+                if writer is None:
+                    sink = io.BytesIO()
+                    stream = z.stream_writer(sink, closefd=False)
+                    writer = stream, pa.ipc.new_stream(stream, part.schema)
+                writer[1].write_batch(part)
                 size += part.get_total_buffer_size() if part.num_rows == batch.num_rows else part.nbytes
                 if size >= BATCH_BYTES:
                     yield flush()
-                    size = 0
-        if held:
+                    sink, writer, size = None, None, 0
+        if writer is not None:
             yield flush()
 
     return arrow_rows(docs, run, [("batch", T.LongType()), ("blob", T.BinaryType())])
 
 
 def _unpacked(blob: bytes) -> Iterator[pa.RecordBatch]:
-    yield from pa.ipc.open_stream(zstandard.decompress(blob))
+    """The rows of a batch, of which a part at a time is held."""
+    with zstandard.ZstdDecompressor().stream_reader(blob) as rows:
+        yield from pa.ipc.open_stream(rows)
 
 
 def _asked(packed: DataFrame) -> DataFrame:
@@ -283,6 +292,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "perp
                     sums, sizes = found.score(texts_of(part))
                     got = [round(math.exp(-s / n), 6) if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
                     rows.append(pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(got, pa.float64()), pa.array(sizes, pa.int64())], names=[*kept, output, "n_scored"]))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(rows) if rows else empty
 
     return packed.repartition(shares, "batch").groupBy("batch").cogroup(answers.repartition(shares, "batch").groupBy("batch")).applyInArrow(run, schema)

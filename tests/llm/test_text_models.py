@@ -411,3 +411,17 @@ def test_sha_of_no_spans(spark):
     df = spark.createDataFrame([(1, "nothing here")], "doc_id long, text string")
     got = secrets.scan(df, secrets.fit(df)).select(F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("h")).collect()[0]["h"]
     assert got == hashlib.sha256(b"").hexdigest()
+
+
+def test_look_ups_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 2**64 - 1, 300_000, dtype=np.uint64))
+    tracemalloc.start()
+    found = quality.Found(rng.permutation(grams), np.zeros(len(grams)), np.zeros(len(grams)), -1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    other = rng.integers(0, 2**64 - 1, 1000, dtype=np.uint64)
+    assert (found.keys[found.find(grams)] == grams).all() and (found.find(other) == np.where(np.isin(other, grams), found.find(other), len(grams))).all()
+    assert peak < 30_000_000
