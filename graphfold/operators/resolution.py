@@ -129,18 +129,26 @@ def mention_edges(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return upsert_edges(hit.select(F.col("document_node_id").alias("src"), F.col("document_node_id").alias("doc_id"), "dst", F.lit(MENTIONS).alias("type"), "chunk_id", F.lit("").alias("description"), F.struct("ord", "item").alias("at")))
 
 
+def _with_end(relations: DataFrame, named: DataFrame, column: str, end: str) -> DataFrame:
+    """relations with the id of the entity of named (doc_id, ord, item, normalized_name, id) that a column names, as `end`;
+    those without one go. Mentions and relations of a name in a document are sorted together, so that one shuffle and one
+    sort find the first of the chunk and of the document."""
+    asked = relations.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
+    rows = asked.unionByName(named.select("doc_id", "ord", "item", F.col("normalized_name").alias(column), F.col("id").alias("__hit")), allowMissingColumns=True)
+    relation = F.col("__hit").isNull()
+    first = lambda keys, order: F.first("__hit", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    in_doc, in_chunk = first(["doc_id", column], ["ord", relation, "item"]), first(["doc_id", column, "ord"], [relation, "item"])
+    found = rows.withColumn(end, F.coalesce(F.when(F.col("ord").isNotNull(), in_chunk), in_doc))
+    return found.where(relation & F.col(end).isNotNull()).drop("__hit", column)
+
+
 def relation_edges(relations: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges for relations (doc_id, ord, item, source, target, type, description). An end is the first entity of that
     name in the same chunk, or else in the document, whatever its type; open ends and loops go."""
     named = mentions.select("doc_id", "ord", "item", normalize_type(F.col("type")).alias("type"), normalize_name(F.col("name")).alias("normalized_name")).join(nodes.select("id", "type", "normalized_name"), ["type", "normalized_name"])
-    in_chunk = named.groupBy("doc_id", "ord", "normalized_name").agg(F.min_by("id", "item").alias("chunk_hit"))
-    in_doc = named.groupBy("doc_id", "normalized_name").agg(F.min_by("id", F.struct("ord", "item")).alias("doc_hit"))
-    out = relations.withColumns({"s": normalize_name(F.col("source")), "t": normalize_name(F.col("target"))})
-    for end, name in (("s", "src"), ("t", "dst")):
-        a = in_chunk.select("doc_id", "ord", F.col("normalized_name").alias(end), F.col("chunk_hit").alias(f"{name}_a"))
-        b = in_doc.select("doc_id", F.col("normalized_name").alias(end), F.col("doc_hit").alias(f"{name}_b"))
-        out = out.join(a, ["doc_id", "ord", end], "left").join(b, ["doc_id", end], "left").withColumn(name, F.coalesce(f"{name}_a", f"{name}_b"))
-    out = out.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    named = named.where(F.col("doc_id").isNotNull())
+    out = relations.select("doc_id", "ord", "item", normalize_name(F.col("source")).alias("s"), normalize_name(F.col("target")).alias("t"), "type", "description")
+    out = _with_end(_with_end(out, named, "s", "src"), named, "t", "dst").where(F.col("src") != F.col("dst"))
     return upsert_edges(out.select("src", "dst", "type", "doc_id", F.lit(None).cast("string").alias("chunk_id"), F.coalesce("description", F.lit("")).alias("description"), F.struct("doc_id", "ord", "item").alias("at")))
 
 
