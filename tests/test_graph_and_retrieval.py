@@ -609,3 +609,53 @@ def test_props_are_matched_by_type(spark):
     deep = spark.createDataFrame([(1, '{"a": {"b.c": [1, {"d": null, "e": 1.5}]}}'), (2, '{"a": {"b.c": [1.5]}}'), (3, '{"a": 1}'), (4, '{"a": true, "it\'s": 1}')], "i int, props string")
     has = lambda wanted: [r["i"] for r in deep.where(contains_props(F.col("props"), wanted)).orderBy("i").collect()]
     assert has({"a": {"b.c": [{"e": 1.5}]}}) == [1] and has({"a": {"b.c": [{"d": None}, 1]}}) == [1] and has({"a": {"b.c": [1.5]}}) == [2] and has({"a": 1}) == [3] and has({"a": True}) == [4] and has({"it's": 1}) == [4] and has({"a": {}}) == [1, 2]
+
+
+def test_answers_settle_no_more_hits_than_they_read(spark, monkeypatch):
+    nodes = spark.createDataFrame([("hub", "org", "hub"), *((f"n{i}", "org", f"n{i}") for i in range(60))], "id string, type string, name string")
+    edges = edges_of(spark, [("hub", f"n{i}", "near") for i in range(60)])
+    chunks = [("c", "hub", "document_chunk", "the hub", [1.0, 0.0])] + [(f"c{i:02}", f"n{i}", "document_chunk", f"text {i}", [0.0, 1.0]) for i in range(60)]
+    g = retrieval.Graph(nodes, edges, spark.createDataFrame(chunks, "id string, node_id string, kind string, text string, embedding array<float>"))
+    config, settled = EngineConfig(dim=2, context_token_budget=100, retrieval_top_k=2), []
+    plain = qa.settle
+    monkeypatch.setattr(qa, "settle", lambda df: settled.append(plain(df)) or settled[-1])
+    got = qa.ask(g, "why", [1.0, 0.0], EchoLanguage(), config, "hybrid", 1, hops=1)
+    assert settled[0].count() <= retrieval.most_packed(100) == 26
+    whole = retrieval.hybrid(g, [1.0, 0.0], config, 1, None, 1).hits
+    context = retrieval.pack_context(whole, 100).collect()[0]["context"]
+    assert got.answer == EchoLanguage().complete("", f"Context:\n{context}\n\nQuestion: why\n\nAnswer:", 0.2)
+    assert got.sources == retrieval.sources(whole, 1).collect() and got.confidence == retrieval.confidence(whole, 2).collect()[0]["confidence"]
+
+
+def test_tables_of_the_fixture_are_written_when_read(spark, tmp_path, monkeypatch):
+    from graphfold import queries
+    from graphfold.sources import fixture
+
+    monkeypatch.setattr(fixture, "_BUILT", {})
+    done, plain = [], fixture.materialize
+    monkeypatch.setattr(fixture, "materialize", lambda df, name: done.append(name) or plain(df, name))
+    assert queries.knn_batch_top5(spark, "/root/testdata/sf0.001").count() == 50 and done == ["g_chunks"]
+    assert queries.mode_resolved(spark, "/root/testdata/sf0.001").count() == 3 and done == ["g_chunks", "g_nodes"]
+
+
+def test_replies_are_parsed_once(spark, monkeypatch):
+    from graphfold import queries
+
+    asked, plain = [], extraction.parse
+    monkeypatch.setattr(extraction, "parse", lambda *a, **k: asked.append(plain(*a, **k)) or asked[-1])
+    for name in ("ingest_totals", "description_chunks"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert "try_parse_json" not in plan and "parse_json" not in plan
+    assert len(asked) == 2
+
+
+def test_ends_of_relations_are_found_in_two_shuffles(spark):
+    rows = [("d1", 0, 0, "A", "x"), ("d1", 0, 1, "B", "x"), ("d1", 1, 0, "a", "y"), ("d1", 1, 1, "C", "x"), ("d2", 0, 0, "B", "z"), ("d2", 0, 1, "b", "x")]
+    mentions = spark.createDataFrame([(*r, "") for r in rows], "doc_id string, ord int, item int, name string, type string, description string")
+    nodes = resolution.resolve(mentions, describe=False).select("id", "type", "normalized_name")
+    rel = [("d1", 0, 0, "a", "b"), ("d1", 1, 0, "A", "B"), ("d1", 1, 1, "c", "a"), ("d1", 1, 2, "c", "gone"), ("d2", 0, 0, "b", "B"), ("d2", 5, 0, "B", "A"), ("d1", 0, 1, "a", "c"), (None, 0, 0, "a", "b")]
+    relations = spark.createDataFrame([(*r, "next", "") for r in rel], "doc_id string, ord int, item int, source string, target string, type string, description string")
+    e = resolution.relation_edges(relations, mentions, nodes)
+    label = {r["id"]: f"{r['type']}:{r['normalized_name']}" for r in nodes.collect()}
+    assert {(label[r["src"]], label[r["dst"]]) for r in e.collect()} == {("x:a", "x:b"), ("y:a", "x:b"), ("x:c", "y:a"), ("x:a", "x:c")}
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 0
