@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphfold.llm.common import arrow_rows, slices, table, texts_of
+from graphfold.llm.common import SLICE_BYTES, arrow_rows, slices, table, texts_of
 
 BLOCK, RATE, BITS, UNIT = 4096, 8000, 8, 64
 LPC_ORDER = 8
@@ -133,89 +133,209 @@ def _rice_plan(u: np.ndarray, order: int) -> tuple[int, list[int], list[int]]:
     return best
 
 
-def _rice(lead: np.ndarray, u: np.ndarray, sizes: list[int], ks: list[int]) -> np.ndarray:
-    """The bits of lead and of each partition's parameter and codes, as whole bytes. Each code's one and low bits, and each
-    parameter, are added to the 32-bit word that they end in; what runs over goes to the word before."""
-    k = np.repeat(np.array(ks), sizes)
-    first = np.cumsum([0, *sizes[:-1]])
+def _rice_plans(u: np.ndarray, starts: np.ndarray, sizes: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each block cost, partitions and parameters (up to 4), as _rice_plan() has them. u is 0 at warm-up samples. Sums
+    over quarters give those over halves and wholes; a block that has no quarters is planned by itself."""
+    quarter = sizes // 4
+    bounds = (starts[:, None] + quarter[:, None] * np.arange(4)).reshape(-1)
+    sums = {0: np.add.reduceat(u, bounds, dtype=np.int64).reshape(-1, 4)}
+    n = np.repeat(quarter[:, None], 4, axis=1)
+    n[:, 0] -= orders
+    n = np.maximum(n, 1)
+    costs, ks = [], []
+    for each in (4, 2, 1):
+        count, total = n.reshape(-1, 4 // each, each).sum(axis=2), sums[0].reshape(-1, 4 // each, each).sum(axis=2)
+        near = np.maximum(np.frexp((total // count).astype(np.float64))[1] - 1, 0)
+        least, chosen = np.full(near.shape, np.iinfo(np.int64).max), np.zeros(near.shape, np.int64)
+        for k in range(max(0, int(near.min()) - 1), int(near.max()) + 2):
+            if k not in sums:
+                sums[k] = np.add.reduceat(u >> k, bounds, dtype=np.int64).reshape(-1, 4)
+            cost = sums[k].reshape(-1, 4 // each, each).sum(axis=2) + count * (k + 1) + 4
+            better = (np.abs(near - k) <= 1) & (cost < least)
+            least[better], chosen[better] = cost[better], k
+        costs.append(least.sum(axis=1))
+        ks.append(chosen)
+    one, two, four = costs
+    parts = np.where(two < one, 2, 1)
+    cost = np.minimum(one, two)
+    more = ((two < one) | (two <= one * 1.02)) & (four < cost)
+    cost, parts = np.where(more, four, cost), np.where(more, 4, parts)
+    k = np.zeros((len(sizes), 4), np.int64)
+    for of, chosen in zip((1, 2, 4), ks, strict=True):
+        k[parts == of, :of] = chosen[parts == of]
+    for b in np.flatnonzero((sizes % 4 != 0) | (quarter <= orders)):
+        cost[b], its, found = _rice_plan(u[starts[b] + orders[b] : starts[b] + sizes[b]], int(orders[b]))
+        parts[b], k[b, : len(its)] = len(its), found
+    return cost, parts, k
+
+
+def _rice(leads: list[tuple[int, int]], counts: np.ndarray, u: np.ndarray, sizes: np.ndarray, ks: np.ndarray) -> list[np.ndarray]:
+    """For each block its lead (a number and its bits) and each partition's parameter and codes, as whole bytes. counts are
+    the codes of blocks, sizes those of partitions. Each code's one and low bits, and each parameter, are added to the 32-bit
+    word that they end in; what runs over goes to the word before."""
+    k = np.repeat(ks, sizes)
+    first, last = np.cumsum(sizes) - sizes, np.cumsum(counts) - 1
     width = (u >> k) + k + 1
     width[first] += 4  # the parameter stands before its partition's first code
-    ends = len(lead) - 1 + np.cumsum(width, dtype=np.int64)
+    ends = np.cumsum(width, dtype=np.int64)
+    lead = np.array([n for _, n in leads])
+    before = np.concatenate([[0], ends[last[:-1]]])
+    size = lead + ends[last] - before
+    base = np.cumsum((size + 31) // 32 * 32) - (size + 31) // 32 * 32  # blocks begin at words
+    ends += np.repeat(base + lead - before - 1, counts)
     begins = ends[first] - width[first] + 4  # where each parameter ends
-    value = np.concatenate([u & ((1 << k) - 1) | 1 << k, np.array(ks)]).astype(np.int64)
+    value = np.concatenate([u & ((1 << k) - 1) | 1 << k, ks])
     at = np.concatenate([ends, begins])
     code, word = value << (31 - (at & 31)), at >> 5
     words = np.bincount(word, code & 0xFFFFFFFF)
     words[:-1] += np.bincount(word, code >> 32, len(words))[1:]
-    out = words.astype(np.uint32).astype(">u4").view(np.uint8)[: int(ends[-1]) // 8 + 1]
-    packed = np.packbits(lead)
-    out[: len(packed)] |= packed
-    return out
-
-
-def _lpc(x: np.ndarray, order: int) -> tuple[np.ndarray, int] | None:
-    """Quantised coefficients and shift from the autocorrelation (Levinson and Durbin); None where there are none."""
-    w = x * np.hanning(len(x) + 2)[1:-1]
-    r = np.array([w[: len(w) - i] @ w[i:] for i in range(order + 1)])
-    if r[0] <= 0:
-        return None
-    a, err = np.zeros(order), r[0]
+    out = words.astype(np.uint32).astype(">u4").view(np.uint8)
+    done = []
+    for (v, n), begin, bits in zip(leads, (base // 8).tolist(), size.tolist(), strict=True):
+        some = out[begin : begin + (bits + 7) // 8]
+        some[: (n + 7) // 8] |= np.frombuffer((v << -n % 8).to_bytes((n + 7) // 8, "big"), np.uint8)
+        done.append(some)
+    return done
+
+
+@lru_cache(maxsize=BLOCK // UNIT)
+def _window(n: int) -> np.ndarray:
+    return np.hanning(n + 2)[1:-1]
+
+
+def _lpc(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantised coefficients and shift of each wanted block from its autocorrelation (Levinson and Durbin), and whether it
+    has any."""
+    r = np.zeros((len(sizes), order + 1))
+    for b in np.flatnonzero(wanted).tolist():
+        n = int(sizes[b])
+        w = x[starts[b] : starts[b] + n] * _window(n)
+        r[b] = [w[: n - i] @ w[i:] for i in range(order + 1)]
+    there = r[:, 0] > 0
+    a, err = np.zeros((len(sizes), order)), np.where(there, r[:, 0], 1)
     for i in range(order):
-        k = (r[i + 1] - a[:i] @ r[i:0:-1]) / err
-        a[:i], a[i] = a[:i] - k * a[:i][::-1], k
-        err *= 1 - k * k
-        if err <= 0:
-            return None
-    shift = min(15, 10 - math.frexp(float(np.abs(a).max()))[1])
-    return (np.clip(np.rint(a * (1 << shift)), -2048, 2047).astype(np.int64), shift) if shift >= 0 else None
-
-
-def _subframe(x: np.ndarray, lpc_order: int) -> np.ndarray:
-    """The bytes of a block as the smallest kind of subframe."""
-    if (x == x[0]).all():
-        return np.array([0, int(x[0]) & 255], np.uint8)
-    best = len(x) * BITS, None
+        k = r[:, i + 1]
+        if i:
+            both = np.zeros(len(sizes))
+            for j in range(i):
+                both += a[:, j] * r[:, i - j]
+            k = k - both
+        k = k / err
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        err = err * (1 - k * k)
+        there &= err > 0
+        a[~there], err[~there] = 0, 1
+    shift = np.minimum(15, 10 - np.frexp(np.abs(a).max(axis=1))[1])
+    there &= shift >= 0
+    shift = np.where(there, shift, 0)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -2048, 2047).astype(np.int32), shift.astype(np.int32), there
+
+
+def _subframes(x: np.ndarray, sizes: np.ndarray, lpc_order: int) -> list[np.ndarray]:
+    """The bytes of blocks, whose samples stand one behind the other, each as the smallest kind of subframe."""
+    starts = np.cumsum(sizes) - sizes
+    firsts = [starts[sizes > j] + j for j in range(max(4, lpc_order))]  # the places of the blocks' samples j
     # the fixed order with the least sum of residuals, as usual
-    diffs, d = [x], x
-    for _ in range(4):
-        d = d[1:] - d[:-1]
+    diffs = [x]
+    for o in range(1, 5):
+        d = np.zeros_like(x)
+        np.subtract(diffs[-1][1:], diffs[-1][:-1], out=d[1:])
+        for at in firsts[:o]:
+            d[at] = 0
         diffs.append(d)
-    order = min(range(5), key=lambda o: int(np.abs(diffs[o]).sum())) if len(x) > 8 else 0
-    tries = [(order, diffs[order], None)]
-    if lpc_order and len(x) > 2 * lpc_order and (got := _lpc(x, lpc_order)):
-        c, shift = got
-        guess = sum(c[j] * x[lpc_order - 1 - j : len(x) - 1 - j] for j in range(lpc_order)) >> shift
-        tries.append((lpc_order, x[lpc_order:] - guess, got))
-    for o, r, how in tries:
-        u = (r << 1) ^ (r >> 31)
-        cost, sizes, ks = _rice_plan(u, o)
-        cost += o * BITS + 6 + (0 if how is None else 9 + 12 * o)
-        if cost < best[0] and max(ks) < 15:
-            best = cost, (o, u, sizes, ks, how)
-    if best[1] is None:
-        return np.concatenate([np.array([2], np.uint8), (x & 255).astype(np.uint8)])
-    o, u, sizes, ks, how = best[1]
-    head = _bits((8 | o if how is None else 32 | o - 1) << 1, 8)
-    warm = np.unpackbits((x[:o] & 255).astype(np.uint8))
-    model = [] if how is None else [_bits(11, 4), _bits(how[1], 5), *(_bits(int(c) & 4095, 12) for c in how[0])]
-    return _rice(np.concatenate([head, warm, *model, _bits(0, 2), _bits(len(ks).bit_length() - 1, 4)]), u, sizes, ks)
+    sums = np.array([np.add.reduceat(np.abs(d), starts, dtype=np.int64) for d in diffs])
+    orders = np.where(sizes > 8, sums.argmin(axis=0), 0)
+    r, of_sample = x.copy(), np.repeat(orders.astype(np.int8), sizes)
+    for o in range(1, 5):
+        np.copyto(r, diffs[o], where=of_sample == o)
+    constant = sums[1] == 0
+    u = [(r << 1) ^ (r >> 31)]
+    cost, parts, ks = _rice_plans(u[0], starts, sizes, orders)
+    cost += orders * BITS + 6
+    best = np.where((cost < sizes * BITS) & (ks.max(axis=1) < 15), 0, -1)
+    plans, least = [(orders, parts, ks)], np.where(best == 0, cost, sizes * BITS)
+    wanted = ~constant & (sizes > 2 * lpc_order) & bool(lpc_order)
+    if wanted.any():
+        c, shift, there = _lpc(x, starts, sizes, lpc_order, wanted)
+        guess = np.zeros_like(x)
+        for j in range(lpc_order):
+            guess[j + 1 :] += np.repeat(c[:, j], sizes)[j + 1 :] * x[: -1 - j]
+        r = x - (guess >> np.repeat(shift, sizes))
+        for at in firsts[:lpc_order]:
+            r[at] = 0
+        u.append((r << 1) ^ (r >> 31))
+        orders = np.full(len(sizes), lpc_order)
+        cost, parts, ks = _rice_plans(u[1], starts, sizes, np.where(there, orders, 0))
+        cost += lpc_order * BITS + 15 + 12 * lpc_order
+        best[there & (cost < least) & (ks.max(axis=1) < 15)] = 1
+        plans.append((orders, parts, ks))
+    out, coded, leads, its, of_part, k_of = [None] * len(sizes), [], [], [], [], []
+    raw = (x & 255).astype(np.uint8)
+    for b, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+        how = int(best[b])
+        if constant[b]:
+            out[b] = np.array([0, raw[s]], np.uint8)
+        elif how < 0:
+            out[b] = np.concatenate([np.array([2], np.uint8), raw[s : s + n]])
+        else:
+            o, p, k = (int(plans[how][0][b]), int(plans[how][1][b]), plans[how][2][b])
+            v, bits = int.from_bytes(bytes([(32 | o - 1 if how else 8 | o) << 1]) + raw[s : s + o].tobytes(), "big"), 8 + BITS * o
+            if how:
+                v, bits = v << 9 | 11 << 5 | int(shift[b]), bits + 9 + 12 * o
+                for one in c[b].tolist():
+                    v = v << 12 | one & 4095
+            coded.append(b)
+            leads.append((v << 6 | p.bit_length() - 1, bits + 6))
+            its.append(n - o)
+            of_part += [n // p - o, *[n // p] * (p - 1)]
+            k_of += k[:p].tolist()
+    if coded:
+        # the residuals behind the warm-up samples, of each block by its best predictor
+        took = np.concatenate([u[best[b]][starts[b] + sizes[b] - n : starts[b] + sizes[b]] for b, n in zip(coded, its, strict=True)])
+        for b, body in zip(coded, _rice(leads, np.array(its), took, np.array(of_part), np.array(k_of)), strict=True):
+            out[b] = body
+    return out
+
+
+#: Samples whose subframes are made at once.
+AT_ONCE = 1 << 18
+
+
+def encode_many(payloads: list[bytes], lpc_order: int = LPC_ORDER) -> list[bytes]:
+    """For each payload a FLAC stream of unsigned 8-bit samples. Blocks of many payloads are worked on at once."""
+    sizes = [min(BLOCK, len(p) - at) for p in payloads for at in range(0, len(p), BLOCK)]
+    parts = [np.frombuffer(p, np.uint8)[at : at + BLOCK] for p in payloads for at in range(0, len(p), BLOCK)]
+    bodies, lo = [], 0
+    while lo < len(parts):
+        hi, n = lo, 0
+        while hi < len(parts) and (hi == lo or n + sizes[hi] <= AT_ONCE):
+            n += sizes[hi]
+            hi += 1
+        bodies += _subframes(np.concatenate(parts[lo:hi]).astype(np.int32) - 128, np.array(sizes[lo:hi]), lpc_order)
+        lo = hi
+    found = iter(bodies)
+    return [_stream(p, found) for p in payloads]
 
 
 def encode(payload: bytes, lpc_order: int = LPC_ORDER) -> bytes:
     """A FLAC stream of unsigned 8-bit samples."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
+    return encode_many([payload], lpc_order)[0]
+
+
+def _stream(payload: bytes, subframes: Iterator[np.ndarray]) -> bytes:
+    """The stream of a payload from its blocks' subframes, which are taken from the iterator."""
     frames, points, offset = [], [], 0
-    for number, start in enumerate(range(0, len(x), BLOCK)):
-        block = x[start : start + BLOCK]
-        full = len(block) == BLOCK
-        head = bytes([0xFF, 0xF8, (12 if full else 7) << 4 | 4, 1 << 1]) + _coded_number(number) + (b"" if full else (len(block) - 1).to_bytes(2, "big"))
-        body = np.concatenate([np.frombuffer(head + bytes([crc8(head)]), np.uint8), _subframe(block, lpc_order)])
+    for number, start in enumerate(range(0, len(payload), BLOCK)):
+        n = min(BLOCK, len(payload) - start)
+        head = bytes([0xFF, 0xF8, (12 if n == BLOCK else 7) << 4 | 4, 1 << 1]) + _coded_number(number) + (b"" if n == BLOCK else (n - 1).to_bytes(2, "big"))
+        body = np.concatenate([np.frombuffer(head + bytes([crc8(head)]), np.uint8), next(subframes)])
         frames.append(body.tobytes() + crc16(body).to_bytes(2, "big"))
-        points.append(start.to_bytes(8, "big") + offset.to_bytes(8, "big") + len(block).to_bytes(2, "big"))
+        points.append(start.to_bytes(8, "big") + offset.to_bytes(8, "big") + n.to_bytes(2, "big"))
         offset += len(frames[-1])
     sizes = [len(f) for f in frames] or [0]
     info = BLOCK.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
-    info += (RATE << 44 | (BITS - 1) << 36 | len(x)).to_bytes(8, "big") + hashlib.md5(x.astype(np.int8).tobytes()).digest()
+    md5 = hashlib.md5((np.frombuffer(payload, np.uint8) ^ 128).tobytes())
+    info += (RATE << 44 | (BITS - 1) << 36 | len(payload)).to_bytes(8, "big") + md5.digest()
     seek = b"".join(points)
     return b"".join([b"fLaC", b"\0", len(info).to_bytes(3, "big"), info, b"\x83", len(seek).to_bytes(3, "big"), seek, *frames])
 
@@ -284,6 +404,8 @@ class _Reader:
         return (u >> 1) ^ -(u & 1)
 
 
+#: Bytes that a subframe's samples and coefficients before its residuals take at most: 32 of each, of up to 16 bits.
+HEAD = 192
 _AS_TEXT = bytes([48, 49]) + bytes(254)
 _SIZES = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 << (k - 8) for k in range(8, 16)}}
 
@@ -297,34 +419,88 @@ class _Frame:
         self.start, self.x, self.how, self.shift, self.wasted = start, x, how, shift, wasted
 
 
-def _read_subframe(r: _Reader, start: int, n: int, bits: int) -> _Frame:
+def _read_head(r: _Reader, start: int, n: int, bits: int) -> tuple[_Frame, int]:
+    """A frame with its warm-up samples, behind which residuals follow, and their number; with all samples there are none."""
     kind = r.number(8) >> 1
     wasted = 0
     if r.raw[r.at - 1]:
         wasted = r.unary() + 1
         bits -= wasted
     if kind == 0:
-        return _Frame(start, np.full(n, r.number(bits, True), np.int64), [], 0, wasted)
+        return _Frame(start, np.full(n, r.number(bits, True), np.int64), [], 0, wasted), n
     if kind == 1:
-        return _Frame(start, r.fixed(n, bits), [], 0, wasted)
+        return _Frame(start, r.fixed(n, bits), [], 0, wasted), n
     if not (8 <= kind <= 12 or kind >= 32):
         raise ValueError(f"subframe type {kind} is reserved")
     order = kind - 8 if kind < 32 else kind - 31
     x = np.empty(n, np.int64)
-    x[:order] = r.fixed(order, bits)
+    x[:order] = [r.number(bits, True) for _ in range(order)]
     how, shift = list(FIXED[order]) if kind < 32 else [], 0
     if kind >= 32:
         precision = r.number(4) + 1
         shift = r.number(5, True)
         how = [r.number(precision, True) for _ in range(order)]
-    width = 4 + r.number(2)
-    parts, at = 1 << r.number(4), order
+    return _Frame(start, x, how, shift, wasted), order
+
+
+def _read_subframe(r: _Reader, start: int, n: int, bits: int) -> _Frame:
+    f, at = _read_head(r, start, n, bits)
+    if at == n:
+        return f
+    order, width = at, 4 + r.number(2)
+    parts = 1 << r.number(4)
     for p in range(parts):
         count = n // parts - (0 if p else order)
         k = r.number(width)
-        x[at : at + count] = r.fixed(count, r.number(5)) if k == (1 << width) - 1 else r.rice(count, k)
+        f.x[at : at + count] = r.fixed(count, r.number(5)) if k == (1 << width) - 1 else r.rice(count, k)
         at += count
-    return _Frame(start, x, how, shift, wasted)
+    return f
+
+
+def _read_many(data: list[np.ndarray], at: np.ndarray, count: np.ndarray, order: np.ndarray, parts: np.ndarray) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """For frames (bytes; the bit of the first Rice parameter, of 4 bits; samples, warm-up samples, partitions) the residuals,
+    or None where they are not plain Rice codes, and the bit behind them. A code of each frame is read at a time."""
+    flat = np.concatenate([*data, np.zeros(8, np.uint8)])
+    base = np.cumsum([0, *(len(d) for d in data[:-1])]) * 8
+    bits = np.unpackbits(flat)
+    ones = np.append(np.flatnonzero(bits.view(bool)), len(bits)).astype(np.int32)
+    upto = np.zeros(len(bits) + 1, np.int32)  # ones before each bit
+    np.cumsum(bits, dtype=np.int32, out=upto[1:])
+    words = flat[:-3].astype(np.uint32)
+    for j in range(1, 4):
+        words = words << 8 | flat[j : len(flat) - 3 + j]
+    at, good = (at + base).astype(np.int32), np.ones(len(data), bool)
+    found = [[] for _ in data]
+    for p in range(int(parts.max(initial=0))):
+        some = np.flatnonzero(good & (parts > p))
+        n = count[some] // parts[some] - (0 if p else order[some])
+        k = bits.take(at[some, None] + np.arange(4), mode="clip") @ np.array([8, 4, 2, 1])
+        fits = (k < 15) & (n > 0) & (count[some] % parts[some] == 0)
+        good[some[~fits]] = False
+        by = np.flatnonzero(fits)[np.argsort(-n[fits], kind="stable")]
+        some, n, k = some[by], n[by], k[by].astype(np.int32)
+        if not len(some):
+            continue
+        begin = at[some] + 4
+        stop = np.empty((int(n[0]), len(some)), np.int32)
+        left = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()  # frames with more than i codes
+        here, step, many = begin.copy(), k + 1, len(some)
+        for row, m in zip(stop, left, strict=True):
+            if m < many:
+                at[some[m:many]] = here[m:many]
+                here, step, many, row = here[:m], step[:m], m, row
+            q = ones.take(upto.take(here, mode="clip"), mode="clip", out=row[:m])
+            here = q + step
+        at[some[:many]] = here
+        stop = np.ascontiguousarray(stop.T)
+        for i, (f, c, low) in enumerate(zip(some.tolist(), n.tolist(), k.tolist(), strict=True)):
+            q = stop[i, :c]
+            u = np.empty(c, np.int64)
+            u[0], u[1:] = q[0] - begin[i], q[1:] - q[:-1] - (low + 1)
+            if low:
+                u = u << low | words.take(q + 1 >> 3, mode="clip") >> (32 - low - (q + 1 & 7)).astype(np.uint32) & ((1 << low) - 1)
+            found[f].append((u >> 1) ^ -(u & 1))
+    return [np.concatenate(x) if g else None for x, g in zip(found, good, strict=True)], at - base
 
 
 def _undo_fixed(f: _Frame) -> None:
@@ -381,6 +557,7 @@ class Stream:
             raise ValueError("not a FLAC stream")
         self.stream, self.data = stream, np.frombuffer(stream, np.uint8)
         at, last, info, self.points = 4, False, b"", {}
+        self.ahead: dict[int, tuple[_Frame, int]] = {}  # frames that are read already, by their bytes, and the bytes behind them
         while not last:
             last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
             body = stream[at + 4 : at + 4 + size]
@@ -397,8 +574,8 @@ class Stream:
             raise ValueError("only mono streams of up to 16 bits are read")
         self.begin, self.starts = at, sorted(at + o for o in self.points)
 
-    def frame(self, at: int, start: int) -> tuple[_Frame, int]:
-        """The frame at a byte, checked against its checksums, and the byte behind it."""
+    def head(self, at: int, start: int) -> tuple[int, int, int]:
+        """Of the frame at a byte, whose header is checked: its subframe's byte, the last byte that it may have, and its samples."""
         data, stream = self.data, self.stream
         if data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
             raise ValueError(f"no frame at byte {at}")
@@ -418,17 +595,25 @@ class Stream:
         p += 1
         k = len(self.starts) and bisect.bisect_right(self.starts, at)
         end = (self.starts[k] if k < len(self.starts) else len(data)) if self.starts else min(len(data), p + 2 * self.largest * (self.bits + 16) // 8 + 64)
-        r = _Reader(data[p:end])
+        return p, end, n
+
+    def frame(self, at: int, start: int) -> tuple[_Frame, int]:
+        """The frame at a byte, checked against its checksums, and the byte behind it."""
+        p, end, n = self.head(at, start)
+        r = _Reader(self.data[p:end])
         f = _read_subframe(r, start, n, self.bits)
-        end = p + (r.at + 7) // 8
-        if end + 2 > len(data) or crc16(data[at:end]) != int.from_bytes(stream[end : end + 2], "big"):
+        return f, self.closed(at, p + (r.at + 7) // 8)
+
+    def closed(self, at: int, end: int) -> int:
+        """The byte behind the checksum, which is checked, of a frame's bytes."""
+        if end + 2 > len(self.data) or crc16(self.data[at:end]) != int.from_bytes(self.stream[end : end + 2], "big"):
             raise ValueError(f"the frame's CRC-16 is wrong at byte {at}")
-        return f, end + 2
+        return end + 2
 
     def frames(self) -> list[_Frame]:
         out, at, done = [], self.begin, 0
         while done < self.total:
-            f, at = self.frame(at, done)
+            f, at = self.ahead.pop(at, None) or self.frame(at, done)
             done += len(f.x)
             out.append(f)
         return out
@@ -450,10 +635,48 @@ def _whole():
         raise ValueError("the stream is damaged or ends early") from e
 
 
+def _read_ahead(streams: list[Stream]) -> None:
+    """Reads frames that seek tables name, those of many streams at once. What is damaged, or has other codes than encode()
+    writes, is left to Stream.frame(), which reads a frame by itself or says what is wrong."""
+    some, size = [], 0
+    for s in streams:
+        for offset, start in s.points.items():
+            at = s.begin + offset
+            try:
+                p, end, n = s.head(at, start)
+                end = min(end, p + 2 * n * (s.bits + 16) // 8 + 64)
+                r = _Reader(s.data[p : min(end, p + HEAD)])
+                f, order = _read_head(r, start, n, s.bits)
+                if order < n and not r.number(2):
+                    parts = 1 << r.number(4)
+                    some.append((s, at, p, end, f, order, r.at, parts))
+                    size += end - p
+            except (ValueError, IndexError, OverflowError):
+                continue
+            if size >= SLICE_BYTES:
+                _join(some)
+                some, size = [], 0
+    if some:
+        _join(some)
+
+
+def _join(some: list[tuple]) -> None:
+    data = [s.data[p:end] for s, _, p, end, *_ in some]
+    residuals, ends = _read_many(data, *(np.array(c) for c in ([x[6] for x in some], [len(x[4].x) for x in some], [x[5] for x in some], [x[7] for x in some])))
+    for (s, at, p, end, f, order, _, _), r, bit in zip(some, residuals, ends.tolist(), strict=True):
+        if r is not None and p + (bit + 7) // 8 <= end:
+            f.x[order:] = r
+            try:
+                s.ahead[at] = f, s.closed(at, p + (bit + 7) // 8)
+            except ValueError:
+                continue
+
+
 def decode(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     """For each stream (sample offset, samples) of its frames, all checked against their checksums and the stream's MD5."""
     with _whole():
         read = [Stream(x) for x in streams]
+        _read_ahead(read)
         frames = [x.frames() for x in read]
         _undo([f for fs in frames for f in fs])
         for x, fs in zip(read, frames, strict=True):
@@ -508,7 +731,7 @@ def to_flac(df: DataFrame, text: str = "text", output: str = "media", lpc_order:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                media = pa.array([encode(padded(t.encode("utf-8")), lpc_order) for t in texts_of(part, text)], pa.binary())
+                media = pa.array(encode_many([padded(t.encode("utf-8")) for t in texts_of(part, text)], lpc_order), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, media], names=[*kept, output])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.BinaryType())]))

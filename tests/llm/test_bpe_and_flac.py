@@ -148,6 +148,40 @@ def test_flac_uses_partitions_and_predictors():
     assert len(flac._rice_plan(u, 0)[1]) > 1
 
 
+def test_flac_works_on_many_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    payloads = [*signals(), b"", *(bytes(rng.integers(97, 97 + 2 + n % 25, n, dtype=np.uint8)) for n in (1, 7, 9, 18, 64, 130, 4100, 9000))]
+    for order in (0, 3, 8):
+        streams = flac.encode_many(payloads, order)
+        assert streams == [flac.encode(p, order) for p in payloads]
+        assert [flac._joined(f) for f in flac.decode(streams)] == payloads
+    # Rice codes of frames that a seek table names are read together; a frame by itself is the exception
+    words = [flac.padded(" ".join(rng.choice(["ein", "Text", "aus", "Worten", "und"], 900)).encode()) for _ in range(30)]
+    streams, calls = flac.encode_many(words), []
+    by_itself = flac.Stream.frame
+    monkeypatch.setattr(flac.Stream, "frame", lambda s, at, start: calls.append(at) or by_itself(s, at, start))
+    assert [flac._joined(f) for f in flac.decode(streams)] == words and not calls
+    broken = bytearray(streams[3])
+    broken[-1] ^= 1
+    assert flac.blocks(streams[2]) and not calls
+    with pytest.raises(ValueError, match="CRC-16"):
+        flac.decode([streams[2], bytes(broken)])
+    assert len(calls) == 1
+
+
+def test_flac_plans_of_many_blocks_are_those_of_each():
+    rng, sizes, orders = np.random.default_rng(4), np.array([4096, 64, 10, 32, 130, 4096]), np.array([0, 3, 2, 8, 1, 8])
+    starts = np.cumsum(sizes) - sizes
+    u = np.concatenate([rng.geometric(p, n).astype(np.int32) - 1 for p, n in zip((0.5, 0.1, 0.02, 0.3, 0.01, 0.9), sizes)])
+    u[2048:4096] *= 40
+    for s, o in zip(starts, orders):
+        u[s : s + o] = 0
+    cost, parts, ks = flac._rice_plans(u, starts, sizes, orders)
+    for b, (s, n, o) in enumerate(zip(starts, sizes, orders)):
+        want, its, k = flac._rice_plan(u[s + o : s + n].astype(np.int64), int(o))
+        assert (cost[b], parts[b], ks[b, : parts[b]].tolist()) == (want, len(its), k)
+
+
 def test_query_reads_what_was_stored(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = {r["doc_id"]: r for r in flac.op4_flac_media(spark, "/root/testdata/sf0.001").collect()}
