@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,13 +92,18 @@ class Expansion:
 SMALL = 10_000
 
 
+def held(df: DataFrame, rows: pa.Table) -> DataFrame:
+    """Few rows of df as a local table. Its size is known, so that larger tables which meet it are not shuffled."""
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def settle(df: DataFrame, small: int = SMALL) -> DataFrame:
     """df computed once: as a local table if it is small, which is checked, else as a table in the shared folder. What the
     check has computed is kept for the write."""
     df.persist()
     try:
-        rows = df.limit(small + 1).collect()
-        return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= small else materialize(df, "settled")
+        rows = df.limit(small + 1).toArrow()
+        return held(df, rows) if rows.num_rows <= small else materialize(df, "settled")
     finally:
         df.unpersist()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphfold.config import EngineConfig
 from graphfold.errors import Invalid
 from graphfold.functions.text import excerpt, header_block, normalize_name, phrases, thematic
-from graphfold.operators.graph import Adjacency, Expansion, edge_filter, expand
+from graphfold.operators.graph import Adjacency, Expansion, edge_filter, expand, held, settle
 from graphfold.operators.index import VectorIndex
 from graphfold.operators.runs import LENGTHS, runs, sieve, sifted
 from graphfold.operators.topk import knn, scores
@@ -68,8 +68,8 @@ def _with_nodes(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _few(df: DataFrame, k: int) -> tuple[DataFrame, list]:
     """At most k ranked rows as a local table: what follows refers to them often and must not rank again."""
-    rows = df.limit(k).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema), rows
+    rows = df.limit(k).toArrow()
+    return held(df, rows), rows.to_pylist()
 
 
 def ranked(hits: DataFrame) -> DataFrame:
@@ -87,32 +87,58 @@ def nearest(g: Graph, query: Sequence[float], k: int, nodes: DataFrame | None =
     rows. nodes (id) limits their nodes, where is a condition on chunks.
 
     Only ids, embeddings and what the condition reads is scanned, and no embedding is shuffled: nodes are looked up for
-    scores. Without a limit on nodes only k rows a task leave the scan; if their nodes are gone, more are asked for.
+    scores. Only the best rows of a task leave the scan; if too few of their nodes are there, more are asked for. Where nodes
+    limits so much that SPARE times k do not suffice, all scores meet them in a join.
     """
     chunks = g.chunks if g.index is None else g.index.near(query, g.chunks)
     chunks = chunks if where is None else chunks.where(where)
     slim = chunks.select("id", "node_id", "embedding")
-    n = k
+    n, joined = k if nodes is None else SPARE * k, False
     while True:
-        if nodes is None:
-            best = knn(slim, query, n)
-        else:
+        if joined:
             best = scores(slim, query).join(nodes.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").orderBy(F.desc("score"), "id").limit(n)
-        rows = best.select("id", "node_id", "score").collect()  # n rows
-        ids, of = [r["id"] for r in rows], {r["node_id"] for r in rows}
-        named = {r["id"]: r for r in g.nodes.where(F.col("id").isin(*of)).select("id", "name", "type").collect()} if of else {}
-        texts = {r["id"]: r for r in g.chunks.where(F.col("id").isin(*ids)).select("id", "kind", "text").collect()} if ids else {}
-        kept = [r for r in rows if r["node_id"] in named and r["id"] in texts][:k]
+        else:
+            best = knn(slim, query, n)
+        rows = found = best.select("id", "node_id", "score").collect()  # n rows
+        if nodes is not None and not joined:
+            of = {r["node_id"] for r in rows}
+            among = {r["id"] for r in nodes.where(F.col("id").isin(*of)).select("id").collect()} if of else set()
+            found = [r for r in rows if r["node_id"] in among][:k]
+        named, texts = _looked_up(g, found)
+        kept = [r for r in found if r["node_id"] in named and r["id"] in texts][:k]
         if len(kept) == k or len(rows) < n:
             break
-        n *= 4
-    out = [(r["id"], r["node_id"], named[r["node_id"]]["name"], named[r["node_id"]]["type"], texts[r["id"]]["kind"], texts[r["id"]]["text"], r["score"]) for r in kept]
-    kind = lambda t, c: t.schema[c].dataType.simpleString()
-    schema = f"id {kind(g.chunks, 'id')}, node_id {kind(g.chunks, 'node_id')}, node_name string, node_type string, kind string, text string, score double"
-    df = g.nodes.sparkSession.createDataFrame(out, schema)
+        if nodes is not None and not joined:
+            n, joined = k, True
+        else:
+            n *= 4
+    schema = _row_schema(g)
+    out = [(*_row(r, named, texts), r["score"]) for r in kept]
+    df = g.nodes.sparkSession.createDataFrame(out, f"{schema}, score double")
     return df, [dict(zip(df.columns, row, strict=True)) for row in out]
 
 
+#: How many times k rows nearest() looks at before it joins all scores with the nodes that it is limited to.
+SPARE = 8
+
+
+def _looked_up(g: Graph, rows: list) -> tuple[dict, dict]:
+    """Names and types of the nodes of few rows (id, node_id) and kinds and texts of their chunks, by ids."""
+    ids, of = [r["id"] for r in rows], {r["node_id"] for r in rows}
+    named = {r["id"]: r for r in g.nodes.where(F.col("id").isin(*of)).select("id", "name", "type").collect()} if of else {}
+    texts = {r["id"]: r for r in g.chunks.where(F.col("id").isin(*ids)).select("id", "kind", "text").collect()} if ids else {}
+    return named, texts
+
+
+def _row(r, named: dict, texts: dict) -> tuple:
+    return r["id"], r["node_id"], named[r["node_id"]]["name"], named[r["node_id"]]["type"], texts[r["id"]]["kind"], texts[r["id"]]["text"]
+
+
+def _row_schema(g: Graph) -> str:
+    kind = lambda c: g.chunks.schema[c].dataType.simpleString()
+    return f"id {kind('id')}, node_id {kind('node_id')}, node_name string, node_type string, kind string, text string"
+
+
 def hybrid(g: Graph, query: Sequence[float], config: EngineConfig, top_k: int | None = None, node_types: Sequence[str] | None = None, hops: int | None = None, edge_types: Sequence[str] | None = None) -> Result:
     """The nearest chunks and all chunks of their nodes' surroundings, which score half the best seed's for each hop.
 
@@ -195,38 +221,45 @@ def entity_seeds(g: Graph, query: str, vector: Sequence[float], config: EngineCo
     return both.withColumn("r", one).where("r = 1").select("node_id", "score", "match").orderBy(F.desc("score"), "node_id").limit(k)
 
 
-def local(g: Graph, query: str, vector: Sequence[float], config: EngineConfig, top_k: int | None = None, hops: int | None = None, edge_types: Sequence[str] | None = None) -> Result:
-    """Entities that the query is about, their surroundings, and the evidence that mentions them. Without seeds: hybrid."""
+def local(g: Graph, query: str, vector: Sequence[float], config: EngineConfig, top_k: int | None = None, hops: int | None = None, edge_types: Sequence[str] | None = None, seeds: tuple[DataFrame, list] | None = None) -> Result:
+    """Entities that the query is about, their surroundings, and the evidence that mentions them. Without seeds: hybrid.
+
+    Chunks are ranked by ids, nodes and kinds; names and texts are looked up for the hits. seeds are those of
+    entity_seeds(), where they are known already.
+    """
     k, hops = top_k or config.retrieval_top_k, config.expand_hops if hops is None else hops
-    seeds, rows = _few(entity_seeds(g, query, vector, config), config.local_entity_top_k)
+    seeds, rows = seeds or _few(entity_seeds(g, query, vector, config), config.local_entity_top_k)
     if not rows:
         return hybrid(g, vector, config, top_k, None, hops, edge_types)
     base = max(r["score"] for r in rows)
     # mentions are not walked, but a request for nothing but mentions filters nothing
     wanted = [t for t in edge_types or () if t != MENTIONS]
     walk = expand(edge_filter(g.walkable, wanted, None if edge_types else [MENTIONS]), seeds.select(F.col("node_id").alias("node")), hops)
-    entities = g.nodes_of(walk.nodes).where(~F.col("type").isin(*SCAFFOLD))
-    scored_nodes = entities.select(F.col("id").alias("node_id"), "hop").join(seeds.select("node_id", F.col("score").alias("own")), "node_id", "left")
-    columns = ["id", "node_id", "node_name", "node_type", "kind", "text"]
-    found = _with_nodes(g.chunks.drop("embedding"), g.nodes)
-    boost = F.when(F.col("kind") == ENTITY_DESCRIPTION, 1.05).otherwise(1.0)
-    first = found.join(scored_nodes, "node_id").select(*columns, (F.coalesce("own", F.lit(float(base))) * F.pow(F.lit(0.5), F.col("hop")) * boost).alias("score"), "hop", F.lit(0).alias("phase"))
+    entities = settle(g.nodes_of(walk.nodes).where(~F.col("type").isin(*SCAFFOLD)).select(F.col("id").alias("node_id"), "hop"))
     into = g.edges if g.near is None else g.near("edges_in", walk.nodes)
-    evidence = into.where(F.col("type") == MENTIONS).join(entities.select(F.col("id").alias("dst")), "dst", "left_semi")
-    sources = evidence.select(F.col("src").alias("id")).distinct()
-    nodes = g.nodes.join(entities.select("id").union(sources).distinct(), "id", "left_semi")
-    half = F.lit(float(base) * 0.5)
-    late = lambda df, phase: df.select(*columns, half.alias("score"), F.lit(1).alias("hop"), F.lit(phase).alias("phase"))
-    parts = [first]
+    evidence = settle(into.where(F.col("type") == MENTIONS).join(entities.select(F.col("node_id").alias("dst")), "dst", "left_semi"))
+    # what is known of a node: its hop and score as an entity, and whether it mentions one
+    as_entity = entities.join(seeds.select("node_id", F.col("score").alias("own")), "node_id", "left").withColumn("source", F.lit(False))
+    as_source = evidence.select(F.col("src").alias("node_id"), F.lit(None).cast("int").alias("hop"), F.lit(None).cast("double").alias("own"), F.lit(True).alias("source"))
+    about = as_entity.unionByName(as_source).groupBy("node_id").agg(*(F.max(c).alias(c) for c in ("hop", "own", "source")))
+    found = g.chunks.select("id", "node_id", "kind").join(g.nodes.select(F.col("id").alias("node_id")).join(about, "node_id"), "node_id")
     if "chunk_id" in g.edges.columns:
-        cited = evidence.where(F.coalesce("chunk_id", F.lit("")) != "").select(F.col("chunk_id").alias("id")).distinct()
-        parts.append(late(found.join(cited, "id", "left_semi").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"), 1))
-    parts.append(late(found.join(sources.withColumnRenamed("id", "node_id"), "node_id", "left_semi"), 2))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+        cited = evidence.where(F.coalesce("chunk_id", F.lit("")) != "").select(F.col("chunk_id").alias("id"), F.lit(True).alias("cited")).distinct()
+        found = found.join(cited, "id", "left")
+    else:
+        found = found.withColumn("cited", F.lit(None).cast("boolean"))
+    boost = F.when(F.col("kind") == ENTITY_DESCRIPTION, 1.05).otherwise(1.0)
+    own = F.when(F.col("hop").isNotNull(), F.coalesce("own", F.lit(float(base))) * F.pow(F.lit(0.5), F.col("hop")) * boost)
+    half, late = F.lit(float(base) * 0.5), F.coalesce("cited", F.lit(False)) | F.col("source")
+    first = own.isNotNull() & (~late | (own >= half))  # of equal scores that of the earliest phase
+    phase = F.when(first, 0).when(F.col("cited"), 1).otherwise(2)
+    hits = _best(found.select("id", "node_id", F.when(first, own).otherwise(half).alias("score"), F.when(first, F.col("hop")).otherwise(1).alias("hop"), phase.alias("phase")))
+    best = hits.orderBy(F.desc("score"), "phase", "hop", "id").limit(k).collect()
+    named, texts = _looked_up(g, best)
+    told = g.nodes.sparkSession.createDataFrame([(*_row(r, named, texts), r["score"], r["hop"], r["phase"]) for r in best], f"{_row_schema(g)}, score double, hop int, phase int")
+    nodes = g.nodes.join(entities.select(F.col("node_id").alias("id")).union(evidence.select("src")).distinct(), "id", "left_semi")
     edges = walk.edges.unionByName(evidence.select(*walk.edges.columns)).dropDuplicates(["id"])
-    return Result(ranked(_best(hits)).limit(k), nodes, edges, "local")
+    return Result(ranked(told), nodes, edges, "local")
 
 
 def global_(g: Graph, vector: Sequence[float], config: EngineConfig, top_k: int | None = None) -> Result:
@@ -246,21 +279,24 @@ def choose_mode(strong: Column, is_thematic: Column, communities: Column) -> Col
     return F.when(strong & ~is_thematic, "local").when(communities & (is_thematic | ~strong), "global").otherwise("hybrid")
 
 
-def resolve_mode(g: Graph, query: str, vector: Sequence[float], config: EngineConfig, mode: str = "auto") -> str:
+def resolve_mode(g: Graph, query: str, vector: Sequence[float], config: EngineConfig, mode: str = "auto", seeds: tuple[DataFrame, list] | None = None) -> str:
     if mode not in MODES:
         raise Invalid(f"mode is one of {MODES}")
     if mode != "auto":
         return mode
-    strong = entity_seeds(g, query, vector, config).where(F.col("score") >= config.auto_entity_score_threshold).limit(1).count() > 0
+    _, rows = seeds or _few(entity_seeds(g, query, vector, config), config.local_entity_top_k)
+    strong = any(r["score"] >= config.auto_entity_score_threshold for r in rows)
     communities = g.nodes.where(F.col("type") == "community").limit(1).count() > 0
     row = g.nodes.sparkSession.range(1).select(choose_mode(F.lit(strong), thematic(F.lit(query)), F.lit(communities)).alias("m"))
     return row.collect()[0]["m"]
 
 
 def search(g: Graph, query: str, vector: Sequence[float], config: EngineConfig, mode: str = "auto", top_k: int | None = None, node_types: Sequence[str] | None = None, hops: int | None = None, edge_types: Sequence[str] | None = None) -> Result:
-    mode = resolve_mode(g, query, vector, config, mode)
+    # the mode and the walk start from the same entities
+    seeds = _few(entity_seeds(g, query, vector, config), config.local_entity_top_k) if mode == "auto" else None
+    mode = resolve_mode(g, query, vector, config, mode, seeds)
     if mode == "local":
-        return local(g, query, vector, config, top_k, hops, edge_types)
+        return local(g, query, vector, config, top_k, hops, edge_types, seeds)
     if mode == "global":
         return global_(g, vector, config, top_k)
     return replace(hybrid(g, vector, config, top_k, node_types, hops, edge_types), mode=mode)

@@ -659,3 +659,42 @@ def test_ends_of_relations_are_found_in_two_shuffles(spark):
     label = {r["id"]: f"{r['type']}:{r['normalized_name']}" for r in nodes.collect()}
     assert {(label[r["src"]], label[r["dst"]]) for r in e.collect()} == {("x:a", "x:b"), ("y:a", "x:b"), ("x:c", "y:a"), ("x:a", "x:c")}
     assert e._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 0
+
+
+def test_few_rows_meet_large_tables_without_shuffling_them(spark, tmp_path):
+    rows = spark.range(400_000).selectExpr("concat('e', id) AS id", "concat('n', id % 977) AS src", "concat('n', id % 991) AS dst", "'near' AS type")
+    rows.write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    few = graph.settle(edges.where("id IN ('e1', 'e2')").select(F.col("src").alias("node")))
+    assert few.count() == 2 and graph.settle(edges.where("false")).collect() == [] and graph.settle(edges.limit(3)).schema == edges.schema
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        touched = graph.incident(edges, few)
+        plan = touched._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        want = edges.where("src IN ('n1', 'n2') OR dst IN ('n1', 'n2')")
+        assert sorted(touched.collect()) == sorted(want.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_automatic_search_finds_its_entities_once(spark, monkeypatch):
+    g, calls, plain = small_graph(spark), [], retrieval.entity_seeds
+    monkeypatch.setattr(retrieval, "entity_seeds", lambda *a, **b: calls.append(a) or plain(*a, **b))
+    found = retrieval.search(g, "What is Acme?", [0.0, 0.0], CONFIG, "auto", 10, hops=1)
+    assert found.mode == "local" and len(calls) == 1
+    assert [(h["id"], h["node_name"], h["text"], h["phase"]) for h in found.hits.collect()] == [("c3", "Acme", "about acme", 0), ("c6", "Acme", "more", 0), ("c4", "Bob", "about bob", 0), ("c1", "Doc", "cited", 1), ("c2", "Doc", "other", 2)]
+    assert {n["id"] for n in found.nodes.collect()} == {"d1", "e1", "e2"}
+    # the texts of hits are looked up: what ranks them reads none
+    read, looked = [], retrieval._looked_up
+    monkeypatch.setattr(retrieval, "_looked_up", lambda g, rows: read.append(len(rows)) or looked(g, rows))
+    assert [h["id"] for h in retrieval.local(g, "What is Acme?", [0.0, 0.0], CONFIG, 2, 1).hits.collect()] == ["c3", "c6"] and read == [0, 2]
+
+
+def test_scores_meet_nodes_in_a_join_only_where_few_fit(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i:02}", "rare" if i < 2 else "org", f"N{i}") for i in range(40)], "id string, type string, name string")
+    chunks = spark.createDataFrame([(f"c{i:02}", f"n{i:02}", "document_chunk", f"text {i}", [1.0, i / 10]) for i in range(40)], "id string, node_id string, kind string, text string, embedding array<float>")
+    g, joins, plain = retrieval.Graph(nodes, spark.createDataFrame([], "id string, src string, dst string, type string"), chunks), [], retrieval.scores
+    monkeypatch.setattr(retrieval, "scores", lambda *a: joins.append(a) or plain(*a))
+    assert [r["id"] for r in retrieval.nearest(g, [0.0, 1.0], 3, nodes.where("type = 'org'"))[1]] == ["c39", "c38", "c37"] and not joins
+    assert [r["id"] for r in retrieval.nearest(g, [0.0, 1.0], 3, nodes.where("type = 'rare'"))[1]] == ["c01", "c00"] and len(joins) == 1
